@@ -139,11 +139,18 @@ def sequence(
     return numbered.withColumn(output, (F.col("_seq") - 1) * step + start).drop("_seq")
 
 
-def sorter(df: DataFrame, key: str, desc: bool = False) -> DataFrame:
-    """Order by one key. Ties are ordered by a row hash, which also lets the range
-    exchange spread a key that holds many rows over several partitions."""
+def sorter(
+    df: DataFrame, key: str, desc: bool = False, tiebreak: Sequence[str] = (),
+    position: str | None = None,
+) -> DataFrame:
+    """Order by one key, optionally adding each row's ``position``. What ties are left are
+    ordered by a row hash, which also lets the range exchange spread a key that holds
+    many rows over several partitions."""
+    orders = [Order(key, desc)] + [Order(t) for t in tiebreak]
+    if position is not None:
+        df = number_rows(df, orders, position)
     spread = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.orderBy(Order(key, desc).column(), spread)
+    return df.orderBy(*[o.column() for o in orders], spread)
 
 
 def top_k(df: DataFrame, order_by: Sequence[Column], k: int = 1) -> DataFrame:

@@ -149,14 +149,21 @@ def nearest_neighbour(t):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("nearest_threshold", f"""{_NEAREST_SQL}
+@query("nearest_threshold", """
+    WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+    d AS (SELECT a.vec_id AS q, b.vec_id AS vec_id,
+                 list_distance(list_transform(a.v, lambda x: x + a.label * 0.0047::DOUBLE), b.v) AS distance
+          FROM e a JOIN e b ON true),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS n FROM d)
     SELECT q AS query_id, vec_id, round(1 - distance, 6) AS similarity, n::INTEGER AS place
-    FROM r WHERE n <= 3 AND 1 - distance > 0.2""")
+    FROM r WHERE n <= 3 AND 1 - distance > 0.80""")
 def nearest_threshold(t):
-    """Up to three other vectors, only those similar enough."""
-    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
-    found = nearest(queries, t.embeddings, ("query_id", "embedding"), ("vec_id", "embedding"),
-                    k=3, min_similarity=0.2, other_than_self=True)
+    """Vectors moved away from the stored ones by label: those moved far match nothing."""
+    moved = F.transform(
+        F.col("embedding").cast("array<double>"), lambda x: x + F.col("label") * F.lit(0.0047))
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), moved.alias("moved"))
+    found = nearest(queries, t.embeddings, ("query_id", "moved"), ("vec_id", "embedding"),
+                    k=3, min_similarity=0.80)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -1 +1,147 @@
-from weftline.plans.catalog import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weftline.plans.catalog import query
+from weftline.session import scratch_path
+from weftline.sinks import write_csv, write_files
+from weftline.sources import (
+    attributes_map,
+    generate,
+    incremental,
+    read_batch,
+    read_files,
+    read_table,
+    source_qualifier,
+    sql_call,
+    xml_children,
+    xml_flatten,
+)
+
+
+@query("scan_csv", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def scan_csv(t):
+    path = scratch_path(t.spark, "csv")
+    columns = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    write_csv(t.orders.select(columns), path)
+    schema = "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    return read_files(t.spark, path, "*.csv", schema)
+
+
+@query("scan_table", "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey")
+def scan_table(t):
+    nation = read_table(t.spark, f"{t.folder}/nation.parquet")
+    region = read_table(t.spark, f"{t.folder}/region.parquet")
+    return nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+
+
+def _new_orders(t):
+    last = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    return incremental(t.orders, "o_orderdate", last)
+
+
+@query("incremental_fetch", """
+    SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '2000-01-01'""")
+def incremental_fetch(t):
+    return _new_orders(t)[0].select("o_orderkey", "o_orderdate")
+
+
+@query("incremental_high_water", """
+    SELECT max(o_orderdate) AS o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '2000-01-01'""")
+def incremental_high_water(t):
+    return _new_orders(t)[1]
+
+
+@query("source_qualifier", """
+    SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'""")
+def source_qualifier_query(t):
+    return source_qualifier(
+        t.lineitem, ["l_orderkey", "l_partkey", "l_quantity"],
+        F.col("l_shipdate") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+@query("sql_call", """
+    SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 1000.0 AND c_mktsegment <> 'MACHINERY'
+    GROUP BY c_mktsegment""")
+def sql_call_query(t):
+    text = """SELECT c_mktsegment, count(*) AS n FROM {customer}
+              WHERE c_acctbal > :least AND c_mktsegment <> :without GROUP BY c_mktsegment"""
+    return sql_call(t.spark, text, {"customer": t.customer}, least=1000.0, without="MACHINERY")
+
+
+@query("generate_rows", """
+    SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS id, 'DUAL' AS dummy FROM orders""")
+def generate_rows(t):
+    """As many generated rows as there are orders."""
+    return generate(t.spark, t.orders.count()).withColumn("dummy", F.lit("DUAL"))
+
+
+_XML = ("_NAME string, _SIZE int, BRAND string, "
+        "TABLEATTRIBUTE array<struct<_NAME: string, _VALUE: string>>")
+
+
+def _records(t):
+    """Every part as an XML record with attributes, an element and repeated children."""
+    attribute = lambda name, value: F.concat(
+        F.lit(f'<TABLEATTRIBUTE NAME="{name}">'), value, F.lit("</TABLEATTRIBUTE>"))
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    # Small parts have no children; the type is given twice, the last time in lower case.
+    children = F.when(F.col("p_size") <= 5, "").otherwise(F.concat(
+        attribute("type", F.col("p_type")), attribute("price", price),
+        attribute("type", F.lower("p_type"))))
+    xml = F.concat(
+        F.lit('<TRANSFORMATION NAME="'), "p_name", F.lit('" SIZE="'), "p_size", F.lit('"><BRAND>'),
+        "p_brand", F.lit("</BRAND>"), children, F.lit("</TRANSFORMATION>"))
+    return xml_flatten(t.part.select("p_partkey", xml.alias("xml")), "xml", _XML, keep=("p_partkey",))
+
+
+@query("xml_parent", """
+    SELECT p_partkey, p_name AS name, p_size AS size, p_brand AS brand FROM part""")
+def xml_parent(t):
+    return _records(t).select(
+        "p_partkey", F.col("_NAME").alias("name"), F.col("_SIZE").alias("size"),
+        F.col("BRAND").alias("brand"))
+
+
+def _children(t):
+    return xml_children(_records(t), "TABLEATTRIBUTE", ("p_partkey",)) \
+        .toDF("p_partkey", "position", "name", "value")
+
+
+@query("xml_children", """
+    SELECT p_partkey, 1 AS position, 'type' AS name, p_type AS value FROM part WHERE p_size > 5
+    UNION ALL SELECT p_partkey, 2, 'price', p_retailprice::DECIMAL(12,2)::VARCHAR FROM part WHERE p_size > 5
+    UNION ALL SELECT p_partkey, 3, 'type', lower(p_type) FROM part WHERE p_size > 5
+    UNION ALL SELECT p_partkey, NULL, NULL, NULL FROM part WHERE p_size <= 5""")
+def xml_children_query(t):
+    return _children(t)
+
+
+@query("attributes_map", """
+    SELECT p_partkey, 2 AS entries, lower(p_type) AS type, p_retailprice::DECIMAL(12,2)::VARCHAR AS price
+    FROM part WHERE p_size > 5""")
+def attributes_map_query(t):
+    folded = attributes_map(_children(t), "p_partkey", "name", "value", "position")
+    return folded.select(
+        "p_partkey", F.size("attributes").alias("entries"),
+        F.col("attributes")["type"].alias("type"), F.col("attributes")["price"].alias("price"))
+
+
+@query("batch_files", """
+    SELECT event_type AS source, 'good' AS state, count(*) AS n, count(DISTINCT user_id) AS users
+    FROM events WHERE value < 90 GROUP BY ALL
+    UNION ALL SELECT event_type, 'bad', count(*), NULL FROM events WHERE value >= 90 GROUP BY ALL""")
+def batch_files(t):
+    """A folder of JSON files per event type; records of large values are damaged."""
+    path = scratch_path(t.spark, "batch")
+    record = F.to_json(F.struct("event_id", "user_id", "value"))
+    damaged = F.when(F.col("value") >= 90, F.concat(record, F.lit(", oops"))).otherwise(record)
+    damaged = F.regexp_replace(damaged, r"\}, oops", ", oops")
+    t.events.select("event_type", damaged.alias("value")).write.partitionBy("event_type") \
+        .option("extension", "json").text(path)
+    good, bad = read_batch(t.spark, path, "event_id long, user_id long, value double", "part-*")
+    source = F.regexp_extract("file_path", "event_type=([^/]+)/", 1).alias("source")
+    counted = good.groupBy(source, F.lit("good").alias("state")).agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    rejected = bad.groupBy(source, F.lit("bad").alias("state")).agg(F.count("*").alias("n"))
+    return counted.unionByName(rejected, allowMissingColumns=True)

@@ -76,15 +76,15 @@ def generate(spark: SparkSession, rows: int, column: str = "id") -> DataFrame:
 def read_batch(
     spark: SparkSession, folder: str, schema: str, file_filter: str = "*.json"
 ) -> tuple[DataFrame, DataFrame]:
-    """All JSON files below a folder in one scan: the good records with the file each came
-    from, and the records that do not fit the schema with their text."""
-    records = (
-        spark.read.schema(f"{schema}, {CORRUPT} string")
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", file_filter)
-        .json(folder)
-        .withColumn("file_path", F.col("_metadata.file_path"))
+    """All JSON-lines files below a folder: the good records with the file each came from,
+    and the records that do not fit the schema with their text."""
+    lines = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_filter)
+        .text(folder).select("value", F.col("_metadata.file_path").alias("file_path"))
     )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options)
+    records = lines.select("file_path", parsed.alias("_record")).select("file_path", "_record.*")
     good = records.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = records.where(F.col(CORRUPT).isNotNull()).select("file_path", CORRUPT)
     return good, bad

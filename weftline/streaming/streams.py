@@ -10,16 +10,17 @@ from weftline.operators.project import router
 
 # Intake limits per trigger.
 MAX_FILES = 10_000
-MAX_BYTES = "1g"
+MAX_BYTES = 1 << 30
 
 
 def stream_files(
     spark: SparkSession, folder: str, schema: T.StructType | str, fmt: str = "parquet",
-    max_files: int | None = MAX_FILES, max_bytes: str | None = None,
+    max_files: int | None = MAX_FILES, max_bytes: int | None = None,
 ) -> DataFrame:
     """New files of a folder as they appear, with an intake limit per trigger.
 
-    Spark takes one limit, files or bytes; ``max_bytes`` replaces ``max_files``.
+    Spark takes one limit, files or bytes; ``max_bytes`` (such as :data:`MAX_BYTES`)
+    replaces ``max_files``.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
