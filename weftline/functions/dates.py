@@ -16,9 +16,8 @@ _FORMAT_LETTERS = {
     "MI": "mm", "SS": "ss", "MS": "SSS", "US": "SSSSSS",
     "AM": "a", "PM": "a",
 }
-_TOKEN = re.compile(
-    "|".join(sorted(_FORMAT_LETTERS, key=len, reverse=True)) + "|[A-Za-z]+", re.IGNORECASE
-)
+_KNOWN = "|".join(sorted(_FORMAT_LETTERS, key=len, reverse=True))
+_TOKEN = re.compile(f"{_KNOWN}|(?:(?!{_KNOWN})[A-Za-z])+", re.IGNORECASE)
 
 # Date part names of the source language -> Spark units.
 _PARTS = {"YY": "year", "YYYY": "year", "YEAR": "year", "MM": "month", "MONTH": "month",

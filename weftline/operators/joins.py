@@ -63,14 +63,15 @@ def pair_all(left: DataFrame, right: DataFrame, block_rows: int = 10_000) -> Dat
     sent to each block, so no side is held whole by any task. The result has
     ``left x right`` rows by definition; keep the right side small.
     """
-    blocks = max(1, -(-right.count() // block_rows))
+    rows = right.count()
+    blocks = max(1, -(-rows // block_rows))
     block_of = F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(blocks)).cast("int")
     numbered = right.withColumn("_block", block_of)
     targets = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     spread = left.withColumn("_block", targets)
     # A block no right row fell into must not add a null row of its own, unless
     # there are no right rows at all.
-    how = "left" if right.isEmpty() else "inner"
+    how = "inner" if rows else "left"
     return spread.join(numbered, "_block", how).drop("_block")
 
 

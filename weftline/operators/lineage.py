@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.joins import lookup_split
 from weftline.operators.names import contained_in
-from weftline.session import cut_lineage
+from weftline.session import cut_counted, cut_lineage
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -29,30 +29,32 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def _peel(edges: DataFrame, max_levels: int) -> tuple[DataFrame, DataFrame]:
     """Take off nodes without incoming edges, level by level. Returns (node, level) and
-    the edges that never came free."""
-    left = cut_lineage(edges.select("src", "dst").distinct())
-    waiting = cut_lineage(
-        left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    )
-    levels = []
-    for level in range(max_levels + 1):
-        targets = left.select(F.col("dst").alias("node")).distinct()
-        free = cut_lineage(waiting.join(targets, "node", "left_anti"))
-        if free.isEmpty():
-            break
+    the nodes that never came free.
+
+    Only targets of the edges just taken off can come free next, so a round looks at the
+    edges that are left and at its frontier, both read from where the last round put them.
+    """
+    left, edge_count = cut_counted(edges.select("src", "dst").dropna().distinct())
+    free, free_count = cut_counted(_without_input(left.select(F.col("src").alias("node")), left))
+    done = free.limit(0).withColumn("level", F.lit(0))
+    level = 0
+    while free_count:
         if level == max_levels:
             raise ValueError(f"the graph is deeper than max_levels={max_levels}")
-        levels.append(free.withColumn("level", F.lit(level)))
-        # Both shrink every round, and each round reads only what the last one left.
-        waiting = cut_lineage(waiting.join(free, "node", "left_anti"))
-        left = cut_lineage(lookup_split(left, free, {"src": "node"})[1])
-    if not levels:
-        done = waiting.where(F.lit(False)).withColumn("level", F.lit(0))
-    else:
-        done = levels[0]
-        for frame in levels[1:]:
-            done = done.unionByName(frame)
-    return done, waiting
+        done = done.unionByName(free.withColumn("level", F.lit(level)))
+        if not edge_count:
+            break
+        taken, kept = lookup_split(left, free, {"src": "node"})
+        kept, edge_count = cut_counted(kept)
+        free, free_count = cut_counted(
+            _without_input(taken.select(F.col("dst").alias("node")), kept))
+        left, level = kept, level + 1
+    return done, left.select(F.col("dst").alias("node")).distinct()
+
+
+def _without_input(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    targets = edges.select(F.col("dst").alias("node")).distinct()
+    return nodes.distinct().join(targets, "node", "left_anti")
 
 
 def topo_levels(edges: DataFrame, max_levels: int = 1_000) -> DataFrame:
@@ -121,6 +123,9 @@ def validation_report(
     Errors are the ``findings`` of severity error, dangling edge ends and a cycle (one);
     warnings are the other findings and the orphans.
     """
+    # Each is read by several of the checks.
+    nodes, edges = cut_lineage(nodes), cut_lineage(edges)
+
     def tally(df: DataFrame, kind) -> DataFrame:
         return df.select((kind if not isinstance(kind, str) else F.lit(kind)).alias("kind")) \
             .groupBy("kind").agg(F.count("*").alias("n"))

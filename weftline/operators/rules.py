@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.joins import first_per_key, lookup
 from weftline.operators.vectors import nearest
+from weftline.session import cut_lineage
 
 # Confidence per method.
 RULE_CONFIDENCE = 0.97
@@ -61,9 +62,10 @@ def rule_lookup(
     lengths, the distinct texts are exploded into their prefixes and joined once.
     """
     approved = rules.where("approved").where(F.length("pattern") > 0)
-    patterns = first_per_key(
+    # Written once: the rules are read again for each length.
+    patterns = cut_lineage(first_per_key(
         approved.select("rule_id", "pattern", "replacement"), ["pattern"], [F.col("rule_id")]
-    )
+    ))
     # Distinct lengths are few whatever the number of rules; the longest pattern bounds them.
     lengths = [r[0] for r in patterns.select(F.length("pattern")).distinct().collect()]
     stripped = _strip(text)

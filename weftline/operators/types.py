@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.operators.joins import lookup
+from weftline.operators.joins import map_lookup
 
 # Declared type names by the Spark type they become.
 TYPE_NAMES = {
@@ -114,8 +114,5 @@ def conform(
 def map_types(df: DataFrame, column: str, output: str = "spark_type") -> DataFrame:
     """Normalise a column of declared type names (case, blanks, size) and map it."""
     base = F.trim(F.regexp_replace(F.lower(F.col(column)), _PARAMETERS, ""))
-    names = df.sparkSession.createDataFrame(
-        list(TYPE_NAMES.items()), "_base string, _mapped string")
-    found = lookup(df.withColumn("_base", base), names, {"_base": "_base"}, ["_mapped"], unique=True)
-    return found.withColumn(output, F.coalesce("_mapped", F.lit(DEFAULT_TYPE))) \
-        .withColumnRenamed("_base", "base_type").drop("_mapped")
+    return map_lookup(
+        df.withColumn("base_type", base), "base_type", output, TYPE_NAMES, DEFAULT_TYPE)

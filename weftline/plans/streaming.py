@@ -13,10 +13,10 @@ from weftline.streaming import fan_out_batches, run_available, stream_files
 
 
 def _folder(t, rows=None):
-    """The events as a folder of several files."""
+    """The events as a folder of about ten files."""
     path = scratch_path(t.spark, "events")
     rows = t.events if rows is None else rows
-    rows.write.option("maxRecordsPerFile", 1_000).parquet(path)
+    rows.write.option("maxRecordsPerFile", 1 + t.events.count() // 10).parquet(path)
     return path
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.joins import first_per_key, lookup
 from weftline.operators.project import router
+from weftline.session import cut_counted
 
 # Record writer formats.
 DATE_FORMAT = "yyyy-MM-dd"
@@ -104,20 +105,40 @@ def nest_packet(
 ) -> DataFrame:
     """Header rows with their details as a sorted array of structs, plus ``part``.
 
-    A key with more than about ``most`` details comes as several packets (parts 0, 1, ...),
-    none of them larger than a task can hold; all details are kept. Keys without details
-    have one packet with an empty array.
+    A key with more than ``most`` details comes as several packets (parts 0, 1, ...) of
+    about that size, so that no task holds an unbounded group; all details are kept. Keys
+    without details have one packet with an empty array.
     """
     fields = [c for c in dict.fromkeys([*order_by, *detail.columns]) if c != key]
+    detail = detail.where(F.col(key).isNotNull())
     counts = detail.groupBy(key).agg(F.count("*").alias("_n"))
-    large = counts.where(F.col("_n") > most).select(
-        key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
-    spread = F.pmod(F.xxhash64(*fields), F.coalesce("_parts", F.lit(1))).cast("int")
-    parts = lookup(detail, large, {key: key}, ["_parts"], unique=True) \
-        .withColumn("part", spread)
-    packed = parts.groupBy(key, "part").agg(
+    large, hot_keys = cut_counted(counts.where(F.col("_n") > most).select(
+        key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+    rows = _spread_hot(detail, large, key, fields, most) if hot_keys \
+        else detail.withColumn("part", F.lit(0))
+    packed = rows.groupBy(key, "part").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias(output))
     return head.join(packed, key, "left").withColumns({
         "part": F.coalesce("part", F.lit(0)),
         output: F.coalesce(output, F.array().cast(packed.schema[output].dataType)),
     })
+
+
+def _spread_hot(
+    detail: DataFrame, large: DataFrame, key: str, fields: Sequence[str], most: int
+) -> DataFrame:
+    """Give the details of the large keys a ``part`` by their hash. Equal details would
+    all get the same one, so they are counted, and dealt out in pieces of ``most``."""
+    marked = lookup(detail, large, {key: key}, ["_parts"], unique=True)
+    usual = marked.where(F.col("_parts").isNull()).drop("_parts").withColumn("part", F.lit(0))
+    pieces = (
+        marked.where(F.col("_parts").isNotNull())
+        .groupBy(key, "_parts", *fields).agg(F.count("*").alias("_copies"))
+        .withColumn("_piece", F.explode(F.sequence(
+            F.lit(0), F.ceil(F.col("_copies") / most).cast("int") - 1)))
+    )
+    in_piece = F.least(F.lit(most), F.col("_copies") - F.col("_piece") * most).cast("int")
+    dealt = pieces.withColumn(
+        "part", F.pmod(F.xxhash64(*fields) + F.col("_piece"), F.col("_parts")).cast("int")
+    ).withColumn("_copy", F.explode(F.sequence(F.lit(1), in_piece)))
+    return usual.unionByName(dealt.select(*usual.columns))
