@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ROWS_PER_BUCKET = 50_000
+_ROWS_PER_BUCKET = 10_000
 _SAMPLE_PER_BUCKET = 30
 
 
@@ -62,7 +62,9 @@ def number_rows(
     """Row number 1..n over the whole frame, or per ``partition``, without a window over
     more than one bucket of rows.
 
-    Give ``order_by`` a unique last column for a reproducible result.
+    Give ``order_by`` a unique last column for a reproducible result. The sort columns of
+    ``df`` are read three times before the rows themselves; where that is not a scan but
+    costly work, cut its lineage first.
     """
     spark = df.sparkSession
     orders = [Order(p) for p in partition] + list(order_by)
@@ -71,7 +73,7 @@ def number_rows(
     total = df.count()
     if buckets is None:
         most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(most, 1 + total // _ROWS_PER_BUCKET)
+        buckets = max(2, min(most, total // _ROWS_PER_BUCKET))
 
     # Splitters: a bounded sample of the sort columns (the scan reads no others), sorted
     # and thinned out. They travel as JSON text, which Spark folds into one literal;
