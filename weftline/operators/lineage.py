@@ -10,10 +10,11 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.operators.joins import lookup_split
 from weftline.operators.names import contained_in
-from weftline.session import cut_counted, cut_lineage
+from weftline.session import cut_counted, scratch_path
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -27,29 +28,30 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def _peel(edges: DataFrame, max_levels: int) -> tuple[DataFrame, DataFrame]:
+def _peel(edges: DataFrame, max_levels: int | None) -> tuple[DataFrame, DataFrame]:
     """Take off nodes without incoming edges, level by level. Returns (node, level) and
     the nodes that never came free.
 
     Only targets of the edges just taken off can come free next, so a round looks at the
     edges that are left and at its frontier, both read from where the last round put them.
+    Each frontier is one folder of a table of levels.
     """
+    table = scratch_path(edges.sparkSession, "levels")
     left, edge_count = cut_counted(edges.select("src", "dst").dropna().distinct())
-    free, free_count = cut_counted(_without_input(left.select(F.col("src").alias("node")), left))
-    done = free.limit(0).withColumn("level", F.lit(0))
+    sources = left.select(F.col("src").alias("node"))
+    free, free_count = cut_counted(_without_input(sources, left), f"{table}/level=0")
     level = 0
-    while free_count:
+    while free_count and edge_count:
+        level += 1
         if level == max_levels:
             raise ValueError(f"the graph is deeper than max_levels={max_levels}")
-        done = done.unionByName(free.withColumn("level", F.lit(level)))
-        if not edge_count:
-            break
-        taken, kept = lookup_split(left, free, {"src": "node"})
-        kept, edge_count = cut_counted(kept)
-        free, free_count = cut_counted(
-            _without_input(taken.select(F.col("dst").alias("node")), kept))
-        left, level = kept, level + 1
-    return done, left.select(F.col("dst").alias("node")).distinct()
+        taken, left = lookup_split(left, free, {"src": "node"})
+        left, edge_count = cut_counted(left)
+        reached = taken.select(F.col("dst").alias("node"))
+        free, free_count = cut_counted(_without_input(reached, left), f"{table}/level={level}")
+    schema = T.StructType([*free.schema.fields, T.StructField("level", T.IntegerType())])
+    levels = edges.sparkSession.read.schema(schema).parquet(table)
+    return levels, left.select(F.col("dst").alias("node")).distinct()
 
 
 def _without_input(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -57,18 +59,19 @@ def _without_input(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.distinct().join(targets, "node", "left_anti")
 
 
-def topo_levels(edges: DataFrame, max_levels: int = 1_000) -> DataFrame:
+def topo_levels(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
     """Execution level per node: 0 without inputs, else one more than its deepest input.
-    Nodes on a cycle or behind one have no level and do not appear. One round per level."""
+    Nodes on a cycle or behind one have no level and do not appear. One round per level;
+    every round takes at least one node off, so cycles end it too."""
     return _peel(edges, max_levels)[0]
 
 
-def blocked_nodes(edges: DataFrame, max_levels: int = 1_000) -> DataFrame:
+def blocked_nodes(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
     """Nodes on a cycle or downstream of one."""
     return _peel(edges, max_levels)[1]
 
 
-def has_cycle(edges: DataFrame, max_levels: int = 1_000) -> DataFrame:
+def has_cycle(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
     blocked = blocked_nodes(edges, max_levels)
     return blocked.agg((F.count("*") > 0).alias("has_cycle"))
 
@@ -116,16 +119,13 @@ def required_values(nodes: DataFrame, rules: Sequence[Required], type_column: st
 
 
 def validation_report(
-    nodes: DataFrame, edges: DataFrame, findings: DataFrame, max_levels: int = 1_000
+    nodes: DataFrame, edges: DataFrame, findings: DataFrame, max_levels: int | None = None
 ) -> DataFrame:
     """One row: valid flag, error and warning counts, node and edge counts.
 
     Errors are the ``findings`` of severity error, dangling edge ends and a cycle (one);
     warnings are the other findings and the orphans.
     """
-    # Each is read by several of the checks.
-    nodes, edges = cut_lineage(nodes), cut_lineage(edges)
-
     def tally(df: DataFrame, kind) -> DataFrame:
         return df.select((kind if not isinstance(kind, str) else F.lit(kind)).alias("kind")) \
             .groupBy("kind").agg(F.count("*").alias("n"))

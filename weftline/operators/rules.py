@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.joins import first_per_key, lookup
 from weftline.operators.vectors import nearest
-from weftline.session import cut_lineage
+from weftline.session import cut_counted
 
 # Confidence per method.
 RULE_CONFIDENCE = 0.97
@@ -52,24 +52,25 @@ def _strip(text: str) -> Column:
 
 
 def rule_lookup(
-    df: DataFrame, rules: DataFrame, text: str, most_joins: int = 16
+    df: DataFrame, rules: DataFrame, text: str, most_joins: int = 16, most_rules: int = 100_000
 ) -> DataFrame:
     """Add ``rule_id`` and ``replacement`` of the first approved rule (lowest ``rule_id``)
     whose ``pattern`` is a prefix of the stripped text; null when there is none.
 
     A prefix of known length is an equality, so this is one equi-join per distinct
     pattern length; no text is compared with all rules. With more than ``most_joins``
-    lengths, the distinct texts are exploded into their prefixes and joined once.
+    lengths, or more rules than can be broadcast each time, the distinct texts are
+    exploded into their prefixes instead and joined once.
     """
     approved = rules.where("approved").where(F.length("pattern") > 0)
     # Written once: the rules are read again for each length.
-    patterns = cut_lineage(first_per_key(
+    patterns, count = cut_counted(first_per_key(
         approved.select("rule_id", "pattern", "replacement"), ["pattern"], [F.col("rule_id")]
     ))
     # Distinct lengths are few whatever the number of rules; the longest pattern bounds them.
     lengths = [r[0] for r in patterns.select(F.length("pattern")).distinct().collect()]
     stripped = _strip(text)
-    if len(lengths) > most_joins:
+    if len(lengths) > most_joins or count > most_rules:
         return _rule_lookup_exploded(df, patterns, text, lengths)
     found = df
     for n in lengths:

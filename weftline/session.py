@@ -30,13 +30,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Write the rows to the shared folder and go on from there, with their number.
+def cut_counted(df: DataFrame, path: str | None = None) -> tuple[DataFrame, int]:
+    """Write the rows to the shared folder (or a ``path`` in it) and go on from there,
+    with their number.
 
     Nothing before this is computed again when an executor is lost, and the planner knows
     the size from here on.
     """
-    path = scratch_path(df.sparkSession, "step")
+    path = path or scratch_path(df.sparkSession, "step")
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
