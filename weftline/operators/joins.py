@@ -95,10 +95,12 @@ def lookup(
 
 
 def lookup_split(
-    df: DataFrame, reference: DataFrame, keys: Mapping[str, str]
+    df: DataFrame, reference: DataFrame, keys: Mapping[str, str], unique: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Input rows with and without a reference row; null keys are unmatched."""
-    known = keyed(reference.select(*keys.values()).distinct(), list(keys.values()))
+    """Input rows with and without a reference row; null keys are unmatched.
+    ``unique=True`` says that no reference key repeats."""
+    known = reference.select(*keys.values())
+    known = keyed(known if unique else known.distinct(), list(keys.values()))
     known = known.select(_KEY).where(F.col(_KEY).isNotNull())
     left = keyed(df, list(keys))
     return (

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.expand import union_all
 from weftline.operators.joins import lookup_split
 from weftline.operators.names import contained_in
 from weftline.session import cut_counted, scratch_path
@@ -45,7 +46,7 @@ def _peel(edges: DataFrame, max_levels: int | None) -> tuple[DataFrame, DataFram
         level += 1
         if level == max_levels:
             raise ValueError(f"the graph is deeper than max_levels={max_levels}")
-        taken, left = lookup_split(left, free, {"src": "node"})
+        taken, left = lookup_split(left, free, {"src": "node"}, unique=True)
         left, edge_count = cut_counted(left)
         reached = taken.select(F.col("dst").alias("node"))
         free, free_count = cut_counted(_without_input(reached, left), f"{table}/level={level}")
@@ -81,12 +82,12 @@ def _ends(edges: DataFrame) -> DataFrame:
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an endpoint that is no node, once per side."""
-    sides = []
-    for side in ("src", "dst"):
-        missing = lookup_split(edges.where(F.col(side).isNotNull()), nodes, {side: "node"})[1]
-        sides.append(missing.withColumns({"side": F.lit(side), "missing": F.col(side)}))
-    return sides[0].unionByName(sides[1])
+    """Edges with an endpoint that is no node, once per such side."""
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(side).alias("missing")) for side in ("src", "dst")
+    ])
+    ends = edges.select("*", F.inline(sides)).where(F.col("missing").isNotNull())
+    return lookup_split(ends, nodes, {"missing": "node"})[1]
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,24 +127,19 @@ def validation_report(
     Errors are the ``findings`` of severity error, dangling edge ends and a cycle (one);
     warnings are the other findings and the orphans.
     """
-    def tally(df: DataFrame, kind) -> DataFrame:
-        return df.select((kind if not isinstance(kind, str) else F.lit(kind)).alias("kind")) \
-            .groupBy("kind").agg(F.count("*").alias("n"))
-
-    parts = [
-        tally(nodes, "node"),
-        tally(edges, "edge"),
-        tally(findings, F.when(F.col("severity") == "error", "error").otherwise("warning")),
-        tally(dangling(edges, nodes), "error"),
-        tally(has_cycle(edges, max_levels).where("has_cycle"), "error"),
-        tally(orphans(nodes, edges), "warning"),
+    severity = F.when(F.col("severity") == "error", "error").otherwise("warning")
+    kinds = [
+        nodes.select(F.lit("node").alias("kind")),
+        edges.select(F.lit("edge").alias("kind")),
+        findings.select(severity.alias("kind")),
+        dangling(edges, nodes).select(F.lit("error").alias("kind")),
+        has_cycle(edges, max_levels).where("has_cycle").select(F.lit("error").alias("kind")),
+        orphans(nodes, edges).select(F.lit("warning").alias("kind")),
     ]
-    counts = parts[0]
-    for part in parts[1:]:
-        counts = counts.unionByName(part)
+    counts = union_all(*kinds)
 
     def total(kind: str):
-        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+        return F.count_if(F.col("kind") == kind)
 
     return counts.agg(
         (total("error") == 0).alias("valid"), total("error").alias("errors"),
@@ -162,11 +158,13 @@ def heal_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     transforms without an incoming edge hang off the last transform that has an outgoing
     one; targets without an incoming edge hang off the last transform.
     """
+    # Read several times below; written once, in case they are not plain scans.
+    nodes, (edges, edge_count) = cut_counted(nodes)[0], cut_counted(edges)
     sources = nodes.where("role = 'source'")
     transforms = nodes.where("role = 'transform'")
     targets = nodes.where("role = 'target'")
     begin = None
-    if edges.isEmpty():
+    if not edge_count:
         begin = sources.agg(F.max_by("node", "position").alias("src")).select(
             "src",
             transforms.agg(F.min_by("node", "position")).scalar().alias("dst"),

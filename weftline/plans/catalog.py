@@ -11,13 +11,16 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """The test tables of one scale factor, as attributes."""
+    """The test tables of one scale factor, as attributes; each footer is read once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Only called while the attribute is not there yet.
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
 
 def query(name: str, sql: str | None = None):
