@@ -76,8 +76,9 @@ def number_rows(
         buckets = max(2, min(most, total // _ROWS_PER_BUCKET))
 
     # Splitters: a bounded sample of the sort columns (the scan reads no others), sorted
-    # and thinned out. They travel as JSON text, which Spark folds into one literal;
-    # any values would give right numbers, so the text need not be exact.
+    # and thinned out. They travel as JSON text, which Spark folds into one literal. The
+    # text drops microseconds, which does no harm: the search is a tree of comparisons,
+    # so whatever the splitters are, an earlier row never lands in a later bucket.
     wanted = buckets * _SAMPLE_PER_BUCKET
     sample = keys.sample(min(1.0, wanted / max(1, total)), seed=7).limit(2 * wanted)
     in_order = sample.select("k.*").orderBy(*[
