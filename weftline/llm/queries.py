@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.hilbert import hilbert_shards
+from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix
 from weftline.llm.quality import quality
 
@@ -89,6 +90,12 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality(docs, trusted_text(spark, folder, docs)).select("doc_id", "lang", "chars", "perplexity", "limit", "kept")
 
 
+@_query
+def op8_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 SHARD_DIMS = (["lang", "source"], ["size"])
 
 
