@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.llm.hilbert import hilbert_shards
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix
+from weftline.llm.order_minhash import edited_fingerprints
 from weftline.llm.quality import quality
 
 QUERIES = {}
@@ -107,3 +108,8 @@ def op7_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = hilbert_shards(docs, *SHARD_DIMS, 8, order=["text_crc32", "doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"),
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(table(spark, folder, "documents"))
