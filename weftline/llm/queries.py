@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.hilbert import hilbert_shards
+from weftline.llm.language import identify, train, training_sample
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix
 from weftline.llm.order_minhash import edited_fingerprints
 from weftline.llm.quality import quality
+from weftline.llm.urls import LABELLED, RULES, filter_urls
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +99,12 @@ def op8_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@_query
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return filter_urls(pages, RULES, LABELLED).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 SHARD_DIMS = (["lang", "source"], ["size"])
 
 
@@ -113,3 +121,12 @@ def op7_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(table(spark, folder, "documents"))
+
+
+@_query
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+    learn = docs.where("not held_out and lang is not null and text is not null").select("doc_id", "text", "lang")
+    network = train(training_sample(learn, F.xxhash64("doc_id", "text")))
+    return identify(docs.select("doc_id", "held_out", "text"), network).select("doc_id", "held_out", "lang_pred", "score")
