@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 BUCKETS, SIZES = 1 << 14, (3, 4, 5)
 
+PLAIN_PATHS = ("", "/", "/en/100", "/de/100.html", "/fr/10/", "/es/100")
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
+
 #: (rule, verdict): fixed values of the query.
 RULES = [
     ("com/", "allow"),
@@ -68,10 +71,10 @@ def path_of(url: Column) -> Column:
 
 
 def features(host: str, path: str) -> np.ndarray:
-    """Buckets of the character n-grams of host and path; where a part begins and ends shows."""
+    """Buckets of the character n-grams of host and path; where a part begins and ends shows, digits are alike."""
     out = set()
     for part, seed in ((f"^{host}$", 1), (f"^{path}$", 2)):
-        data = part.encode("utf-8", "replace")
+        data = part.encode("utf-8", "replace").translate(_DIGITS)
         for size in SIZES:
             for i in range(len(data) - size + 1):
                 out.add(xxhash.xxh32_intdigest(data[i:i + size], seed) % BUCKETS)
@@ -86,10 +89,12 @@ def _parts(url: str) -> tuple[str, str]:
     return rest[:end].lower(), path[:stop]
 
 
-def fit(labelled: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(labelled: list[tuple[str, int]], rounds: int = 400, rate: float = 0.5, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights per bucket and the intercept, by gradient descent on the whole table."""
-    rows = [features(*_parts(url)) for url, _ in labelled]
-    y = np.array([float(v) for _, v in labelled])
+    # Each host is also seen under plain paths, so that those say nothing.
+    seen = [(h, p, v) for (h, path), v in ((_parts(url), v) for url, v in labelled) for p in (path, *PLAIN_PATHS)]
+    rows = [features(h, p) for h, p, _ in seen]
+    y = np.array([float(v) for _, _, v in seen])
     weights, bias = np.zeros(BUCKETS), 0.0
     scale = np.array([1 / np.sqrt(max(len(r), 1)) for r in rows])
     for _ in range(rounds):
