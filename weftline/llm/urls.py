@@ -26,12 +26,12 @@ RULES = [
 
 #: The labelled table the model learns from: 1 is to be blocked.
 LABELLED = [
-    ("https://www.adult-videos.example.net/en/12", 1), ("http://adult-chat.example.org/de/7.html", 1),
+    ("https://www.adult-videos.example.net/en/12", 1), ("http://adult-dating.example.org/de/7.html", 1),
     ("https://m.adult-live.example.net/fr/3", 1), ("https://adultpics.example.org/en/88", 1),
     ("http://blog.adult-zone.example.net/es/5#top", 1), ("https://cdn.adult-hub.example.org/en/4", 1),
     ("https://porn-tube.example.net/en/1", 1), ("http://www.freeporn.example.org/fr/22.html", 1),
     ("https://xxx-movies.example.net/en/31", 1), ("https://m.hot-xxx.example.org/de/9", 1),
-    ("https://sex-cams.example.net/es/14", 1), ("http://www.sexchat.example.org/en/60", 1),
+    ("https://sex-cams.example.net/es/14", 1), ("http://www.sexdating.example.org/en/60", 1),
     ("https://casino-royal.example.net/en/5", 1), ("http://www.bestcasino.example.org/de/41", 1),
     ("https://online-casino.example.net/fr/casino/slots", 1), ("https://bet-win.example.org/en/bets", 1),
     ("http://poker-bonus.example.net/en/poker", 1), ("https://gambling-slots.example.org/es/2", 1),
