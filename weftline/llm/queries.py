@@ -12,6 +12,7 @@ from weftline.llm.mixing import mix
 from weftline.llm.order_minhash import edited_fingerprints
 from weftline.llm.quality import quality
 from weftline.llm.urls import LABELLED, RULES, filter_urls
+from weftline.llm.wrappers import extract
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +82,11 @@ taken as (select doc_id, domain, lang, source, epoch::int as epoch, tokens::bigi
 select * from taken where take > 0"""
 
 
+@_query
+def op2_html_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def trusted_text(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
     """Text and language of the documents labelled good."""
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id").distinct()
