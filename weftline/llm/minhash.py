@@ -227,23 +227,33 @@ def near_duplicates(
     (all rows kept) if there is none. Repeated rows are of one component and marked alike.
     Columns called n_shingles, component_id or kept are replaced.
     """
-    docs = docs.drop("n_shingles", "component_id", "kept")
+    return _labelled(docs, doc_id, text, shingle, percent, miss).drop("_first")
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 85, miss: float = 1e-7) -> DataFrame:
+    """One row of each component (one with its smallest id), and every row without shingles; ``docs``'s columns."""
+    return _labelled(docs, doc_id, text, shingle, percent, miss).where("_first").select(*docs.columns)
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, miss: float) -> DataFrame:
     key = F.col(f"`{doc_id}`")
-    signed = cut_lineage(with_signatures(docs, text, shingle))
+    rows = docs.drop(*({"n_shingles", "component_id", "kept"} - {doc_id, text}))
+    signed = cut_lineage(with_signatures(rows.withColumn("_row", F.monotonically_increasing_id()), text, shingle))
     nodes = signed.where("_set is not null").groupBy("_set").agg(
-        F.min(key).alias("_least"), F.first("n_shingles").alias("n_shingles"), F.first("_sig").alias("_sig"), F.first("_bands").alias("_bands"))
+        F.min(F.struct(key.isNull().alias("none"), key.alias("id"), "_row")).alias("_least"),
+        F.first("n_shingles").alias("n_shingles"), F.first("_sig").alias("_sig"), F.first("_bands").alias("_bands"))
     nodes = cut_lineage(nodes)
     families = components(candidates(nodes, percent / 100, miss))
     # One text for each node of a family.
     texts = signed.join(families.select(F.col("node").alias("_set")), "_set", "left_semi").groupBy("_set").agg(
         F.first(F.col(f"`{text}`")).alias("_text"), F.first("n_shingles").alias("n_shingles"))
-    links = verified(texts, families, shingle, percent)
-    found = components(links)
+    found = components(verified(texts, families, shingle, percent))
     labels = found.join(nodes.select(F.col("_set").alias("node"), "_least"), "node")
     least = labels.groupBy("root").agg(F.min("_least").alias("_label"))
-    named = labels.select("node", "root").join(least, "root").select("node", "_label", F.lit(True).alias("_joined"))
-    own = nodes.select(F.col("_set").alias("node"), "_least").join(named, "node", "left").select(
-        F.col("node").alias("_set"), F.when(F.col("_joined"), F.col("_label")).otherwise(F.col("_least")).alias("component_id"))
-    # Only sets that several rows share or that are linked have a label other than their row's id.
-    out = signed.join(own, "_set", "left").withColumn("component_id", F.coalesce("component_id", key))
-    return out.withColumn("kept", key.eqNullSafe(F.col("component_id"))).drop("_set", "_sig", "_bands")
+    named = labels.select("node", "root").join(least, "root").select(F.col("node").alias("_set"), "_label")
+    own = nodes.select("_set", "_least").join(named, "_set", "left").select("_set", F.coalesce("_label", "_least").alias("_label"))
+    out = signed.join(own, "_set", "left")
+    out = out.withColumn("component_id", F.when(F.col("_set").isNull(), key).otherwise(F.col("_label.id")))
+    out = out.withColumn("kept", key.eqNullSafe(F.col("component_id")))
+    out = out.withColumn("_first", F.col("_set").isNull() | (F.col("_row") == F.col("_label._row")))
+    return out.drop("_set", "_sig", "_bands", "_row", "_label")

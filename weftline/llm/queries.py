@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.decontaminate import leaks
 from weftline.llm.hilbert import hilbert_shards
 from weftline.llm.language import identify, train, training_sample
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix
 from weftline.llm.order_minhash import edited_fingerprints
 from weftline.llm.quality import quality
+from weftline.llm.token_trees import count_through_edits, read_ranks
 from weftline.llm.urls import LABELLED, RULES, filter_urls
 from weftline.llm.wrappers import extract
 
@@ -87,6 +89,26 @@ def op2_html_wrappers(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@_query
+def op3_token_counts(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Two edits a document: its middle forty characters give way to its first twenty, then three words go to its quarter."""
+    n = F.length("text")
+    edit = lambda start, stop, put: F.struct(
+        start.cast("long").alias("start"), stop.cast("long").alias("stop"), put.alias("put"))
+    edits = F.array(edit(F.expr("length(text) div 2"), F.expr("length(text) div 2 + 40"), F.substring("text", 1, 20)),
+                    edit(F.expr("length(text) div 4"), F.expr("length(text) div 4"), F.lit(" three added words")))
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.when(n.isNotNull(), edits).alias("edits"))
+    return count_through_edits(docs, read_ranks(vocabulary)).drop("text", "edits")
+
+
+@_query
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_key")
+
+
 def trusted_text(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
     """Text and language of the documents labelled good."""
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id").distinct()
