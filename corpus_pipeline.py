@@ -12,7 +12,7 @@ from weftline.llm.hilbert import hilbert_shards
 from weftline.llm.minhash import one_of_each
 from weftline.llm.mixing import mix
 from weftline.llm.quality import quality
-from weftline.llm.queries import MIX_LEVELS, MIX_WEIGHTS, TOKENS, table, trusted_text
+from weftline.llm.queries import mix_levels, mix_weights, rough_tokens, table, trusted_text
 from weftline.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -38,7 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A leaf's last document stays whole, so a leaf may pass its budget by part of a document.
     """
-    return mix(docs, MIX_LEVELS, MIX_WEIGHTS, TOKENS, F.col("doc_id"), fraction=0.8, max_epochs=1, seed=17).select(*docs.columns)
+    return mix(docs, mix_levels(), mix_weights(), rough_tokens(), F.col("doc_id"), fraction=0.8, max_epochs=1, seed=17).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +40,24 @@ def curve_index(cells: list[Column], bits: int) -> Column:
 
     turned = F.aggregate(steps, x, turn) if bits > 1 else x
     # Gray code: each coordinate takes in the ones before it, then the bits of the last one.
-    gray = F.transform(turned, lambda _, k: F.aggregate(
-        F.slice(turned, 1, k + 1), F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v)))
-    levels = F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)] or [F.lit(0).cast("long")])
-    flips = F.aggregate(levels, F.lit(0).cast("long"), lambda a, q: F.when(
-        F.element_at(gray, count).bitwiseAND(q) != 0, a.bitwiseXOR(q - 1)).otherwise(a))
+    gray = _let(turned, lambda t: F.array(*[_all_xor([F.element_at(t, i + 1) for i in range(k + 1)]) for k in range(count)]))
+    levels = F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)] or [F.lit(1).cast("long")])
     places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i"))
                        for b in range(bits - 1, -1, -1) for i in range(count)])
-    return F.aggregate(places, F.lit(0).cast("long"), lambda a, p: a * 2 + F.call_function(
-        "shiftright", F.element_at(gray, p["i"] + 1).bitwiseXOR(flips), p["b"]).bitwiseAND(F.lit(1)))
+    flips = lambda g: F.aggregate(levels, F.lit(0).cast("long"), lambda a, q: F.when(
+        F.element_at(g, count).bitwiseAND(q) != 0, a.bitwiseXOR(q - 1)).otherwise(a))
+    flipped = _let(gray, lambda g: _let(flips(g), lambda f: F.transform(g, lambda v: v.bitwiseXOR(f))))
+    return _let(flipped, lambda g: F.aggregate(places, F.lit(0).cast("long"), lambda a, p: a * 2 + F.call_function(
+        "shiftright", F.element_at(g, p["i"] + 1), p["b"]).bitwiseAND(F.lit(1))))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _all_xor(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseXOR(b), columns)
 
 
 def hilbert_shards(

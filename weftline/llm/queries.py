@@ -31,20 +31,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 # Mixing: three invented domains by the last digit of the source's name, with weights 3, 2
 # and 1; English counts four times another language; the sources of a language count alike.
-DOMAIN = F.concat(F.lit("d"), (F.ascii(F.substring(F.coalesce("source", F.lit("0")), -1, 1)) % 3).cast("string"))
-MIX_LEVELS = {"domain": DOMAIN, "lang": F.col("lang"), "source": F.col("source")}
-MIX_WEIGHTS = [
-    F.when(F.col("domain") == "d0", 3).when(F.col("domain") == "d1", 2).otherwise(1),
-    F.when(F.col("lang") == "en", 4).otherwise(1),
-    F.lit(1),
-]
-#: About four bytes a token.
-TOKENS = F.call_function("div", F.octet_length("text") + 3, F.lit(4))
+def mix_levels() -> dict[str, Column]:
+    last = F.substring(F.coalesce("source", F.lit("0")), -1, 1)
+    domain = F.concat(F.lit("d"), (F.ascii(last) % 3).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mix_weights() -> list[Column]:
+    domain = F.when(F.col("domain") == "d0", 3).when(F.col("domain") == "d1", 2).otherwise(1)
+    return [domain, F.when(F.col("lang") == "en", 4).otherwise(1), F.lit(1)]
+
+
+def rough_tokens() -> Column:
+    """About four bytes a token."""
+    return F.call_function("div", F.octet_length("text") + 3, F.lit(4))
 
 
 @_query
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
-    drawn = mix(table(spark, folder, "documents"), MIX_LEVELS, MIX_WEIGHTS, TOKENS, F.col("doc_id"),
+    drawn = mix(table(spark, folder, "documents"), mix_levels(), mix_weights(), rough_tokens(), F.col("doc_id"),
                 fraction=1.0, max_epochs=3, seed=17)
     return drawn.select("doc_id", "domain", "lang", "source", "epoch", "tokens", "take")
 
