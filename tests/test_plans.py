@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
+from weftline.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
@@ -26,16 +26,16 @@ def large_tables(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in driver.queries() if not n.startswith("fn_")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("fn_")))
 def test_no_pairwise_joins(spark, large_tables, name):
-    text = plan(driver.queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 @pytest.mark.parametrize("name", ["rank_global", "rank_partitioned", "sequence", "sorter"])
 def test_numbering_has_no_single_task_window(spark, name):
     """Only the row counts per bucket, a bounded number, may meet in one task."""
-    text = plan(driver.queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     for window in re.findall(r"Window \[row_number\(\).*", text):
         assert "_bucket" in window
 
@@ -51,7 +51,7 @@ def test_numbering_has_no_single_task_window(spark, name):
     ("count_by_type", "", {"p_type"}),
 ])
 def test_filters_and_columns_reach_the_scan(spark, name, pushed, read):
-    text = plan(driver.queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     assert pushed in text
     assert set(re.findall(r"(\w+):", re.search(r"ReadSchema: struct<(.*)>", text).group(1))) == read
 
@@ -65,9 +65,9 @@ def test_first_per_key_is_limited_before_the_shuffle(spark):
 
 
 def test_scalar_functions_stay_native(spark):
-    for name in driver.queries():
+    for name in QUERIES:
         if name.startswith("fn_"):
-            text = plan(driver.queries()[name](spark, FOLDER))
+            text = plan(QUERIES[name](spark, FOLDER))
             assert "Exchange" not in text and "Python" not in text and "*(1)" in text
 
 

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as driver
+from weftline.plans import ORACLES, QUERIES
 from oracle import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,14 +19,14 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    df = driver.queries()[name](spark, FOLDER)
-    assert difference(df, con, driver.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, FOLDER)
+    assert difference(df, con, ORACLES[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
