@@ -12,7 +12,7 @@ from weftline.llm.hilbert import hilbert_shards
 from weftline.llm.minhash import one_of_each
 from weftline.llm.mixing import mix
 from weftline.llm.quality import quality
-from weftline.llm.queries import mix_levels, mix_weights, rough_tokens, table, trusted_text
+from weftline.llm.queries import mix_levels, mix_weights, rough_tokens, table, trusted
 from weftline.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,7 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's limit."""
-    return quality(docs, trusted_text(spark, sf_dir, docs)).where("kept").select(*docs.columns)
+    return quality(docs, trusted(spark, sf_dir)).where("kept").select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

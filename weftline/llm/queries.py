@@ -114,16 +114,15 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_key")
 
 
-def trusted_text(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
-    """Text and language of the documents labelled good."""
-    good = table(spark, folder, "labels").where("quality = 1").select("doc_id").distinct()
-    return docs.select("doc_id", "text", "lang").join(good, "doc_id", "left_semi")
+def trusted(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents labelled good."""
+    return table(spark, folder, "labels").where("quality = 1").select("doc_id")
 
 
 @_query
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    return quality(docs, trusted_text(spark, folder, docs)).select("doc_id", "lang", "chars", "perplexity", "limit", "kept")
+    return quality(docs, trusted(spark, folder), keep=["doc_id", "lang"])
 
 
 @_query
