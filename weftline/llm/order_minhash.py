@@ -16,8 +16,8 @@ from weftline.llm.common import partitions, with_positions
 from weftline.session import cut_lineage
 
 RUN, TOKEN, TUPLES = 3, 16, 64
-#: Rows that are put in order together to find each one's successor.
-BLOCK = 64
+#: Numbers that are put in order together to find each row's successor, and how many of the next such block with them.
+BLOCK, MARGIN = 64, 4
 
 
 def numbered_runs(text: Column) -> Column:
@@ -30,26 +30,30 @@ def numbered_runs(text: Column) -> Column:
     return F.element_at(F.transform(F.array(tokens), runs), 1)
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+def fingerprints(texts: DataFrame, keys: list[str], text: str, note: str | None = None) -> DataFrame:
     """(keys, ``parts``): the texts' tuples as strings of tuple number and hash, sorted.
 
     No parts for a null, empty or blank text. Equal texts have equal parts. Rows are
     grouped by ``keys``, which must name them; no row leaves its partition if the data is
-    already dealt by one of the keys.
+    already dealt by one of the keys. The column ``note`` is passed on.
     """
-    runs = texts.select(*keys, F.posexplode_outer(numbered_runs(F.col(text))).alias("_at", "_run"))
+    note = F.col(note) if note else F.lit(None).cast("string")
+    runs = texts.select(*keys, note.alias("_note"), F.posexplode_outer(numbered_runs(F.col(text))).alias("_at", "_run"))
+    # One run of each text carries the note.
+    runs = runs.withColumn("_note", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_note")))
     same = Window.partitionBy(*keys, "_run").orderBy("_at")
     hashed = runs.withColumn("_hash", F.when(F.col("_run").isNotNull(), F.xxhash64("_run", F.row_number().over(same))))
     hashed = hashed.withColumn("_tuple", F.pmod("_hash", F.lit(TUPLES)).cast("int"))
     first = F.when(F.pmod(F.call_function("div", F.col("_hash"), F.lit(TUPLES)), F.lit(2)) == 0, F.col("_hash"))
     other = F.when(first.isNull(), F.col("_hash"))
     least = hashed.groupBy(*keys, "_tuple").agg(
-        F.min(first).alias("a"), F.min_by("_at", first).alias("at_a"), F.min(other).alias("b"), F.min_by("_at", other).alias("at_b"))
+        F.min(first).alias("a"), F.min_by("_at", first).alias("at_a"), F.min(other).alias("b"), F.min_by("_at", other).alias("at_b"),
+        F.max("_note").alias("_note"))
     # xxhash64 skips nulls, so a tuple with one member is the hash of that one.
     pair = F.when(F.col("at_b") < F.col("at_a"), F.xxhash64("b", "a")).otherwise(F.xxhash64("a", "b"))
     part = F.when(F.col("_tuple").isNotNull(), F.concat(
         F.lpad(F.hex(F.col("_tuple").cast("long")), 2, "0"), F.lpad(F.hex(pair.bitwiseAND(F.lit(0xFFFF))), 4, "0")))
-    return least.groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return least.groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("parts"), F.max("_note").alias("note"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -59,6 +63,25 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def _spots_by_id(ids: DataFrame) -> tuple[int, int] | None:
+    """The greatest and least id, if ids are unique and close enough to be dealt out by themselves.
+
+    Ids count down from the greatest; those of a block of BLOCK numbers go to one place, with the
+    first MARGIN numbers of the next block. That finds every successor if each block but
+    the last is followed by one with an id among those numbers. Only ids are read.
+    """
+    one = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    low, high, most, rows = one.agg(F.min("doc_id"), F.max("doc_id"), F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
+    if low is None or most > 1 or rows or not isinstance(low, int) or high - low >= 1 << 62:
+        return None
+    spot = F.lit(high).cast("long") - F.col("doc_id")
+    first = one.groupBy(F.call_function("div", spot, F.lit(BLOCK)).alias("block")).agg(F.min(spot % BLOCK).alias("first"))
+    follows = first.select((F.col("block") - 1).alias("block"), F.col("first").alias("next"))
+    last = (high - low) // BLOCK
+    gaps = first.where(F.col("block") != last).join(follows, "block", "left").where(F.coalesce("next", F.lit(BLOCK)) >= MARGIN)
+    return (high, low) if gaps.limit(1).count() == 0 else None
+
+
 def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of all documents and of the same with their last half overwritten.
 
@@ -71,34 +94,49 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     Rows with equal ids and different texts follow each other by a hash of the text; rows
     equal in both are one document, and each gets its result. Null ids come last. A single
     document is its own next one. Other columns are ignored.
+
+    Texts are dealt out once if ids are whole numbers without large gaps (order follows from
+    the id itself), and twice otherwise (a place is numbered for each id, and joined).
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    named = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    known = named.groupBy("doc_id", "_id", "_hash").agg(F.count(F.lit(1)).alias("_times"))
-    placed, total = with_positions(known, [F.col("doc_id").desc_nulls_last(), F.col("_hash")], "_place")
-    one = named.dropDuplicates(["_id", "_hash"]) if placed.where("_times > 1").limit(1).count() else named
-    sited = one.join(placed.select("_id", "_hash", "_place", "_times"), ["_id", "_hash"]).select("_place", "_times", "doc_id", "text")
-    # Each block also gets the first row of the next one; the last gets the very first.
-    spots = F.when(F.col("_place") % BLOCK != 0, F.array("_place")).when(
-        F.col("_place") == 0, F.array("_place", F.lit(total).cast("long"))).otherwise(F.array("_place", "_place"))
-    both = sited.select(F.posexplode(spots).alias("_copy", "_spot"), "_times", "doc_id", "text")
-    both = both.withColumn("_block", F.call_function("div", F.col("_spot") - F.col("_copy"), F.lit(BLOCK)))
-    dealt = both.repartition(partitions(docs.sparkSession), "_block")
-    following = F.lead("text").over(Window.partitionBy("_block").orderBy("_spot"))
-    dealt = dealt.withColumn("_next", following).where("_copy = 0")
-    n = F.length("text")
-    dealt = dealt.withColumn("_edited", F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(_next, length(text) div 2)")))
-    keys = ["_block", "_spot", "_times", "doc_id"]
-    variants = dealt.select(*keys, F.posexplode(F.array("text", "_edited")).alias("_variant", "text"))
-    parts = fingerprints(variants, [*keys, "_variant"], "text")
+    ends = _spots_by_id(rows.select("doc_id"))
+    if ends is not None:
+        high, low = ends
+        sited = rows.select((F.lit(high).cast("long") - F.col("doc_id")).alias("_place"), F.lit(1).cast("long").alias("_times"), "doc_id", "text")
+        total = high - low + 1
+    else:
+        named = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        named = named.withColumn("_none", F.col("doc_id").isNull())
+        by = ["_none", "_id", "_hash"]
+        known = named.groupBy("doc_id", *by).agg(F.count(F.lit(1)).alias("_times"))
+        placed, total = with_positions(known, [F.col("doc_id").desc_nulls_last(), F.col("_hash")], "_place")
+        sited = named.dropDuplicates(by).join(placed.select(*by, "_place", "_times"), by).select("_place", "_times", "doc_id", "text")
+    # Each block also gets the first rows of the next one; the last gets the very first, once more.
+    block = F.call_function("div", F.col("_place"), F.lit(BLOCK))
+    spots = F.array(F.struct(block.alias("block"), F.col("_place").alias("spot"), F.lit(True).alias("own")))
+    extra = lambda b, s: F.array(F.struct(b.cast("long").alias("block"), s.cast("long").alias("spot"), F.lit(False).alias("own")))
+    none = F.array().cast("array<struct<block:bigint,spot:bigint,own:boolean>>")
+    spots = F.concat(
+        spots, F.when((F.col("_place") % BLOCK < MARGIN) & (F.col("_place") >= BLOCK), extra(block - 1, F.col("_place"))).otherwise(none),
+        F.when(F.col("_place") == 0, extra(F.lit((total - 1) // BLOCK), F.lit(total))).otherwise(none))
+    both = sited.select(F.explode(spots).alias("_s"), "_times", "doc_id", "text").select(
+        F.col("_s.block").alias("_block"), F.col("_s.spot").alias("_spot"), F.col("_s.own").alias("_own"), "_times", "doc_id", "text")
+    order = Window.partitionBy("_block").orderBy("_spot")
+    dealt = both.repartition(partitions(docs.sparkSession), "_block").withColumn("_next", F.lead("text").over(order)).withColumn(
+        "_after", F.lead("_spot").over(order) % F.lit(max(total, 1))).where("_own")
+    edited = F.expr("concat(left(text, length(text) - length(text) div 2), left(_next, length(text) div 2))")
+    dealt = dealt.withColumn("_edited", edited)
+    note = F.concat(F.sha2("_edited", 256), F.length("text").cast("string"))
+    keys = ["_block", "_spot", "_after", "_times", "doc_id"]
+    variants = dealt.select(*keys, note.alias("_note"), F.posexplode(F.array("text", "_edited")).alias("_variant", "text"))
+    variants = variants.withColumn("_note", F.when(F.col("_variant") == 0, F.col("_note")))
+    parts = fingerprints(variants, [*keys, "_variant"], "text", "_note")
     of = lambda v: F.max(F.when(F.col("_variant") == v, F.col("parts")))
-    wide = parts.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("edited"))
-    facts = dealt.select("_block", "_spot", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
-    kept = cut_lineage(wide.join(facts, ["_block", "_spot"]))
-    after = kept.select(F.pmod(F.col("_spot") - 1, F.lit(max(total, 1))).alias("_spot"), F.col("own").alias("next"))
-    out = kept.join(after, "_spot")
-    if one is not named:
-        out = out.withColumn("_spot", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+    kept = cut_lineage(parts.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("edited"), F.max("note").alias("note")))
+    following = kept.select(F.col("_spot").alias("_after"), F.col("own").alias("next"))
+    out = kept.join(following, "_after")
+    out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))) if ends is None else out
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", F.array_join("own", "").alias("fingerprint"), F.array_join("edited", "").alias("edited_fingerprint"),
+        "doc_id", F.expr("cast(substring(note, 65) as bigint)").alias("n_chars"), F.substring("note", 1, 64).alias("edited_sha256"),
+        F.array_join("own", "").alias("fingerprint"), F.array_join("edited", "").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
