@@ -244,8 +244,8 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: in
         F.first("n_shingles").alias("n_shingles"), F.first("_sig").alias("_sig"), F.first("_bands").alias("_bands"))
     nodes = cut_lineage(nodes)
     families = components(candidates(nodes, percent / 100, miss))
-    # One text for each node of a family.
-    texts = signed.join(families.select(F.col("node").alias("_set")), "_set", "left_semi").groupBy("_set").agg(
+    # One text for each node of a family; dealt out alike whatever the size of either side.
+    texts = signed.join(families.select(F.col("node").alias("_set")).hint("merge"), "_set", "left_semi").groupBy("_set").agg(
         F.first(F.col(f"`{text}`")).alias("_text"), F.first("n_shingles").alias("n_shingles"))
     found = components(verified(texts, families, shingle, percent))
     labels = found.join(nodes.select(F.col("_set").alias("node"), "_least"), "node")
