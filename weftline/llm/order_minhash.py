@@ -102,7 +102,7 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     ends = _spots_by_id(rows.select("doc_id"))
     if ends is not None:
         high, low = ends
-        sited = rows.select((F.lit(high).cast("long") - F.col("doc_id")).alias("_place"), F.lit(1).cast("long").alias("_times"), "doc_id", "text")
+        sited = rows.select((F.lit(high).cast("long") - F.col("doc_id")).alias("_place"), "text")
         total = high - low + 1
     else:
         named = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -110,7 +110,7 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
         by = ["_none", "_id", "_hash"]
         known = named.groupBy("doc_id", *by).agg(F.count(F.lit(1)).alias("_times"))
         placed, total = with_positions(known, [F.col("doc_id").desc_nulls_last(), F.col("_hash")], "_place")
-        sited = named.dropDuplicates(by).join(placed.select(*by, "_place", "_times"), by).select("_place", "_times", "doc_id", "text")
+        sited = named.dropDuplicates(by).join(placed.select(*by, "_place", "_times"), by).select("_place", "text")
     # Each block also gets the first rows of the next one; the last gets the very first, once more.
     block = F.call_function("div", F.col("_place"), F.lit(BLOCK))
     spots = F.array(F.struct(block.alias("block"), F.col("_place").alias("spot"), F.lit(True).alias("own")))
@@ -119,24 +119,28 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     spots = F.concat(
         spots, F.when((F.col("_place") % BLOCK < MARGIN) & (F.col("_place") >= BLOCK), extra(block - 1, F.col("_place"))).otherwise(none),
         F.when(F.col("_place") == 0, extra(F.lit((total - 1) // BLOCK), F.lit(total))).otherwise(none))
-    both = sited.select(F.explode(spots).alias("_s"), "_times", "doc_id", "text").select(
-        F.col("_s.block").alias("_block"), F.col("_s.spot").alias("_spot"), F.col("_s.own").alias("_own"), "_times", "doc_id", "text")
+    both = sited.select(F.explode(spots).alias("_s"), "text").select(
+        F.col("_s.block").alias("_block"), F.col("_s.spot").alias("_spot"), F.col("_s.own").alias("_own"), "text")
     order = Window.partitionBy("_block").orderBy("_spot")
-    dealt = both.repartition(partitions(docs.sparkSession), "_block").withColumn("_next", F.lead("text").over(order)).withColumn(
+    # A text's runs take many times its own room while they are sorted: small partitions.
+    dealt = both.repartition(4 * partitions(docs.sparkSession), "_block").withColumn("_next", F.lead("text").over(order)).withColumn(
         "_after", F.lead("_spot").over(order) % F.lit(max(total, 1))).where("_own")
-    edited = F.expr("concat(left(text, length(text) - length(text) div 2), left(_next, length(text) div 2))")
-    dealt = dealt.withColumn("_edited", edited)
-    note = F.concat(F.sha2("_edited", 256), F.length("text").cast("string"))
-    keys = ["_block", "_spot", "_after", "_times", "doc_id"]
-    variants = dealt.select(*keys, note.alias("_note"), F.posexplode(F.array("text", "_edited")).alias("_variant", "text"))
-    variants = variants.withColumn("_note", F.when(F.col("_variant") == 0, F.col("_note")))
-    parts = fingerprints(variants, [*keys, "_variant"], "text", "_note")
-    of = lambda v: F.max(F.when(F.col("_variant") == v, F.col("parts")))
-    kept = cut_lineage(parts.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("edited"), F.max("note").alias("note")))
-    following = kept.select(F.col("_spot").alias("_after"), F.col("own").alias("next"))
-    out = kept.join(following, "_after")
-    out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))) if ends is None else out
+    dealt = dealt.withColumn("_edited", F.expr("concat(left(text, length(text) - length(text) div 2), left(_next, length(text) div 2))"))
+    note = F.concat_ws(" ", F.sha2("_edited", 256), F.length("text").cast("string"), F.col("_after").cast("string"))
+    variants = dealt.select("_block", "_spot", note.alias("_note"), F.posexplode(F.array("text", "_edited")).alias("_variant", "text"))
+    variants = variants.select("_block", (F.col("_spot") * 2 + F.col("_variant")).alias("_key"), "text",
+                               F.when(F.col("_variant") == 0, F.col("_note")).alias("_note"))
+    parts = fingerprints(variants, ["_block", "_key"], "text", "_note").withColumn("_spot", F.shiftright("_key", 1))
+    of = lambda v: F.max(F.when(F.col("_key") % 2 == v, F.col("parts")))
+    kept = parts.groupBy("_block", "_spot").agg(of(0).alias("own"), of(1).alias("edited"), F.split(F.max("note"), " ").alias("note"))
+    kept = cut_lineage(kept.select("_spot", "own", "edited", F.col("note")[0].alias("edited_sha256"), F.col("note")[1].cast("long").alias("n_chars"),
+                                   F.col("note")[2].cast("long").alias("_after")))
+    out = kept.join(kept.select(F.col("_spot").alias("_after"), F.col("own").alias("next")), "_after")
+    if ends is not None:
+        out = out.withColumn("doc_id", (F.lit(high).cast("long") - F.col("_spot")).cast(rows.schema["doc_id"].dataType))
+    else:
+        out = out.join(placed.select(F.col("_place").alias("_spot"), "doc_id", "_times"), "_spot")
+        out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
     return out.select(
-        "doc_id", F.expr("cast(substring(note, 65) as bigint)").alias("n_chars"), F.substring("note", 1, 64).alias("edited_sha256"),
-        F.array_join("own", "").alias("fingerprint"), F.array_join("edited", "").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.array_join("own", "").alias("fingerprint"), F.array_join("edited", "").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
