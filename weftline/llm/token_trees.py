@@ -149,8 +149,8 @@ def count_through_edits(docs: DataFrame, ranks: dict[bytes, int], *, text: str =
                 before = tree.total
                 for edit in (change if change is not None else []):
                     end = int(tree.chars[1])
-                    place = [end if edit[k] is None else edit[k] for k in ("start", "stop")]
-                    tree.replace(*place, edit["put"] or "")
+                    place = [end if pd.isna(edit[k]) else int(edit[k]) for k in ("start", "stop")]
+                    tree.replace(*place, "" if pd.isna(edit["put"]) else edit["put"])
                 rows.append((before, tree.total, int(tree.chars[1]), tree.encoded))
             yield pd.DataFrame(rows, columns=names)
 
