@@ -131,3 +131,16 @@ def test_to_decimal_and_to_char(spark):
     assert one(spark, E.to_decimal("s", 5, 2), s="1234.5") is None
     assert one(spark, E.to_char("n"), n=12) == "12"
     assert one(spark, E.to_char("n", "999.99"), n=Decimal("12.50")).strip() == "12.50"
+
+
+def test_cuts_are_exact(spark):
+    rows = spark.createDataFrame([("1.99999999999",), ("1.9999999999999999999",), ("-1.99999999999",), ("1e3",), ("x",), (" 7 ",), (None,)], "t string")
+    assert [r[0] for r in rows.select(E.to_integer("t")).collect()] == [1, 1, -1, 1000, None, 7, None]
+    numbers = spark.createDataFrame([(1.99999999999, 0.1234567890123), (-1.99999999999, -0.29), (1e30, 1e30), (None, None)], "a double, b double")
+    assert [tuple(r) for r in numbers.select(E.trunc_number("a"), E.trunc_number("b", 12)).collect()] == [
+        (1.0, 0.123456789012), (-1.0, -0.29), (1e30, 1e30), (None, None)]
+
+
+def test_safe_name_keeps_letters_of_any_script(spark):
+    rows = spark.createDataFrame([("\u00e9\u65e5a b/c",)], "t string")
+    assert rows.select(E.safe_name("t")).first()[0] == "\u00e9\u65e5a_b_c"

@@ -93,3 +93,9 @@ def test_sorter_order_and_top_k(spark):
     assert known == sorted(known, reverse=True) and values[len(known):] == [None] * (len(values) - len(known))
     assert [r["v"] for r in sorter(df, "v").collect()][0] is None
     assert [r["id"] for r in top_k(df, [F.desc("id")], 3).collect()] == [599, 598, 597]
+
+
+def test_sorter_orders_by_its_position(spark):
+    ties = spark.range(2000).select((F.col("id") % 3).alias("k"), "id")
+    places = [r.p for r in sorter(ties, "k", position="p").collect()]
+    assert places == sorted(places)

@@ -19,7 +19,9 @@ def to_char(subject, fmt: str | None = None) -> Column:
 
 def to_integer(subject) -> Column:
     """Digits after the point are cut, not rounded; text that is no number gives null."""
-    return column(subject).cast("string").try_cast("decimal(38,10)").try_cast("int")
+    text = column(subject).cast("string")
+    whole = F.regexp_extract(text, r"^\s*([+-]?\d+)(\.\d*)?\s*$", 1)
+    return F.when(whole != "", whole.try_cast("int")).otherwise(text.try_cast("decimal(38,18)").try_cast("int"))
 
 
 def to_decimal(subject, precision: int, scale: int) -> Column:

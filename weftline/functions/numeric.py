@@ -9,17 +9,19 @@ from weftline.functions._args import column, value
 def trunc_number(number, scale: int = 0, mode: str = "truncate") -> Column:
     """Cut digits after ``scale`` toward zero; ``mode='round'`` rounds half up instead.
 
-    Runs through decimal so that 0.29 stays 0.29 at two digits (binary 0.29 * 100
-    is below 29).
+    Runs through decimal with 18 digits after the point, so that 0.29 stays 0.29 at two
+    digits (binary 0.29 * 100 is below 29). A number too large for that (1e20 and more) is
+    given back as it is: as a double it has no digits to cut.
     """
     number = column(number)
     if mode == "round":
         return F.round(number, scale)
     if mode != "truncate":
         raise ValueError(f"unknown mode {mode!r}")
-    exact = number.cast("decimal(38,10)")
+    exact = number.try_cast("decimal(38,18)")
     places = F.lit(scale)
-    return F.when(exact < 0, F.ceil(exact, places)).otherwise(F.floor(exact, places)).cast("double")
+    cut = F.when(exact < 0, F.ceil(exact, places)).otherwise(F.floor(exact, places)).cast("double")
+    return F.coalesce(cut, number.try_cast("double"))
 
 
 def round_number(number, scale: int = 0) -> Column:

@@ -54,5 +54,5 @@ def concat_op(*parts) -> Column:
 
 
 def safe_name(text) -> Column:
-    """Every character other than letters, digits, ``-`` and ``_`` becomes ``_``."""
-    return F.regexp_replace(column(text), "[^A-Za-z0-9_-]", "_")
+    """Every character other than letters and digits of any script, ``-`` and ``_`` becomes ``_``."""
+    return F.regexp_replace(column(text), r"[^\p{L}\p{N}_-]", "_")

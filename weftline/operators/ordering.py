@@ -151,7 +151,7 @@ def sorter(
     many rows over several partitions."""
     orders = [Order(key, desc)] + [Order(t) for t in tiebreak]
     if position is not None:
-        df = number_rows(df, orders, position)
+        return number_rows(df, orders, position).orderBy(position)
     spread = F.xxhash64(*[F.col(c) for c in df.columns])
     return df.orderBy(*[o.column() for o in orders], spread)
 

@@ -63,7 +63,7 @@ def _kinds(t):
     """Orders read as transformations of a mapping per customer."""
     kind = E.decode("o_orderpriority", "1-URGENT", "Joiner", "2-HIGH", "Aggregator",
                     "3-MEDIUM", "Expression", "5-LOW", "Router", "Filter")
-    return t.orders.where("o_totalprice > 250000").select("o_custkey", kind.alias("kind"))
+    return t.orders.select("o_custkey", kind.alias("kind"))
 
 
 @query("complexity_band", """
@@ -72,7 +72,7 @@ def _kinds(t):
         + max(CASE o_orderpriority WHEN '2-HIGH' THEN 2 ELSE 0 END)
         + max(CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 ELSE 0 END)
         + max(CASE o_orderpriority WHEN '5-LOW' THEN 1 ELSE 0 END) AS score
-        FROM orders WHERE o_totalprice > 250000 GROUP BY o_custkey)
+        FROM orders GROUP BY o_custkey)
     SELECT o_custkey, score, CASE WHEN score <= 2 THEN 'SIMPLE' WHEN score <= 5 THEN 'MEDIUM'
            ELSE 'COMPLEX' END AS complexity FROM s""")
 def complexity_band(t):

@@ -181,7 +181,7 @@ _FUNCTIONS = {
         "result": (lambda: E.get_date_part("o_orderdate", "DAY"), "day(o_orderdate)::INTEGER")}),
     "fn_safe_name": ("orders", "o_orderkey", {
         "result": (lambda: E.safe_name(F.concat_ws(" /.", "o_orderpriority", "o_orderstatus")),
-                   "regexp_replace(o_orderpriority || ' /.' || o_orderstatus, '[^A-Za-z0-9_-]', '_', 'g')")}),
+                   "regexp_replace(o_orderpriority || ' /.' || o_orderstatus, '[^\\p{L}\\p{N}_-]', '_', 'g')")}),
 }
 
 

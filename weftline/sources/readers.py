@@ -77,14 +77,16 @@ def read_batch(
     spark: SparkSession, folder: str, schema: str, file_filter: str = "*.json"
 ) -> tuple[DataFrame, DataFrame]:
     """All JSON-lines files below a folder: the good records with the file each came from,
-    and the records that do not fit the schema with their text."""
+    and the records that do not fit the schema with their text. Blank lines are neither."""
     lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_filter)
-        .text(folder).select("value", F.col("_metadata.file_path").alias("file_path"))
+        .text(folder).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("file_path"))
     )
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options)
-    records = lines.select("file_path", parsed.alias("_record")).select("file_path", "_record.*")
+    records = lines.select("file_path", "value", parsed.alias("_record"))
+    corrupt = F.when(F.col("_record").isNull(), F.col("value")).otherwise(F.col(f"_record.{CORRUPT}"))
+    records = records.select("file_path", "_record.*", corrupt.alias("_reason")).drop(CORRUPT).withColumnRenamed("_reason", CORRUPT)
     good = records.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = records.where(F.col(CORRUPT).isNotNull()).select("file_path", CORRUPT)
     return good, bad
