@@ -115,10 +115,12 @@ def training_sample(labelled: DataFrame, order: Column, documents: int = DOCUMEN
 
     Spark keeps the first rows of each language in every task before it moves any.
     """
-    first = Window.partitionBy("lang").orderBy(order)
-    picked = labelled.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= documents)
     start = F.greatest(F.lit(1), F.call_function("div", F.length("text") - WINDOWS * WINDOW, F.lit(2)) + 1)
-    return picked.select("lang", "_n", F.substr("text", start.cast("int"), F.lit(WINDOWS * WINDOW)).alias("text")).toPandas().sort_values(["lang", "_n"])
+    # Cut before anything moves: a language's rows that meet are short, up to ``documents`` from each task.
+    short = labelled.select("lang", order.alias("_order"), F.substr("text", start.cast("int"), F.lit(WINDOWS * WINDOW)).alias("text"))
+    first = Window.partitionBy("lang").orderBy("_order")
+    picked = short.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= documents)
+    return picked.select("lang", "_n", "text").toPandas().sort_values(["lang", "_n"])
 
 
 def train(sample: pd.DataFrame) -> ByteNetwork | None:
