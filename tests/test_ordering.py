@@ -99,3 +99,15 @@ def test_sorter_orders_by_its_position(spark):
     ties = spark.range(2000).select((F.col("id") % 3).alias("k"), "id")
     places = [r.p for r in sorter(ties, "k", position="p").collect()]
     assert places == sorted(places)
+
+
+def test_one_value_over_all_rows_is_numbered_by_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(40_000).select(F.col("id"), F.lit(1).alias("k"))
+    from weftline.operators.ordering import rank
+
+    ranked = rank(df, "k").withColumn("task", F.spark_partition_id())
+    rows = ranked.groupBy("task").count().collect()
+    assert sorted(r["RANK_COL"] for r in ranked.collect()) == list(range(1, 40_001))
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 25_000

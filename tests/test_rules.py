@@ -46,7 +46,17 @@ def test_rule_lookup_without_rules(spark, rules, most_joins):
     ("IIF(STATUS = 'A', 1, 0)", "CASE WHEN STATUS = 'A' THEN 1 ELSE 0 END"),
     ("SYSDATE", "NOW()"),
     ("TO_DATE(LOAD_DATE, 'YYYY-MM-DD')", "TO_TIMESTAMP(LOAD_DATE, 'YYYY-MM-DD')"),
-    ("TRUNC(AMT * QTY)", "DATE_TRUNC('day', AMT * QTY)"),
+    ("TRUNC(AMT * QTY)", "TRUNC(AMT * QTY)"),
+    ("TRUNC(AMT, 2)", "TRUNC(AMT, 2)"),
+    ("TRUNC(SYSDATE) || A", "DATE_TRUNC('day', NOW()) || A"),
+    ("IIF(UPPER(A)='X', NVL(B,0), 1)", "CASE WHEN UPPER(A)='X' THEN COALESCE(B, 0) ELSE 1 END"),
+    ("IIF(ISNULL(A), SUBSTR(B,1,3), C)", "CASE WHEN A IS NULL THEN SUBSTRING(B, 1, 3) ELSE C END"),
+    ("DECODE(A,1,'x',2,'y',3,'z','w')", "CASE WHEN A=1 THEN 'x' WHEN A=2 THEN 'y' WHEN A=3 THEN 'z' ELSE 'w' END"),
+    ("DECODE(A,1,'x')", "CASE WHEN A=1 THEN 'x' END"),
+    ("'NVL(A, 0) it''s' || NVL(')', B)", "'NVL(A, 0) it''s' || COALESCE(')', B)"),
+    ("ADD_TO_DATE(D, 'MM', N + 1)", "D + (N + 1) * INTERVAL '1' MONTH"),
+    ("NVL(A, (B", "NVL(A, (B"),
+    ("MY_NVL(A, (B + 1))", "MY_NVL(A, (B + 1))"),
     ("TRUNC(D, 'MM')", "DATE_TRUNC('month', D)"),
     ("nvl(DISCOUNT, 0)", "COALESCE(DISCOUNT, 0)"),
     ("LTRIM(RTRIM(NAME))", "LTRIM(RTRIM(NAME))"),

@@ -47,4 +47,4 @@ def test_conform(spark):
 def test_map_types(spark):
     df = spark.createDataFrame([("CHAR(5)",), (" Number (10, 2) ",), ("sdo",), (None,)], "t string")
     assert {r["t"]: r["spark_type"] for r in map_types(df, "t").collect()} == {
-        "CHAR(5)": "string", " Number (10, 2) ": "double", "sdo": "string", None: "string"}
+        "CHAR(5)": "string", " Number (10, 2) ": "decimal(10,2)", "sdo": "string", None: "string"}

@@ -68,3 +68,19 @@ def test_large_cells_are_cut_in_chunks(spark, monkeypatch):
     got = nearest(q, b, ("q", "qv"), ("b", "bv"), 2, sent_numbers=0).collect()
     assert {(r["q"], r["b"], r["place"], round(r["similarity"], 9)) for r in got} \
         == brute(queries, entries, 2, None, False)
+
+
+def test_bad_components_and_long_vectors_give_the_same_rows_both_ways(spark):
+    rng = np.random.default_rng(8)
+    scale = 10.0 ** rng.integers(0, 7, 300)[:, None]
+    good = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 6)) * scale)]
+    good += [(300 + i, [x + 1e-3 for x in v]) for i, v in good[:100]]
+    bad = [(1000, [float("nan")] * 6), (1001, [float("inf")] + [0.0] * 5), (1002, [None] + [0.0] * 5), (1003, [])]
+    q = spark.createDataFrame(good + bad, "q int, qv array<double>")
+    b = spark.createDataFrame(bad + good, "b int, bv array<double>").repartition(3)
+    found = [
+        {(r["q"], r["b"], r["place"], r["similarity"]) for r in
+         nearest(q, b, ("q", "qv"), ("b", "bv"), 2, None, True, sent_numbers=sent).collect()}
+        for sent in (10**9, 0)]
+    assert found[0] == found[1]
+    assert {r[:3] for r in found[0]} == {r[:3] for r in brute(good, good, 2, None, True)}

@@ -25,10 +25,15 @@ _PARTS = {"YY": "year", "YYYY": "year", "YEAR": "year", "MM": "month", "MONTH":
 
 
 def spark_format(fmt: str) -> str:
-    """``'YYYY-MM-DD HH24:MI:SS'`` -> ``'yyyy-MM-dd HH:mm:ss'``; other letters are quoted."""
+    """``'YYYY-MM-DD HH24:MI:SS'`` -> ``'yyyy-MM-dd HH:mm:ss'``; ``T`` between date and time stays,
+    other unknown letters are an error."""
     def replace(match: re.Match) -> str:
         token = match.group(0)
-        return _FORMAT_LETTERS.get(token.upper(), f"'{token}'")
+        if token.upper() == "T":
+            return "'T'"
+        if token.upper() not in _FORMAT_LETTERS:
+            raise ValueError(f"unknown letters {token!r} in date format {fmt!r}")
+        return _FORMAT_LETTERS[token.upper()]
 
     return _TOKEN.sub(replace, fmt)
 

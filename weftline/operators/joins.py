@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.conditional import nvl
+from weftline.session import cut_counted
 
 _KEY = "_join_key"
 
@@ -57,22 +58,24 @@ def joiner(
 
 
 def pair_all(left: DataFrame, right: DataFrame, block_rows: int = 10_000) -> DataFrame:
-    """Left rows with every right row, as an equi-join on right-hand blocks.
+    """Left rows with every right row, as an equi-join on pairs of blocks.
 
-    The right side is hashed into blocks of about ``block_rows`` rows and each left row is
-    sent to each block, so no side is held whole by any task. The result has
-    ``left x right`` rows by definition; keep the right side small.
+    Both sides are dealt evenly, equal rows too, into blocks of about ``block_rows`` rows,
+    and every left block meets every right block, so no task holds a side whole or makes
+    more than ``block_rows`` squared pairs. Both sides are written once before. The result
+    has ``left x right`` rows by definition; keep the right side small.
     """
-    rows = right.count()
-    blocks = max(1, -(-rows // block_rows))
-    block_of = F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(blocks)).cast("int")
-    numbered = right.withColumn("_block", block_of)
-    targets = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spread = left.withColumn("_block", targets)
-    # A block no right row fell into must not add a null row of its own, unless
-    # there are no right rows at all.
-    how = "inner" if rows else "left"
-    return spread.join(numbered, "_block", how).drop("_block")
+    left, left_rows = cut_counted(left)
+    right, right_rows = cut_counted(right)
+    if not right_rows:
+        return left.join(right, F.lit(False), "left")
+    lefts, rights = (max(1, -(-n // block_rows)) for n in (left_rows, right_rows))
+    # Rows of a task are numbered one by one, so they go round the blocks in turn.
+    dealt = lambda blocks: F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = left.withColumn("_left", dealt(lefts)).withColumn("_right", every(rights))
+    b = right.withColumn("_right", dealt(rights)).withColumn("_left", every(lefts))
+    return a.join(b, ["_left", "_right"]).drop("_left", "_right")
 
 
 def lookup(

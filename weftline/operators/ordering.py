@@ -62,12 +62,17 @@ def number_rows(
     """Row number 1..n over the whole frame, or per ``partition``, without a window over
     more than one bucket of rows.
 
-    Give ``order_by`` a unique last column for a reproducible result. The sort columns of
-    ``df`` are read three times before the rows themselves; where that is not a scan but
-    costly work, cut its lineage first.
+    Ties are ordered by a hash of the row, so that a value many rows share is cut into
+    buckets too; only rows equal in every column share one. The sort columns of ``df`` are
+    read three times before the rows themselves; where that is not a scan but costly work,
+    cut its lineage first.
     """
-    spark = df.sparkSession
-    orders = [Order(p) for p in partition] + list(order_by)
+    spark, columns = df.sparkSession, df.columns
+    # Maps have no hash.
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    df = df.withColumn("_tie", F.xxhash64(*hashed))
+    order_by = [*order_by, Order("_tie")]
+    orders = [Order(p) for p in partition] + order_by
     row = F.struct(*[F.col(o.name).alias(f"s{i}") for i, o in enumerate(orders)])
     keys = df.select(row.alias("k"))
     total = df.count()
@@ -80,7 +85,7 @@ def number_rows(
     # text drops microseconds, which does no harm: the search is a tree of comparisons,
     # so whatever the splitters are, an earlier row never lands in a later bucket.
     wanted = buckets * _SAMPLE_PER_BUCKET
-    sample = keys.sample(min(1.0, wanted / max(1, total)), seed=7).limit(2 * wanted)
+    sample = keys.sample(min(1.0, wanted / max(1, total)), seed=7)
     in_order = sample.select("k.*").orderBy(*[
         Order(f"s{i}", o.desc).column() for i, o in enumerate(orders)
     ])
@@ -118,7 +123,7 @@ def number_rows(
     return (
         numbered.join(F.broadcast(shifts), on, "left")
         .withColumn(output, F.col("_place") + F.coalesce("_shift", F.lit(0)))
-        .select(*df.columns, output)
+        .select(*columns, output)
     )
 
 

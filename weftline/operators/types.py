@@ -112,7 +112,12 @@ def conform(
 
 
 def map_types(df: DataFrame, column: str, output: str = "spark_type") -> DataFrame:
-    """Normalise a column of declared type names (case, blanks, size) and map it."""
+    """Normalise a column of declared type names (case, blanks, size) and map it, as
+    :func:`spark_type` does: the inline size of a decimal counts."""
     base = F.trim(F.regexp_replace(F.lower(F.col(column)), _PARAMETERS, ""))
-    return map_lookup(
+    mapped = map_lookup(
         df.withColumn("base_type", base), "base_type", output, TYPE_NAMES, DEFAULT_TYPE)
+    size = lambda group: F.regexp_extract(column, r"\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)\s*$", group)
+    sized = F.concat(F.lit("decimal("), size(1), F.lit(","), F.when(size(2) == "", "0").otherwise(size(2)), F.lit(")"))
+    is_sized = F.col("base_type").isin(*sorted(_SIZED_DECIMALS)) & (size(1) != "")
+    return mapped.withColumn(output, F.when(is_sized, sized).otherwise(F.col(output)))

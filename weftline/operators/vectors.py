@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import cut_lineage
@@ -23,8 +23,6 @@ SENT_NUMBERS = 8_000_000
 _BLOCK_NUMBERS = 4_000_000
 _PIVOTS = 128
 _CHUNK_ROWS = 4_096
-# Slack on pruning bounds, well above the rounding error of `_distances`.
-_SLACK = 1e-5
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -32,11 +30,31 @@ def _matrix(vectors) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances between the rows of two matrices, good to about 1e-7."""
+    """All distances between the rows of two matrices, good to about `_slack`."""
     squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(1))
+
+
+def _slack(lengths, width: int):
+    """A bound on what rounding takes from or adds to `_distances`, from the two vectors' lengths."""
+    return 4.0 * np.sqrt(np.finfo(np.float64).eps * (width + 4)) * lengths
+
+
+def _exact(entries: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Distances by differences, added up from left to right as the fold in `_search_cells` does."""
+    return np.sqrt(np.add.accumulate((entries - vector) ** 2, axis=1)[:, -1])
+
+
+def _usable(vector: str) -> Column:
+    """Vectors with components, all of them finite."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(vector) > 0) & ~bad, F.lit(False))
+
+
 def nearest(
     queries: DataFrame, base: DataFrame, query: tuple[str, str], entry: tuple[str, str],
     k: int = 1, min_similarity: float | None = None, other_than_self: bool = False,
@@ -47,28 +65,31 @@ def nearest(
 
     ``query`` and ``entry`` name the id and vector columns; query ids are unique.
     ``min_similarity`` keeps only matches strictly above it. ``other_than_self`` ignores
-    the entry that has the query's own id. Rows without a vector match nothing.
+    the entry that has the query's own id. Rows match nothing, on either side, when their
+    vector is null or empty or has a null, NaN or infinite component; lengths must stay
+    below 1e150, so that their squares are numbers. Both ways of searching give the same rows.
     """
-    wanted = queries.where(F.col(query[1]).isNotNull()).select(
-        F.col(query[0]).alias("q_id"), F.col(query[1]).cast("array<double>").alias("q_vec"))
-    entries = base.where(F.col(entry[1]).isNotNull()).select(
-        F.col(entry[0]).alias("b_id"), F.col(entry[1]).cast("array<double>").alias("b_vec"))
+    wanted = queries.select(
+        F.col(query[0]).alias("q_id"), F.col(query[1]).cast("array<double>").alias("q_vec")).where(_usable("q_vec"))
+    entries = base.select(
+        F.col(entry[0]).alias("b_id"), F.col(entry[1]).cast("array<double>").alias("b_vec")).where(_usable("b_vec"))
 
     # Of equal vectors only the lowest ids can be among the nearest. The limit applies
     # in each map task already, so many copies of one vector do not meet in one task.
     keep = k + 1 if other_than_self else k
     copies = Window.partitionBy("b_vec").orderBy("b_id")
-    entries = entries.withColumn("_n", F.row_number().over(copies)) \
-        .where(F.col("_n") <= keep).drop("_n")
+    entries = cut_lineage(entries.withColumn("_n", F.row_number().over(copies))
+                          .where(F.col("_n") <= keep).drop("_n"))
 
     size = entries.agg(
         F.count("*").alias("rows"), F.min(F.size("b_vec")).alias("low"),
         F.max(F.size("b_vec")).alias("high"),
+        F.coalesce(F.sum(F.octet_length(F.col("b_id").cast("string"))), F.lit(0)).alias("id_bytes"),
     ).first()
     if size.low != size.high:
         raise ValueError(f"entry vectors differ in width: {size.low} to {size.high}")
     limit = None if min_similarity is None else 1.0 - min_similarity
-    small = size.rows * (size.high or 0) <= sent_numbers
+    small = size.rows * (size.high or 0) + size.id_bytes // 8 <= sent_numbers
     search = _search_sent if small else _search_cells
     found = search(wanted, entries, k, limit, other_than_self)
     return found.select(
@@ -80,18 +101,13 @@ def nearest(
 def _search_sent(
     wanted: DataFrame, entries: DataFrame, k: int, limit: float | None, other_than_self: bool
 ) -> DataFrame:
-    rows = entries.orderBy("b_id").toPandas()
+    rows = entries.toPandas()
     ids = rows["b_id"].to_numpy()
     matrix = _matrix(rows["b_vec"]) if len(rows) else np.empty((0, 1))
     sent = wanted.sparkSession.sparkContext.broadcast((ids, matrix))
 
-    def best(q_id, q_vec: np.ndarray, rough: np.ndarray, ids, matrix):
-        if other_than_self:
-            rough = np.where(ids == q_id, np.inf, rough)
-        count = min(k, len(rough))
-        bound = np.partition(rough, count - 1)[count - 1] + _SLACK
-        near = np.flatnonzero((rough <= bound) & np.isfinite(rough))
-        exact = np.sqrt(((matrix[near] - q_vec) ** 2).sum(1))
+    def best(q_id, q_vec: np.ndarray, near: np.ndarray, ids, matrix):
+        exact = _exact(matrix[near], q_vec)
         for place, i in enumerate(np.lexsort((ids[near], exact))[:k], 1):
             if limit is None or exact[i] < limit:
                 yield q_id, ids[near[i]], exact[i], place
@@ -104,9 +120,15 @@ def _search_sent(
                 part = frame.iloc[at:at + block]
                 vectors = _matrix(part["q_vec"])
                 rough = _distances(vectors, matrix)
+                slack = _slack(_norms(vectors)[:, None] + _norms(matrix)[None, :], matrix.shape[1])
+                if other_than_self:
+                    rough[part["q_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+                count = min(k, len(ids)) - 1
+                bound = np.partition(rough + slack, count, axis=1)[:, count]
+                near = (rough - slack <= bound[:, None]) & np.isfinite(rough)
                 out = [
                     match for row in range(len(part))
-                    for match in best(part["q_id"].iat[row], vectors[row], rough[row], ids, matrix)
+                    for match in best(part["q_id"].iat[row], vectors[row], np.flatnonzero(near[row]), ids, matrix)
                 ]
                 yield pd.DataFrame(out, columns=["q_id", "b_id", "distance", "place"])
 
@@ -125,28 +147,34 @@ def _search_cells(
     ])
     keep = k + 1 if other_than_self else k
 
-    @F.pandas_udf("cell int, reach double")
+    @F.pandas_udf("cell int, reach double, length double")
     def assign(vectors: pd.Series) -> pd.DataFrame:
-        distances = _distances(_matrix(vectors), pivots)
-        cell = distances.argmin(1)
-        return pd.DataFrame({"cell": cell, "reach": distances.min(1)})
+        matrix = _matrix(vectors)
+        distances = _distances(matrix, pivots)
+        return pd.DataFrame({"cell": distances.argmin(1), "reach": distances.min(1), "length": _norms(matrix)})
 
     placed = cut_lineage(entries.withColumn("_a", assign("b_vec")).select("b_id", "b_vec", "_a.*"))
     radius = np.full(len(pivots), -np.inf)
     chunks = np.ones(len(pivots), dtype=int)
-    for cell, reach, rows in placed.groupBy("cell").agg(F.max("reach"), F.count("*")).collect():
+    longest = 0.0
+    for cell, reach, rows, length in placed.groupBy("cell").agg(
+            F.max("reach"), F.count("*"), F.max("length")).collect():
         radius[cell], chunks[cell] = reach, -(-rows // _CHUNK_ROWS)
+        longest = max(longest, length)
 
     @F.pandas_udf("array<int>")
     def candidate_cells(vectors: pd.Series) -> pd.Series:
-        distances = _distances(_matrix(vectors), pivots)
+        matrix = _matrix(vectors)
+        distances = _distances(matrix, pivots)
+        # Four rounded distances meet in a comparison.
+        slack = 4.0 * _slack(_norms(matrix) + longest, matrix.shape[1])
         bound = np.full(len(distances), np.inf if limit is None else limit)
         if len(pivots) >= keep:
             bound = np.minimum(bound, np.partition(distances, keep - 1, axis=1)[:, keep - 1])
         lower = np.maximum(
             distances - radius[None, :], (distances - distances.min(1)[:, None]) / 2.0
         )
-        return pd.Series([np.flatnonzero(m).tolist() for m in lower <= bound[:, None] + _SLACK])
+        return pd.Series([np.flatnonzero(m).tolist() for m in lower <= (bound + slack)[:, None]])
 
     # A cell with many entries is cut into chunks, so no join group grows with it.
     per_cell = F.array(*[F.lit(int(n)) for n in chunks])

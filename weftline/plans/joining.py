@@ -149,6 +149,16 @@ def nearest_neighbour(t):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("nearest_cells", f"""{_NEAREST_SQL}
+    SELECT q AS query_id, vec_id, round(1 - distance, 6) AS similarity, 1 AS place FROM r WHERE n = 1""")
+def nearest_cells(t):
+    """The same search on the way that entries too many to send take."""
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = nearest(queries, t.embeddings, ("query_id", "embedding"), ("vec_id", "embedding"),
+                    other_than_self=True, sent_numbers=0)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("nearest_threshold", """
     WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
     d AS (SELECT a.vec_id AS q, b.vec_id AS vec_id,

@@ -45,3 +45,12 @@ def sorter_query(t):
 def top_k_query(t):
     return top_k(t.orders.select("o_orderkey", "o_totalprice"),
                  [F.desc("o_totalprice"), F.asc("o_orderkey")], 100)
+
+
+@query("rank_ties", """
+    SELECT l_returnflag, "RANK_COL" FROM (
+        SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag DESC) AS "RANK_COL" FROM lineitem)""")
+def rank_ties(t):
+    """Three values over all rows and no tie-break: which of the tied rows comes first is open, the places are not."""
+    ranked = rank(t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber"), "l_returnflag", desc=True)
+    return ranked.select("l_returnflag", "RANK_COL")

@@ -191,7 +191,7 @@ def conform_reject(t):
         WHEN 'PROMO' THEN 'Money' WHEN 'SMALL' THEN 'BLOB' ELSE 'geometry' END AS declared FROM part)
     SELECT p_partkey, declared, trim(regexp_replace(lower(declared), '\\s*\\([^()]*\\)\\s*$', '')) AS base_type,
         CASE trim(regexp_replace(lower(declared), '\\s*\\([^()]*\\)\\s*$', ''))
-            WHEN 'varchar2' THEN 'string' WHEN 'number' THEN 'double' WHEN 'date/time' THEN 'timestamp'
+            WHEN 'varchar2' THEN 'string' WHEN 'number' THEN 'decimal(' || regexp_extract(declared, '([0-9]+),', 1) || ',2)' WHEN 'date/time' THEN 'timestamp'
             WHEN 'money' THEN 'decimal(19,4)' WHEN 'blob' THEN 'binary' ELSE 'string' END AS spark_type
     FROM d""")
 def map_type_names(t):

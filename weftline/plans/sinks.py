@@ -16,6 +16,7 @@ from weftline.sinks import (
     write_json,
     write_routes,
 )
+from weftline.sources import read_files
 
 
 @query("sink_replace", "SELECT * FROM customer")
@@ -106,7 +107,7 @@ def fan_out_query(t):
         "all": lambda df: df.selectExpr("o_orderkey k", "concat(o_orderstatus, o_orderpriority) v"),
     }
     sink = lambda name: lambda df: write_files(df, f"{base}/target={name}")
-    fan_out(t.orders, {name: (step, sink(name)) for name, step in steps.items()}, reuse=False)
+    fan_out(t.orders, {name: (step, sink(name)) for name, step in steps.items()})
     return t.spark.read.parquet(base)
 
 
@@ -135,3 +136,27 @@ def nest_packet_query(t):
         "c_custkey", "c_name", "part", F.size("details").alias("n"),
         F.try_element_at("details", F.lit(1))["o_orderkey"].alias("first_order"),
         F.try_element_at("details", F.lit(-1))["o_orderkey"].alias("last_order"))
+
+
+@query("nest_packet_parts", """
+    WITH n AS (SELECT *, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1) // 1000 AS part
+               FROM orders)
+    SELECT o_orderstatus, part::INTEGER AS part, count(*)::INTEGER AS n,
+           arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order,
+           arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM n GROUP BY o_orderstatus, part""")
+def nest_packet_parts(t):
+    """All orders under their three states: every key is a large one."""
+    detail = t.orders.select("o_orderstatus", "o_orderdate", "o_orderkey")
+    packets = nest_packet(detail.select("o_orderstatus").distinct(), detail, "o_orderstatus",
+                          ["o_orderdate", "o_orderkey"], most=1000)
+    ends = {"first_order": 1, "last_order": -1}
+    return packets.select("o_orderstatus", "part", F.size("details").alias("n"), *[
+        F.try_element_at("details", F.lit(at))["o_orderkey"].alias(name) for name, at in ends.items()])
+
+
+@query("sink_csv_text", "SELECT doc_id, text, nullif(lang, 'de') AS lang FROM documents")
+def sink_csv_text(t):
+    """Whole texts with line breaks, quotes, blanks at the ends and nulls, through CSV."""
+    path = scratch_path(t.spark, "csv")
+    write_csv(t.documents.select("doc_id", "text", F.nullif(F.col("lang"), F.lit("de")).alias("lang")), path)
+    return read_files(t.spark, path, "*.csv", "doc_id long, text string, lang string", multiline=True)

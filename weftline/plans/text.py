@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from weftline import functions as E
 from weftline.operators.feedback import promote_feedback, semantic_append
 from weftline.operators.patterns import classify_hit, pattern_scan, scan_summary
-from weftline.operators.rules import SQL_REWRITES, low_confidence, rewrite_chain, tiered_match
+from weftline.operators.rules import low_confidence, rewrite_chain, tiered_match
 from weftline.plans.catalog import query
 from weftline.plans.joining import _RULES_SQL, part_rules
 
@@ -80,7 +80,7 @@ _EXPRESSIONS_SQL = """
         CASE p_type WHEN 'ECONOMY' THEN 'COALESCE(' || n || ', 0)'
         WHEN 'LARGE' THEN 'UPPER(SUBSTRING(' || n || ', 1, 3))'
         WHEN 'MEDIUM' THEN 'CASE WHEN ' || n || ' IS NULL THEN 0 ELSE 1 END'
-        WHEN 'PROMO' THEN n || ' + INTERVAL ''30'' DAY' WHEN 'SMALL' THEN 'TRUNC(NOW()) || ' || n
+        WHEN 'PROMO' THEN n || ' + INTERVAL ''30'' DAY' WHEN 'SMALL' THEN 'DATE_TRUNC(''day'', NOW()) || ' || n
         ELSE n END AS rewritten FROM names)"""
 
 

@@ -2,13 +2,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.joins import first_per_key, lookup
+from weftline.operators.ordering import Order, number_rows
 from weftline.operators.project import router
-from weftline.session import cut_counted
+from weftline.session import cut_counted, cut_lineage
 
 # Record writer formats.
 DATE_FORMAT = "yyyy-MM-dd"
@@ -19,6 +19,14 @@ _TEXT_FORMATS = {
 }
 
 
+# Delimited text: fields are quoted where they must be, a quote inside is doubled, blanks at the
+# ends stay, and an empty text ("") differs from a null (nothing).
+CSV_FORMAT = {
+    "header": "true", "quote": '"', "escape": '"',
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def write_files(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """File target that replaces what is there."""
     df.write.mode("overwrite").format(fmt).save(path)
@@ -35,20 +43,22 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**_TEXT_FORMATS, header="true").csv(path)
+    df.write.mode("overwrite").options(**_TEXT_FORMATS, **CSV_FORMAT).csv(path)
 
 
 def convert(
-    spark: SparkSession, source: str, fmt: str, path: str, target_fmt: str, schema=None
+    spark: SparkSession, source: str, fmt: str, path: str, target_fmt: str, schema=None,
+    multiline: bool = False,
 ) -> None:
-    """Read one format, write another."""
+    """Read one format, write another. ``multiline`` says that the fields of a CSV source
+    may hold line breaks; each of its files is then read by one task."""
     reader = spark.read.format(fmt).options(**_TEXT_FORMATS)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV_FORMAT, multiLine=multiline)
     if schema is not None:
         reader = reader.schema(schema)
     writer = reader.load(source).write.mode("overwrite").options(**_TEXT_FORMATS)
-    (writer.option("header", True) if target_fmt == "csv" else writer).format(target_fmt).save(path)
+    (writer.options(**CSV_FORMAT) if target_fmt == "csv" else writer).format(target_fmt).save(path)
 
 
 def update_by_key(
@@ -81,17 +91,13 @@ def fan_out(
 ) -> None:
     """Send one frame to several targets, each with its own step and sink.
 
-    ``reuse`` keeps the shared part on executor disks over the writes (recomputed where an
-    executor is lost); turn it off when the part is a plain scan that each target's filter
-    can prune.
+    ``reuse`` writes the shared part to the shared folder once, so that all targets see the
+    same rows whatever is lost; turn it off when the part is a plain scan that each target's
+    filter can prune.
     """
-    shared = df.persist(StorageLevel.DISK_ONLY) if reuse else df
-    try:
-        for step, sink in targets.values():
-            sink(shared.transform(step))
-    finally:
-        if reuse:
-            shared.unpersist()
+    shared = cut_lineage(df) if reuse else df
+    for step, sink in targets.values():
+        sink(shared.transform(step))
 
 
 def write_routes(df: DataFrame, routes: Mapping[str, Column | str], path: str) -> None:
@@ -105,16 +111,15 @@ def nest_packet(
 ) -> DataFrame:
     """Header rows with their details as a sorted array of structs, plus ``part``.
 
-    A key with more than ``most`` details comes as several packets (parts 0, 1, ...) of
-    about that size, so that no task holds an unbounded group; all details are kept. Keys
-    without details have one packet with an empty array.
+    A key's sorted details are cut after every ``most`` of them: part 0 holds the first
+    ``most``, part 1 the next, so the parts in order are the sorted list and no task holds an
+    unbounded group. Keys without details have one packet with an empty array.
     """
     fields = [c for c in dict.fromkeys([*order_by, *detail.columns]) if c != key]
     detail = detail.where(F.col(key).isNotNull())
     counts = detail.groupBy(key).agg(F.count("*").alias("_n"))
-    large, hot_keys = cut_counted(counts.where(F.col("_n") > most).select(
-        key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
-    rows = _spread_hot(detail, large, key, fields, most) if hot_keys \
+    large, hot_keys = cut_counted(counts.where(F.col("_n") > most).select(key, F.lit(True).alias("_hot")))
+    rows = _cut_large(detail, large, key, fields, most) if hot_keys \
         else detail.withColumn("part", F.lit(0))
     packed = rows.groupBy(key, "part").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias(output))
@@ -124,21 +129,14 @@ def nest_packet(
     })
 
 
-def _spread_hot(
+def _cut_large(
     detail: DataFrame, large: DataFrame, key: str, fields: Sequence[str], most: int
 ) -> DataFrame:
-    """Give the details of the large keys a ``part`` by their hash. Equal details would
-    all get the same one, so they are counted, and dealt out in pieces of ``most``."""
-    marked = lookup(detail, large, {key: key}, ["_parts"], unique=True)
-    usual = marked.where(F.col("_parts").isNull()).drop("_parts").withColumn("part", F.lit(0))
-    pieces = (
-        marked.where(F.col("_parts").isNotNull())
-        .groupBy(key, "_parts", *fields).agg(F.count("*").alias("_copies"))
-        .withColumn("_piece", F.explode(F.sequence(
-            F.lit(0), F.ceil(F.col("_copies") / most).cast("int") - 1)))
-    )
-    in_piece = F.least(F.lit(most), F.col("_copies") - F.col("_piece") * most).cast("int")
-    dealt = pieces.withColumn(
-        "part", F.pmod(F.xxhash64(*fields) + F.col("_piece"), F.col("_parts")).cast("int")
-    ).withColumn("_copy", F.explode(F.sequence(F.lit(1), in_piece)))
-    return usual.unionByName(dealt.select(*usual.columns))
+    """``part`` of each detail: those of the large keys are numbered in their order, without
+    a window over a whole key; all others are in part 0."""
+    marked = lookup(detail, large, {key: key}, ["_hot"], unique=True)
+    usual = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn("part", F.lit(0))
+    hot = cut_lineage(marked.where("_hot").select(key, *fields))
+    placed = number_rows(hot, [Order(f) for f in fields], "_place", partition=[key])
+    part = F.floor((F.col("_place") - 1) / most).cast("int")
+    return usual.unionByName(placed.withColumn("part", part).select(*usual.columns))

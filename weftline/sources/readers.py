@@ -11,11 +11,13 @@ CORRUPT = "_corrupt_record"
 
 def read_files(
     spark: SparkSession, folder: str, file_filter: str = "*", schema: T.StructType | str | None = None,
-    sep: str = ",",
+    sep: str = ",", multiline: bool = False,
 ) -> DataFrame:
-    """Delimited files with a header. With a schema nothing is read to plan the scan;
-    without one every column named in the header is a string."""
-    reader = spark.read.option("header", True).option("sep", sep).option("pathGlobFilter", file_filter)
+    """Delimited files with a header; a doubled quote inside a quoted field is one quote.
+    With a schema nothing is read to plan the scan; without one every column named in the
+    header is a string. ``multiline`` reads quoted line breaks; a file is then one task's."""
+    reader = spark.read.options(header=True, sep=sep, escape='"', multiLine=multiline) \
+        .option("pathGlobFilter", file_filter)
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", False)
     return reader.csv(folder)
