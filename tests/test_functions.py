@@ -86,7 +86,7 @@ def test_text(spark):
     assert one(spark, E.ltrim("s", "0"), s="0070") == "70"
     assert one(spark, E.length("s"), s="añ ") == 3
     assert one(spark, E.length("s"), s="") == 0
-    assert one(spark, E.safe_name("s"), s="a b/c-d_é1") == "a_b_c-d__1"
+    assert one(spark, E.safe_name("s"), s="a b/c-d_é1") == "a_b_c-d_é1"
 
 
 def test_concat_is_null_with_a_null_part(spark):
@@ -98,7 +98,9 @@ def test_formats():
     assert E.spark_format("YYYY-MM-DD HH24:MI:SS") == "yyyy-MM-dd HH:mm:ss"
     assert E.spark_format("DD MON YY") == "dd MMM yy"
     assert E.spark_format("YYYY-MM-DDTHH24") == "yyyy-MM-dd'T'HH"
-    assert E.spark_format("week YYYY") == "'week' yyyy"
+    for unknown in ("week YYYY", "Q", "WW", "SS.FF9"):
+        with pytest.raises(ValueError, match="unknown letters"):
+            E.spark_format(unknown)
 
 
 def test_dates(spark):
