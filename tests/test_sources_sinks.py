@@ -15,6 +15,7 @@ from weftline.sinks import (
     fan_out,
     nest_packet,
     update_by_key,
+    update_partitions,
     write_csv,
     write_files,
     write_json,
@@ -22,12 +23,14 @@ from weftline.sinks import (
 )
 from weftline.sources import (
     attributes_map,
+    fetch_incremental,
     generate,
     incremental,
     read_batch,
     read_files,
     source_qualifier,
     sql_call,
+    unread_files,
     xml_children,
     xml_flatten,
 )
@@ -166,3 +169,35 @@ def test_nest_packet_splits_hot_keys_and_keeps_copies(spark):
     assert rows == Counter(d for d in detail if d[0] is not None)
     assert len({(r["k"], r["part"]) for r in packets}) == len(packets)
     assert {r["part"] for r in nest_packet(head, df, "k", ["n"]).collect()} == {0}
+
+
+def test_unreadable_files_do_not_end_a_batch(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"k": 1}\n\n{"k": oops\n')
+    (tmp_path / "b.json.gz").write_bytes(b"this is no archive")
+    (tmp_path / "c.json").write_text("")
+    good, bad = read_batch(spark, str(tmp_path), "k long", "*.json*")
+    assert [r["k"] for r in good.collect()] == [1]
+    assert [r["_corrupt_record"] for r in bad.collect()] == ['{"k": oops']
+    lost = unread_files(spark, str(tmp_path), "*.json*").collect()
+    assert [(r["file_path"].rsplit("/", 1)[1], r["bytes"]) for r in lost] == [("b.json.gz", 18)]
+
+
+def test_fetch_keeps_the_old_maximum_when_nothing_is_new(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5), (2, 7)], "id int, at int")
+    path = str(tmp_path / "t")
+    assert fetch_incremental(rows, "at", path).first()["at"] == 7
+    assert fetch_incremental(rows, "at", path, 7).first()["at"] == 7
+    more = rows.union(spark.createDataFrame([(3, 9)], "id int, at int"))
+    assert fetch_incremental(more, "at", path, 7).first()["at"] == 9
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_update_in_place_leaves_other_partitions_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a", "p"), (2, "b", "p"), (1, "c", "q")], "k int, s string, part string") \
+        .write.partitionBy("part").parquet(path)
+    before = sorted(f.name for f in (tmp_path / "t" / "part=q").glob("*.parquet"))
+    updates = spark.createDataFrame([(1, None, "p", 2), (1, "old", "p", 1), (9, "x", "p", 1)], "k int, s string, part string, at int")
+    update_partitions(spark, path, "part", updates, ["k"], ["s"], [F.desc("at")])
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=str) == [(1, "c", "q"), (1, None, "p"), (2, "b", "p")]
+    assert sorted(f.name for f in (tmp_path / "t" / "part=q").glob("*.parquet")) == before

@@ -11,6 +11,7 @@ from weftline.sinks import (
     fan_out,
     nest_packet,
     update_by_key,
+    update_partitions,
     write_csv,
     write_files,
     write_json,
@@ -56,6 +57,24 @@ def sink_update(t):
     return t.spark.read.parquet(path).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 
 
+@query("sink_update_in_place", """
+    SELECT o_orderkey, o_orderpriority, o_orderstatus,
+           CASE WHEN o_orderpriority = '1-URGENT' AND l_orderkey IS NOT NULL THEN parts ELSE o_shippriority END AS o_shippriority
+    FROM (SELECT o_orderkey, o_orderpriority, o_orderstatus, 0::BIGINT AS o_shippriority FROM orders)
+    LEFT JOIN (SELECT l_orderkey, count(*) AS parts FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def sink_update_in_place(t):
+    """Urgent orders get their number of parts, written over the table that they are read from."""
+    path = scratch_path(t.spark, "update-in-place")
+    orders = t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", F.lit(0).cast("long").alias("o_shippriority"))
+    orders.write.partitionBy("o_orderpriority").parquet(path)
+    parts = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("o_shippriority"))
+    updates = parts.withColumn("o_orderpriority", F.lit("1-URGENT"))
+    update_partitions(
+        t.spark, path, "o_orderpriority", updates, ["o_orderkey"], ["o_shippriority"],
+        latest=[F.desc("o_shippriority")])
+    return t.spark.read.parquet(path)
+
+
 @query("sink_json", """
     SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(ts, '%Y-%m-%d') AS day,
            nullif(event_type, 'error') AS event_type, value FROM events""")

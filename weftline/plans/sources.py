@@ -7,11 +7,13 @@ from weftline.session import scratch_path
 from weftline.sinks import write_csv, write_files
 from weftline.sources import (
     attributes_map,
+    fetch_incremental,
     generate,
     incremental,
     read_batch,
     read_files,
     read_table,
+    read_xml,
     source_qualifier,
     sql_call,
     xml_children,
@@ -52,6 +54,18 @@ def incremental_high_water(t):
     return _new_orders(t)[1]
 
 
+@query("incremental_pass", """
+    SELECT o_orderkey, o_orderdate, (SELECT max(o_orderdate) FROM orders) AS newest FROM orders""")
+def incremental_pass(t):
+    """Two fetches: the second takes up where the first one's maximum says."""
+    path = scratch_path(t.spark, "fetched")
+    orders = t.orders.select("o_orderkey", "o_orderdate")
+    early = orders.where(F.col("o_orderdate") < F.lit("1996-01-01 00:00:00").cast("timestamp_ntz"))
+    last = fetch_incremental(early, "o_orderdate", path).first()[0]
+    newest = fetch_incremental(orders, "o_orderdate", path, F.lit(str(last)).cast("timestamp_ntz"))
+    return t.spark.read.parquet(path).crossJoin(F.broadcast(newest.toDF("newest")))
+
+
 @query("source_qualifier", """
     SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'""")
 def source_qualifier_query(t):
@@ -70,18 +84,28 @@ def sql_call_query(t):
 
 
 @query("generate_rows", """
-    SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS id, 'DUAL' AS dummy FROM orders""")
+    WITH span AS (SELECT min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last FROM orders),
+         days AS (SELECT unnest(range(0, date_diff('day', first, last) + 1)) AS id, first FROM span)
+    SELECT id, 'DUAL' AS dummy, count(o_orderkey) AS orders
+    FROM days LEFT JOIN orders ON date_diff('day', first, o_orderdate::DATE) = id GROUP BY id""")
 def generate_rows(t):
-    """As many generated rows as there are orders."""
-    return generate(t.spark, t.orders.count()).withColumn("dummy", F.lit("DUAL"))
+    """A generated row for every day from the first order to the last, with its orders."""
+    day = F.col("o_orderdate").cast("date")
+    first, last = t.orders.agg(F.min(day), F.max(day)).first()
+    if first is None:
+        return generate(t.spark, 0).select("id", F.lit("DUAL").alias("dummy"), F.col("id").alias("orders"))
+    counts = t.orders.where(day.isNotNull()).groupBy(F.datediff(day, F.lit(first)).cast("long").alias("id")) \
+        .agg(F.count("o_orderkey").alias("orders"))
+    days = generate(t.spark, (last - first).days + 1).withColumn("dummy", F.lit("DUAL"))
+    return days.join(counts, "id", "left").fillna(0, ["orders"])
 
 
 _XML = ("_NAME string, _SIZE int, BRAND string, "
         "TABLEATTRIBUTE array<struct<_NAME: string, _VALUE: string>>")
 
 
-def _records(t):
-    """Every part as an XML record with attributes, an element and repeated children."""
+def _xml_text():
+    """A part as XML with attributes, an element and repeated children."""
     attribute = lambda name, value: F.concat(
         F.lit(f'<TABLEATTRIBUTE NAME="{name}">'), value, F.lit("</TABLEATTRIBUTE>"))
     price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
@@ -89,9 +113,13 @@ def _records(t):
     children = F.when(F.col("p_size") <= 5, "").otherwise(F.concat(
         attribute("type", F.col("p_type")), attribute("price", price),
         attribute("type", F.lower("p_type"))))
-    xml = F.concat(
+    return F.concat(
         F.lit('<TRANSFORMATION NAME="'), "p_name", F.lit('" SIZE="'), "p_size", F.lit('"><BRAND>'),
         "p_brand", F.lit("</BRAND>"), children, F.lit("</TRANSFORMATION>"))
+
+
+def _records(t):
+    xml = _xml_text()
     return xml_flatten(t.part.select("p_partkey", xml.alias("xml")), "xml", _XML, keep=("p_partkey",))
 
 
@@ -117,6 +145,24 @@ def xml_children_query(t):
     return _children(t)
 
 
+@query("xml_files", """
+    SELECT p_name AS name, p_size AS size, p_brand AS brand,
+           CASE WHEN p_size > 5 THEN 3 ELSE 0 END AS children FROM part WHERE p_size <> 7
+    UNION ALL SELECT NULL, NULL, 'bad', count(*) FROM part WHERE p_size = 7""")
+def xml_files(t):
+    """The parts as XML files; those of one size are damaged."""
+    path = scratch_path(t.spark, "xml")
+    damaged = F.replace(_xml_text(), F.lit("</BRAND>"), F.lit("</BRANT>"))
+    t.part.select(F.when(F.col("p_size") == 7, damaged).otherwise(_xml_text()).alias("value")) \
+        .write.option("extension", "xml").text(path)
+    good, bad = read_xml(t.spark, path, "TRANSFORMATION", _XML, "part-*")
+    good = good.select(
+        F.col("_NAME").alias("name"), F.col("_SIZE").alias("size"), F.col("BRAND").alias("brand"),
+        F.coalesce(F.size("TABLEATTRIBUTE"), F.lit(0)).cast("long").alias("children"))
+    counted = bad.agg(F.count("*").alias("children")).withColumn("brand", F.lit("bad"))
+    return good.unionByName(counted, allowMissingColumns=True)
+
+
 @query("attributes_map", """
     SELECT p_partkey, 2 AS entries, lower(p_type) AS type, p_retailprice::DECIMAL(12,2)::VARCHAR AS price
     FROM part WHERE p_size > 5""")

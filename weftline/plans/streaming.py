@@ -9,7 +9,7 @@ from weftline.operators.joins import lookup
 from weftline.operators.project import expression, filter_rows
 from weftline.plans.catalog import query
 from weftline.session import scratch_path
-from weftline.streaming import fan_out_batches, run_available, stream_files
+from weftline.streaming import batch_files, fan_out_batches, fan_out_stream, run_available, stream_files
 
 
 def _folder(t, rows=None):
@@ -58,6 +58,24 @@ def stream_router(t):
     return t.spark.read.option("basePath", out).parquet(out).select("route", "event_id")
 
 
+@query("stream_fan_out", """
+    SELECT 'rows' AS target, event_id AS id, event_type AS label, 1 AS n FROM events WHERE value > 50
+    UNION ALL SELECT 'counts', NULL, event_type, count(*) FROM events GROUP BY event_type""")
+def stream_fan_out(t):
+    """Two targets of different shape and format; the counts of the batches are summed."""
+    rows, counts = scratch_path(t.spark, "stream-rows"), scratch_path(t.spark, "stream-counts")
+    fan_out_stream(
+        stream_files(t.spark, _folder(t), t.events.schema, max_files=5),
+        {"rows": (lambda df: df.where("value > 50").select("event_id", "event_type"), batch_files(rows)),
+         "counts": (lambda df: df.groupBy("event_type").count(), batch_files(counts, "json"))},
+        scratch_path(t.spark, "stream-state"))
+    large = t.spark.read.parquet(rows).select(
+        F.lit("rows").alias("target"), F.col("event_id").alias("id"), F.col("event_type").alias("label"), F.lit(1).cast("long").alias("n"))
+    summed = t.spark.read.schema("event_type string, count long").json(counts).groupBy("event_type").agg(F.sum("count").alias("n"))
+    return large.unionByName(summed.select(
+        F.lit("counts").alias("target"), F.lit(None).cast("long").alias("id"), F.col("event_type").alias("label"), "n"))
+
+
 @query("stream_resume", "SELECT event_id, ts, event_type FROM events")
 def stream_resume(t):
     """The second run takes up only the files that came after the first."""

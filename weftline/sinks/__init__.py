@@ -7,6 +7,7 @@ from weftline.sinks.writers import (
     fan_out,
     nest_packet,
     update_by_key,
+    update_partitions,
     write_csv,
     write_files,
     write_json,
@@ -14,6 +15,6 @@ from weftline.sinks.writers import (
 )
 
 __all__ = [
-    "append", "compact", "convert", "fan_out", "nest_packet", "update_by_key", "write_csv",
-    "write_files", "write_json", "write_routes",
+    "append", "compact", "convert", "fan_out", "nest_packet", "update_by_key",
+    "update_partitions", "write_csv", "write_files", "write_json", "write_routes",
 ]

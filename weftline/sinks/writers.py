@@ -77,6 +77,23 @@ def update_by_key(
     return found.withColumns(changed).drop("_new")
 
 
+def update_partitions(
+    spark: SparkSession, path: str, partition: str, updates: DataFrame, keys: Sequence[str],
+    columns: Sequence[str], latest: Sequence[Column],
+) -> None:
+    """``update_by_key`` on Parquet files in place, partitioned by ``partition``.
+
+    Updates carry the partition they mean, so only its rows are read and written again. The new
+    rows are staged in the shared folder first; the partitions are then replaced at the
+    commit of one write, which can be run again.
+    """
+    target = spark.read.parquet(path)
+    touched = target.join(updates.select(partition).distinct(), partition, "left_semi")
+    staged = cut_lineage(update_by_key(touched, updates, [partition, *keys], columns, latest))
+    staged.select(target.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(partition).parquet(path)
+
+
 def compact(df: DataFrame, path: str, rows_per_file: int, fmt: str = "parquet") -> None:
     """Rewrite many small batches as fewer, evenly sized files. AQE sizes the partitions
     (and splits large ones) from the real shuffle sizes."""

@@ -1,6 +1,7 @@
 """Scans: files, tables, incremental fetch, generated rows, XML records."""
 
 from weftline.sources.readers import (
+    fetch_incremental,
     generate,
     high_water,
     incremental,
@@ -10,10 +11,12 @@ from weftline.sources.readers import (
     read_table,
     source_qualifier,
     sql_call,
+    unread_files,
 )
-from weftline.sources.xml import attributes_map, xml_children, xml_flatten
+from weftline.sources.xml import attributes_map, read_xml, xml_children, xml_flatten
 
 __all__ = [
-    "attributes_map", "generate", "high_water", "incremental", "read_batch", "read_files",
-    "read_jdbc", "read_table", "source_qualifier", "sql_call", "xml_children", "xml_flatten",
+    "attributes_map", "fetch_incremental", "generate", "high_water", "incremental", "read_batch",
+    "read_files", "read_jdbc", "read_table", "read_xml", "source_qualifier", "sql_call",
+    "unread_files", "xml_children", "xml_flatten",
 ]

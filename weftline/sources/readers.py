@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,22 @@ def high_water(rows: DataFrame, column: str, last=None) -> DataFrame:
     return rows.agg(newest.alias(column))
 
 
+def fetch_incremental(df: DataFrame, column: str, path: str, last=None) -> DataFrame:
+    """Append the rows above the last seen maximum to a Parquet target; the one-row new maximum.
+
+    Rows and maximum come from the same pass, so a row that arrives in the source meanwhile
+    is either written and counted or left to the next fetch.
+    """
+    rows = df if last is None else df.where(F.col(column) > F.lit(last))
+    kind, seen = rows.schema[column].dataType, Observation()
+    # As text, which an observation carries for every type.
+    rows.observe(seen, F.max(column).cast("string").alias("newest")).write.mode("append").parquet(path)
+    newest = F.lit(seen.get["newest"]).cast(kind)
+    if last is not None:
+        newest = F.coalesce(newest, F.lit(last).cast(kind))
+    return df.sparkSession.range(1).select(newest.alias(column))
+
+
 def source_qualifier(
     df: DataFrame, columns: Sequence[str] | None = None, where: Column | str | None = None
 ) -> DataFrame:
@@ -79,9 +95,13 @@ def read_batch(
     spark: SparkSession, folder: str, schema: str, file_filter: str = "*.json"
 ) -> tuple[DataFrame, DataFrame]:
     """All JSON-lines files below a folder: the good records with the file each came from,
-    and the records that do not fit the schema with their text. Blank lines are neither."""
+    and the records that do not fit the schema with their text. Blank lines are neither.
+
+    A file that can't be read (a broken archive) does not end the batch: it gives the lines
+    before the fault, and ``unread_files`` names those that gave none.
+    """
     lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_filter)
+        spark.read.options(recursiveFileLookup=True, pathGlobFilter=file_filter, ignoreCorruptFiles=True)
         .text(folder).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("file_path"))
     )
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
@@ -92,3 +112,14 @@ def read_batch(
     good = records.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = records.where(F.col(CORRUPT).isNotNull()).select("file_path", CORRUPT)
     return good, bad
+
+
+def unread_files(spark: SparkSession, folder: str, file_filter: str = "*.json") -> DataFrame:
+    """``file_path`` and ``bytes`` of the files below a folder that hold bytes but give no line."""
+    reader = lambda: spark.read.options(recursiveFileLookup=True, pathGlobFilter=file_filter, ignoreCorruptFiles=True)
+    path = F.col("_metadata.file_path").alias("file_path")
+    # Only the listing is read: the content column is not asked for.
+    files = reader().format("binaryFile").load(folder).where("length > 0") \
+        .select(path, F.col("length").alias("bytes"))
+    given = reader().text(folder).select(path).distinct()
+    return files.join(given, "file_path", "left_anti")

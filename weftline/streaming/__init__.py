@@ -1,5 +1,5 @@
 """Continuous file pickup with stateless transformations."""
 
-from weftline.streaming.streams import fan_out_batches, run_available, stream_files
+from weftline.streaming.streams import batch_files, fan_out_batches, fan_out_stream, run_available, stream_files
 
-__all__ = ["fan_out_batches", "run_available", "stream_files"]
+__all__ = ["batch_files", "fan_out_batches", "fan_out_stream", "run_available", "stream_files"]

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from weftline.operators.project import router
+from weftline.session import cut_lineage
 
 # Intake limits per trigger.
 MAX_FILES = 10_000
@@ -62,3 +63,38 @@ def fan_out_batches(
     query = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+Step = Callable[[DataFrame], DataFrame]
+BatchSink = Callable[[DataFrame, int], None]
+
+
+def batch_files(path: str, fmt: str = "parquet", **options: str) -> BatchSink:
+    """A sink that keeps each batch in a folder of its number, and replaces it when it is run again."""
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").options(**options).format(fmt).save(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def fan_out_stream(
+    df: DataFrame, targets: Mapping[str, tuple[Step, BatchSink]], checkpoint: str, period: str | None = None,
+) -> StreamingQuery:
+    """Send every micro-batch to several targets, each with its own step, shape and sink.
+
+    A batch is written to the shared folder once, so all targets see the same rows. A batch
+    that fails between two targets is run again for all of them: sinks have to replace
+    what they wrote for its number, as ``batch_files`` does. Without ``period`` everything
+    there now is processed and the call returns; with one the query keeps running on that timer.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        shared = cut_lineage(batch)
+        for step, sink in targets.values():
+            sink(shared.transform(step), batch_id)
+
+    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if period is not None:
+        return writer.trigger(processingTime=period).start()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
