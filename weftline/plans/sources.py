@@ -61,9 +61,10 @@ def incremental_pass(t):
     path = scratch_path(t.spark, "fetched")
     orders = t.orders.select("o_orderkey", "o_orderdate")
     early = orders.where(F.col("o_orderdate") < F.lit("1996-01-01 00:00:00").cast("timestamp_ntz"))
-    last = fetch_incremental(early, "o_orderdate", path).first()[0]
-    newest = fetch_incremental(orders, "o_orderdate", path, F.lit(str(last)).cast("timestamp_ntz"))
-    return t.spark.read.parquet(path).crossJoin(F.broadcast(newest.toDF("newest")))
+    moment = lambda fetched: F.lit(str(fetched.first()[0])).cast("timestamp_ntz")
+    last = moment(fetch_incremental(early, "o_orderdate", path))
+    newest = moment(fetch_incremental(orders, "o_orderdate", path, last))
+    return t.spark.read.parquet(path).withColumn("newest", newest)
 
 
 @query("source_qualifier", """
