@@ -244,3 +244,11 @@ def test_token_trees_follow_edits(spark):
     rows = [(1, "a abc a", [(0, 1, "bc"), (None, None, " a")]), (2, None, None), (3, "", [(5, 2, None)]), (4, "abc", None)]
     got = {r.doc_id: (r.n_tokens, r.n_tokens_edited) for r in count_through_edits(spark.createDataFrame(rows, f"doc_id long, text string, {edits}"), ranks).collect()}
     assert got == {1: (3, 4), 2: (0, 0), 3: (0, 0), 4: (2, 2)}
+
+
+def test_names_are_whole_and_do_not_count_around_an_article(spark):
+    article = '<article><h2 id="related-work">A</h2><h2 id="search">B</h2><p id="search-results">C<section class="notice-periods">D</section><div class="big ad">no</div></article>'
+    pages = ["{}", '<div class="site has-sidebar">{}</div>', '<div class="sidebar">{}</div>', '<form id="search">{}</form>', '<aside>{}</aside>', "<div hidden>{}</div>"]
+    rows = [(i, f"http://n{i}.org/", p.format(article)) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys(range(4), "A\nB\nC\nD") | {4: "", 5: ""}

@@ -36,7 +36,9 @@ NOT_MAIN = {
     "comments", "consent", "cookie", "cookies", "disqus", "footer", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
     "notice", "notification", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share",
     "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "complementary", "contentinfo", "header", "gdpr",
-    "masthead", "widget", "disclaimer", "copyright", "reactions", "discussion",
+    "masthead", "widget", "disclaimer", "copyright", "reactions", "ad-container", "ad-slot", "comment-list", "comments-area", "cookie-banner",
+    "cookie-consent", "cookie-notice", "main-nav", "newsletter-signup", "related-articles", "related-posts", "share-buttons", "site-footer",
+    "site-header", "social-links", "social-share",
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -48,8 +50,8 @@ _SPACE = re.compile(r"\s+")
 LONGEST, FIXED = 16, 3
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """The words of class, id and role, and whether the element is hidden."""
+def _names(attributes: str, tag: str) -> tuple[str, bool]:
+    """Whole classes, roles and ids (a heading's id is an anchor) that are in NOT_MAIN, and whether the element is hidden."""
     words, hidden = [], False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -57,9 +59,9 @@ def _names(attributes: str) -> tuple[str, bool]:
             hidden = True
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-        elif name in ("class", "id", "role"):
-            words += re.findall(r"[a-z]+|[A-Z][a-z]*", value)
-    return ".".join(dict.fromkeys(w.lower() for w in words if w.lower() in NOT_MAIN)), hidden
+        elif name in ("class", "role") or name == "id" and tag not in HEADINGS:
+            words += value.lower().replace("_", "-").split()
+    return ".".join(dict.fromkeys(w for w in words if w in NOT_MAIN)), hidden
 
 
 def stream(page: str) -> list[tuple[str, str | None]]:
@@ -100,7 +102,7 @@ def stream(page: str) -> list[tuple[str, str | None]]:
                 text.append(" ")
             continue
         if tag in INLINE:
-            names, hidden = _names(match[3]) if match[3] and not match[1] else ("", False)
+            names, hidden = _names(match[3], tag) if match[3] and not match[1] else ("", False)
             if tag in ("br", "td", "th"):
                 text.append(" ")
             if not (names or hidden) and not any(t == tag for t, _ in stack):
@@ -114,7 +116,7 @@ def stream(page: str) -> list[tuple[str, str | None]]:
                     pass
                 out.append((f"</{tag}>", None))
         else:
-            names, hidden = _names(match[3])
+            names, hidden = _names(match[3], tag)
             # A tag that can't stand in an open paragraph, or follows its own kind, ends it.
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CLOSES.get(tag, ()) or stack[k][0] == "p" and tag not in INLINE:
@@ -264,18 +266,20 @@ def _frame(found: Wrappers, counts: dict[str, int]) -> pd.DataFrame:
 
 
 def in_main(path: str, has_main: bool) -> bool:
-    """Whether a slot with this path can hold main text."""
+    """Whether a slot with this path can hold main text; names around an article or main element don't count."""
     inside = not has_main
     for label in path.split("/"):
         if not label:
             continue
         tag, *names = label.rstrip("!").split(".")
-        if label.endswith("!") or tag in ASIDE:
+        if label.endswith("!") or tag in ASIDE and (inside or tag != "form"):
             return False
         if tag in MAIN:
             inside = True
-        elif tag == "header" or names and set(names) <= {"header", "masthead"}:
-            if not (inside and has_main):
+        elif not inside:
+            continue
+        elif tag == "header" or names and set(names) <= {"header", "masthead", "site-header"}:
+            if not has_main:
                 return False
         elif names:
             return False
