@@ -252,3 +252,36 @@ def test_names_are_whole_and_do_not_count_around_an_article(spark):
     rows = [(i, f"http://n{i}.org/", p.format(article)) for i, p in enumerate(pages)]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == dict.fromkeys(range(4), "A\nB\nC\nD") | {4: "", 5: ""}
+
+
+def pages_text(spark, pages):
+    rows = [(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
+    return [r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_wrapper_decides_inside_an_article(spark):
+    page = '<article><h1>Head {0}</h1><p>Text {0}<div class="tools">Share this</div><p>More {0}<div class="box">Read next</div></article>'
+    assert pages_text(spark, [("a.org", page.format(i)) for i in range(6)]) == [f"Head {i}\nText {i}\nMore {i}" for i in range(6)]
+
+
+def test_fixed_text_needs_different_pages_and_a_share_of_the_host(spark):
+    quoted = "<div><h1>Copied</h1><blockquote>A quote</blockquote><p>Its text</div>"
+    plain = "<div><h1>Head {0}</h1><p>Text {0}</div>"
+    near = "<div><h1>Near {0}</h1><blockquote>Rare</blockquote><p>Text {0}</div>"
+    nav = '<div><span>{}</span></div>'
+    pages = [("b.org", plain.format(i)) for i in range(4)] + [("b.org", quoted)] * 3
+    pages += [("c.org", plain.format(i)) for i in range(20)] + [("c.org", near.format(i)) for i in range(3)]
+    pages += [("d.org", f'<nav>{nav.format(i)}</nav><article><h1>Copied</h1><p>Its text</article>') for i in range(5)] + [("d.org", f"<article><h1>H{i}</h1><p>T{i}</article>") for i in range(2)]
+    got = pages_text(spark, pages)
+    assert got[4:7] == ["Copied\nA quote\nIts text"] * 3 and got[27:30] == [f"Near {i}\nRare\nText {i}" for i in range(3)]
+    assert got[30:35] == ["Copied\nIts text"] * 5
+
+
+def test_menus_and_long_stretches_are_fixed(spark):
+    menu = "<div><ul><li><a href=/>Home</a><li>News<li>About</ul></div>"
+    card = "<div>" + "".join(f"<section><h3>{{0}}{k}</h3></section>" for k in "abcdef") + "<dl><dt>x</dt></dl></div>"
+    pages = [("e.org", f"{menu}<div><h1>Head {i}</h1><p>Text {i}</div>{card.format('A')}{card.format('B')}") for i in range(5)]
+    assert pages_text(spark, pages) == [f"Head {i}\nText {i}" for i in range(5)]
+    from weftline.llm.wrappers import fold
+    long = [[k, False, {}, 1] for k in ["<div>", *(f"<{c}>" for c in "abcdefghijklmnop"), *(f"</{c}>" for c in "ponmlkjihgfedcba"), "</div>"]]
+    assert len(fold(long * 3)) == 1

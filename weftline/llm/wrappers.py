@@ -4,9 +4,9 @@ A page is a stream of tags and text slots. A stretch that repeats at once is fol
 repeated group. The streams of a host are aligned one after the other with the wrapper so
 far; what one of them lacks becomes optional, a stretch that repeats in either becomes a
 repeated group in both, and text that differs becomes an open slot, text that never does
-stays fixed. Wrappers of parts of a host align the same way, so a host's pages need not
-meet in one place. Each slot carries the elements it stands in; these and the wrapper say
-whether it holds main text.
+stays fixed, in a group as well. Wrappers of parts of a host align the same way, so a host's
+pages need not meet in one place. The elements around a slot say whether it can hold main
+text, and the wrapper decides: fixed text of enough pages is furniture, open slots are text.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 
-#: Tokens in a repeated stretch, and pages whose equal text makes it fixed.
-LONGEST, FIXED = 16, 3
+#: Pages with different main text, and the share of all of the host's, whose equal text makes it furniture.
+FIXED, SHARE = 3, 0.25
 
 
 def _names(attributes: str, tag: str) -> tuple[str, bool]:
@@ -133,41 +135,74 @@ def stream(page: str) -> list[tuple[str, str | None]]:
     return out
 
 
-# A wrapper is a list of parts [kind, optional, fixed text, pages]: kind is a token's key or, for
-# a repeated group, the list of its tokens' keys.
+# A wrapper is a list of parts [kind, optional, slots, pages]: kind is a token's key or, for a repeated group,
+# the list of its tokens' keys; slots has for each text key in it the hashes of texts that every one of the
+# counted pages has there, and the most texts that one may have.
+Slots = dict[str, tuple[frozenset[int], int]]
+
 
 def _key(part: list) -> str:
     return part[0] if isinstance(part[0], str) else "+" + "\0".join(part[0])
 
 
+def _joined(parts: list[list]) -> tuple[Slots, int]:
+    """The slots, and the pages, if these parts become one."""
+    pages = max(p[3] for p in parts)
+    slots: Slots = {}
+    for p in parts:
+        for key, (fixed, most) in p[2].items():
+            held, n = slots.get(key, (frozenset(), 0))
+            held = held | fixed if p[3] == pages else held
+            slots[key] = (held, len(held) if pages == 1 else n + most)
+    return slots, pages
+
+
+def _shared(a: Slots, b: Slots) -> Slots:
+    return {key: (a[key][0] & b[key][0], max(a[key][1], b[key][1])) for key in a}
+
+
+def _is_fixed(fixed: frozenset[int], most: int) -> bool:
+    """Whether a slot's texts are mostly fixed ones; prose that shares a sentence with other pages stays open."""
+    return 2 * len(fixed) > most
+
+
 def fold(parts: list[list], known: frozenset[str] = frozenset()) -> list[list]:
     """Stretches that follow themselves become repeated groups; so does one copy of a known group."""
     out: list[list] = []
     keys = [_key(p) for p in parts]
     at, n = 0, len(parts)
+    places: dict[str, list[int]] = {}
+    for i, key in enumerate(keys):
+        places.setdefault(key, []).append(i)
+    groups: dict[str, list[list[str]]] = {}
+    for body in sorted((k[1:].split("\0") for k in known), key=len):
+        groups.setdefault(body[0], []).append(body)
+    joint = next((i for i in range(n) if keys[i][0] == "+"), n)
     while at < n:
-        best = 0
-        for size in range(1, min(LONGEST, n - at) + 1):
-            body = keys[at:at + size]
-            if body[0][0] == "+" and size == 1 and len(out) and _key(out[-1]) == body[0]:
-                break
-            if any(k[0] == "+" for k in body):
-                break
-            if keys[at + size:at + 2 * size] == body and _balanced(body) or "+" + "\0".join(body) in known:
-                best = size
-                break
+        key, best = keys[at], 0
+        if joint < at:
+            joint = next((i for i in range(at, n) if keys[i][0] == "+"), n)
+        if at < joint and key[:2] != "</":
+            best = next((len(body) for body in groups.get(key, ()) if keys[at:at + len(body)] == body), 0)
+            same = places[key]
+            for k in range(bisect_right(same, at), len(same)):
+                size = same[k] - at
+                if best and size >= best or at + size > joint or at + 2 * size > n:
+                    break
+                if keys[at + size - 1] == keys[at + 2 * size - 1] and keys[at:at + size] == keys[at + size:at + 2 * size] and _balanced(keys[at:at + size]):
+                    best = size
+                    break
         if not best:
-            if out and keys[at][0] == "+" and _key(out[-1]) == keys[at]:
-                out[-1][1] &= parts[at][1]
+            if out and key[0] == "+" and _key(out[-1]) == key:
+                out[-1] = [out[-1][0], out[-1][1] and parts[at][1], *_joined([out[-1], parts[at]])]
             else:
                 out.append(parts[at])
             at += 1
             continue
-        body = keys[at:at + best]
-        optional = parts[at][1]
+        body, start = keys[at:at + best], at
         while keys[at:at + best] == body:
             at += best
-        out.append([body, optional, None, parts[at - 1][3]])
+        out.append([body, parts[start][1], *_joined(parts[start:at])])
     return out
 
 
@@ -190,14 +225,29 @@ def align(a: list[list], b: list[list]) -> list[list]:
     for what, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if what == "equal":
             for x, y in zip(a[i:j], b[k:m], strict=True):
-                out.append([x[0], x[1] or y[1], x[2] if x[2] == y[2] else None, x[3] + y[3]])
+                out.append([x[0], x[1] or y[1], _shared(x[2], y[2]), x[3] + y[3]])
         else:
             out += [[p[0], True, p[2], p[3]] for p in (*a[i:j], *b[k:m])]
     return out
 
 
-def page_parts(page: str) -> list[list]:
-    return fold([[key, False, text, 1] for key, text in stream(page)])
+def page_slots(page: str) -> tuple[list[str], list[int]]:
+    """The keys of a page's tokens, and a hash of the text of each that can hold main text, 0 for others."""
+    tokens = stream(page)
+    has_main = with_main(tokens)
+    return [k for k, _ in tokens], [text_hash(t) if t is not None and in_main(k[1:], has_main) else 0 for k, t in tokens]
+
+
+def page_parts(keys: list[str], texts: list[int]) -> list[list]:
+    return fold([[k, False, {k: (frozenset([t]), 1)} if k[0] == "#" else {}, 1] for k, t in zip(keys, texts, strict=True)])
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 or 1
+
+
+def with_main(tokens: list[tuple[str, str | None]]) -> bool:
+    return any(k.startswith(("<article", "<main")) for k, _ in tokens)
 
 
 class Wrappers(dict):
@@ -224,22 +274,30 @@ class Wrappers(dict):
         for place, part in zip(places, parts, strict=True):
             held = wrapper[place]
             held[3] += part[3]
-            if held[2] != part[2]:
-                held[2] = None
+            held[2] = _shared(held[2], part[2])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON, pages) for all rows of (host, html).
+    """(host, wrapper as JSON, pages) for all rows of (host, html); pages with the same main text count once.
 
-    Each task aligns the pages it reads, one wrapper a host; wrappers of a host then meet in 32
+    Each task aligns the pages it gets, one wrapper a host; wrappers of a host then meet in 32
     groups and at last as one, so that no step gets more than it can hold.
     """
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for host, page in zip(batch["host"], batch["html"], strict=True):
+                keys, texts = page_slots(page)
+                main = [(k, t) for k, t in zip(keys, texts, strict=True) if t]
+                rows.append((host, xxhash.xxh3_128_hexdigest(json.dumps(main)), json.dumps([keys, texts])))
+            yield pd.DataFrame(rows, columns=["host", "main", "slots"])
+
     def of_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = Wrappers()
         counts: dict[str, int] = {}
         for batch in batches:
-            for host, page in zip(batch["host"], batch["html"], strict=True):
-                found.add(host, page_parts(page))
+            for host, slots in zip(batch["host"], batch["slots"], strict=True):
+                found.add(host, page_parts(*json.loads(slots)))
                 counts[host] = counts.get(host, 0) + 1
             if len(found) > 2000:
                 yield _frame(found, counts)
@@ -251,18 +309,27 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         group = group.sort_values("wrapper")
         whole = None
         for text in group["wrapper"]:
-            parts = json.loads(text)
+            parts = _parts(text)
             whole = parts if whole is None else align(whole, parts)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(whole)], "pages": [int(group["pages"].sum())]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [_json(whole)], "pages": [int(group["pages"].sum())]})
 
     schema = "host string, wrapper string, pages long"
-    parts = pages.mapInPandas(of_pages, schema)
+    slots = pages.mapInPandas(read, "host string, main string, slots string").groupBy("host", "main").agg(F.min("slots").alias("slots"))
+    parts = slots.sortWithinPartitions("host", "main").select("host", "slots").mapInPandas(of_pages, schema)
     some = parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(32)).alias("_part")).applyInPandas(of_wrappers, schema)
     return some.groupBy("host").applyInPandas(of_wrappers, schema)
 
 
+def _json(wrapper: list[list]) -> str:
+    return json.dumps([[kind, optional, {k: (sorted(fixed), most) for k, (fixed, most) in slots.items()}, n] for kind, optional, slots, n in wrapper])
+
+
+def _parts(text: str) -> list[list]:
+    return [[kind, optional, {k: (frozenset(fixed), most) for k, (fixed, most) in slots.items()}, n] for kind, optional, slots, n in json.loads(text)]
+
+
 def _frame(found: Wrappers, counts: dict[str, int]) -> pd.DataFrame:
-    return pd.DataFrame([(h, json.dumps(w), counts[h]) for h, (w, _) in found.items()], columns=["host", "wrapper", "pages"])
+    return pd.DataFrame([(h, _json(w), counts[h]) for h, (w, _) in found.items()], columns=["host", "wrapper", "pages"])
 
 
 def in_main(path: str, has_main: bool) -> bool:
@@ -289,34 +356,29 @@ def in_main(path: str, has_main: bool) -> bool:
 class Reader:
     """Reads pages of one host by its wrapper."""
 
-    def __init__(self, wrapper: list[list]):
-        # Text that pages share outside a main element is furniture, if other text of theirs differs.
-        slot = lambda p: p[0] if isinstance(p[0], str) else next((k for k in p[0] if k[0] == "#"), "<")
-        open_ = any(p[2] is None and slot(p)[0] == "#" and in_main(slot(p)[1:], False) for p in wrapper)
-        self.fixed = {(p[0], p[2]) for p in wrapper if p[2] is not None and p[3] >= FIXED and open_}
-        self.slots = {k for p in wrapper for k in ([p[0]] if isinstance(p[0], str) else p[0]) if k[0] == "#"}
+    def __init__(self, wrapper: list[list], pages: int):
+        # Text that stays fixed over enough of the pages is furniture, if other text of theirs differs.
+        enough = max(FIXED, SHARE * pages)
+        slots = [(key, fixed, n) for _, _, held, n in wrapper for key, (fixed, most) in held.items() if _is_fixed(fixed, most)]
+        varies = len(slots) < sum(len(p[2]) for p in wrapper)
+        self.fixed = {(k, t) for k, fixed, n in slots if n >= enough and varies for t in fixed if t}
 
     def text(self, page: str) -> str:
         tokens = stream(page)
-        has_main = any(k.startswith(("<article", "<main")) for k, _ in tokens)
-        out = []
-        for key, text in tokens:
-            # Every slot of the page is one of the wrapper's, which was made from this page too.
-            if text is None or key not in self.slots or not in_main(key[1:], has_main):
-                continue
-            if has_main or (key, text) not in self.fixed:
-                out.append(text)
-        return "\n".join(out)
+        has_main = with_main(tokens)
+        return "\n".join(text for key, text in tokens if text is not None and in_main(key[1:], has_main)
+                         and (key, text_hash(text)) not in self.fixed)
 
 
 def extract(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
     """The rows with ``text``, the page's main text, and ``n_chars``.
 
     Wrappers are inferred for each host from all its pages; every page is read by its host's.
-    Main text is what stands in an article or main element, without parts that their
-    elements or names mark as navigation, advert, notice, form, comment and the like; on a
-    page with neither element, what isn't so marked and isn't the same on several pages of
-    the host. Blocks keep their order, one to a line.
+    Main text is what stands in an article or main element, or anywhere on a page with
+    neither, without parts that their elements or names mark as navigation, advert, notice,
+    form, comment and the like, and without what the wrapper has as fixed: text that is in
+    its slot or repeated group on every page that has that, if it is most of what the slot
+    holds and these are FIXED pages with different main text and a SHARE of the host's. Blocks keep their order, one to a line.
 
     A null or empty page, and one without main text, has the empty text. Pages without a
     host share a wrapper. Repeated rows are read alike; columns called text or n_chars are
@@ -324,23 +386,23 @@ def extract(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFr
     """
     rows = pages.drop("text", "n_chars").withColumn("_host", host_of(F.col(f"`{url}`"))).withColumn("_page", F.coalesce(F.col(f"`{page}`"), F.lit("")))
     wrappers = cut_lineage(infer_wrappers(rows.where("_page <> ''").select(F.col("_host").alias("host"), F.col("_page").alias("html"))))
-    joined = rows.join(wrappers.select(F.col("host").alias("_host"), "wrapper"), "_host", "left")
+    joined = rows.join(wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"), F.col("pages").alias("_pages")), "_host", "left")
 
     @F.pandas_udf("string")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         readers: dict[str, Reader] = {}
-        for hosts, texts, wrapped in batches:
+        for hosts, texts, wrapped, counts in batches:
             out = []
-            for host, text, wrapper in zip(hosts, texts, wrapped, strict=True):
+            for host, text, wrapper, pages in zip(hosts, texts, wrapped, counts, strict=True):
                 if not text:
                     out.append("")
                     continue
                 if host not in readers:
                     if len(readers) >= 256:
                         readers.clear()
-                    readers[host] = Reader(json.loads(wrapper))
+                    readers[host] = Reader(_parts(wrapper), pages)
                 out.append(readers[host].text(text))
             yield pd.Series(out)
 
-    found = joined.withColumn("text", read("_host", "_page", "wrapper"))
-    return found.withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_page", "wrapper")
+    found = joined.withColumn("text", read("_host", "_page", "_wrapper", "_pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_page", "_wrapper", "_pages")
