@@ -285,3 +285,14 @@ def test_menus_and_long_stretches_are_fixed(spark):
     from weftline.llm.wrappers import fold
     long = [[k, False, {}, 1] for k in ["<div>", *(f"<{c}>" for c in "abcdefghijklmnop"), *(f"</{c}>" for c in "ponmlkjihgfedcba"), "</div>"]]
     assert len(fold(long * 3)) == 1
+
+
+def test_near_duplicates_stage_links_at_four_fifths(spark):
+    from corpus_pipeline import near_duplicates_stage
+    base = [f"u{i}" for i in range(104)]
+    edited = base[:50] + ["changed"] + base[51:80] + ["again"] + base[81:]
+    other = base[:20] + ["x"] + base[21:50] + ["y"] + base[51:80] + ["z"] + base[81:]
+    # 100 runs each: 90 of 110 are shared (0.82) with the first, 85 of 115 (0.74) with the second.
+    rows = [(1, " ".join(base)), (2, " ".join(edited))]
+    assert near_duplicates_stage(spark, docs(spark, rows), "").count() == 1
+    assert near_duplicates_stage(spark, docs(spark, [rows[0], (3, " ".join(other))]), "").count() == 2
