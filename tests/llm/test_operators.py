@@ -296,3 +296,14 @@ def test_near_duplicates_stage_links_at_four_fifths(spark):
     rows = [(1, " ".join(base)), (2, " ".join(edited))]
     assert near_duplicates_stage(spark, docs(spark, rows), "").count() == 1
     assert near_duplicates_stage(spark, docs(spark, [rows[0], (3, " ".join(other))]), "").count() == 2
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_leaks_of_many_edited_copies_are_found(spark, alike):
+    rng = random.Random(11)
+    item = [f"q{i}" for i in range(38)]
+    edited = [f"z{i}" if i % 5 == 4 else w for i, w in enumerate(item)]
+    around = lambda i: "" if alike else words(rng, 30, 3000)
+    rows = [(0, " ".join(item))] + [(i, f"{around(i)} {' '.join(edited)} {around(i)}") for i in range(1, 61)] + [(100, words(rng, 80))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in leaks(docs(spark, rows), bench).collect()} == set(range(61))

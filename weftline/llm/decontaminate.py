@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import WordHashes, hashes_of, runs_of, words_of
@@ -14,8 +15,10 @@ from weftline.session import cut_lineage
 
 #: Words in a seed; size of the bitmap that goes to all tasks, whatever the benchmark's size.
 SEED, BITMAP_BITS = 3, 1 << 22
-#: A seed is rare if not in more documents than so many times its item's median seed, plus some.
+#: A seed is rare if not in more different texts than so many times its item's median seed, plus some.
 TIMES, PLUS = 8, 16
+#: A text with this share of an item's seeds is always aligned with it, however frequent those are.
+ALWAYS = 0.125
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -48,13 +51,13 @@ def _seeds(items: DataFrame) -> DataFrame:
 
 
 def _spread(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(gram, n): in how many texts each gram on the bitmap is; tasks add up what they read."""
+    """(gram, n): in how many different texts each gram on the bitmap is."""
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, bits = WordHashes(), sent.value
         for batch in batches:
-            seen = []
+            seen, keys = [], []
             for text in batch.iloc[:, 0]:
                 words = words_of(text) if text else []
                 if len(words) >= SEED:
@@ -62,11 +65,26 @@ def _spread(texts: DataFrame, bits: np.ndarray) -> DataFrame:
                     grams = grams[bits[_bit(grams)]]
                     if len(grams):
                         seen.append(np.unique(grams))
+                        keys.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
             if seen:
-                gram, n = np.unique(np.concatenate(seen), return_counts=True)
-                yield pd.DataFrame({"gram": gram.view(np.int64), "n": n})
+                key = np.repeat(np.array(keys, np.uint64), [len(g) for g in seen])
+                yield pd.DataFrame({"text": key.view(np.int64), "gram": np.concatenate(seen).view(np.int64)})
+
+    return texts.mapInPandas(find, "text long, gram long").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
 
-    return texts.mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def _used(placed: DataFrame, spread: DataFrame) -> DataFrame:
+    """(item_id, j, gram): the seeds that pick documents.
+
+    All but the most frequent of an item, and of those only so few, and only ones that aren't rare,
+    that a text with ALWAYS of the item's seeds has one of the others.
+    """
+    known = placed.join(spread, "gram")
+    median = known.groupBy("item_id").agg(F.percentile("n", F.lit(0.5)).alias("middle"))
+    sizes = placed.groupBy("item_id").agg(F.count(F.lit(1)).alias("_all"))
+    ranked = known.withColumn("_rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "gram", "j")))
+    return ranked.join(median, "item_id").join(sizes, "item_id").where(
+        (F.col("n") <= TIMES * F.col("middle") + PLUS) | (F.col("_rank") >= F.ceil(F.col("_all") * ALWAYS))).select("item_id", "j", "gram")
 
 
 def _hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -113,8 +131,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
     """(doc_id, item_id, score, first_word, last_word, text_key) for documents that hold an item.
 
     Texts are words (A-Z in lower case). Three-word seeds of the items are counted over all
-    documents; the rare ones of each item, against the item's own median, pick the documents and
-    where to align, however many documents share them. A document holds an item if the
+    different texts; all but the most frequent ones of each item (against its own median, and
+    so few that a text with an eighth of the item's seeds has another one) pick the documents
+    and where to align, however many documents share them. A document holds an item if the
     alignment of the item with the words around its seeds scores at least ``threshold`` of
     the item's own score (2 a word; -1 for a word changed, added or left out).
 
@@ -128,9 +147,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
     seeds = cut_lineage(_seeds(items))
     placed = seeds.select("item_id", F.posexplode("grams").alias("j", "gram"))
     spread = _spread(docs.select("text"), _bitmap(placed))
-    known = placed.join(spread, "gram")
-    median = known.groupBy("item_id").agg(F.percentile("n", F.lit(0.5)).alias("middle"))
-    rare = cut_lineage(known.join(median, "item_id").where(F.col("n") <= TIMES * F.col("middle") + PLUS).select("item_id", "j", "gram"))
+    rare = cut_lineage(_used(placed, spread))
     keyed = docs.withColumn("_key", F.md5("text"))
     hits = cut_lineage(_hits(keyed, _bitmap(rare)).withColumn("_row", F.monotonically_increasing_id()))
     found = hits.select("_row", F.explode(F.arrays_zip("at", "gram")).alias("h")).select("_row", "h.at", "h.gram")
@@ -146,6 +163,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
                 words, item = np.frombuffer(row.words, np.uint32), np.frombuffer(row.item, np.uint32)
                 begin = max(0, row.low - len(item) // 2 - SEED)
                 part = words[begin:row.high + len(item) + len(item) // 2 + SEED]
+                # Each word of the item gives MATCH at most, if the part has it.
+                if np.isin(item, part).sum() < threshold * len(item):
+                    continue
                 best, end = align(part, item)
                 if best < threshold * MATCH * len(item):
                     continue
