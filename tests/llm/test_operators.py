@@ -307,3 +307,22 @@ def test_leaks_of_many_edited_copies_are_found(spark, alike):
     rows = [(0, " ".join(item))] + [(i, f"{around(i)} {' '.join(edited)} {around(i)}") for i in range(1, 61)] + [(100, words(rng, 80))]
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert {r.doc_id for r in leaks(docs(spark, rows), bench).collect()} == set(range(61))
+
+
+def test_stored_trees_take_more_edits(spark):
+    import tiktoken
+
+    from weftline.llm import token_trees
+    ranks = {bytes([i]): i for i in range(256)} | {b" a": 256, b"bc": 257, b" abc": 258}
+    coder = tiktoken.Encoding("t", pat_str=token_trees.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {1: "abc a " * 2000, 2: None, 3: ""}
+    trees = token_trees.with_trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ranks).drop("text")
+    for start, put in ((7000, "bc"), (9, " abc")):
+        edits = F.array(F.struct(F.lit(start).alias("start"), F.lit(start + 1).alias("stop"), F.lit(put).alias("put")))
+        trees = token_trees.edit_trees(trees.withColumn("edits", edits), ranks).localCheckpoint()
+        texts = {k: (t or "")[:start] + put + (t or "")[start + 1:] for k, t in texts.items()}
+        got = {r.doc_id: r for r in trees.collect()}
+        for k, text in texts.items():
+            assert "".join(leaf.stretch for leaf in got[k].tree) == text
+            assert (got[k].n_tokens, got[k].n_chars) == (len(coder.encode_ordinary(text)), len(text))
+        assert got[1].chars_encoded < 1200

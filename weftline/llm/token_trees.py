@@ -51,15 +51,19 @@ class TokenTree:
     its text whole.
     """
 
-    def __init__(self, text: str, count):
+    def __init__(self, text: str, count, leaves: list[tuple[str, int]] | None = None):
+        """Over a text, or over ``leaves`` (stretch, tokens) that an earlier tree gave, of which none is encoded."""
         self.count = count
-        begins = cuts(text)
-        self.parts = [text[a:b] for a, b in zip(begins, [*begins[1:], len(text)], strict=True)]
+        if leaves:
+            self.parts = [part for part, _ in leaves]
+        else:
+            begins = cuts(text)
+            self.parts = [text[a:b] for a, b in zip(begins, [*begins[1:], len(text)], strict=True)]
         self.size = 1 << max(0, (len(self.parts) - 1).bit_length())
         self.chars, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
         n = len(self.parts)
         self.chars[self.size:self.size + n] = [len(p) for p in self.parts]
-        self.tokens[self.size:self.size + n] = count(self.parts)
+        self.tokens[self.size:self.size + n] = [tokens for _, tokens in leaves] if leaves else count(self.parts)
         level = self.size
         while level > 1:
             half = level // 2
@@ -72,6 +76,11 @@ class TokenTree:
     def total(self) -> int:
         return int(self.tokens[1])
 
+    def leaves(self) -> list[tuple[str, int, int]]:
+        """(stretch, characters, tokens) of all stretches that aren't empty."""
+        kept = [i for i, part in enumerate(self.parts) if part]
+        return [(self.parts[i], int(self.chars[self.size + i]), int(self.tokens[self.size + i])) for i in kept]
+
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The stretch that holds a character, and where that stretch begins; the last one for the end."""
         node, begin = 1, 0
@@ -156,3 +165,57 @@ def count_through_edits(docs: DataFrame, ranks: dict[bytes, int], *, text: str =
 
     counted = docs.drop(*names).withColumn("_t", run(F.col(f"`{text}`"), F.col(f"`{edits}`")))
     return counted.withColumns({n: F.col(f"_t.{n}") for n in names}).drop("_t")
+
+
+LEAVES = "array<struct<stretch: string, chars: long, tokens: long>>"
+
+
+def with_trees(docs: DataFrame, ranks: dict[bytes, int], *, text: str = "text", tree: str = "tree") -> DataFrame:
+    """The rows with their text's tree, as the leaves in order, to be stored and edited by ``edit_trees``; a null text has none."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf(LEAVES)
+    def build(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = _counter(sent.value)
+        for texts in batches:
+            yield pd.Series([_rows(TokenTree(text or "", count)) for text in texts])
+
+    return docs.withColumn(tree, build(F.col(f"`{text}`")))
+
+
+def edit_trees(trees: DataFrame, ranks: dict[bytes, int], *, tree: str = "tree", edits: str = "edits") -> DataFrame:
+    """The rows with ``tree`` as their edits leave it, ``n_tokens``, ``n_chars`` and ``chars_encoded``.
+
+    Only the stretches that edits touch are encoded; a null or empty tree is that of the
+    empty text. Edits are those of ``count_through_edits``; the three columns are replaced.
+    """
+    names = ["n_tokens", "n_chars", "chars_encoded"]
+    sent = trees.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf(f"struct<tree: {LEAVES}, n_tokens: long, n_chars: long, chars_encoded: long>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        count = _counter(sent.value)
+        for held, changes in batches:
+            rows = []
+            for leaves, change in zip(held, changes, strict=True):
+                kept = [(leaf["stretch"], int(leaf["tokens"])) for leaf in (leaves if leaves is not None else [])]
+                now = TokenTree("", count, kept)
+                for edit in (change if change is not None else []):
+                    end = int(now.chars[1])
+                    place = [end if pd.isna(edit[k]) else int(edit[k]) for k in ("start", "stop")]
+                    now.replace(*place, "" if pd.isna(edit["put"]) else edit["put"])
+                rows.append((_rows(now), now.total, int(now.chars[1]), now.encoded))
+            yield pd.DataFrame(rows, columns=["tree", *names])
+
+    out = trees.drop(*names).withColumn("_t", run(F.col(f"`{tree}`"), F.col(f"`{edits}`")))
+    return out.withColumns({tree: F.col("_t.tree")} | {n: F.col(f"_t.{n}") for n in names}).drop("_t")
+
+
+def _counter(ranks: dict[bytes, int]):
+    import tiktoken
+    coder = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda parts: [len(coder.encode_ordinary(p)) for p in parts]
+
+
+def _rows(tree: TokenTree) -> list[dict]:
+    return [{"stretch": part, "chars": chars, "tokens": tokens} for part, chars, tokens in tree.leaves()]
