@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.conversation_trie import prefix_trie, turn_rows, with_heads
 from weftline.llm.decontaminate import leaks
+from weftline.llm.hard_negatives import hard_negatives, usable
 from weftline.llm.hilbert import hilbert_shards
 from weftline.llm.language import identify, train, training_sample
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix
 from weftline.llm.order_minhash import edited_fingerprints
 from weftline.llm.quality import quality
+from weftline.llm.secret_scan import RULES as SECRET_RULES
+from weftline.llm.secret_scan import scan_all
 from weftline.llm.token_trees import count_through_edits, read_ranks
 from weftline.llm.urls import LABELLED, RULES, filter_urls
 from weftline.llm.wrappers import extract
@@ -162,3 +166,99 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     learn = docs.where("not held_out and lang is not null and text is not null").select("doc_id", "text", "lang")
     network = train(training_sample(learn, F.xxhash64("doc_id", "text")))
     return identify(docs.select("doc_id", "held_out", "text"), network).select("doc_id", "held_out", "lang_pred", "score")
+
+
+HEAD_TURNS = 5
+
+
+@_query
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations that begin with up to five turns of the one whose id ends in 00, as a trie."""
+    rows = turn_rows(table(spark, folder, "conversations"))
+    count = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % (HEAD_TURNS + 1)).cast("int")
+    rebuilt = with_heads(rows, F.col("conv_id") - F.col("conv_id") % 100, count, HEAD_TURNS)
+    return prefix_trie(rebuilt).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+# CRC-32 of a decimal number, eight steps for each of its bytes.
+_CRC32 = """(list_reduce(list_concat([4294967295::bigint], flatten([[ascii(x) + 256::bigint, 0, 0, 0, 0, 0, 0, 0]
+    for x in string_split(conv_id::varchar, '')])),
+    lambda s, b: (xor(xor(s, case when b > 0 then b - 256 else 0 end) >> 1, (xor(s, case when b > 0 then b - 256 else 0 end) & 1) * 3988292384))))"""
+
+ORACLES["op11_conversation_trie"] = f"""
+with own as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+    from conversations where conv_id is not null),
+ids as (select conv_id, conv_id - conv_id % 100 as donor, (xor({_CRC32}, 4294967295) % 6) as h from (select distinct conv_id from own)),
+given as (select i.conv_id, o.pos, o.role, o.text from ids i join own o on o.conv_id = i.donor and o.pos <= i.h),
+heads as (select conv_id, count(*) as n from given group by conv_id),
+turns as (select * from given union all
+    select o.conv_id, o.pos - i.h + coalesce(n, 0), o.role, o.text from own o join ids i using (conv_id) left join heads using (conv_id) where o.pos > i.h),
+hashed as (select conv_id, pos, length(text) as size, md5(length(role) || ':' || role || text) as t from turns),
+paths as (select conv_id, pos as depth, size, md5(string_agg(t, '') over (partition by conv_id order by pos)) as node,
+    md5(coalesce(string_agg(t, '') over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding), '')) as parent from hashed
+    union all select conv_id, 0, 0, md5(''), null from ids),
+ends as (select conv_id, max(depth) as depth from paths group by conv_id),
+ended as (select node, string_agg(conv_id::varchar, ',' order by conv_id) as ids, min(conv_id) as one from ends join paths using (conv_id, depth) group by node),
+nodes as (select node, depth, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs, any_value(size) as size from paths group by node, depth),
+children as (select parent as node, count(*) as n from nodes where parent is not null group by parent),
+leaves as (select p.node, count(*) as n from nodes l join ended e on e.node = l.node join paths p on p.conv_id = e.one
+    where l.node not in (select node from children) group by p.node),
+above as (select p.node, sum((n.n_convs - 1) * n.size) as saved from nodes n join paths p on p.conv_id = n.conv_id and p.depth <= n.depth group by p.node)
+select n.conv_id, n.depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(c.n, 0) as n_children, l.n as n_leaves,
+    a.saved::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes n left join nodes u on u.node = n.parent left join children c on c.node = n.node left join leaves l on l.node = n.node
+    left join above a on a.node = n.node left join ended e on e.node = n.node"""
+
+
+@_query
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_all(table(spark, folder, "documents"), keep=["doc_id"])
+    listed = F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["kind"], f["start"], f["stop"])), ",")
+    count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(r.kind) for r in SECRET_RULES], F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+def _spans_sql(place: int, rule) -> str:
+    """SQL for one rule's spans: the text is cut before each match, found by its length."""
+    pattern = rule.pattern.replace("'", "''").removeprefix("(?i)")
+    flags = ", 'i'" if rule.pattern.startswith("(?i)") else ""
+    parts = lambda group: f"regexp_extract_all(text, '{pattern}', {group}{flags})"
+    return f"""
+f{place} as (select doc_id, unnest({parts(0)}) as hit, unnest({parts(rule.counted)}) as counted,
+    generate_subscripts({parts(0)}, 1) as k, text from docs),
+m{place} as (select doc_id, k, hit, counted, length(string_split_regex(text, '{pattern}'{flags})[k]) as gap from f{place}),
+s{place} as (select doc_id, {place} as place, '{rule.kind}' as kind, counted, length(hit) as n,
+    (sum(gap + length(hit)) over (partition by doc_id order by k))::bigint as stop from m{place})"""
+
+
+ORACLES["op12_secret_scan"] = f"""
+with docs as (select doc_id, coalesce(text, '') as text from documents),{",".join(_spans_sql(i, r) for i, r in enumerate(SECRET_RULES))},
+spans as ({" union all ".join(f"select doc_id, place, kind, stop - n as start, stop from s{i} where length(counted) >= {r.least}" for i, r in enumerate(SECRET_RULES))}),
+listed as (select doc_id, {", ".join(f"count_if(place = {i}) as n_{r.kind}" for i, r in enumerate(SECRET_RULES))},
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, place) as spans from spans group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::bigint as n_{r.kind}" for r in SECRET_RULES)},
+    sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from documents d left join listed using (doc_id)"""
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = usable(table(spark, folder, "embeddings").withColumn("label", moved))
+    return hard_negatives(rows, "vec_id % 100 = 0")
+
+
+ORACLES["op13_hard_negatives"] = """
+with rows as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score
+    from rows a, rows r where a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (select p.*, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank
+    from positives p join scores s on s.anchor_id = p.anchor_id and not s.same
+        and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 5"""
