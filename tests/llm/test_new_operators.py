@@ -165,3 +165,61 @@ def test_negatives_of_odd_input(spark):
 def test_query_matches_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     assert difference(QUERIES[name](spark, folder), connect(folder), ORACLES[name]) is None
+
+
+def brute_leak(text, item, threshold=0.5):
+    """Whether a local alignment of the whole text with the item reaches the threshold."""
+    a, b = text.lower().split(), item.lower().split()
+    above, best = [0] * (len(a) + 1), 0
+    for word in b:
+        here = [0]
+        for k, other in enumerate(a):
+            here.append(max(0, above[k] + (2 if word == other else -1), above[k + 1] - 1, here[k] - 1))
+        best, above = max(best, *here), here
+    return best >= threshold * 2 * len(b)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.2, 0.3, 0.34])
+def test_leaks_by_edit_rate_against_whole_alignment(spark, rate):
+    from weftline.llm.decontaminate import leaks
+    rng = random.Random(int(rate * 100))
+    some = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    items = {i: " ".join(some(rng.randrange(8, 40))) for i in range(25)}
+    rows = []
+    for i, item in items.items():
+        for _ in range(4):
+            words = []
+            for w in item.split():
+                edit = rng.random() / rate if rate else 9
+                words += [] if edit < 0.2 else [*some(1), w] if edit < 0.4 else some(1) if edit < 1 else [w]
+            rows.append((len(rows), i, " ".join([*some(rng.randrange(40)), *words, *some(rng.randrange(40))])))
+    texts = spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(texts, bench).collect()}
+    due = {(d, i) for d, _, t in rows for i, item in items.items() if brute_leak(t, item)}
+    assert got <= due
+    # Up to three words in ten all are found; beyond, a text may keep no seed at all.
+    assert len(got & due) >= (1.0 if rate <= 0.3 else 0.97) * len(due), sorted(due - got)
+
+
+@pytest.mark.parametrize("every", [3, 4, 5])
+def test_leaks_with_evenly_spread_changes(spark, every):
+    from weftline.llm.decontaminate import leaks
+    item = [f"q{i}" for i in range(36)]
+    edited = [f"z{i}" if i % every == every - 1 else w for i, w in enumerate(item)]
+    texts = spark.createDataFrame([(1, "before " + " ".join(edited) + " after"), (2, " ".join(item[::2]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [r.doc_id for r in leaks(texts, bench).collect()] == [1]
+
+
+def test_leaks_are_looked_up_once_for_equal_stretches(spark):
+    """A passage in very many different texts gives a row for each text, not for each of its words."""
+    from weftline.llm.decontaminate import leaks, without_leaks
+    rng = random.Random(8)
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(20)) + f" {item} end{i}", 1) for i in range(400)] + [(1000, "clean text here", 1)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, text_key int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in leaks(texts, bench).collect()} == set(range(400))
+    left = without_leaks(texts, bench)
+    assert left.columns == texts.columns and [tuple(r) for r in left.collect()] == [(1000, "clean text here", 1)]

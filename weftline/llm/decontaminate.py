@@ -1,4 +1,9 @@
-"""Benchmark decontamination: rare word n-grams find the passages, local alignment scores them."""
+"""Benchmark decontamination: rare word n-grams find the passages, local alignment scores them.
+
+A seed is three words of an item: adjacent ones, or two, a gap of one word, and the third.
+The gapped ones meet a text whose words were changed at regular places: no text that keeps
+two thirds of an item's words in place can avoid both kinds for long.
+"""
 
 from __future__ import annotations
 
@@ -7,35 +12,54 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHashes, hashes_of, runs_of, words_of
-from weftline.session import cut_lineage
+from weftline.llm.common import WordHashes, hashes_of, mixed, words_of
+from weftline.session import cut_counted, cut_lineage
 
-#: Words in a seed; size of the bitmap that goes to all tasks, whatever the benchmark's size.
-SEED, BITMAP_BITS = 3, 1 << 22
-#: A seed is rare if not in more different texts than so many times its item's median seed, plus some.
+#: Words in a seed; their places without and with a gap.
+SEED, ADJACENT, GAPPED = 3, (0, 1, 2), (0, 1, 3)
+#: Places of the bitmap that goes to all tasks: so many for each seed, within these bounds (0.5 to 32 MB).
+BITS_PER_SEED, LEAST_BITS, MOST_BITS = 1024, 1 << 22, 1 << 28
+#: A seed is rare if not in more places than so many times its item's median seed, plus some.
 TIMES, PLUS = 8, 16
 #: A text with this share of an item's seeds is always aligned with it, however frequent those are.
 ALWAYS = 0.125
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
-def _bit(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(20)) % np.uint64(BITMAP_BITS)
-
+def grams_of(words: np.ndarray) -> list[np.ndarray]:
+    """A hash of the three words of the adjacent and of the gapped seed at each place of a text's word hashes.
 
-def _bitmap(grams: DataFrame) -> np.ndarray:
-    """One bit for each of BITMAP_BITS places that a gram falls on: 4 MB at most, on the driver too."""
-    places = grams.select(F.pmod(F.shiftrightunsigned("gram", 20), F.lit(BITMAP_BITS)).cast("int").alias("p")).distinct().toPandas()["p"]
-    out = np.zeros(BITMAP_BITS, bool)
-    out[places.to_numpy()] = True
-    return out
+    The gap is no part of it, so an adjacent seed also meets a text that has a word put in, or left out.
+    """
+    kinds = []
+    for places in ADJACENT, GAPPED:
+        n = max(0, len(words) - places[-1])
+        grams = np.zeros(n, np.uint64)
+        for i, place in enumerate(places):
+            grams = mixed(grams + words[place:place + n] + np.uint64(i + 1))
+        kinds.append(grams)
+    return kinds
+
+
+def _bitmap(grams: DataFrame, seeds: int) -> tuple[np.ndarray, int]:
+    """One bit for each place that a gram falls on, and the number of places."""
+    count = LEAST_BITS
+    while count < min(seeds * BITS_PER_SEED, MOST_BITS):
+        count *= 2
+    byte = F.pmod(F.shiftrightunsigned("gram", 20), F.lit(count))
+    # A row for each byte that has a bit, MOST_BITS / 8 at most.
+    bits = grams.select(F.shiftright(byte, 3).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1), byte.bitwiseAND(F.lit(7)).cast("int")).alias("bit"))
+    rows = bits.groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(count // 8, np.uint8)
+    out[rows["at"].to_numpy()] = rows["bit"].to_numpy()
+    return out, count
 
 
 def _seeds(items: DataFrame) -> DataFrame:
-    """(item_id, words, grams) of every item with at least SEED words."""
+    """(item_id, words, seeds) of every item with at least SEED words; seeds are (j, gram)."""
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
@@ -43,38 +67,45 @@ def _seeds(items: DataFrame) -> DataFrame:
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 words = hashes_of(words_of(text or ""), known)
                 if len(words) >= SEED:
-                    rows.append((item, words.astype(np.uint32).tobytes(), runs_of(words, SEED).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["item_id", "words", "grams"])
+                    both = grams_of(words)
+                    rows.append((item, words.astype(np.uint32).tobytes(), np.concatenate([np.arange(len(g)) for g in both]).astype(np.int32),
+                                 np.concatenate(both).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["item_id", "words", "js", "grams"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.mapInPandas(split, f"item_id {kind}, words binary, grams array<long>")
+    return items.mapInPandas(split, f"item_id {kind}, words binary, js array<int>, grams array<long>")
 
 
-def _spread(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(gram, n): in how many different texts each gram on the bitmap is."""
+def _hits(texts: DataFrame, bits: np.ndarray, count: int) -> DataFrame:
+    """(text_key, words, stretches) of texts with grams on the bitmap.
+
+    A stretch is a run of places whose seeds of one kind are all on it: where it starts, its two 64-bit names, and its grams.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, bits = WordHashes(), sent.value
         for batch in batches:
-            seen, keys = [], []
-            for text in batch.iloc[:, 0]:
-                words = words_of(text) if text else []
-                if len(words) >= SEED:
-                    grams = runs_of(hashes_of(words, known), SEED)
-                    grams = grams[bits[_bit(grams)]]
-                    if len(grams):
-                        seen.append(np.unique(grams))
-                        keys.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
-            if seen:
-                key = np.repeat(np.array(keys, np.uint64), [len(g) for g in seen])
-                yield pd.DataFrame({"text": key.view(np.int64), "gram": np.concatenate(seen).view(np.int64)})
-
-    return texts.mapInPandas(find, "text long, gram long").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+            rows = []
+            for key, text in zip(batch["text_key"], batch["text"], strict=True):
+                hashes = hashes_of(words_of(text), known)
+                stretches = []
+                for grams in grams_of(hashes):
+                    places = (grams >> np.uint64(20)) % np.uint64(count)
+                    at = np.flatnonzero((bits[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1)
+                    for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1) if len(at) else ():
+                        held = grams[run[0]:run[-1] + 1]
+                        name = xxhash.xxh3_128_digest(held.tobytes())
+                        stretches.append((int(run[0]), int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), held.view(np.int64)))
+                if stretches:
+                    rows.append((key, hashes.astype(np.uint32).tobytes(), *map(list, zip(*stretches, strict=True))))
+            yield pd.DataFrame(rows, columns=["text_key", "words", "at", "one", "two", "grams"])
+
+    return texts.mapInPandas(find, "text_key string, words binary, at array<int>, one array<long>, two array<long>, grams array<array<long>>")
 
 
 def _used(placed: DataFrame, spread: DataFrame) -> DataFrame:
-    """(item_id, j, gram): the seeds that pick documents.
+    """(item_id, j, gram): the seeds that pick texts.
 
     All but the most frequent of an item, and of those only so few, and only ones that aren't rare,
     that a text with ALWAYS of the item's seeds has one of the others.
@@ -87,29 +118,6 @@ def _used(placed: DataFrame, spread: DataFrame) -> DataFrame:
         (F.col("n") <= TIMES * F.col("middle") + PLUS) | (F.col("_rank") >= F.ceil(F.col("_all") * ALWAYS))).select("item_id", "j", "gram")
 
 
-def _hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(doc_id, _key, words, at, gram): documents with grams on the bitmap, and where those are."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, bits = WordHashes(), sent.value
-        for batch in batches:
-            rows = []
-            for doc, key, text in zip(batch["doc_id"], batch["_key"], batch["text"], strict=True):
-                words = words_of(text) if text else []
-                if len(words) < SEED:
-                    continue
-                hashes = hashes_of(words, known)
-                grams = runs_of(hashes, SEED)
-                at = np.flatnonzero(bits[_bit(grams)])
-                if len(at):
-                    rows.append((doc, key, hashes.astype(np.uint32).tobytes(), at.astype(np.int32), grams[at].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "_key", "words", "at", "gram"]).astype({"doc_id": batch["doc_id"].dtype})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(find, f"doc_id {kind}, _key string, words binary, at array<int>, gram array<long>")
-
-
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     """The best Smith-Waterman score of a stretch of the text with a stretch of the item, and where it ends."""
     above = np.zeros(len(text) + 1, np.int32)
@@ -127,34 +135,37 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", threshold: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, score, first_word, last_word, text_key) for documents that hold an item.
+def text_key(text: Column) -> Column:
+    """The name of a text, equal for equal texts."""
+    return F.md5(text)
 
-    Texts are words (A-Z in lower case). Three-word seeds of the items are counted over all
-    different texts; all but the most frequent ones of each item (against its own median, and
-    so few that a text with an eighth of the item's seeds has another one) pick the documents
-    and where to align, however many documents share them. A document holds an item if the
-    alignment of the item with the words around its seeds scores at least ``threshold`` of
-    the item's own score (2 a word; -1 for a word changed, added or left out).
 
-    One row for each pair; a document row that repeats gives one. Null and empty texts, and
-    items of fewer than three words, are in no pair. Rows with equal ids and different
-    texts count on their own and the best score stands; a null id is kept as null. Other
-    columns are ignored.
+def leaking_texts(texts: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", threshold: float = 0.5) -> DataFrame:
+    """(text_key, item_id, score, first_word, last_word) of the different texts that hold an item; see :func:`leaks`.
+
+    Texts with seeds are kept once each, as word hashes with their stretches of seeds. Equal
+    stretches, as of one passage in many texts, are looked up among the seeds once.
     """
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    texts = texts.select(F.col(f"`{text}`").alias("text")).where("text is not null")
     items = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text"))
-    seeds = cut_lineage(_seeds(items))
-    placed = seeds.select("item_id", F.posexplode("grams").alias("j", "gram"))
-    spread = _spread(docs.select("text"), _bitmap(placed))
-    rare = cut_lineage(_used(placed, spread))
-    keyed = docs.withColumn("_key", F.md5("text"))
-    hits = cut_lineage(_hits(keyed, _bitmap(rare)).withColumn("_row", F.monotonically_increasing_id()))
-    found = hits.select("_row", F.explode(F.arrays_zip("at", "gram")).alias("h")).select("_row", "h.at", "h.gram")
-    pairs = found.join(rare, "gram").groupBy("_row", "item_id").agg(
-        F.min(F.col("at") - F.col("j")).alias("low"), F.max(F.col("at") - F.col("j")).alias("high"))
-    met = pairs.join(hits.select("_row", "doc_id", "_key", "words"), "_row").join(
-        seeds.select("item_id", F.col("words").alias("item")), "item_id").drop("_row")
+    seeds, _ = cut_counted(_seeds(items))
+    placed, count = cut_counted(seeds.select("item_id", F.inline(F.arrays_zip(F.col("js").alias("j"), F.col("grams").alias("gram")))))
+    found = _hits(texts.select(text_key(F.col("text")).alias("text_key"), "text"), *_bitmap(placed, count))
+    hits = cut_lineage(found.dropDuplicates(["text_key"]))
+    stretches = hits.select("text_key", F.inline(F.arrays_zip("at", "one", "two", "grams")))
+    different = stretches.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.first("grams").alias("grams"))
+    different = cut_lineage(different.select("one", "two", "n", F.posexplode("grams").alias("i", "gram")).join(
+        placed.select("gram").distinct(), "gram"))
+    # How many places of all different texts hold each seed.
+    spread = different.groupBy("gram").agg(F.sum("n").alias("n"))
+    held = different.join(_used(placed, spread), "gram").groupBy("one", "two", "item_id").agg(
+        F.min(F.col("i") - F.col("j")).alias("low"), F.max(F.col("i") - F.col("j")).alias("high"))
+    # Written, so that a stretch or an item that very many texts have can be split in the joins.
+    held = cut_lineage(held)
+    pairs = stretches.drop("grams").join(held, ["one", "two"]).groupBy("text_key", "item_id").agg(
+        F.min(F.col("at") + F.col("low")).alias("low"), F.max(F.col("at") + F.col("high")).alias("high"))
+    pairs = cut_lineage(pairs)
+    met = pairs.join(seeds.select("item_id", F.col("words").alias("item")), "item_id").join(hits.select("text_key", "words"), "text_key")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -170,19 +181,41 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
                 if best < threshold * MATCH * len(item):
                     continue
                 _, back = align(part[:end][::-1], item[::-1])
-                out.append((row.doc_id, row.item_id, best / (MATCH * len(item)), begin + end - back, begin + end - 1, row.text_key))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "first_word", "last_word", "text_key"])
+                out.append((row.text_key, row.item_id, best / (MATCH * len(item)), begin + end - back, begin + end - 1))
+            yield pd.DataFrame(out, columns=["text_key", "item_id", "score", "first_word", "last_word"])
+
+    kind = seeds.schema["item_id"].dataType.simpleString()
+    scored = met.select("text_key", "item_id", "low", "high", "words", "item").mapInPandas(
+        score, f"text_key string, item_id {kind}, score double, first_word long, last_word long")
+    # Rows of one item_id and several texts are items of their own; the best stands.
+    return scored.groupBy("text_key", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("b")).select("text_key", "item_id", "b.*")
+
+
+def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", threshold: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, score, first_word, last_word, text_key) for documents that hold an item.
 
-    kinds = {c: met.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
-    met = met.select("doc_id", "item_id", "low", "high", F.col("_key").alias("text_key"), "words", "item")
-    scored = met.mapInPandas(score, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, score double, first_word long, last_word long, text_key string")
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "last_word", "text_key")).alias("b"))
+    Texts are words (A-Z in lower case). Seeds of the items are counted over all different
+    texts; all but the most frequent ones of each item (against its own median, and so few
+    that a text with an eighth of the item's seeds has another one) pick the texts and where
+    to align, however many documents share them. A document holds an item if the
+    alignment of the item with the words around its seeds scores at least ``threshold`` of
+    the item's own score (2 a word; -1 for a word changed, added or left out).
+
+    One row for each pair; a document row that repeats gives one. Null and empty texts, and
+    items of fewer than three words, are in no pair. Rows with equal ids and different
+    texts count on their own and the best score stands; a null id is kept as null. Other
+    columns are ignored.
+    """
+    bad = cut_lineage(leaking_texts(docs, items, text=text, item_id=item_id, threshold=threshold))
+    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(F.col(f"`{text}`")).alias("text_key")).join(bad, "text_key")
+    best = named.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "last_word", "text_key")).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", **more) -> DataFrame:
-    """The documents that hold no item; null and empty texts stay, repeated rows go or stay alike."""
-    key = "_text_key"
-    bad = leaks(docs.withColumn("_doc", F.md5(F.col(f"`{text}`"))), items, doc_id="_doc", text=text, **more).select(
-        F.col("doc_id").alias(key)).distinct()
-    return docs.withColumn(key, F.md5(F.col(f"`{text}`"))).join(bad, key, "left_anti").drop(key)
+    """The documents that hold no item; null and empty texts stay, repeated rows go or stay alike.
+
+    The columns are those of ``docs``, whatever their names.
+    """
+    bad = cut_lineage(leaking_texts(docs, items, text=text, **more).select(F.col("text_key").alias("_leak")).distinct())
+    return docs.join(bad, text_key(docs[f"`{text}`"]) == bad["_leak"], "left_anti")
