@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths handed out and not deleted yet, by session.
+_made: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -27,7 +32,41 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def scratch_made(spark: SparkSession) -> int:
+    """A mark for :func:`free_scratch`: how many paths were handed out so far."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def free_scratch(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the scratch made after the mark ``since``, but for what the frames ``keep`` read.
+
+    Only for scratch whose readers have run: a frame that was built on it can't be read any more.
+    """
+    made = _made.get(spark.sparkContext.applicationId, [])
+    read = [file for df in keep for file in df.inputFiles()]
+    left = []
+    for path in made[since:]:
+        if any(f"{path.rsplit('/', 1)[-1]}/" in file for file in read):
+            left.append(path)
+            continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    made[since:] = left
+
+
+@contextmanager
+def freed_scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch made inside is deleted at the end, whatever happens; results must be written or counted by then."""
+    since = scratch_made(spark)
+    try:
+        yield
+    finally:
+        free_scratch(spark, since)
 
 
 def cut_counted(df: DataFrame, path: str | None = None) -> tuple[DataFrame, int]:
