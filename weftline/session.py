@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -37,36 +37,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def scratch_made(spark: SparkSession) -> int:
-    """A mark for :func:`free_scratch`: how many paths were handed out so far."""
-    return len(_made.get(spark.sparkContext.applicationId, []))
+def scratch_made(spark: SparkSession) -> list[str]:
+    """The paths handed out in this session and not deleted yet."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
 
 
-def free_scratch(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Delete the scratch made after the mark ``since``, but for what the frames ``keep`` read.
+def free_scratch(spark: SparkSession, paths: Iterable[str], keep: Sequence[DataFrame] = ()) -> None:
+    """Delete these scratch paths, but for those that the frames ``keep`` read.
 
     Only for scratch whose readers have run: a frame that was built on it can't be read any more.
     """
     made = _made.get(spark.sparkContext.applicationId, [])
     read = [file for df in keep for file in df.inputFiles()]
-    left = []
-    for path in made[since:]:
-        if any(f"{path.rsplit('/', 1)[-1]}/" in file for file in read):
-            left.append(path)
-            continue
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    made[since:] = left
+    for path in paths:
+        if path in made and not any(f"{path.rsplit('/', 1)[-1]}/" in file for file in read):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            made.remove(path)
 
 
 @contextmanager
 def freed_scratch(spark: SparkSession) -> Iterator[None]:
     """Scratch made inside is deleted at the end, whatever happens; results must be written or counted by then."""
-    since = scratch_made(spark)
+    before = set(scratch_made(spark))
     try:
         yield
     finally:
-        free_scratch(spark, since)
+        free_scratch(spark, [p for p in scratch_made(spark) if p not in before])
 
 
 def cut_counted(df: DataFrame, path: str | None = None) -> tuple[DataFrame, int]:
