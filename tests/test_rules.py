@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.operators.feedback import promote_feedback, semantic_append
 from weftline.operators.names import contained_in, substring_link
 from weftline.operators.patterns import classify_hit, pattern_scan, scan_summary
+from weftline.operators.rewrites import to_sql
 from weftline.operators.rules import low_confidence, rewrite_chain, rule_lookup, tiered_match
 
 RULES = [
@@ -42,7 +43,7 @@ def test_rule_lookup_without_rules(spark, rules, most_joins):
     assert (row["rule_id"], row["replacement"]) == (None, None)
 
 
-@pytest.mark.parametrize("text, expected", [
+REWRITES = [
     ("IIF(STATUS = 'A', 1, 0)", "CASE WHEN STATUS = 'A' THEN 1 ELSE 0 END"),
     ("SYSDATE", "NOW()"),
     ("TO_DATE(LOAD_DATE, 'YYYY-MM-DD')", "TO_TIMESTAMP(LOAD_DATE, 'YYYY-MM-DD')"),
@@ -68,11 +69,60 @@ def test_rule_lookup_without_rules(spark, rules, most_joins):
     ("IIF(ISNULL(A), 0, A)", "CASE WHEN A IS NULL THEN 0 ELSE A END"),
     ("LENGTH(A) + LEN(B)", "CHAR_LENGTH(A) + CHAR_LENGTH(B)"),
     ("TO_DECIMAL(A, 10, 2)", "CAST(A AS DECIMAL(10,2))"),
-])
-def test_rewrites(spark, text, expected):
-    df = spark.createDataFrame([(text,)], "text string")
-    row = rewrite_chain(df, "text").first()
-    assert row["rewritten"] == expected and row["changed"] == (text != expected)
+    ("ISNULL(A OR B)", "(A OR B) IS NULL"),
+    ("NOT ISNULL(A = B) AND C", "NOT (A = B) IS NULL AND C"),
+    ("ISNULL(A) = ISNULL(B)", "(A IS NULL) = (B IS NULL)"),
+    ("DECODE(X, NULL, 'n', 'y')", "CASE WHEN X IS NULL THEN 'n' ELSE 'y' END"),
+    ("DECODE(X, Y, 1, -2, 2)", "CASE WHEN X IS NOT DISTINCT FROM Y THEN 1 WHEN X=-2 THEN 2 END"),
+    ("DECODE(TRUE, A > 5 AND B, 'big', ISNULL(A), 'none', 'small')", "CASE WHEN A > 5 AND B THEN 'big' WHEN A IS NULL THEN 'none' ELSE 'small' END"),
+    ("DECODE(A OR B, TRUE, 1)", "CASE WHEN (A OR B) IS NOT DISTINCT FROM TRUE THEN 1 END"),
+    ("TRUNC(AMT + TAX)", "TRUNC(AMT + TAX)"),
+    ("TRUNC(-(AMT - TAX))", "TRUNC(-(AMT - TAX))"),
+    ("TRUNC(NVL(AMT, 0))", "TRUNC(COALESCE(AMT, 0))"),
+    ("TRUNC(IIF(A > B, ROUND(C, 1), D))", "TRUNC(CASE WHEN A > B THEN ROUND(C, 1) ELSE D END)"),
+    ("TRUNC(SYSDATE - 1)", "DATE_TRUNC('day', NOW() - 1)"),
+    ("TRUNC(SYSDATE - TO_DATE(A, 'YYYY'))", "TRUNC(NOW() - TO_TIMESTAMP(A, 'YYYY'))"),
+    ("TRUNC(LOAD_DATE)", "DATE_TRUNC('day', LOAD_DATE)"),
+    ("A - ADD_TO_DATE(D, 'DD', 2)", "A - (D + INTERVAL '2' DAY)"),
+    ("2 * LENGTH(A || B)", "2 * CHAR_LENGTH(A || B)"),
+    ("INSTR(A OR B, 'x')", "POSITION('x' IN (A OR B))"),
+    ("INSTR(A, 'x', 2)", "INSTR(A, 'x', 2)"),
+    ("IIF(A BETWEEN LEN(B) AND 3 AND C NOT IN ('x', 'y'), 1, 0)", "CASE WHEN A BETWEEN CHAR_LENGTH(B) AND 3 AND C NOT IN ('x', 'y') THEN 1 ELSE 0 END"),
+    ("IIF(A IS NOT NULL AND B LIKE 'x%', NVL(A, B), 0) -- it's (open", "CASE WHEN A IS NOT NULL AND B LIKE 'x%' THEN COALESCE(A, B) ELSE 0 END -- it's (open"),
+    ("NVL(A, -- first (of two\n  B)", "COALESCE(A, -- first (of two\n  B)"),
+    ("/* don't */ NVL( A , B /* or ) */ )", "/* don't */ COALESCE(A, B /* or ) */)"),
+    ("SUBSTR( A,1 ,2 ) || UPPER( B )", "SUBSTRING(A, 1, 2) || UPPER( B )"),
+    ("NVL(A,)", "NVL(A,)"),
+    ("NVL(A, 'open)", "NVL(A, 'open)"),
+    ("NVL(A, 0))", "NVL(A, 0))"),
+    ("A = ", "A = "),
+    ("NVL()", "NVL()"),
+    ("", ""),
+    ("ÜBER_NVL(Ä) || NVL(Ö, 1)", "ÜBER_NVL(Ä) || COALESCE(Ö, 1)"),
+    ("SRC.AMT >= :LKP.RATE(ID) || $$PARAM", "SRC.AMT >= :LKP.RATE(ID) || $$PARAM"),
+    ("(" * 2000 + "A" + ")" * 2000, "(" * 2000 + "A" + ")" * 2000),
+]
+
+
+def test_rewrites(spark):
+    rows = rewrite_chain(spark.createDataFrame(REWRITES, "text string, expected string"), "text").collect()
+    wrong = [(r["text"], r["rewritten"]) for r in rows if r["rewritten"] != r["expected"] or r["changed"] != (r["text"] != r["expected"])]
+    assert not wrong and len(rows) == len(REWRITES)
+
+
+def test_rewrites_parse_and_give_the_values_of_the_source(spark):
+    """Expected values, not texts: what each expression means for a row."""
+    row = spark.createDataFrame([(None, 7, -2.75, "ab,c", "2020-02-29 10:30:00")], "N int, I int, X double, S string, T string").withColumn("D", F.to_timestamp("T"))
+    cases = {
+        "ISNULL(N) = ISNULL(I)": False, "DECODE(N, NULL, 'null', 'other')": "null", "DECODE(N, I, 1, N, 2)": 2, "IIF(ISNULL(N), NVL(N, I) * 2, 0)": 14,
+        "INSTR(S, ',') + LEN(S)": 7, "SUBSTR(S, 1, 2) || '-' || TO_CHAR(I)": "ab-7", "TO_INTEGER('12') - TO_INTEGER('2')": 10,
+        "GET_DATE_PART(ADD_TO_DATE(D, 'MM', I + 5), 'YEAR')": 2021, "DATE_DIFF(ADD_TO_DATE(D, 'DD', 30), D, 'DD')": 30, "GET_DATE_PART(TRUNC(D, 'MM'), 'DD')": 1,
+        "DECODE(TRUE, I > 10, 'much', I > 5, 'some', 'few')": "some",
+    }
+    for text, expected in cases.items():
+        # Spark's name of a text of any length.
+        sql = to_sql(text).replace("VARCHAR", "STRING")
+        assert row.select(F.expr(sql).alias("v")).first()["v"] == expected, text
 
 
 def test_tiers(spark, rules):

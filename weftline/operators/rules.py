@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.joins import first_per_key, lookup
+from weftline.operators.rewrites import to_sql
 from weftline.operators.vectors import nearest
 from weftline.session import cut_counted, cut_lineage
 
@@ -21,75 +21,6 @@ BLANK_CONFIDENCE = 1.0
 NEAREST_ABOVE = 0.80
 LOW_BELOW = 0.70
 
-# SQL forms of the source language's calls. ``{0}``, ``{1}`` are the arguments;
-# the key is the name with the number of arguments, or the name alone for any number.
-SQL_FORMS: dict[str, str] = {
-    "LENGTH": "CHAR_LENGTH({all})",
-    "LEN": "CHAR_LENGTH({all})",
-    "SUBSTR": "SUBSTRING({all})",
-    "NVL": "COALESCE({all})",
-    "TO_DATE": "TO_TIMESTAMP({all})",
-    "INSTR/2": "POSITION({1} IN {0})",
-    "ISNULL/1": "{0} IS NULL",
-    "TO_INTEGER/1": "CAST({0} AS INTEGER)",
-    "TO_DECIMAL/3": "CAST({0} AS DECIMAL({1},{2}))",
-    "TO_CHAR/1": "CAST({0} AS VARCHAR)",
-    "IIF/2": "CASE WHEN {0} THEN {1} END",
-    "IIF/3": "CASE WHEN {0} THEN {1} ELSE {2} END",
-}
-_UNITS = {"DD": "DAY", "DAY": "DAY", "MM": "MONTH", "MONTH": "MONTH", "YY": "YEAR", "YYYY": "YEAR", "YEAR": "YEAR"}
-# A quoted text, a name with the bracket that makes it a call, a name, or any other character.
-_PIECE = re.compile(r"'(?:[^']|'')*'|\w+[ \t]*\(|\w+|.", re.DOTALL)
-
-
-def _call(name: str, args: list[str]) -> str | None:
-    """The SQL form of one call, or None when there is none."""
-    form = SQL_FORMS.get(f"{name}/{len(args)}") or SQL_FORMS.get(name)
-    if form:
-        return form.format(*args, all=", ".join(args))
-    unit = lambda at: _UNITS.get(args[at].strip("'").upper()) if len(args) > at else None
-    if name == "TRUNC" and len(args) == 2:
-        # A quoted unit cuts a date, anything else is a number's digits.
-        return f"DATE_TRUNC('{unit(1).lower()}', {args[0]})" if unit(1) else f"TRUNC({args[0]}, {args[1]})"
-    if name == "TRUNC" and len(args) == 1:
-        # Arithmetic other than on dates is a number's cut; a lone name or call is a date's.
-        return f"TRUNC({args[0]})" if re.search(r"[*/]", args[0]) else f"DATE_TRUNC('day', {args[0]})"
-    if name == "ADD_TO_DATE" and len(args) == 3 and unit(1):
-        whole = re.fullmatch(r"[+-]?\d+", args[2])
-        return f"{args[0]} + INTERVAL '{args[2]}' {unit(1)}" if whole else f"{args[0]} + ({args[2]}) * INTERVAL '1' {unit(1)}"
-    if name == "DATE_DIFF" and len(args) == 3 and unit(2):
-        return f"DATEDIFF({unit(2)}, {args[1]}, {args[0]})"
-    if name == "GET_DATE_PART" and len(args) == 2 and unit(1):
-        return f"{unit(1)}({args[0]})"
-    if name == "DECODE" and len(args) >= 3:
-        pairs = "".join(f" WHEN {args[0]}={v} THEN {r}" for v, r in zip(args[1:-1:2], args[2::2], strict=False))
-        rest = f" ELSE {args[-1]}" if len(args) % 2 == 0 else ""
-        return f"CASE{pairs}{rest} END"
-    return None
-
-
-def to_sql(text: str) -> str:
-    """An expression with every known call in its SQL form, inner calls first. Quoted text,
-    unknown calls and ``||`` stay as they are; a text with unequal brackets is left alone."""
-    # One entry per open bracket: what stood before it (a call's name), its arguments so far.
-    stack: list[tuple[str, list[str]]] = [("", [""])]
-    for piece in _PIECE.findall(text):
-        opened, parts = stack[-1]
-        if piece.endswith("(") and not piece.startswith("'"):
-            stack.append((piece, [""]))
-        elif piece == ")":
-            if len(stack) == 1:
-                return text
-            stack.pop()
-            name, args = opened[:-1].strip(), [p.strip() for p in parts]
-            changed = _call(name.upper(), args) if name and any(args) else None
-            stack[-1][1][-1] += changed if changed is not None else opened + ",".join(parts) + ")"
-        elif piece == "," and len(stack) > 1:
-            parts.append("")
-        else:
-            parts[-1] += "NOW()" if piece.upper() == "SYSDATE" else piece
-    return stack[0][1][0] if len(stack) == 1 else text
-
 
 def _strip(text: str) -> Column:
     return F.btrim(F.col(text), F.lit(" \t\r\n"))
@@ -162,7 +93,7 @@ def rewrite_chain(
     """Rewrite source-language calls to SQL, nested ones too, and flag what changed.
 
     Calls nest, which patterns cannot follow, so each batch rewrites its different texts
-    with :func:`to_sql`. With ``rules``, (pattern, replacement) pairs are applied in order
+    with :func:`weftline.operators.rewrites.to_sql`. With ``rules``, (pattern, replacement) pairs are applied in order
     instead, ignoring case; ``$1`` names a group. A null text stays null.
     """
     if rules is None:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from weftline import functions as E
 from weftline.operators.feedback import promote_feedback, semantic_append
-from weftline.operators.patterns import classify_hit, pattern_scan, scan_summary
+from weftline.operators.patterns import ENGINE_PATTERNS, classify_hit, pattern_scan, scan_summary
 from weftline.operators.rules import low_confidence, rewrite_chain, tiered_match
 from weftline.plans.catalog import query
 from weftline.plans.joining import _RULES_SQL, part_rules
@@ -36,6 +36,22 @@ def pattern_scan_query(t):
     return _hits(t)
 
 
+_DEFAULT_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, 'text' AS column_name, {_quoted(p)} AS pattern, left(text, 200) AS matched_text "
+    f"FROM marked WHERE regexp_matches(text, {_quoted('(?i)' + p)})" for p in ENGINE_PATTERNS)
+
+
+@query("pattern_scan_engine", f"""
+    WITH marked AS (SELECT doc_id, CASE doc_id % 50 WHEN 7 THEN 'from pyspark ' || text WHEN 11 THEN text || ' Spark  Session spark.sql(x)'
+        WHEN 23 THEN 'JAVAsession import org.apache.spark.rdd ' || text ELSE text END AS text FROM documents) {_DEFAULT_SQL}""")
+def pattern_scan_engine(t):
+    """The default patterns over all documents, some of which are marked with code."""
+    mark = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit("from pyspark "), "text")) \
+        .when(F.col("doc_id") % 50 == 11, F.concat("text", F.lit(" Spark  Session spark.sql(x)"))) \
+        .when(F.col("doc_id") % 50 == 23, F.concat(F.lit("JAVAsession import org.apache.spark.rdd "), "text")).otherwise(F.col("text"))
+    return pattern_scan(t.documents.select("doc_id", mark.alias("text")), "doc_id", ["text"])
+
+
 @query("pattern_advice", f"""
     SELECT pattern, CASE WHEN contains(pattern, 'Java') THEN 'rewrite as custom code'
         WHEN contains(lower(pattern), 'spark') THEN 'run as a distributed job'
@@ -90,6 +106,32 @@ def rewrite_chain_query(t):
     return rewrite_chain(_expressions(t), "text")
 
 
+_FORMS = {
+    "ECONOMY": ("ISNULL(", " OR FLAG)", "(", " OR FLAG) IS NULL"),
+    "LARGE": ("DECODE(", ", NULL, 'n', OTHER, 'o', 'y')", "CASE WHEN ", " IS NULL THEN 'n' WHEN {n} IS NOT DISTINCT FROM OTHER THEN 'o' ELSE 'y' END"),
+    "MEDIUM": ("TRUNC(", " + TAX) -- it's (a sum", "TRUNC(", " + TAX) -- it's (a sum"),
+    "PROMO": ("DATE_DIFF(ADD_TO_DATE(", ", 'DD', 30), SYSDATE, 'DD') * 2", "DATEDIFF(DAY, NOW(), ", " + INTERVAL '30' DAY) * 2"),
+    "SMALL": ("TRUNC(NVL(", ", /* none */ 0)) = ISNULL(B)", "TRUNC(COALESCE(", ", /* none */ 0)) = (B IS NULL)"),
+}
+
+
+def _form_sql(at: int) -> str:
+    quote = lambda s: "'" + s.replace("'", "''").replace("{n}", "' || n || '") + "'"
+    cases = " ".join(f"WHEN '{kind}' THEN {quote(f[at])} || n || {quote(f[at + 1])}" for kind, f in _FORMS.items())
+    return f"CASE p_type {cases} ELSE n END"
+
+
+@query("rewrite_tree", f"""
+    SELECT p_partkey, text, rewritten, rewritten <> text AS changed FROM (
+        SELECT p_partkey, {_form_sql(0)} AS text, {_form_sql(2)} AS rewritten
+        FROM (SELECT p_partkey, p_type, upper(replace(p_name, ' ', '_')) AS n FROM part))""")
+def rewrite_tree(t):
+    """Expressions whose calls become operators, with comments, nulls and sums."""
+    name = F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")))
+    forms = [x for kind, f in _FORMS.items() for x in (kind, F.concat(F.lit(f[0]), name, F.lit(f[1])))]
+    return rewrite_chain(t.part.select("p_partkey", E.decode("p_type", *forms, name).alias("text")), "text")
+
+
 _TIERED_SQL = f"""
     WITH {_RULES_SQL}, {_EXPRESSIONS_SQL},
     inputs AS (SELECT e.p_partkey, CASE WHEN p_size <= 3 THEN ' ' WHEN p_size <= 20 THEN p_name ELSE text END AS text,
