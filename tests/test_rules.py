@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.feedback import promote_feedback, semantic_append
 from weftline.operators.names import contained_in, substring_link
-from weftline.operators.patterns import classify_hit, pattern_scan, scan_summary
+from weftline.operators.patterns import ENGINE_PATTERNS, classify_hit, needed_text, pattern_scan, scan_summary
 from weftline.operators.rewrites import to_sql
 from weftline.operators.rules import low_confidence, rewrite_chain, rule_lookup, tiered_match
 
@@ -193,3 +193,24 @@ def test_substring_link_matches_brute_force(spark):
     got = substring_link(frame(a, "x"), frame(b, "y"), "x", "y").collect()
     assert {tuple(r) for r in got} == either and len(got) == len(either)
     assert contained_in(frame(["a"], "x").limit(0), frame(b, "y"), "x", "y").count() == 0
+
+
+@pytest.mark.parametrize("pattern, needed", [
+    (r"\bSpark\b", "spark"), (r"\bSpark\s*Session\b", "session"), (r"import\s+org\.apache\.spark", "org.apache.spark"), (r"spark\.sql\(", "spark.sql("),
+    (r"licen[sc]e", "licen"), (r"[0-9]{4,}", None), (r"[a-z0-9._%+-]+@[a-z0-9.-]+[.][a-z]{2,}", "@"), (r"ab?cd*eg+f", "eg"), (r"a|b", None), (r"(x)yz", None),
+    (r"x{2}yz", "yz"), (r"[]a]bc", "bc"), (r"ümlaut", None), (r"\d+", None), ("", None),
+])
+def test_needed_text(pattern, needed):
+    assert needed_text(pattern) == needed
+
+
+def test_every_match_holds_the_needed_text():
+    import re
+    pick = random.Random(6)
+    for _ in range(20_000):
+        pattern = "".join(pick.choice(["a", "B", " ", r"\.", "[ab]", "a?", "b*", "c+", "a{2}", r"\s", ".", "[^a]", r"\b"]) for _ in range(pick.randint(1, 5)))
+        needed = needed_text(pattern)
+        text = "".join(pick.choice("abcABC. ") for _ in range(8))
+        if needed and re.search(pattern, text, re.IGNORECASE):
+            assert needed in text.lower(), (pattern, text)
+    assert all(needed_text(p) for p in ENGINE_PATTERNS)

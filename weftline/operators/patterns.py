@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,30 +36,54 @@ ENGINE_PATTERNS = (
 )
 
 
+_STEP = re.compile(r"(?P<escape>\\.)|(?P<set>\[\^?\]?(?:\\.|[^\]])*\])|(?P<repeat>[*+?]|\{[^}]*\})|(?P<group>[()|])|(?P<any>[.^$])|(?P<plain>.)", re.DOTALL)
+
+
+def needed_text(pattern: str) -> str | None:
+    """The longest stretch of characters, in lower case, that stands in every match of a pattern; None if
+    that can't be told simply (groups and alternatives are not looked into)."""
+    runs, run = [], ""
+    for m in _STEP.finditer(pattern):
+        if m["group"]:
+            return None
+        if m["repeat"]:
+            # What is repeated need not be there, or not once only.
+            runs, run = [*runs, run[:-1] if m["repeat"] != "+" else run], ""
+        elif m["plain"] or (m["escape"] and not m["escape"][1].isalnum()):
+            run += m["plain"] or m["escape"][1]
+        else:
+            runs, run = [*runs, run], ""
+    longest = max([*runs, run], key=len)
+    return longest.lower() if longest and longest.isascii() else None
+
+
 def pattern_scan(
     df: DataFrame, row_id: str, columns: Sequence[str], patterns: Sequence[str] = ENGINE_PATTERNS
 ) -> DataFrame:
     """One row per (row, column, pattern) that matches anywhere in the whole text,
     ignoring case, in a single pass over the table.
 
-    A text is tried on all patterns as one alternative first; each pattern is tried on its
-    own only on the texts that this finds.
+    Each text is put in lower case once. A pattern is tried only on texts that hold the
+    plain characters all its matches have (a search for bytes, many times faster than a pattern).
     """
-    if not patterns:
-        raise ValueError("give at least one pattern")
-    any_pattern = "(?i)" + "|".join(f"(?:{p})" for p in patterns)
-    none = F.array().cast("array<struct<column_name:string,pattern:string,matched_text:string>>")
-
-    def hits(name: str) -> Column:
-        each = F.array_compact(F.array(*[
-            F.when(F.col(name).rlike(f"(?i){p}"), F.struct(
-                F.lit(name).alias("column_name"), F.lit(p).alias("pattern"),
-                F.left(F.col(name), F.lit(SHOWN_CHARACTERS)).alias("matched_text")))
-            for p in patterns
-        ]))
-        return F.when(F.col(name).rlike(any_pattern), each).otherwise(none)
-
-    return df.select(row_id, F.inline(F.concat(*[hits(c) for c in columns])))
+    lower = {c: f"_lower{i}" for i, c in enumerate(columns)}
+    df = df.select(row_id, *[c for c in columns if c != row_id], *[F.lower(F.col(c)).alias(n) for c, n in lower.items()])
+
+    def matches(name: str, pattern: str) -> Column:
+        needed, found = needed_text(pattern), F.col(name).rlike(f"(?i){pattern}")
+        return found if needed is None else F.col(lower[name]).contains(needed) & found
+
+    hits = F.array_compact(F.array(*[
+        F.when(
+            matches(c, p),
+            F.struct(
+                F.lit(c).alias("column_name"), F.lit(p).alias("pattern"),
+                F.left(F.col(c), F.lit(SHOWN_CHARACTERS)).alias("matched_text"),
+            ),
+        )
+        for c in columns for p in patterns
+    ]))
+    return df.select(row_id, F.inline(hits))
 
 
 def classify_hit(pattern: Column) -> Column:
