@@ -38,14 +38,22 @@ def test_joiner(left, reference):
         joiner(left, reference, condition=F.lit(True))
 
 
-@pytest.mark.parametrize("block_rows", [1, 2, 100])
-def test_pair_all(spark, left, reference, block_rows):
-    pairs = pair_all(left, reference, block_rows)
+@pytest.mark.parametrize("most", [1, 4, 1_000_000])
+def test_pair_all(spark, left, reference, most):
+    pairs = pair_all(left, reference, most)
     assert pairs.count() == 25 and pairs.columns == ["k", "v", "rk", "o", "w"]
     assert pairs.distinct().count() == 20
-    empty = pair_all(left, reference.limit(0), block_rows)
+    empty = pair_all(left, reference.limit(0), most)
     assert rows(empty, "v", "w") == rows(left.withColumn("w", F.lit(None)), "v", "w")
-    assert pair_all(left.limit(0), reference, block_rows).count() == 0
+    assert pair_all(left.limit(0), reference, most).count() == 0
+
+
+@pytest.mark.parametrize("lefts, rights", [(2_000, 2_000), (40_000, 100), (100, 40_000)])
+def test_pairs_a_task_are_bounded(spark, lefts, rights):
+    paired = pair_all(spark.range(lefts), spark.range(rights).withColumnRenamed("id", "other"), 250_000)
+    each = [r["n"] for r in paired.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).select("n").collect()]
+    # A few pairs of blocks may fall together.
+    assert sum(each) == 4_000_000 and max(each) <= 5 * 250_000 and len(each) >= 6
 
 
 def test_lookup_takes_one_row_and_never_matches_null(left, reference):

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -7,12 +9,20 @@ from weftline.functions._args import column
 from weftline.functions.dates import spark_format
 
 
+# A number's digits with an optional sign, currency, separators and one point.
+_NUMBER_FORMAT = re.compile(r"(?=.*[09])(?:FM)?(?:MI|S)?[$L]?(?:MI|S)?[09G,]*(?:[.D][09]*)?[$L]?(?:MI|S|PR)?", re.IGNORECASE)
+
+
 def to_char(subject, fmt: str | None = None) -> Column:
-    """Plain cast without a format; number format (0, 9, $, ...) or date format with one."""
+    """Plain cast without a format; number format (0, 9, $, ...) or date format with one.
+
+    A format is a number's if it is nothing but digits 0 and 9 with sign, currency,
+    separators and a point; digits among the letters of a date stand for themselves.
+    """
     subject = column(subject)
     if fmt is None:
         return subject.cast("string")
-    if "0" in fmt or "9" in fmt:
+    if _NUMBER_FORMAT.fullmatch(fmt):
         return F.to_char(subject, F.lit(fmt))
     return F.date_format(subject, spark_format(fmt))
 

@@ -7,6 +7,7 @@ Above that these are shuffled joins that AQE can split when one key is hot.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -57,25 +58,37 @@ def joiner(
     return left.join(right, reduce(lambda a, b: a & b, terms), how)
 
 
-def pair_all(left: DataFrame, right: DataFrame, block_rows: int = 10_000) -> DataFrame:
+#: Pairs that one task of a pairing makes, about.
+PAIRS = 1_000_000
+
+
+def pair_all(left: DataFrame, right: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """Left rows with every right row, as an equi-join on pairs of blocks.
 
-    Both sides are dealt evenly, equal rows too, into blocks of about ``block_rows`` rows,
-    and every left block meets every right block, so no task holds a side whole or makes
-    more than ``block_rows`` squared pairs. Both sides are written once before. The result
+    Both sides are dealt evenly, equal rows too, into blocks, and every left block meets
+    every right block. Blocks are as many as it takes for two to make about ``pairs`` pairs, whatever the sizes
+    of the sides, so no task holds a side whole or makes more. Both sides are written once before. The result
     has ``left x right`` rows by definition; keep the right side small.
     """
     left, left_rows = cut_counted(left)
     right, right_rows = cut_counted(right)
     if not right_rows:
         return left.join(right, F.lit(False), "left")
-    lefts, rights = (max(1, -(-n // block_rows)) for n in (left_rows, right_rows))
+    # Even sides for a pair of blocks, but for one that has fewer rows than that.
+    side = math.isqrt(pairs)
+    right_block = min(right_rows, side if left_rows >= side else max(side, pairs // max(1, left_rows)))
+    lefts, rights = max(1, -(-left_rows // max(1, pairs // right_block))), -(-right_rows // right_block)
     # Rows of a task are numbered one by one, so they go round the blocks in turn.
     dealt = lambda blocks: F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = left.withColumn("_left", dealt(lefts)).withColumn("_right", every(rights))
     b = right.withColumn("_right", dealt(rights)).withColumn("_left", every(lefts))
-    return a.join(b, ["_left", "_right"]).drop("_left", "_right")
+    if lefts * rights == 1:
+        return a.join(b, ["_left", "_right"]).drop("_left", "_right")
+    # A block pair is one task's, however few bytes its rows have.
+    tiles = min(lefts * rights, 100_000)
+    spread = lambda side: side.repartition(tiles, "_left", "_right")
+    return spread(a).join(spread(b).hint("merge"), ["_left", "_right"]).drop("_left", "_right")
 
 
 def lookup(

@@ -58,6 +58,10 @@ _FUNCTIONS = {
                       "(trunc(c_acctbal::DECIMAL(18,2) * 10)::DECIMAL(18,1) / 10)::DECIMAL(18,1)::DOUBLE"),
         "two_digits": (lambda: E.trunc_number(_signed(), 2), "c_acctbal"),
     }),
+    "fn_trunc_decimal": ("customer", "c_custkey", {
+        "wide": (lambda: E.trunc_number(F.expr("cast(c_acctbal as decimal(38,3)) * 10000000000000001BD").cast("decimal(38,3)"), 1, decimal=True).cast("string"),
+                 "left((c_acctbal::DECIMAL(12,2)::DECIMAL(38,3) * 10000000000000001)::DECIMAL(38,3)::VARCHAR, -2)"),
+    }),
     "fn_trunc_round": ("customer", "c_custkey", {
         "one_digit": (lambda: E.trunc_number(F.col("c_acctbal").cast("decimal(18,2)"), 1, mode="round").cast("double"),
                       "round(c_acctbal::DECIMAL(18,2), 1)::DOUBLE"),
@@ -134,6 +138,7 @@ _FUNCTIONS = {
     "fn_to_char_date": ("events", "event_id", {
         "moment": (lambda: E.to_char("ts", "YYYY-MM-DD HH24:MI:SS"), "strftime(ts, '%Y-%m-%d %H:%M:%S')"),
         "day": (lambda: E.to_char("ts", "DD/MM/YYYY"), "strftime(ts, '%d/%m/%Y')"),
+        "with_digits": (lambda: E.to_char("ts", "YYYY-MM-DD 00:09"), "strftime(ts, '%Y-%m-%d 00:09')"),
     }),
     "fn_to_char": ("part", "p_partkey", {
         "whole": (lambda: E.to_char("p_size"), "p_size::VARCHAR"),

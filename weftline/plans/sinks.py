@@ -11,6 +11,7 @@ from weftline.sinks import (
     fan_out,
     nest_packet,
     update_by_key,
+    update_files,
     update_partitions,
     write_csv,
     write_files,
@@ -75,6 +76,20 @@ def sink_update_in_place(t):
     return t.spark.read.parquet(path)
 
 
+@query("sink_update_files", """
+    SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN o_orderkey IS NULL THEN l_returnflag ELSE o_orderstatus END AS l_returnflag
+    FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) / 10 FROM orders)) ON o_orderkey = l_orderkey""")
+def sink_update_files(t):
+    """Line items of the first tenth of the orders take their status, in a table without partitions, where it lies."""
+    path = scratch_path(t.spark, "update-files")
+    t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").repartitionByRange(20, "l_orderkey").write.parquet(path)
+    last = t.orders.agg(F.max("o_orderkey") / 10)
+    updates = t.orders.where(F.col("o_orderkey") < last.scalar()).select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("l_returnflag"))
+    update_files(t.spark, path, updates, ["l_orderkey"], ["l_returnflag"], latest=[F.col("l_returnflag")])
+    return t.spark.read.parquet(path)
+
+
 @query("sink_json", """
     SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(ts, '%Y-%m-%d') AS day,
            nullif(event_type, 'error') AS event_type, value FROM events""")

@@ -8,9 +8,11 @@ from weftline.sinks import write_csv, write_files
 from weftline.sources import (
     attributes_map,
     fetch_incremental,
+    fetch_next,
     generate,
     incremental,
     read_batch,
+    read_fetched,
     read_files,
     read_table,
     read_xml,
@@ -67,6 +69,18 @@ def incremental_pass(t):
     return t.spark.read.parquet(path).withColumn("newest", newest)
 
 
+@query("incremental_position", """
+    SELECT o_orderkey, o_orderdate, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 0 ELSE 1 END AS run FROM orders""")
+def incremental_position(t):
+    """Two fetches whose position is kept with the rows, the second after a call that failed before its record."""
+    path = scratch_path(t.spark, "position")
+    orders = t.orders.select("o_orderkey", "o_orderdate")
+    fetch_next(orders.where(F.col("o_orderdate") < F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")), "o_orderdate", path)
+    orders.where("o_orderkey % 3 = 0").write.parquet(f"{path}/run=1")
+    fetch_next(orders, "o_orderdate", path)
+    return read_fetched(t.spark, path)
+
+
 @query("source_qualifier", """
     SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'""")
 def source_qualifier_query(t):

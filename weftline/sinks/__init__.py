@@ -5,8 +5,11 @@ from weftline.sinks.writers import (
     compact,
     convert,
     fan_out,
+    finish_update,
+    merge_by_key,
     nest_packet,
     update_by_key,
+    update_files,
     update_partitions,
     write_csv,
     write_files,
@@ -15,6 +18,6 @@ from weftline.sinks.writers import (
 )
 
 __all__ = [
-    "append", "compact", "convert", "fan_out", "nest_packet", "update_by_key",
-    "update_partitions", "write_csv", "write_files", "write_json", "write_routes",
+    "append", "compact", "convert", "fan_out", "finish_update", "merge_by_key", "nest_packet", "update_by_key",
+    "update_files", "update_partitions", "write_csv", "write_files", "write_json", "write_routes",
 ]

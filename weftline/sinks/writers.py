@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +96,81 @@ def update_partitions(
         .partitionBy(partition).parquet(path)
 
 
+def update_files(
+    spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], columns: Sequence[str], latest: Sequence[Column],
+) -> int:
+    """``update_by_key`` on Parquet files in place, whatever their layout; the number of files written anew.
+
+    Only files that hold a key of the updates are read whole and replaced; the others stay
+    as they are. The new files are staged next to the target first. A plan of the swap is
+    then written, which commits it: a run that fails later is finished by the next one, or by
+    ``finish_update``. Folders named ``name=value`` stay. Someone who reads while files are
+    swapped may see some of them twice; only one run may update a target at a time. On a table of a catalog that has it, use :func:`merge_by_key`.
+    """
+    finish_update(spark, path)
+    target = spark.read.parquet(path)
+    one = cut_lineage(first_per_key(updates, keys, latest).select(*keys, *[c for c in columns if c not in keys]))
+    # Keys only are read, with the file each row is in.
+    places = target.select(*keys, F.col("_metadata.file_path").alias("_file"))
+    # File paths come with their special characters escaped.
+    touched = [unquote(r[0]) for r in places.join(one.select(*keys).distinct(), list(keys), "left_semi").select("_file").distinct().collect()]
+    if not touched:
+        return 0
+    root = _folder(spark, path)
+    partitions = [p.split("=", 1)[0] for p in touched[0].split(root.toUri().getPath(), 1)[1].split("/")[:-1] if "=" in p]
+    changed = update_by_key(spark.read.schema(target.schema).option("basePath", path).parquet(*touched), one, keys, columns, [F.lit(1)])
+    name = f"_update-{uuid.uuid4().hex}"
+    writer = changed.select(target.columns).write.option("compression", "snappy")
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{path}/{name}")
+    plan = spark.createDataFrame([(f,) for f in touched], "old string").withColumn("staged", F.lit(name))
+    plan.coalesce(1).write.json(f"{path}/_plan-{name}")
+    finish_update(spark, path)
+    return len(touched)
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place)
+
+
+def finish_update(spark: SparkSession, path: str) -> None:
+    """Carry out the swaps that were planned at ``path``, and delete what was staged without a plan.
+
+    Each step can be run again: a staged file is moved if it is still there, an old one deleted if it is.
+    """
+    root = _folder(spark, path)
+    store, at = root.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+    names = [f.getPath().getName() for f in store.listStatus(root)] if store.exists(root) else []
+    for plan in (n for n in names if n.startswith("_plan-") and store.exists(at(f"{root}/{n}/_SUCCESS"))):
+        staged = at(f"{root}/{plan.removeprefix('_plan-')}")
+        if store.exists(staged):
+            files = store.listFiles(staged, True)
+            while files.hasNext():
+                file = files.next().getPath()
+                if file.getName().startswith("part-"):
+                    below = file.toString().split(f"{staged.getName()}/", 1)[1]
+                    new = at(f"{root}/{below}")
+                    store.mkdirs(new.getParent())
+                    store.rename(file, new)
+            store.delete(staged, True)
+        for row in spark.read.schema("old string, staged string").json(f"{root}/{plan}").collect():
+            store.delete(at(row.old), False)
+        store.delete(at(f"{root}/{plan}"), True)
+    for name in names:
+        if name.startswith("_update-") or name.startswith("_plan-"):
+            store.delete(at(f"{root}/{name}"), True)
+
+
+def merge_by_key(
+    spark: SparkSession, table: str, updates: DataFrame, keys: Sequence[str], columns: Sequence[str], latest: Sequence[Column],
+) -> None:
+    """``update_by_key`` as a MERGE INTO on a catalog table whose format has it (untested: none is here)."""
+    first_per_key(updates, keys, latest).select(*keys, *[c for c in columns if c not in keys]).createOrReplaceTempView("_merge_updates")
+    on = " AND ".join(f"t.`{k}` = u.`{k}`" for k in keys)
+    put = ", ".join(f"t.`{c}` = u.`{c}`" for c in columns)
+    spark.sql(f"MERGE INTO {table} t USING _merge_updates u ON {on} WHEN MATCHED THEN UPDATE SET {put}")
+
+
 def compact(df: DataFrame, path: str, rows_per_file: int, fmt: str = "parquet") -> None:
     """Rewrite many small batches as fewer, evenly sized files. AQE sizes the partitions
     (and splits large ones) from the real shuffle sizes."""

@@ -2,10 +2,12 @@
 
 from weftline.sources.readers import (
     fetch_incremental,
+    fetch_next,
     generate,
     high_water,
     incremental,
     read_batch,
+    read_fetched,
     read_files,
     read_jdbc,
     read_table,
@@ -16,7 +18,7 @@ from weftline.sources.readers import (
 from weftline.sources.xml import attributes_map, read_xml, xml_children, xml_flatten
 
 __all__ = [
-    "attributes_map", "fetch_incremental", "generate", "high_water", "incremental", "read_batch",
-    "read_files", "read_jdbc", "read_table", "read_xml", "source_qualifier", "sql_call",
+    "attributes_map", "fetch_incremental", "fetch_next", "generate", "high_water", "incremental", "read_batch",
+    "read_fetched", "read_files", "read_jdbc", "read_table", "read_xml", "source_qualifier", "sql_call",
     "unread_files", "xml_children", "xml_flatten",
 ]

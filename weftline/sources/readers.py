@@ -55,20 +55,80 @@ def high_water(rows: DataFrame, column: str, last=None) -> DataFrame:
     return rows.agg(newest.alias(column))
 
 
+def _carried(column: Column, kind: T.DataType) -> Column:
+    """A value as text that an observation can hold; an instant by its microseconds, as local times repeat."""
+    return (F.unix_micros(column) if isinstance(kind, T.TimestampType) else column).cast("string")
+
+
+def _restored(text: str | None, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(F.lit(text).cast("long"))
+    return F.lit(text).cast(kind)
+
+
+def _append_newer(df: DataFrame, column: str, last: Column | None, path: str, mode: str) -> tuple[str | None, int]:
+    """Write the rows above ``last``; their greatest value as carried text, and their number, from the same pass."""
+    rows = df if last is None else df.where(F.col(column) > last)
+    seen = Observation()
+    rows.observe(seen, _carried(F.max(column), df.schema[column].dataType).alias("newest"), F.count(F.lit(1)).alias("rows")) \
+        .write.mode(mode).parquet(path)
+    return seen.get["newest"], seen.get["rows"]
+
+
 def fetch_incremental(df: DataFrame, column: str, path: str, last=None) -> DataFrame:
     """Append the rows above the last seen maximum to a Parquet target; the one-row new maximum.
 
     Rows and maximum come from the same pass, so a row that arrives in the source meanwhile
     is either written and counted or left to the next fetch.
     """
-    rows = df if last is None else df.where(F.col(column) > F.lit(last))
-    kind, seen = rows.schema[column].dataType, Observation()
-    # As text, which an observation carries for every type.
-    rows.observe(seen, F.max(column).cast("string").alias("newest")).write.mode("append").parquet(path)
-    newest = F.lit(seen.get["newest"]).cast(kind)
-    if last is not None:
-        newest = F.coalesce(newest, F.lit(last).cast(kind))
-    return df.sparkSession.range(1).select(newest.alias(column))
+    kind = df.schema[column].dataType
+    newest, _ = _append_newer(df, column, None if last is None else F.lit(last), path, "append")
+    value = _restored(newest, kind) if last is None else F.coalesce(_restored(newest, kind), F.lit(last).cast(kind))
+    return df.sparkSession.range(1).select(value.alias(column))
+
+
+POSITIONS = "_positions"
+
+
+def _positions(spark: SparkSession, path: str) -> list[tuple[int, str | None, int]]:
+    """(run, newest, rows) of the fetches that were committed, in order; a row a fetch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{POSITIONS}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    rows = spark.read.schema("run long, newest string, rows long").json(f"{path}/{POSITIONS}")
+    return sorted(tuple(r) for r in rows.collect())
+
+
+def fetch_next(df: DataFrame, column: str, path: str) -> int:
+    """Fetch the rows above the maximum that earlier calls left at ``path``; the number fetched.
+
+    Each fetch writes a folder of its own number, then a record of that number with the
+    greatest value, typed by the column. The record commits it: a fetch that fails after
+    its rows were written has none, and the next one takes its number and replaces its
+    folder, so no row is there twice and none is left out. ``read_fetched`` reads what is
+    committed. Rows that are null in the column are fetched by the first call only.
+    """
+    spark, kind = df.sparkSession, df.schema[column].dataType
+    done = _positions(spark, path)
+    held = [newest for _, newest, _ in done if newest is not None]
+    last = _restored(held[-1], kind) if held else None
+    run = done[-1][0] + 1 if done else 0
+    source = df if last is not None or not done else df.where(F.col(column).isNotNull())
+    newest, rows = _append_newer(source, column, last, f"{path}/run={run}", "overwrite")
+    record = spark.range(1).select(F.lit(run).cast("long").alias("run"), F.lit(newest).cast("string").alias("newest"), F.lit(rows).cast("long").alias("rows"))
+    record.coalesce(1).write.mode("append").json(f"{path}/{POSITIONS}")
+    return rows
+
+
+def read_fetched(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed fetches at ``path``, with the ``run`` that brought each."""
+    runs = [run for run, _, _ in _positions(spark, path)]
+    if not runs:
+        raise ValueError(f"nothing was fetched to {path}")
+    # The first folder has a schema even without rows.
+    schema = spark.read.parquet(f"{path}/run={runs[0]}").schema
+    found = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/run={run}" for run in runs])
+    return found.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"/run=(\d+)/[^/]*$", 1).cast("long"))
 
 
 def source_qualifier(

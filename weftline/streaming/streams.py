@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from weftline.operators.project import router
-from weftline.session import cut_lineage
+from weftline.session import cut_counted, free_scratch, scratch_path
 
 # Intake limits per trigger.
 MAX_FILES = 10_000
@@ -77,20 +78,43 @@ def batch_files(path: str, fmt: str = "parquet", **options: str) -> BatchSink:
     return write
 
 
+def _marker(spark: SparkSession, path: str):
+    """A path of the shared store, and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def fan_out_stream(
     df: DataFrame, targets: Mapping[str, tuple[Step, BatchSink]], checkpoint: str, period: str | None = None,
 ) -> StreamingQuery:
     """Send every micro-batch to several targets, each with its own step, shape and sink.
 
-    A batch is written to the shared folder once, so all targets see the same rows. A batch
-    that fails between two targets is run again for all of them: sinks have to replace
-    what they wrote for its number, as ``batch_files`` does. Without ``period`` everything
-    there now is processed and the call returns; with one the query keeps running on that timer.
+    A batch is written to the shared folder once, so all targets see the same rows, and
+    deleted when the batch ends. What each target finished is recorded next to the checkpoint: a
+    batch that fails between two targets is run again for those without a record only. A target
+    that failed half-way has none, so its sink has to replace what it wrote for the batch's number, as ``batch_files``
+    does. Without ``period`` everything there now is processed and the call returns; with one the query keeps running on that timer.
     """
+    records = f"{checkpoint.rstrip('/')}-targets"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        shared = cut_lineage(batch)
-        for step, sink in targets.values():
-            sink(shared.transform(step), batch_id)
+        spark = batch.sparkSession
+        done = {name: _marker(spark, f"{records}/batch={batch_id}/{quote(name, safe='')}") for name in targets}
+        left = [name for name, (place, store) in done.items() if not store.exists(place)]
+        if left:
+            path = scratch_path(spark, "batch")
+            try:
+                shared, _ = cut_counted(batch, path)
+                for name in left:
+                    step, sink = targets[name]
+                    sink(shared.transform(step), batch_id)
+                    place, store = done[name]
+                    store.create(place, True).close()
+            finally:
+                free_scratch(spark, [path])
+        # Spark has committed the batch before by now.
+        place, store = _marker(spark, f"{records}/batch={batch_id - 1}")
+        store.delete(place, True)
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if period is not None:
