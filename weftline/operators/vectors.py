@@ -3,7 +3,7 @@
 A set of entries of checked size is sent to every task, and queries stream past it
 without a shuffle. A larger set is divided into cells around pivot entries; triangle
 inequality bounds tell which cells can hold a query's nearest entry, and the query
-joins only those (after Lu et al., "Efficient processing of k nearest neighbor joins
+meets only those, block by block (after Lu et al., "Efficient processing of k nearest neighbor joins
 using MapReduce", 2012).
 """
 
@@ -44,11 +44,6 @@ def _slack(lengths, width: int):
     return 4.0 * np.sqrt(np.finfo(np.float64).eps * (width + 4)) * lengths
 
 
-def _exact(entries: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    """Distances by differences, added up from left to right as the fold in `_search_cells` does."""
-    return np.sqrt(np.add.accumulate((entries - vector) ** 2, axis=1)[:, -1])
-
-
 def _usable(vector: str) -> Column:
     """Vectors with components, all of them finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -98,6 +93,47 @@ def nearest(
     )
 
 
+def _best(
+    q_ids: np.ndarray, queries: np.ndarray, b_ids: np.ndarray, entries: np.ndarray, k: int, limit: float | None,
+    other_than_self: bool, bound: np.ndarray | None = None,
+) -> pd.DataFrame:
+    """The k nearest of a block of entries for each of a block of queries, none beyond its bound.
+
+    One product of matrices gives all distances roughly; the few pairs that can be among a
+    query's nearest are measured exactly.
+    """
+    found = [pd.DataFrame({"q_id": q_ids[:0], "b_id": b_ids[:0], "distance": np.empty(0), "place": np.empty(0, np.int32)})]
+    order = np.unique(b_ids, return_inverse=True)[1]
+    block = max(1, _BLOCK_NUMBERS // max(1, len(b_ids)))
+    for at in range(0, len(q_ids) if len(b_ids) else 0, block):
+        vectors = queries[at:at + block]
+        rough = _distances(vectors, entries)
+        slack = _slack(_norms(vectors)[:, None] + _norms(entries)[None, :], entries.shape[1])
+        if other_than_self:
+            rough[q_ids[at:at + block, None] == b_ids[None, :]] = np.inf
+        count = min(k, len(b_ids)) - 1
+        most = np.partition(rough + slack, count, axis=1)[:, count]
+        if bound is not None:
+            most = np.minimum(most, bound[at:at + block])
+        query, entry = np.nonzero((rough - slack <= most[:, None]) & np.isfinite(rough))
+        exact = np.empty(len(query))
+        step = max(1, _BLOCK_NUMBERS // entries.shape[1])
+        for i in range(0, len(query), step):
+            part = slice(i, i + step)
+            # Added up from left to right, in every block alike.
+            exact[part] = np.sqrt(np.add.accumulate((entries[entry[part]] - vectors[query[part]]) ** 2, axis=1)[:, -1])
+        if limit is not None:
+            near = exact < limit
+            query, entry, exact = query[near], entry[near], exact[near]
+        sorted_ = np.lexsort((order[entry], exact, query))
+        query, entry, exact = query[sorted_], entry[sorted_], exact[sorted_]
+        place = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        kept = place < k
+        found.append(pd.DataFrame({"q_id": q_ids[at:at + block][query[kept]], "b_id": b_ids[entry[kept]], "distance": exact[kept],
+                                   "place": (place[kept] + 1).astype(np.int32)}))
+    return pd.concat(found, ignore_index=True) if len(found) > 1 else found[0]
+
+
 def _search_sent(
     wanted: DataFrame, entries: DataFrame, k: int, limit: float | None, other_than_self: bool
 ) -> DataFrame:
@@ -106,40 +142,54 @@ def _search_sent(
     matrix = _matrix(rows["b_vec"]) if len(rows) else np.empty((0, 1))
     sent = wanted.sparkSession.sparkContext.broadcast((ids, matrix))
 
-    def best(q_id, q_vec: np.ndarray, near: np.ndarray, ids, matrix):
-        exact = _exact(matrix[near], q_vec)
-        for place, i in enumerate(np.lexsort((ids[near], exact))[:k], 1):
-            if limit is None or exact[i] < limit:
-                yield q_id, ids[near[i]], exact[i], place
-
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = sent.value
-        block = max(1, _BLOCK_NUMBERS // max(1, len(ids)))
         for frame in frames:
-            for at in range(0, len(frame) if len(ids) else 0, block):
-                part = frame.iloc[at:at + block]
-                vectors = _matrix(part["q_vec"])
-                rough = _distances(vectors, matrix)
-                slack = _slack(_norms(vectors)[:, None] + _norms(matrix)[None, :], matrix.shape[1])
-                if other_than_self:
-                    rough[part["q_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-                count = min(k, len(ids)) - 1
-                bound = np.partition(rough + slack, count, axis=1)[:, count]
-                near = (rough - slack <= bound[:, None]) & np.isfinite(rough)
-                out = [
-                    match for row in range(len(part))
-                    for match in best(part["q_id"].iat[row], vectors[row], np.flatnonzero(near[row]), ids, matrix)
-                ]
-                yield pd.DataFrame(out, columns=["q_id", "b_id", "distance", "place"])
-
-    q_type = wanted.schema["q_id"].dataType.simpleString()
-    b_type = entries.schema["b_id"].dataType.simpleString()
-    return wanted.mapInPandas(batches, f"q_id {q_type}, b_id {b_type}, distance double, place int")
+            if len(frame) and len(ids):
+                yield _best(frame["q_id"].to_numpy(), _matrix(frame["q_vec"]), ids, matrix, k, limit, other_than_self)
+
+    return wanted.mapInPandas(batches, f"{_types(wanted, entries)}, place int")
+
+
+def _types(wanted: DataFrame, entries: DataFrame) -> str:
+    return f"q_id {wanted.schema['q_id'].dataType.simpleString()}, b_id {entries.schema['b_id'].dataType.simpleString()}, distance double"
+
+
+def _per_cell(rows: DataFrame, cells: int) -> np.ndarray:
+    """How many blocks each cell's rows make."""
+    blocks = np.ones(cells, dtype=int)
+    for cell, count in rows.groupBy("cell").count().collect():
+        blocks[cell] = -(-count // _CHUNK_ROWS)
+    return blocks
+
+
+def _meet(targets: DataFrame, placed: DataFrame, cells: int, k: int, limit: float | None, other_than_self: bool) -> DataFrame:
+    """(q_id, b_id, distance): the k nearest entries of each block of a cell, for each query sent to that cell.
+
+    Both sides of a cell are cut into blocks, so no group grows with a cell that many
+    queries or entries are in; pairs never leave a group.
+    """
+    many_queries, many_entries = (F.get(F.array(*[F.lit(int(n)) for n in _per_cell(side, cells)]), F.col("cell")) for side in (targets, placed))
+    deal = lambda id_, blocks: F.pmod(F.xxhash64(id_), blocks).cast("int")
+    all_of = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    a = targets.withColumn("query_block", deal("q_id", many_queries)).withColumn("entry_block", all_of(many_entries))
+    b = placed.select("b_id", "b_vec", "cell").withColumn("entry_block", deal("b_id", many_entries)).withColumn("query_block", all_of(many_queries))
+
+    def nearest_of(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(entries):
+            return _best(queries["q_id"].to_numpy()[:0], np.empty((0, 1)), entries["b_id"].to_numpy()[:0], np.empty((0, 1)), k, limit, other_than_self).drop(columns="place")
+        return _best(queries["q_id"].to_numpy(), _matrix(queries["q_vec"]), entries["b_id"].to_numpy(), _matrix(entries["b_vec"]),
+                     k, limit, other_than_self, queries["bound"].to_numpy()).drop(columns="place")
+
+    keys = ["cell", "query_block", "entry_block"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(nearest_of, _types(targets, placed))
 
 
 def _search_cells(
     wanted: DataFrame, entries: DataFrame, k: int, limit: float | None, other_than_self: bool
 ) -> DataFrame:
+    """In two rounds: each query meets the entries of its own cell; what it finds there bounds
+    its nearest, and it goes on to those other cells only that can hold a nearer one."""
     # Pivots are entries themselves, so distances to them bound the nearest from above.
     pivots = _matrix([
         r[0] for r in entries.orderBy(F.xxhash64("b_vec"), "b_id").limit(_PIVOTS)
@@ -154,42 +204,40 @@ def _search_cells(
         return pd.DataFrame({"cell": distances.argmin(1), "reach": distances.min(1), "length": _norms(matrix)})
 
     placed = cut_lineage(entries.withColumn("_a", assign("b_vec")).select("b_id", "b_vec", "_a.*"))
-    radius = np.full(len(pivots), -np.inf)
-    chunks = np.ones(len(pivots), dtype=int)
-    longest = 0.0
-    for cell, reach, rows, length in placed.groupBy("cell").agg(
-            F.max("reach"), F.count("*"), F.max("length")).collect():
-        radius[cell], chunks[cell] = reach, -(-rows // _CHUNK_ROWS)
-        longest = max(longest, length)
+    radius, longest = np.full(len(pivots), -np.inf), 0.0
+    for cell, reach, length in placed.groupBy("cell").agg(F.max("reach"), F.max("length")).collect():
+        radius[cell], longest = reach, max(longest, length)
+
+    @F.pandas_udf("cell int, bound double")
+    def own_cell(vectors: pd.Series) -> pd.DataFrame:
+        distances = _distances(_matrix(vectors), pivots)
+        bound = np.full(len(distances), np.inf if limit is None else limit)
+        if len(pivots) >= keep:
+            bound = np.minimum(bound, np.partition(distances, keep - 1, axis=1)[:, keep - 1])
+        # A rounded distance to a pivot is no bound to the last digit.
+        bound += 4.0 * _slack(_norms(_matrix(vectors)) + longest, pivots.shape[1])
+        distances[:, ~np.isfinite(radius)] = np.inf
+        return pd.DataFrame({"cell": distances.argmin(1), "bound": bound})
+
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "b_id"))
+    first_k = lambda found: found.withColumn("place", place).where(F.col("place") <= k)
+    homed = cut_lineage(wanted.withColumn("_h", own_cell("q_vec")).select("q_id", "q_vec", "_h.*"))
+    near = cut_lineage(first_k(_meet(homed, placed, len(pivots), k, limit, other_than_self)).drop("place"))
+    tight = near.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_kth"))
 
     @F.pandas_udf("array<int>")
-    def candidate_cells(vectors: pd.Series) -> pd.Series:
+    def other_cells(vectors: pd.Series, own: pd.Series, bound: pd.Series) -> pd.Series:
         matrix = _matrix(vectors)
         distances = _distances(matrix, pivots)
         # Four rounded distances meet in a comparison.
         slack = 4.0 * _slack(_norms(matrix) + longest, matrix.shape[1])
-        bound = np.full(len(distances), np.inf if limit is None else limit)
-        if len(pivots) >= keep:
-            bound = np.minimum(bound, np.partition(distances, keep - 1, axis=1)[:, keep - 1])
         lower = np.maximum(
             distances - radius[None, :], (distances - distances.min(1)[:, None]) / 2.0
         )
-        return pd.Series([np.flatnonzero(m).tolist() for m in lower <= (bound + slack)[:, None]])
-
-    # A cell with many entries is cut into chunks, so no join group grows with it.
-    per_cell = F.array(*[F.lit(int(n)) for n in chunks])
-    chunk = F.pmod(F.xxhash64("b_id"), F.get(per_cell, F.col("cell"))).cast("int")
-    targets = (
-        wanted.select("q_id", "q_vec", F.explode(candidate_cells("q_vec")).alias("cell"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.get(per_cell, F.col("cell")) - 1)))
-    )
-    squares = F.zip_with("q_vec", "b_vec", lambda x, y: (x - y) * (x - y))
-    distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, s: total + s))
-    pairs = targets.join(placed.withColumn("chunk", chunk), ["cell", "chunk"])
-    if other_than_self:
-        pairs = pairs.where(F.col("q_id") != F.col("b_id"))
-    scored = pairs.select("q_id", "b_id", distance.alias("distance"))
-    if limit is not None:
-        scored = scored.where(F.col("distance") < limit)
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "b_id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+        can = (lower <= (bound.to_numpy() + slack)[:, None]) & np.isfinite(radius)[None, :]
+        can[np.arange(len(can)), own.to_numpy()] = False
+        return pd.Series([np.flatnonzero(m).tolist() for m in can])
+
+    bounded = homed.join(tight, "q_id", "left").withColumn("bound", F.least("bound", "_kth")).drop("_kth")
+    targets = cut_lineage(bounded.withColumn("cell", F.explode(other_cells("q_vec", "cell", "bound"))))
+    return first_k(near.unionByName(_meet(targets, placed, len(pivots), k, limit, other_than_self)))

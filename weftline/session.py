@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths handed out and not deleted yet, by session.
+#: Paths handed out and not deleted yet, by shared folder.
 _made: dict[str, list[str]] = {}
 
 
@@ -32,14 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    folder = shared_folder(spark)
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(folder, []).append(path)
     return path
 
 
 def scratch_made(spark: SparkSession) -> list[str]:
     """The paths handed out in this session and not deleted yet."""
-    return list(_made.get(spark.sparkContext.applicationId, []))
+    return list(_made.get(shared_folder(spark), []))
 
 
 def free_scratch(spark: SparkSession, paths: Iterable[str], keep: Sequence[DataFrame] = ()) -> None:
@@ -47,7 +48,7 @@ def free_scratch(spark: SparkSession, paths: Iterable[str], keep: Sequence[DataF
 
     Only for scratch whose readers have run: a frame that was built on it can't be read any more.
     """
-    made = _made.get(spark.sparkContext.applicationId, [])
+    made = _made.get(shared_folder(spark), [])
     read = [file for df in keep for file in df.inputFiles()]
     for path in paths:
         if path in made and not any(f"{path.rsplit('/', 1)[-1]}/" in file for file in read):
