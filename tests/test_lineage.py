@@ -7,6 +7,7 @@ import pytest
 from weftline.operators.lineage import (
     Required,
     blocked_nodes,
+    cycle_nodes,
     dangling,
     degrees,
     has_cycle,
@@ -50,6 +51,34 @@ def test_levels_and_blocked_nodes(spark, seed):
     assert has_cycle(df).first()["has_cycle"] == bool(blocked)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_nodes_on_cycles_and_behind_them(spark, seed):
+    pick = random.Random(seed)
+    edges = [(f"n{pick.randrange(14):02}", f"n{pick.randrange(14):02}") for _ in range(18)]
+    # Two rings with a bridge, a loop, a tail, and a way in.
+    edges += [("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y"), ("y", "p"), ("p", "q"), ("q", "p"), ("q", "t"), ("in", "a"), ("l", "l"), ("l", "m"), (None, "a")]
+    reach = {(s, d) for s, d in edges if s and d}
+    while (more := reach | {(a, d) for a, b in reach for c, d in reach if b == c}) != reach:
+        reach = more
+    on = {a for a, b in reach if a == b}
+    blocked = on | {b for a, b in reach if a in on}
+    assert {r.node: r.on_cycle for r in cycle_nodes(frame(spark, edges)).collect()} == {n: n in on for n in blocked}
+    assert cycle_nodes(frame(spark, [("a", "b")])).count() == 0
+
+
+def test_levels_write_no_more_with_depth(spark):
+    """All that the rounds write together: each edge and each node once or twice, not once a level."""
+    from pathlib import Path
+
+    from weftline.session import scratch_made
+    before = {*scratch_made(spark)}
+    depth = 12
+    edges = [(f"a{i}", f"a{i + 1}") for i in range(depth)] + [(f"s{i}", f"w{i}") for i in range(400)]
+    assert topo_levels(frame(spark, edges)).count() == depth + 1 + 800
+    rows = sum(spark.read.option("recursiveFileLookup", True).parquet(p).count() for p in scratch_made(spark) if p not in before and Path(p.removeprefix("file:")).exists())
+    assert rows <= 2 * len(edges) + 2 * (depth + 1 + 800)
+
+
 def test_levels_edge_cases(spark):
     empty = frame(spark, [])
     assert topo_levels(empty).count() == 0 and not has_cycle(empty).first()["has_cycle"]

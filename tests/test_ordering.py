@@ -45,6 +45,22 @@ def test_numbering_matches_sorting(spark, desc, partition, buckets):
     assert got == expected(data, desc, partition)
 
 
+def test_equal_rows_are_spread(spark):
+    """Rows that are equal in every column: each gets its number, and several tasks hold them."""
+    df = spark.range(0, 200_000, 1, 6).select(F.lit(1).alias("v"))
+    ranked = rank(df, "v")
+    assert ranked.agg(F.min("RANK_COL"), F.max("RANK_COL"), F.countDistinct("RANK_COL")).first() == (1, 200_000, 200_000)
+    numbered = number_rows(df, [Order("v")], "n", buckets=16)
+    held = [r["n"] for r in numbered.groupBy(F.spark_partition_id()).count().withColumnRenamed("count", "n").collect()]
+    assert max(held) < 100_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        in_parts = sorter(df, "v").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(in_parts) == 200_000 and max(in_parts) < 100_000
+
+
 def test_text_and_mixed_directions(spark):
     data, df = rows(spark, seed=3)
     numbered = number_rows(df, [Order("t", True), Order("v"), Order("id", True)], "n", buckets=9)

@@ -8,14 +8,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.operators.expand import union_all
-from weftline.operators.joins import lookup_split
+from weftline.operators.joins import lookup, lookup_split
 from weftline.operators.names import contained_in
-from weftline.session import cut_counted, scratch_path
+from weftline.session import cut_counted, cut_lineage, scratch_path
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -33,31 +32,31 @@ def _peel(edges: DataFrame, max_levels: int | None) -> tuple[DataFrame, DataFram
     """Take off nodes without incoming edges, level by level. Returns (node, level) and
     the nodes that never came free.
 
-    Only targets of the edges just taken off can come free next, so a round looks at the
-    edges that are left and at its frontier, both read from where the last round put them.
-    Each frontier is one folder of a table of levels.
+    Edges and the number of inputs of each node are written once. A round writes its
+    frontier and, for each node that the frontier leads to, how many inputs that took off;
+    a node is free once these sum up to its inputs. So all rounds together write as many
+    rows as there are edges and nodes, whatever the depth.
     """
-    table = scratch_path(edges.sparkSession, "levels")
-    left, edge_count = cut_counted(edges.select("src", "dst").dropna().distinct())
-    sources = left.select(F.col("src").alias("node"))
-    free, free_count = cut_counted(_without_input(sources, left), f"{table}/level=0")
+    spark = edges.sparkSession
+    table, taken = scratch_path(spark, "levels"), scratch_path(spark, "taken")
+    pairs, edge_count = cut_counted(edges.select("src", "dst").dropna().distinct())
+    inputs = cut_lineage(pairs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("inputs")))
+    sources = pairs.select(F.col("src").alias("node")).distinct()
+    free, free_count = cut_counted(sources.join(inputs, "node", "left_anti"), f"{table}/level=0")
     level = 0
     while free_count and edge_count:
         level += 1
         if level == max_levels:
             raise ValueError(f"the graph is deeper than max_levels={max_levels}")
-        taken, left = lookup_split(left, free, {"src": "node"}, unique=True)
-        left, edge_count = cut_counted(left)
-        reached = taken.select(F.col("dst").alias("node"))
-        free, free_count = cut_counted(_without_input(reached, left), f"{table}/level={level}")
+        led, _ = lookup_split(pairs, free, {"src": "node"}, unique=True)
+        reached, _ = cut_counted(led.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")), f"{taken}/round={level}")
+        # Only what was reached just now can come free.
+        so_far = spark.read.schema(reached.schema).parquet(taken).join(reached.select("node"), "node", "left_semi")
+        done = so_far.groupBy("node").agg(F.sum("n").alias("n")).join(inputs, "node").where("n = inputs").select("node")
+        free, free_count = cut_counted(done, f"{table}/level={level}")
     schema = T.StructType([*free.schema.fields, T.StructField("level", T.IntegerType())])
-    levels = edges.sparkSession.read.schema(schema).parquet(table)
-    return levels, left.select(F.col("dst").alias("node")).distinct()
-
-
-def _without_input(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    targets = edges.select(F.col("dst").alias("node")).distinct()
-    return nodes.distinct().join(targets, "node", "left_anti")
+    levels = spark.read.schema(schema).parquet(table)
+    return levels, inputs.select("node").join(levels, "node", "left_anti")
 
 
 def topo_levels(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
@@ -77,6 +76,76 @@ def has_cycle(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
     return blocked.agg((F.count("*") > 0).alias("has_cycle"))
 
 
+def cycle_nodes(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """The blocked nodes with ``on_cycle``: whether a node is on a cycle itself or only behind one.
+
+    What leads into no cycle is peeled off from the other end. Of the rest, the strongly
+    connected parts are found by colours: every node takes the greatest name that reaches
+    it; a node that keeps its own name is the root of its part, which is what can be reached
+    from it backwards within its colour. Parts are taken out and the rest is coloured again.
+    """
+    pairs = edges.select("src", "dst").dropna().distinct()
+    blocked = cut_lineage(blocked_nodes(pairs, max_levels))
+    left, count = cut_counted(_among(pairs, blocked))
+    found = [left.where("src = dst").select(F.col("src").alias("node"))]
+    while count:
+        back = cut_lineage(blocked_nodes(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_levels))
+        core, count = cut_counted(_among(left, back).where("src <> dst"))
+        if not count:
+            break
+        colours = _spread_greatest(core)
+        inside = core.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src") \
+            .join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst")
+        inside = cut_lineage(inside)
+        part = _behind(inside, colours.where("node = colour").select("node"))
+        # A root without any other node in its part is on no cycle.
+        found.append(part.where("steps > 0").select("node"))
+        alone = part.where("steps = 0").select("node")
+        back_to = inside.join(part.where("steps > 0").select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+        found.append(alone.join(back_to.distinct(), "node", "left_semi"))
+        rest = _ends(core).join(part, "node", "left_anti")
+        left, count = cut_counted(_among(core, rest))
+    on = found[0]
+    for more in found[1:]:
+        on = on.unionByName(more)
+    return lookup(blocked, on.distinct().withColumn("_on", F.lit(True)), {"node": "node"}, ["_on"], unique=True).select(
+        "node", F.coalesce("_on", F.lit(False)).alias("on_cycle"))
+
+
+def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with both ends among the nodes."""
+    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(
+        nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+
+
+def _spread_greatest(edges: DataFrame) -> DataFrame:
+    """(node, colour): the greatest node that reaches each node, itself included."""
+    colours, changed = cut_lineage(_ends(edges).select("node", F.col("node").alias("colour"), F.lit(True).alias("new"))), 1
+    while changed:
+        # Only colours that were new in the last round can change others.
+        sent = edges.join(colours.where("new").select(F.col("node").alias("src"), "colour"), "src") \
+            .groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
+        joined = colours.drop("new").join(sent, "node", "left")
+        new = F.coalesce(F.col("sent") > F.col("colour"), F.lit(False))
+        colours = cut_lineage(joined.select("node", F.when(new, F.col("sent")).otherwise(F.col("colour")).alias("colour"), new.alias("new")))
+        changed = colours.where("new").limit(1).count()
+    return colours.select("node", "colour")
+
+
+def _behind(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, steps): the nodes that lead to the roots, and how many edges away they were first met."""
+    table = scratch_path(edges.sparkSession, "behind")
+    last, count = cut_counted(roots, f"{table}/steps=0")
+    schema = T.StructType([*last.schema.fields, T.StructField("steps", T.IntegerType())])
+    steps = 0
+    while count:
+        steps += 1
+        known = edges.sparkSession.read.schema(schema).parquet(table)
+        before = edges.join(last.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        last, count = cut_counted(before.join(known, "node", "left_anti"), f"{table}/steps={steps}")
+    return edges.sparkSession.read.schema(schema).parquet(table)
+
+
 def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
@@ -128,23 +197,28 @@ def validation_report(
     warnings are the other findings and the orphans.
     """
     severity = F.when(F.col("severity") == "error", "error").otherwise("warning")
-    kinds = [
-        nodes.select(F.lit("node").alias("kind")),
-        edges.select(F.lit("edge").alias("kind")),
-        findings.select(severity.alias("kind")),
-        dangling(edges, nodes).select(F.lit("error").alias("kind")),
-        has_cycle(edges, max_levels).where("has_cycle").select(F.lit("error").alias("kind")),
-        orphans(nodes, edges).select(F.lit("warning").alias("kind")),
-    ]
-    counts = union_all(*kinds)
-
-    def total(kind: str):
-        return F.count_if(F.col("kind") == kind)
-
-    return counts.agg(
-        (total("error") == 0).alias("valid"), total("error").alias("errors"),
-        total("warning").alias("warnings"), total("node").alias("node_count"),
-        total("edge").alias("edge_count"),
+    # Each input is read once, as it is written with its count; the rest reads those.
+    nodes, node_count = cut_counted(nodes.select("node"))
+    edges, edge_count = cut_counted(edges.select("src", "dst"))
+    seen = Observation()
+    bad = F.col("severity") == "error"
+    findings.observe(seen, F.count_if(bad).alias("errors"), F.count_if(~F.coalesce(bad, F.lit(False))).alias("warnings")) \
+        .write.format("noop").mode("overwrite").save()
+    # One row for each name on either side: how often it is a node, how often an end of an edge.
+    names = nodes.select("node", F.lit(1).alias("n"), F.lit(0).alias("ends")).unionByName(
+        edges.select(F.explode(F.array("src", "dst")).alias("node"), F.lit(0).alias("n"), F.lit(1).alias("ends")))
+    each = names.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    dangling_ends = F.sum(F.when(F.col("n") == 0, F.col("ends")).otherwise(0))
+    alone = F.sum(F.when(F.col("ends") == 0, F.col("n")).otherwise(0))
+    blocked = has_cycle(edges, max_levels)
+    nameless = nodes.where("node is null").agg(F.count("*").alias("nameless"))
+    found = each.agg(F.coalesce(dangling_ends, F.lit(0)).alias("dangling"), F.coalesce(alone, F.lit(0)).alias("alone"))
+    errors = F.lit(seen.get["errors"]) + F.col("dangling") + blocked.scalar().cast("long")
+    orphan = F.when(F.lit(node_count > 1), F.col("alone") + nameless.scalar()).otherwise(0)
+    warnings = F.lit(seen.get["warnings"]) + orphan
+    return found.select(
+        (errors == 0).alias("valid"), errors.cast("long").alias("errors"), warnings.cast("long").alias("warnings"),
+        F.lit(node_count).cast("long").alias("node_count"), F.lit(edge_count).cast("long").alias("edge_count"),
     )
 
 

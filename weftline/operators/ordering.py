@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import cut_counted
+
 _ROWS_PER_BUCKET = 10_000
 _SAMPLE_PER_BUCKET = 30
 
@@ -62,20 +64,19 @@ def number_rows(
     """Row number 1..n over the whole frame, or per ``partition``, without a window over
     more than one bucket of rows.
 
-    Ties are ordered by a hash of the row, so that a value many rows share is cut into
-    buckets too; only rows equal in every column share one. The sort columns of ``df`` are
-    read three times before the rows themselves; where that is not a scan but costly work,
-    cut its lineage first.
+    Ties are ordered by a hash of the row and then by where it was read, so that a value or a
+    whole row that many share is cut into buckets too. The rows are written once, with that
+    place; the sort columns are then read twice before the rows themselves.
     """
     spark, columns = df.sparkSession, df.columns
     # Maps have no hash.
     hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
-    df = df.withColumn("_tie", F.xxhash64(*hashed))
-    order_by = [*order_by, Order("_tie")]
+    # Where a row was read, which is fixed as it is written, tells equal rows apart.
+    df, total = cut_counted(df.withColumns({"_tie": F.xxhash64(*hashed), "_at": F.monotonically_increasing_id()}))
+    order_by = [*order_by, Order("_tie"), Order("_at")]
     orders = [Order(p) for p in partition] + order_by
     row = F.struct(*[F.col(o.name).alias(f"s{i}") for i, o in enumerate(orders)])
     keys = df.select(row.alias("k"))
-    total = df.count()
     if buckets is None:
         most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(2, min(most, total // _ROWS_PER_BUCKET))
@@ -153,12 +154,12 @@ def sorter(
 ) -> DataFrame:
     """Order by one key, optionally adding each row's ``position``. What ties are left are
     ordered by a row hash, which also lets the range exchange spread a key that holds
-    many rows over several partitions."""
+    many rows, equal in every column even, over several partitions."""
     orders = [Order(key, desc)] + [Order(t) for t in tiebreak]
     if position is not None:
         return number_rows(df, orders, position).orderBy(position)
     spread = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.orderBy(*[o.column() for o in orders], spread)
+    return df.orderBy(*[o.column() for o in orders], spread, F.monotonically_increasing_id())
 
 
 def top_k(df: DataFrame, order_by: Sequence[Column], k: int = 1) -> DataFrame:

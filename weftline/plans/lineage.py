@@ -8,6 +8,7 @@ from weftline.operators.expand import union_all
 from weftline.operators.lineage import (
     Required,
     blocked_nodes,
+    cycle_nodes,
     dangling,
     degrees,
     has_cycle,
@@ -94,6 +95,12 @@ def blocked_nodes_query(t):
     return blocked_nodes(_edges(t))
 
 
+@query("cycle_nodes", f"""
+    {_LEVELS_SQL} SELECT node, node IN (SELECT a FROM reach WHERE a = b) AS on_cycle FROM blocked""")
+def cycle_nodes_query(t):
+    return cycle_nodes(_edges(t))
+
+
 @query("orphan_nodes", f"""
     WITH {_EDGES_SQL}, {_NODES_SQL} SELECT node FROM nodes
     WHERE node NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)""")
