@@ -23,12 +23,12 @@ def rules(spark):
     return spark.createDataFrame(RULES, "rule_id int, pattern string, replacement string, approved boolean")
 
 
-@pytest.mark.parametrize("most_joins", [16, 0])
-def test_rule_lookup(spark, rules, most_joins):
+@pytest.mark.parametrize("sent", [32 << 20, 0])
+def test_rule_lookup(spark, rules, sent):
     texts = [" NVL(A, 0)", "\tIIF(XY, 1)", "IIF(X, 1)", "II", "", None, "nvl(", "NVL("] * 2
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
     got = {r["id"]: (r["rule_id"], r["replacement"])
-           for r in rule_lookup(df, rules, "text", most_joins).collect()}
+           for r in rule_lookup(df, rules, "text", sent).collect()}
     for i, text in enumerate(texts):
         fitting = [r for r in RULES if r[3] and r[1] and text and text.strip().startswith(r[1])]
         first = min(fitting) if fitting else None
@@ -36,10 +36,10 @@ def test_rule_lookup(spark, rules, most_joins):
     assert len(got) == len(texts)
 
 
-@pytest.mark.parametrize("most_joins", [16, 0])
-def test_rule_lookup_without_rules(spark, rules, most_joins):
+@pytest.mark.parametrize("sent", [32 << 20, 0])
+def test_rule_lookup_without_rules(spark, rules, sent):
     df = spark.createDataFrame([("a",)], "text string")
-    row = rule_lookup(df, rules.limit(0), "text", most_joins).first()
+    row = rule_lookup(df, rules.limit(0), "text", sent).first()
     assert (row["rule_id"], row["replacement"]) == (None, None)
 
 
@@ -104,6 +104,15 @@ REWRITES = [
 ]
 
 
+def test_rule_lookup_shuffles_no_input(spark, rules):
+    """Any number of pattern lengths, and the input stays where it is."""
+    more = rules.unionByName(spark.range(1, 40).selectExpr("cast(id + 100 as int) rule_id", "repeat('Z', cast(id as int)) pattern", "'z' replacement", "true approved"))
+    df = spark.range(1000).selectExpr("id", "concat(repeat('Z', cast(id % 50 as int)), '!') text")
+    out = rule_lookup(df, more, "text")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.rule_id) for r in out.collect()} == {(i, 101 if i % 50 else None) for i in range(1000)}
+
+
 def test_rewrites(spark):
     rows = rewrite_chain(spark.createDataFrame(REWRITES, "text string, expected string"), "text").collect()
     wrong = [(r["text"], r["rewritten"]) for r in rows if r["rewritten"] != r["expected"] or r["changed"] != (r["text"] != r["expected"])]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftline.operators.joins import first_per_key, lookup
 from weftline.operators.rewrites import to_sql
 from weftline.operators.vectors import nearest
-from weftline.session import cut_counted, cut_lineage
+from weftline.session import cut_lineage
 
 # Confidence per method.
 RULE_CONFIDENCE = 0.97
@@ -26,38 +26,51 @@ def _strip(text: str) -> Column:
     return F.btrim(F.col(text), F.lit(" \t\r\n"))
 
 
-def rule_lookup(
-    df: DataFrame, rules: DataFrame, text: str, most_joins: int = 16, most_rules: int = 100_000
-) -> DataFrame:
+#: Rules up to this size are sent to every task.
+SENT_BYTES = 32 << 20
+
+
+def rule_lookup(df: DataFrame, rules: DataFrame, text: str, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """Add ``rule_id`` and ``replacement`` of the first approved rule (lowest ``rule_id``)
     whose ``pattern`` is a prefix of the stripped text; null when there is none.
 
-    A prefix of known length is an equality, so this is one equi-join per distinct
-    pattern length; no text is compared with all rules. With more than ``most_joins``
-    lengths, or more rules than can be broadcast each time, the distinct texts are
-    exploded into their prefixes instead and joined once.
+    Rules of a checked size (``sent_bytes`` of text) are sent to all tasks, by pattern, and a
+    text's prefixes of the lengths that patterns have are looked up there: nothing is
+    shuffled. With more rules the distinct texts are exploded into such prefixes and joined
+    once. No text is compared with all rules, and both ways give the same rows.
     """
     approved = rules.where("approved").where(F.length("pattern") > 0)
-    # Written once: the rules are read again for each length.
-    patterns, count = cut_counted(first_per_key(
+    # Written once: the rules are read again below.
+    patterns = cut_lineage(first_per_key(
         approved.select("rule_id", "pattern", "replacement"), ["pattern"], [F.col("rule_id")]
     ))
+    size = patterns.agg(F.sum(F.octet_length("pattern") + F.coalesce(F.octet_length("replacement"), F.lit(0)) + 16)).first()[0] or 0
+    if size <= sent_bytes:
+        return _rule_lookup_sent(df, patterns, text)
     # Distinct lengths are few whatever the number of rules; the longest pattern bounds them.
     lengths = [r[0] for r in patterns.select(F.length("pattern")).distinct().collect()]
-    stripped = _strip(text)
-    if len(lengths) > most_joins or count > most_rules:
-        return _rule_lookup_exploded(df, patterns, text, lengths)
-    found = df
-    for n in lengths:
-        of_length = patterns.where(F.length("pattern") == n).select(
-            F.col("pattern").alias("_prefix"),
-            F.struct("rule_id", "replacement").alias(f"_rule{n}"),
-        )
-        found = found.withColumn("_prefix", F.substring(stripped, 1, n))
-        found = lookup(
-            found, of_length, {"_prefix": "_prefix"}, [f"_rule{n}"], unique=True
-        ).drop("_prefix")
-    return _first_rule(found, [F.col(f"_rule{n}") for n in lengths], df.columns)
+    return _rule_lookup_exploded(df, patterns, text, lengths)
+
+
+def _rule_lookup_sent(df: DataFrame, patterns: DataFrame, text: str) -> DataFrame:
+    kind = patterns.schema["rule_id"].dataType
+    known = {r.pattern: (r.rule_id, r.replacement) for r in patterns.collect()}
+    sent = df.sparkSession.sparkContext.broadcast((known, sorted({len(p) for p in known})))
+
+    @F.pandas_udf(f"rule_id {kind.simpleString()}, replacement string")
+    def first(texts: pd.Series) -> pd.DataFrame:
+        known, lengths = sent.value
+
+        def of(given: str | None) -> tuple:
+            stripped = (given or "").strip(" \t\r\n")
+            fitting = (known.get(stripped[:n]) for n in lengths if n <= len(stripped))
+            return min((f for f in fitting if f), key=lambda f: f[0], default=(None, None))
+
+        answers = {t: of(t) for t in texts.unique()}
+        found = [answers[t] for t in texts]
+        return pd.DataFrame({"rule_id": pd.Series([f[0] for f in found], dtype=object), "replacement": pd.Series([f[1] for f in found], dtype=object)})
+
+    return df.withColumn("_first", first(F.col(text))).select(*df.columns, "_first.rule_id", "_first.replacement")
 
 
 def _rule_lookup_exploded(
