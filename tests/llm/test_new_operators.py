@@ -223,3 +223,40 @@ def test_leaks_are_looked_up_once_for_equal_stretches(spark):
     assert {r.doc_id for r in leaks(texts, bench).collect()} == set(range(400))
     left = without_leaks(texts, bench)
     assert left.columns == texts.columns and [tuple(r) for r in left.collect()] == [(1000, "clean text here", 1)]
+
+
+CLASHING = ["_set", "_sig", "_bands", "_row", "_least", "_label", "_first", "_leaf", "_id", "_full", "_e", "_at", "_tie", "_place", "_host", "_page",
+            "_wrapper", "_pages", "_score", "_limit", "nll", "bin", "n", "share", "aside0", "_S"]
+
+
+def test_callers_columns_keep_names_and_values(spark):
+    """Columns whose names the operators use themselves come back as they were."""
+    from weftline.llm.hilbert import hilbert_shards
+    from weftline.llm.minhash import near_duplicates, one_of_each
+    from weftline.llm.mixing import mix
+    from weftline.llm.quality import quality
+    from weftline.llm.wrappers import extract
+    rng = random.Random(1)
+    names = [c for c in CLASHING if c != "_S"]
+    rows = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(30)), rng.choice(["en", "de"]), f"http://h{i % 2}.org/{i}", *[f"{c}{i}" for c in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "_text", "lang", "url", *names])
+    same = lambda out: [tuple(r) for r in out.select("doc_id", "_text", "lang", *names).orderBy("doc_id").collect()] == [r[:3] + r[4:] for r in rows]
+    near = near_duplicates(df, text="_text")
+    assert same(near) and near.columns == [*df.columns, "n_shingles", "component_id", "kept"]
+    assert one_of_each(df, text="_text").columns == df.columns and same(one_of_each(df, text="_text"))
+    assert same(hilbert_shards(df, ["lang", "_leaf"], [], 3, order=["_id"]))
+    assert same(extract(df, page="_text"))
+    good = df.select("doc_id").limit(5)
+    judged = quality(df, good, text="_text")
+    assert same(judged) and judged.columns == [*df.columns, "chars", "perplexity", "limit", "kept"]
+    drawn = mix(df, {"part": F.col("_leaf"), "lang": F.col("lang")}, [F.lit(1), F.lit(1)], F.length("_text"), F.col("_id"), fraction=1.0, max_epochs=1)
+    assert same(drawn)
+
+
+def test_headings_of_sections_stay_and_named_boxes_go(spark):
+    from weftline.llm.wrappers import extract
+    page = "<article><h1>Head {0}</h1><h2>Summary</h2><p>Text {0}<h2>Sources</h2><p>Of {0}</article>"
+    boxes = "".join(f'<div class="{c}">box</div>' for c in ("post-comments", "top-menu", "cookie-bar", "ad-banner", "sidebar-left", "related-links", "user-reviews"))
+    rows = [(i, f"http://a.org/{i}", page.format(i)) for i in range(6)] + [(9, "http://one.org/", f"<div><p>Only text</div>{boxes}")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i}\nSummary\nText {i}\nSources\nOf {i}" for i in range(6)} | {9: "Only text"}

@@ -22,6 +22,7 @@ from weftline.llm.quality import quality
 from weftline.llm.token_trees import TokenTree, count_through_edits
 from weftline.llm.urls import LABELLED, RULES, filter_urls
 from weftline.llm.wrappers import extract
+from weftline.session import cut_lineage
 
 DOC = "doc_id long, text string, lang string, source string, kept string, shard string"
 
@@ -319,7 +320,7 @@ def test_stored_trees_take_more_edits(spark):
     trees = token_trees.with_trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ranks).drop("text")
     for start, put in ((7000, "bc"), (9, " abc")):
         edits = F.array(F.struct(F.lit(start).alias("start"), F.lit(start + 1).alias("stop"), F.lit(put).alias("put")))
-        trees = token_trees.edit_trees(trees.withColumn("edits", edits), ranks).localCheckpoint()
+        trees = cut_lineage(token_trees.edit_trees(trees.withColumn("edits", edits), ranks))
         texts = {k: (t or "")[:start] + put + (t or "")[start + 1:] for k, t in texts.items()}
         got = {r.doc_id: r for r in trees.collect()}
         for k, text in texts.items():

@@ -17,6 +17,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def set_aside(df: DataFrame, also: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with names for its columns that no operator uses itself, and those names.
+
+    Operators name what they add for themselves with a leading underscore, or as ``also`` says.
+    """
+    taken, names = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("_") or c.lower() in also:
+            new = f"aside{len(names)}"
+            while new in taken:
+                new = f"x{new}"
+            taken.add(new)
+            names[c] = new
+    return df.withColumnsRenamed(names) if names else df, names
+
+
+def put_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns by the names they had before :func:`set_aside`."""
+    return df.withColumnsRenamed({new: old for old, new in names.items()}) if names else df
+
+
 def with_positions(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
     """All rows with their place 0, 1, 2, ... in the given order, and how many there are.
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import with_positions
+from weftline.llm.common import put_back, set_aside, with_positions
 
 
 def _text_number(col: Column, skip: int) -> Column:
@@ -74,7 +74,8 @@ def hilbert_shards(
     rows than shards some shards are empty; an empty table gives none. Columns called
     curve, shard or slot are replaced.
     """
-    df = df.drop("curve", "shard", "slot")
+    df, names = set_aside(df.drop("curve", "shard", "slot"))
+    text_dims, size_dims, order = ([names.get(c, c) for c in some or []] for some in (text_dims, size_dims, order))
     ends = df.agg(*[f(F.substring(F.col(f"`{c}`"), 1, 64)).alias(f"{n}{i}") for i, c in enumerate(text_dims)
                     for n, f in (("lo", F.min), ("hi", F.max))]).first() if text_dims else {}
     numbers = []
@@ -93,8 +94,8 @@ def hilbert_shards(
     placed, rows = with_positions(curved, [F.col("curve"), *[F.col(f"`{c}`") for c in order or []]], "_place")
     rows = max(rows, 1)
     first = F.expr(f"(cast(shard as long) * {rows} + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", F.expr(f"cast(_place * {shards} div {rows} as int)")).withColumn(
-        "slot", F.col("_place") - first).drop("_place")
+    return put_back(placed.withColumn("shard", F.expr(f"cast(_place * {shards} div {rows} as int)")).withColumn(
+        "slot", F.col("_place") - first).drop("_place"), names)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.common import put_back, set_aside
 from weftline.session import cut_lineage
 
 #: Hash digits that cut a leaf's seeded order into pieces (16**4 at most).
@@ -86,7 +87,10 @@ def mix(
     # The level columns are packed, as a null is a value here and a hot leaf must be free to be split.
     leaf_key = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     rows = docs.withColumns(levels).withColumn("tokens", F.coalesce(tokens.cast("long"), F.lit(0))).where("tokens > 0")
-    rows = rows.withColumn("_id", F.coalesce(row_id.cast("string"), F.lit(""))).withColumn("_leaf", leaf_key)
+    # The caller's expressions are worked out while its columns still have their names.
+    id_ = F.coalesce(row_id.cast("string"), F.lit(""))
+    _, aside = set_aside(docs.drop(*names))
+    rows = rows.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in rows.columns], id_.alias("_id"), leaf_key.alias("_leaf"))
     slim = cut_lineage(rows.select(*names, "_leaf", "_id", "tokens"))
     leaf = slim.groupBy("_leaf", *names).agg(F.sum("tokens").alias("_held"))
     leaf = leaf.withColumns({f"_w{i}": F.greatest(F.coalesce(w.cast("long"), F.lit(0)), F.lit(0)) for i, w in enumerate(weights)})
@@ -104,9 +108,9 @@ def mix(
     entry = lambda e, take: F.struct(e.cast("int").alias("epoch"), take.cast("long").alias("take"))
     all_of_it = F.transform(F.sequence(F.lit(0), F.col("_full")), lambda e: entry(
         e, F.when(e < F.col("_full"), F.col("tokens")).otherwise(F.col("_some"))))
-    keep = [*[c for c in docs.columns if c not in names], *names, "tokens"]
+    keep = [*[aside.get(c, c) for c in docs.columns if c not in names], *names, "tokens"]
     taken = drawn.withColumn("_some", some).select(*keep, F.explode(all_of_it).alias("_e"))
-    return taken.where("_e.take > 0").select(*keep, "_e.epoch", "_e.take")
+    return put_back(taken.where("_e.take > 0").select(*keep, "_e.epoch", "_e.take"), aside)
 
 
 def _edges(slim: DataFrame, plan: DataFrame, order: Column) -> DataFrame:

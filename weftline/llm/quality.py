@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.common import put_back, set_aside
 from weftline.session import cut_lineage
 
 ORDER, BITS = 4, 5
@@ -180,8 +181,11 @@ def quality(
     count as often as they occur; a null id is not trusted. Columns called chars,
     perplexity, limit or kept are replaced.
     """
-    docs = docs.drop("chars", "nll", "perplexity", "limit", "kept")
-    keep = [c for c in keep or docs.columns if c in docs.columns]
+    docs, names = set_aside(docs.drop("chars", "perplexity", "limit", "kept"), also=("nll", "lang_", "bin", "n", "share"))
+    trusted = trusted.withColumnRenamed(key, names.get(key, key))
+    key, text, lang = (names.get(c, c) for c in (key, text, lang))
+    keep = [names.get(c, c) for c in keep] if keep else docs.columns
+    keep = [c for c in keep if c in docs.columns]
     ids = trusted.select(F.col(f"`{key}`").alias("_id")).distinct()
     good = lambda df: df.join(ids.hint("merge"), F.col(f"`{key}`") == F.col("_id"), "left_semi")
     texts = good(docs.select(f"`{key}`", f"`{text}`").where(F.length(F.col(f"`{text}`")) > 0)).select(f"`{text}`")
@@ -204,5 +208,5 @@ def quality(
     out = scored.join(named, tongue == F.col("lang_"), "left")
     middle, limit = (F.coalesce(F.col(c), F.lit(x).cast("double")) for c, x in zip(("_middle", "_limit"), overall, strict=True))
     level = (F.col("nll") + prior * middle) / (F.col("chars") + prior)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "chars", F.exp(level).alias("perplexity"), F.exp(limit).alias("limit"),
-                      F.coalesce(level <= limit, F.lit(True)).alias("kept"))
+    return put_back(out.select(*[F.col(f"`{c}`") for c in keep], "chars", F.exp(level).alias("perplexity"), F.exp(limit).alias("limit"),
+                               F.coalesce(level <= limit, F.lit(True)).alias("kept")), names)

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import put_back, set_aside
 from weftline.llm.urls import host_of
 from weftline.session import cut_lineage
 
@@ -40,7 +41,8 @@ NOT_MAIN = {
     "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "complementary", "contentinfo", "header", "gdpr",
     "masthead", "widget", "disclaimer", "copyright", "reactions", "ad-container", "ad-slot", "comment-list", "comments-area", "cookie-banner",
     "cookie-consent", "cookie-notice", "main-nav", "newsletter-signup", "related-articles", "related-posts", "share-buttons", "site-footer",
-    "site-header", "social-links", "social-share",
+    "site-header", "social-links", "social-share", "post-comments", "reader-comments", "user-reviews", "top-menu", "main-menu", "side-menu",
+    "cookie-bar", "ad-banner", "ad-box", "sidebar-left", "sidebar-right", "left-sidebar", "right-sidebar", "related-links", "see-also",
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -353,6 +355,11 @@ def in_main(path: str, has_main: bool) -> bool:
     return inside
 
 
+def _is_section(key: str) -> bool:
+    labels = key[1:].split("/")
+    return labels[-1] in HEADINGS and any(label in MAIN for label in labels)
+
+
 class Reader:
     """Reads pages of one host by its wrapper."""
 
@@ -361,7 +368,8 @@ class Reader:
         enough = max(FIXED, SHARE * pages)
         slots = [(key, fixed, n) for _, _, held, n in wrapper for key, (fixed, most) in held.items() if _is_fixed(fixed, most)]
         varies = len(slots) < sum(len(p[2]) for p in wrapper)
-        self.fixed = {(k, t) for k, fixed, n in slots if n >= enough and varies for t in fixed if t}
+        # The headings of an article's sections are its own, however many pages have them.
+        self.fixed = {(k, t) for k, fixed, n in slots if n >= enough and varies and not _is_section(k) for t in fixed if t}
 
     def text(self, page: str) -> str:
         tokens = stream(page)
@@ -378,12 +386,15 @@ def extract(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFr
     neither, without parts that their elements or names mark as navigation, advert, notice,
     form, comment and the like, and without what the wrapper has as fixed: text that is in
     its slot or repeated group on every page that has that, if it is most of what the slot
-    holds and these are FIXED pages with different main text and a SHARE of the host's. Blocks keep their order, one to a line.
+    holds and these are FIXED pages with different main text and a SHARE of the host's. Headings inside an article or
+    main element stay, fixed or not. Blocks keep their order, one to a line.
 
     A null or empty page, and one without main text, has the empty text. Pages without a
     host share a wrapper. Repeated rows are read alike; columns called text or n_chars are
     replaced.
     """
+    pages, names = set_aside(pages)
+    url, page = names.get(url, url), names.get(page, page)
     rows = pages.drop("text", "n_chars").withColumn("_host", host_of(F.col(f"`{url}`"))).withColumn("_page", F.coalesce(F.col(f"`{page}`"), F.lit("")))
     wrappers = cut_lineage(infer_wrappers(rows.where("_page <> ''").select(F.col("_host").alias("host"), F.col("_page").alias("html"))))
     joined = rows.join(wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"), F.col("pages").alias("_pages")), "_host", "left")
@@ -405,4 +416,4 @@ def extract(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFr
             yield pd.Series(out)
 
     found = joined.withColumn("text", read("_host", "_page", "_wrapper", "_pages"))
-    return found.withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_page", "_wrapper", "_pages")
+    return put_back(found.withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_page", "_wrapper", "_pages"), names)
