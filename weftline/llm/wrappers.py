@@ -360,16 +360,20 @@ def _is_section(key: str) -> bool:
     return labels[-1] in HEADINGS and any(label in MAIN for label in labels)
 
 
+def furniture(wrapper: list[list], pages: int) -> list[tuple[str, int]]:
+    """The slots and hashes of the text that a wrapper has as fixed over enough of its pages, if other text of theirs differs."""
+    enough = max(FIXED, SHARE * pages)
+    slots = [(key, fixed, n) for _, _, held, n in wrapper for key, (fixed, most) in held.items() if _is_fixed(fixed, most)]
+    varies = len(slots) < sum(len(p[2]) for p in wrapper)
+    # The headings of an article's sections are its own, however many pages have them.
+    return sorted({(k, t) for k, fixed, n in slots if n >= enough and varies and not _is_section(k) for t in fixed if t})
+
+
 class Reader:
-    """Reads pages of one host by its wrapper."""
+    """Reads pages of one host by what its wrapper has as furniture."""
 
-    def __init__(self, wrapper: list[list], pages: int):
-        # Text that stays fixed over enough of the pages is furniture, if other text of theirs differs.
-        enough = max(FIXED, SHARE * pages)
-        slots = [(key, fixed, n) for _, _, held, n in wrapper for key, (fixed, most) in held.items() if _is_fixed(fixed, most)]
-        varies = len(slots) < sum(len(p[2]) for p in wrapper)
-        # The headings of an article's sections are its own, however many pages have them.
-        self.fixed = {(k, t) for k, fixed, n in slots if n >= enough and varies and not _is_section(k) for t in fixed if t}
+    def __init__(self, fixed: list[tuple[str, int]]):
+        self.fixed = {(k, t) for k, t in fixed}
 
     def text(self, page: str) -> str:
         tokens = stream(page)
@@ -397,23 +401,29 @@ def extract(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFr
     url, page = names.get(url, url), names.get(page, page)
     rows = pages.drop("text", "n_chars").withColumn("_host", host_of(F.col(f"`{url}`"))).withColumn("_page", F.coalesce(F.col(f"`{page}`"), F.lit("")))
     wrappers = cut_lineage(infer_wrappers(rows.where("_page <> ''").select(F.col("_host").alias("host"), F.col("_page").alias("html"))))
-    joined = rows.join(wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"), F.col("pages").alias("_pages")), "_host", "left")
+    @F.pandas_udf("string")
+    def fixed_text(wrapped: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(furniture(_parts(w), n)) for w, n in zip(wrapped, counts, strict=True)], dtype=object)
+
+    # Pages get only what decides about them: a wrapper is many times larger, and goes with every row of its host.
+    decides = cut_lineage(wrappers.select(F.col("host").alias("_host"), fixed_text("wrapper", "pages").alias("_wrapper")))
+    joined = rows.join(decides, "_host", "left")
 
     @F.pandas_udf("string")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         readers: dict[str, Reader] = {}
-        for hosts, texts, wrapped, counts in batches:
+        for hosts, texts, wrapped in batches:
             out = []
-            for host, text, wrapper, pages in zip(hosts, texts, wrapped, counts, strict=True):
+            for host, text, wrapper in zip(hosts, texts, wrapped, strict=True):
                 if not text:
                     out.append("")
                     continue
                 if host not in readers:
                     if len(readers) >= 256:
                         readers.clear()
-                    readers[host] = Reader(_parts(wrapper), pages)
+                    readers[host] = Reader(json.loads(wrapper))
                 out.append(readers[host].text(text))
             yield pd.Series(out)
 
-    found = joined.withColumn("text", read("_host", "_page", "_wrapper", "_pages"))
-    return put_back(found.withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_page", "_wrapper", "_pages"), names)
+    found = joined.withColumn("text", read("_host", "_page", "_wrapper"))
+    return put_back(found.withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_page", "_wrapper"), names)
