@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from weftline.session import cut_lineage, free_scratch, freed_scratch, scratch_made, scratch_path
+from weftline.session import SHUFFLE_CLEANUP, cut_lineage, free_scratch, freed_scratch, scratch_made, scratch_path
 
 
 def folder(path: str) -> Path:
@@ -34,3 +34,11 @@ def test_scratch_of_a_block_is_freed_after_an_error(spark):
         assert folder(path).exists()
         raise ValueError
     assert not folder(path).exists() and outside.count() == 2
+
+
+def test_a_step_leaves_no_shuffle_files_and_the_setting_as_it_was(spark):
+    files = lambda: {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+                     for f in Path(d).rglob("shuffle_*")}
+    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    assert cut_lineage(spark.range(1000).repartition(4, "id")).count() == 1000
+    assert files() <= before and spark.conf.get(SHUFFLE_CLEANUP) == setting

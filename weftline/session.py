@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Paths handed out and not deleted yet, by shared folder.
 _made: dict[str, list[str]] = {}
 
@@ -67,16 +69,28 @@ def freed_scratch(spark: SparkSession) -> Iterator[None]:
         free_scratch(spark, [p for p in scratch_made(spark) if p not in before])
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs inside deletes the shuffle files of each query at that query's end, whatever the session says."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut_counted(df: DataFrame, path: str | None = None) -> tuple[DataFrame, int]:
     """Write the rows to the shared folder (or a ``path`` in it) and go on from there,
     with their number.
 
-    Nothing before this is computed again when an executor is lost, and the planner knows
-    the size from here on.
+    Nothing before this is computed again when an executor is lost, so its shuffle files
+    go once the rows are written, and the planner knows the size from here on.
     """
     path = path or scratch_path(df.sparkSession, "step")
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
