@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.llm import quality as quality_model
 from weftline.llm.common import components
 from weftline.llm.decontaminate import leaks, without_leaks
 from weftline.llm.hilbert import curve_index, hilbert_shards
@@ -152,6 +155,83 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert all(r.kept for r in quality(df, good.limit(0)).collect()) and quality(docs(spark, []), good).count() == 0
 
 
+def brute_kneser_ney(texts, order):
+    """-log p of each byte of a text after the bytes before it, from sets and counters of byte strings."""
+    grams = lambda t: [(b"\n" * (order - 1) + t)[i:i + order] for i in range(len(t))]
+    counts = {order: Counter(g for t in texts for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut, follow = {}, {k: defaultdict(dict) for k in counts}
+    for k, seen in counts.items():
+        n = [sum(v == i for v in seen.values()) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
+        cut[k] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0), i) if n[i - 1] else y for i in (1, 2, 3)]
+        for g, v in seen.items():
+            follow[k][g[:-1]][g] = v
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        after = follow[len(g)].get(g[:-1])
+        if not after:
+            return p(g[1:])
+        some = cut[len(g)]
+        all_, left = sum(after.values()), sum(some[min(v, 3) - 1] for v in after.values())
+        v = after.get(g, 0)
+        return ((v - some[min(v, 3) - 1] if v else 0) + left * p(g[1:])) / all_
+
+    return lambda t: sum(-math.log(max(p(g), 1e-12)) for g in grams(t))
+
+
+@pytest.mark.parametrize("block,stretch", [(1 << 25, 1 << 22), (1 << 10, 50)])
+def test_perplexity_equals_brute_force(spark, monkeypatch, block, stretch):
+    # Small blocks: rows equal in id and text overfill one.
+    monkeypatch.setattr(quality_model, "BLOCK", block)
+    monkeypatch.setattr(quality_model, "STRETCH", stretch)
+    rng = random.Random(8)
+    alphabets = ["abcde ,.", "äöüß дом", "漢字 。仮"]
+    rows = [(i, "".join(rng.choice(alphabets[i % 3]) for _ in range(rng.randrange(1, 260)))) for i in range(60)]
+    rows += [(70, None), (71, ""), (72, "x"), (None, "null id"), *[(73, "many rows equal in id and text")] * 200]
+    df = docs(spark, rows)
+    probs, gammas = quality_model.kneser_ney(cut_lineage(quality_model.count_ngrams(df.where("doc_id < 40").select("text"))))
+    whole = brute_kneser_ney([t.encode() for i, t in rows if i is not None and i < 40 and t], quality_model.ORDER)
+    got = quality_model.with_perplexity(df, "doc_id", "text", ["doc_id", "text", "kept"], probs, gammas).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    for r in got:
+        data = (r.text or "").encode()
+        assert r.n_bytes == len(data) and r.nll == pytest.approx(whole(data), rel=1e-5)
+    # The probabilities after a context never add up to more than one.
+    assert probs[3].groupBy(F.shiftright("code", 8)).agg(F.sum("p").alias("seen")).where("seen > 1 + 1e-9").count() == 0
+
+
+def test_long_texts_are_coded_in_stretches(monkeypatch):
+    monkeypatch.setattr(quality_model, "STRETCH", 50)
+    texts = [b"abc" * 70, None, b"", b"x", b"defg" * 20]
+    got = [[] for _ in texts]
+    for owners, sizes, code in quality_model.coded(texts):
+        for owner, part in zip(owners, np.split(code, np.cumsum(sizes)[:-1]), strict=True):
+            got[owner] += part.tolist()
+    for text, codes in zip(texts, got, strict=True):
+        padded = b"\n" * 4 + (text or b"")
+        assert codes == [int.from_bytes(padded[i:i + 5], "big") for i in range(len(text or b""))]
+
+
+def test_quality_knows_the_letters_of_any_script(spark):
+    rng = random.Random(3)
+    syllables = ["при", "вет", "до", "ма", "ня", "сто", "ли", "ца"]
+    prose = lambda: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(120))
+    junk = lambda text: "".join(rng.choice("абвгдежзийклмнопрстуфхцчшщ") if c != " " else c for c in text)
+    rows = [(i, prose()) for i in range(80)] + [(100 + i, junk(prose())) for i in range(10)]
+    good = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    got = {r.doc_id: r for r in quality(docs(spark, rows), good).collect()}
+    # Limits come from a dozen held-out texts here: few others may be over them.
+    assert sum(got[i].kept for i in range(80)) >= 77 and not any(got[100 + i].kept for i in range(10))
+    named = docs(spark, rows[:5]).withColumns({"n_bytes": F.lit("n"), "limit": F.lit(1), "_block": F.lit("b"), "nll": F.lit("l"), "code": F.lit("c")})
+    out = quality(named, good)
+    assert {(r["_block"], r["nll"], r["code"]) for r in out.collect()} == {("b", "l", "c")} and dict(out.dtypes)["n_bytes"] == "bigint"
+    assert quality(docs(spark, rows), good, keep=["doc_id"]).columns == ["doc_id", "n_bytes", "perplexity", "limit", "kept"]
+
+
 def test_curve_steps_to_neighbours(spark):
     cube = spark.range(512).select((F.col("id") % 8).alias("x"), F.expr("id div 8 % 8").alias("y"), F.expr("id div 64").alias("z"))
     rows = cube.withColumn("h", curve_index([F.col("x"), F.col("y"), F.col("z")], 3)).orderBy("h").collect()
