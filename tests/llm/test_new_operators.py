@@ -161,7 +161,7 @@ def test_negatives_of_odd_input(spark):
     assert hard_negatives(usable(df), "vec_id = 77").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op11_conversation_trie", "op12_secret_scan", "op13_hard_negatives"])
+@pytest.mark.parametrize("name", ["op8_minhash_near_duplicates", "op11_conversation_trie", "op12_secret_scan", "op13_hard_negatives"])
 def test_query_matches_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     assert difference(QUERIES[name](spark, folder), connect(folder), ORACLES[name]) is None

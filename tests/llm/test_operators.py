@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftline.llm import quality as quality_model
 from weftline.llm.common import components
 from weftline.llm.decontaminate import leaks, without_leaks
-from weftline.llm.hilbert import curve_index, hilbert_shards
+from weftline.llm.hilbert import curve_index, hilbert_shards, write_shards
 from weftline.llm.language import identify, train, training_sample
 from weftline.llm.minhash import near_duplicates, one_of_each
 from weftline.llm.mixing import mix
@@ -199,7 +199,7 @@ def test_perplexity_equals_brute_force(spark, monkeypatch, block, stretch):
     assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
     for r in got:
         data = (r.text or "").encode()
-        assert r.n_bytes == len(data) and r.nll == pytest.approx(whole(data), rel=1e-5)
+        assert (r.chars, r["_bytes"]) == (len(r.text or ""), len(data)) and r.nll == pytest.approx(whole(data), rel=1e-5)
     # The probabilities after a context never add up to more than one.
     assert probs[3].groupBy(F.shiftright("code", 8)).agg(F.sum("p").alias("seen")).where("seen > 1 + 1e-9").count() == 0
 
@@ -226,10 +226,10 @@ def test_quality_knows_the_letters_of_any_script(spark):
     got = {r.doc_id: r for r in quality(docs(spark, rows), good).collect()}
     # Limits come from a dozen held-out texts here: few others may be over them.
     assert sum(got[i].kept for i in range(80)) >= 77 and not any(got[100 + i].kept for i in range(10))
-    named = docs(spark, rows[:5]).withColumns({"n_bytes": F.lit("n"), "limit": F.lit(1), "_block": F.lit("b"), "nll": F.lit("l"), "code": F.lit("c")})
+    named = docs(spark, rows[:5]).withColumns({"chars": F.lit("n"), "limit": F.lit(1), "_block": F.lit("b"), "nll": F.lit("l"), "code": F.lit("c")})
     out = quality(named, good)
-    assert {(r["_block"], r["nll"], r["code"]) for r in out.collect()} == {("b", "l", "c")} and dict(out.dtypes)["n_bytes"] == "bigint"
-    assert quality(docs(spark, rows), good, keep=["doc_id"]).columns == ["doc_id", "n_bytes", "perplexity", "limit", "kept"]
+    assert {(r["_block"], r["nll"], r["code"]) for r in out.collect()} == {("b", "l", "c")} and dict(out.dtypes)["chars"] == "bigint"
+    assert quality(docs(spark, rows), good, keep=["doc_id"]).columns == ["doc_id", "chars", "perplexity", "limit", "kept"]
 
 
 def test_curve_steps_to_neighbours(spark):
@@ -249,6 +249,23 @@ def test_shards_are_even_runs(spark, rows):
         assert sorted(r.slot for r in out if r.shard == k) == list(range(counts[k]))
 
 
+def test_shards_are_pruned_by_two_dimensions(spark, tmp_path):
+    rng = random.Random(6)
+    # A third of the rows are of one source; sizes are skewed.
+    rows = [(i, "s00" if rng.random() < 0.33 else f"s{rng.randrange(20):02}", int(10 ** rng.uniform(0, 5))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    placed = hilbert_shards(df, ["source"], ["size"], 32, order=["doc_id"])
+    write_shards(placed, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.doc_id, r.source, r.size) for r in back.collect()) == rows
+    ends = back.groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("b"), F.min("size").alias("c"), F.max("size").alias("d")).collect()
+    read = [sum(r.a <= f"s{k:02}" <= r.b and r.c <= 10 * low and r.d >= low for r in ends) for k in range(20) for low in (1, 100, 3000)]
+    # Either dimension alone in order would leave half of the shards or more to a filter on the other.
+    assert len(ends) == 32 and np.mean(read) < 32 / 4
+    slots = [r.slot for r in back.where("shard = 3").collect()]
+    assert slots == sorted(slots)
+
+
 @pytest.mark.parametrize("sparse", [1, 1000])
 def test_edited_fingerprints(spark, sparse):
     rng = random.Random(sparse)

@@ -51,6 +51,11 @@ def curve_index(cells: list[Column], bits: int) -> Column:
         "shiftright", F.element_at(g, p["i"] + 1), p["b"]).bitwiseAND(F.lit(1))))
 
 
+def _steps_below(value: Column, steps: list[int]) -> Column:
+    """How many of the steps a value has reached."""
+    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]).cast("array<bigint>"), lambda s: s <= value))
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -65,9 +70,10 @@ def hilbert_shards(
 ) -> DataFrame:
     """The rows with ``curve`` (place on the curve), ``shard`` and ``slot`` (place in the shard).
 
-    Each dimension is cut into 2**bits steps between its least and greatest value over all
-    rows; text counts by the three characters after what least and greatest have in
-    common, sizes by their logarithm. Rows are ordered by curve, then by ``order``, and
+    Each dimension is cut into 2**bits steps of about as many rows each (a value that more
+    rows share takes several steps), so skewed values spread over the curve; text counts by
+    the three characters after what least and greatest have in common, sizes by their
+    logarithm. Rows are ordered by curve, then by ``order``, and
     cut into runs whose row counts differ by one at most, however many rows share a cell.
 
     Nulls take the lowest step. Equal rows stay apart and each gets its slot. With fewer
@@ -84,12 +90,10 @@ def hilbert_shards(
         skip = next((k for k, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
         numbers.append(_text_number(F.col(f"`{c}`"), skip))
     numbers += [_size_number(F.col(f"`{c}`")) for c in size_dims]
-    spans = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(numbers) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    cells = []
-    for i, v in enumerate(numbers):
-        low, wide = spans[f"lo{i}"] or 0, max(1, (spans[f"hi{i}"] or 0) - (spans[f"lo{i}"] or 0))
-        cells.append(F.call_function(
-            "div", F.coalesce((v - low) * ((1 << bits) - 1), F.lit(0).cast("long")), F.lit(wide).cast("long")))
+    # One list of 2**bits - 1 numbers for each dimension, whatever the data.
+    shares = F.array(*[F.lit(k / (1 << bits)) for k in range(1, 1 << bits)])
+    steps = df.agg(*[F.percentile_approx(v, shares, F.lit(10_000)).alias(f"q{i}") for i, v in enumerate(numbers)]).first()
+    cells = [_steps_below(v, steps[f"q{i}"] or []) for i, v in enumerate(numbers)]
     curved = df.withColumn("curve", curve_index(cells, bits))
     placed, rows = with_positions(curved, [F.col("curve"), *[F.col(f"`{c}`") for c in order or []]], "_place")
     rows = max(rows, 1)

@@ -9,6 +9,8 @@ from weftline.llm.common import put_back, set_aside
 from weftline.session import cut_lineage
 
 #: Hash digits that cut a leaf's seeded order into pieces (16**4 at most).
+#: Parts that the rows of each leaf are dealt into where they meet its plan.
+SALTS = 16
 PIECE_DIGITS = 4
 
 
@@ -101,7 +103,7 @@ def mix(
         "_leaf", F.expr("cast(granted div _held as int)").alias("_full"), F.expr("granted % _held").alias("_part")))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_full").cast("string"), "_id"))
     plan = plan.join(_edges(slim, plan, order), "_leaf", "left")
-    drawn = rows.join(plan, "_leaf").withColumn("_at", F.struct(order.alias("o"), F.col("_id").alias("i")))
+    drawn = _planned(rows, plan).withColumn("_at", F.struct(order.alias("o"), F.col("_id").alias("i")))
     last = F.call_function("div", _whole("_rest") * _whole("tokens"), _whole("_unit")).cast("long")
     some = F.when(F.col("_at") < F.col("_edge"), F.col("tokens")).when(F.col("_at") == F.col("_edge"), last).otherwise(F.lit(0))
     some = F.when(F.col("_part") > 0, some).otherwise(F.lit(0))
@@ -113,6 +115,13 @@ def mix(
     return put_back(taken.where("_e.take > 0").select(*keep, "_e.epoch", "_e.take"), aside)
 
 
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows with their leaf's line of the plan. A leaf is dealt into SALTS parts by id, each with a copy of that line."""
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS))
+    salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", salt).join(salted, ["_leaf", "_salt"]).drop("_salt")
+
+
 def _edges(slim: DataFrame, plan: DataFrame, order: Column) -> DataFrame:
     """For each leaf with a part of an epoch: the id its budget ends in (``_edge``), the
     tokens of all rows with that id (``_unit``) and how many of them still fit (``_rest``).
@@ -120,7 +129,7 @@ def _edges(slim: DataFrame, plan: DataFrame, order: Column) -> DataFrame:
     A leaf's order is cut into pieces by the first digits of the hash; the pieces' sums
     tell in which one the budget ends, and only that piece is put in order.
     """
-    part = slim.join(plan.where("_part > 0"), "_leaf").select("_leaf", "_part", "tokens", "_id", order.alias("_order"))
+    part = _planned(slim, plan.where("_part > 0")).select("_leaf", "_part", "tokens", "_id", order.alias("_order"))
     part = part.withColumn("_piece", F.substring("_order", 1, PIECE_DIGITS))
     before = lambda *by: Window.partitionBy("_leaf").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     pieces = part.groupBy("_leaf", "_part", "_piece").agg(F.sum("tokens").alias("_sum"))

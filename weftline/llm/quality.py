@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -140,7 +141,7 @@ def costs_of(codes: DataFrame, probs: dict[int, DataFrame], gammas: dict[int, Da
 
 
 def with_perplexity(docs: DataFrame, key: str, text: str, keep: list[str], probs: dict[int, DataFrame], gammas: dict[int, DataFrame]) -> DataFrame:
-    """The columns ``keep`` with ``n_bytes`` and ``nll``, the summed -log p of the whole text (null text: 0 and 0).
+    """The columns ``keep`` with ``chars``, ``_bytes`` and ``nll``, the summed -log p of the whole text (null text: 0, 0 and 0).
 
     A block is a hash of id and text, so groups of equal ids or of equal texts are dealt
     out. A block over twice its share all the same (rows equal in both) is dealt out
@@ -175,7 +176,7 @@ def with_perplexity(docs: DataFrame, key: str, text: str, keep: list[str], probs
             "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_ways", F.lit(1)) - 1)))
     sent = sent.select("_block", "_part", "code", F.col("cost").cast("float").alias("cost"))
     kept = [c for c in dealt.columns if c in {*keep, key}]
-    schema = StructType([*[dealt.schema[c] for c in kept], StructField("n_bytes", LongType()), StructField("nll", DoubleType())])
+    schema = StructType([*[dealt.schema[c] for c in kept], StructField("chars", LongType()), StructField("_bytes", LongType()), StructField("nll", DoubleType())])
 
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
         codes, cost = known.column("code").to_numpy(), known.column("cost").to_numpy()
@@ -186,7 +187,8 @@ def with_perplexity(docs: DataFrame, key: str, text: str, keep: list[str], probs
             sums = np.add.reduceat(cost[np.searchsorted(codes, code)], np.cumsum(sizes) - sizes, dtype=np.float64)
             np.add.at(n_bytes, owners, sizes)
             np.add.at(nll, owners, sums)
-        return rows.select(kept).append_column("n_bytes", pa.array(n_bytes)).append_column("nll", pa.array(nll))
+        chars = pc.fill_null(pc.utf8_length(rows.column(text)), 0).cast(pa.int64())
+        return rows.select(kept).append_column("chars", chars).append_column("_bytes", pa.array(n_bytes)).append_column("nll", pa.array(nll))
 
     by = ("_block", "_part")
     return dealt.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(score, schema)
@@ -206,7 +208,7 @@ def quality(
     docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None,
     quantile: float = 0.99, slack: float = 0.5, prior: int = 40,
 ) -> DataFrame:
-    """The columns ``keep`` (all, by default) of ``docs`` with ``n_bytes``, ``perplexity``, ``limit`` and ``kept``.
+    """The columns ``keep`` (all, by default) of ``docs`` with ``chars``, ``perplexity``, ``limit`` and ``kept``.
 
     ``trusted`` has in its column ``key`` the ids of the documents to learn from, all of them:
     four fifths by a hash of the id make the model, and the rest, which it has not seen,
@@ -218,10 +220,10 @@ def quality(
 
     A null or empty text has the language's median, and is kept. With no trusted document
     at all, the limit is null and everything is kept. Repeated rows are judged alike, and
-    count as often as they occur; a null id is not trusted. Columns called n_bytes,
+    count as often as they occur; a null id is not trusted. Columns called chars,
     perplexity, limit or kept are replaced.
     """
-    docs, names = set_aside(docs.drop("n_bytes", "perplexity", "limit", "kept"), also=("nll", "lang_", "bin", "n", "share"))
+    docs, names = set_aside(docs.drop("chars", "perplexity", "limit", "kept"), also=("nll", "lang_", "bin", "n", "share"))
     trusted = trusted.withColumnRenamed(key, names.get(key, key))
     key, text, lang = (names.get(c, c) for c in (key, text, lang))
     keep = [names.get(c, c) for c in keep] if keep else docs.columns
@@ -233,20 +235,20 @@ def quality(
     probs, gammas = kneser_ney(cut_lineage(count_ngrams(texts)))
     scored = cut_lineage(with_perplexity(docs, key, text, [*keep, lang], probs, gammas))
     tongue = F.coalesce(F.col(f"`{lang}`"), F.lit(""))
-    marked = cut_lineage(scored.select(F.col(f"`{key}`").alias("_key"), tongue.alias("lang_"), "n_bytes", "nll").where("n_bytes > 0").join(
-        ids.hint("merge"), F.col("_key") == F.col("_id")).select("lang_", "_held", "n_bytes", "nll"))
+    marked = cut_lineage(scored.select(F.col(f"`{key}`").alias("_key"), tongue.alias("lang_"), "_bytes", "nll").where("_bytes > 0").join(
+        ids.hint("merge"), F.col("_key") == F.col("_id")).select("lang_", "_held", "_bytes", "nll"))
     # The null language stands for all.
     marked = marked.unionByName(marked.withColumn("lang_", F.lit(None).cast("string")))
-    middles = cut_lineage(_quantiles(marked, F.col("nll") / F.col("n_bytes"), 0.5, "_middle"))
+    middles = cut_lineage(_quantiles(marked, F.col("nll") / F.col("_bytes"), 0.5, "_middle"))
     same = F.col("lang_").eqNullSafe(F.col("_of"))
     pulled = marked.join(middles.withColumnRenamed("lang_", "_of"), same)
-    highs = _quantiles(pulled, (F.col("nll") + prior * F.col("_middle")) / (F.col("n_bytes") + prior), quantile, "_high")
+    highs = _quantiles(pulled, (F.col("nll") + prior * F.col("_middle")) / (F.col("_bytes") + prior), quantile, "_high")
     limits = cut_lineage(middles.join(highs.withColumnRenamed("lang_", "_of"), same).select(
         "lang_", "_middle", (F.col("_high") + slack * (F.col("_high") - F.col("_middle"))).alias("_limit")))
     overall = limits.where("lang_ is null").select("_middle", "_limit").first() or (None, None)
     named = limits.where("lang_ is not null").select(F.col("lang_"), "_middle", "_limit")
     out = scored.join(named, tongue == F.col("lang_"), "left")
     middle, limit = (F.coalesce(F.col(c), F.lit(x).cast("double")) for c, x in zip(("_middle", "_limit"), overall, strict=True))
-    level = (F.col("nll") + prior * middle) / (F.col("n_bytes") + prior)
-    return put_back(out.select(*[F.col(f"`{c}`") for c in keep], "n_bytes", F.exp(level).alias("perplexity"), F.exp(limit).alias("limit"),
+    level = (F.col("nll") + prior * middle) / (F.col("_bytes") + prior)
+    return put_back(out.select(*[F.col(f"`{c}`") for c in keep], "chars", F.exp(level).alias("perplexity"), F.exp(limit).alias("limit"),
                                F.coalesce(level <= limit, F.lit(True)).alias("kept")), names)

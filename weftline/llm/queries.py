@@ -135,6 +135,22 @@ def op8_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+# Sets are met once each, however many documents have them.
+ORACLES["op8_minhash_near_duplicates"] = """
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as s from words),
+named as (select doc_id, len(s)::bigint as n, case when len(s) = 0 then 'd' || doc_id else md5(array_to_string(s, chr(10))) end as k, s from sets),
+reps as (select k, any_value(n) as n, any_value(s) as s, min(doc_id) as least from named group by k),
+runs as (select k, n, unnest(s) as run from reps where n > 0),
+links as (select a.k as a, b.k as b from runs a join runs b on a.run = b.run and a.k <> b.k group by a.k, b.k, a.n, b.n
+    having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (select k as a, k as b from reps union select r.a, l.b from reach r join links l on l.a = r.b),
+roots as (select r.a as k, min(least) as component_id from reach r join reps on reps.k = r.b group by r.a)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from named join roots using (k)"""
+
+
 @_query
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
