@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import json
 from collections import Counter
 from pathlib import Path
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from weftline.sinks import (
 )
 from weftline.sources import (
     attributes_map,
+    batch_report,
     fetch_incremental,
     generate,
     incremental,
@@ -34,6 +37,7 @@ from weftline.sources import (
     xml_children,
     xml_flatten,
 )
+from weftline.sources.readers import _broken
 
 
 def files(path, pattern):
@@ -182,6 +186,41 @@ def test_unreadable_files_do_not_end_a_batch(spark, tmp_path):
     assert [(r["file_path"].rsplit("/", 1)[1], r["bytes"]) for r in lost] == [("b.json.gz", 18)]
 
 
+def test_a_report_tells_which_files_broke_and_where(spark, tmp_path):
+    def packed(k):
+        return gzip.compress("".join(f'{{"k": {k}{i:07}}}\n' for i in range(40_000)).encode())
+
+    (tmp_path / "in ner [1]").mkdir()
+    for k in range(1, 7):
+        (tmp_path / f"{k}.json.gz").write_bytes(packed(k))
+    half = tmp_path / "in ner [1]" / "half %.json.gz"
+    half.write_bytes(packed(8)[: len(packed(8)) // 2])
+    # The sum of checks at the end is wrong: all lines are given, and yet the file is not right.
+    (tmp_path / "7sum.json.gz").write_bytes(packed(7)[:-8] + b"\0" * 8)
+    (tmp_path / "none.json.gz").write_bytes(b"this is no archive")
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "plain.json").write_bytes(b'{"k": 1}\r\n\r\n \n{"k": oops')
+    report = {unquote(r["file_path"]).rsplit("/", 1)[1]: r for r in batch_report(spark, str(tmp_path), "*.json*").collect()}
+    assert sorted(report) == sorted(f.name for f in tmp_path.rglob("*.json*") if f.name != "empty.json")
+    assert {name for name, r in report.items() if r["error"]} == {"half %.json.gz", "7sum.json.gz", "none.json.gz"}
+    assert all((report[f"{k}.json.gz"]["lines"], report[f"{k}.json.gz"]["reached"]) == (40_000, 40_000 * 16) for k in range(1, 7))
+    assert 0 < report["half %.json.gz"]["lines"] < 40_000
+    assert report["half %.json.gz"]["reached"] == report["half %.json.gz"]["lines"] * 16
+    assert "EOFException" in report["half %.json.gz"]["error"]
+    assert (report["none.json.gz"]["lines"], report["none.json.gz"]["bytes"]) == (0, 18)
+    assert report["plain.json"]["lines"] == 2
+    good, _ = read_batch(spark, str(tmp_path), "k long", "*.json.gz")
+    read = {unquote(r["file_path"]).rsplit("/", 1)[1]: r["count"] for r in good.groupBy("file_path").count().collect()}
+    assert read["half %.json.gz"] == report["half %.json.gz"]["lines"]
+
+
+def test_a_report_raises_what_is_no_fault_of_a_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text("1\n")
+    lines = spark.read.text(str(tmp_path)).select(F.col("_metadata.file_path").alias("file_path"), F.raise_error(F.lit("other")).alias("value"))
+    with pytest.raises(Exception, match="other"):
+        _broken(lines, [r["file_path"] for r in spark.read.text(str(tmp_path)).select("_metadata.file_path").collect()])
+
+
 def test_fetch_keeps_the_old_maximum_when_nothing_is_new(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5), (2, 7)], "id int, at int")
     path = str(tmp_path / "t")

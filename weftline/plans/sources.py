@@ -7,6 +7,7 @@ from weftline.session import scratch_path
 from weftline.sinks import write_csv, write_files
 from weftline.sources import (
     attributes_map,
+    batch_report,
     fetch_incremental,
     fetch_next,
     generate,
@@ -206,3 +207,34 @@ def batch_files(t):
         F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
     rejected = bad.groupBy(source, F.lit("bad").alias("state")).agg(F.count("*").alias("n"))
     return counted.unionByName(rejected, allowMissingColumns=True)
+
+
+@query("batch_broken", """
+    SELECT event_type AS source, CASE event_type WHEN 'error' THEN 'broken' ELSE 'whole' END AS state,
+           CASE WHEN event_type <> 'error' THEN count(*) END AS n
+    FROM events GROUP BY event_type""")
+def batch_broken(t):
+    """A folder of packed JSON files per event type; those of one type are cut half-way."""
+    path = scratch_path(t.spark, "batch")
+    record = F.to_json(F.struct("event_id", "user_id", "value")).alias("value")
+    t.events.select("event_type", record).write.partitionBy("event_type").option("compression", "gzip").text(path)
+    _cut_half(t.spark, f"{path}/event_type=error")
+    report = batch_report(t.spark, path, "part-*")
+    source = F.regexp_extract("file_path", "event_type=([^/]+)/", 1).alias("source")
+    broken = F.count("error") > 0
+    return report.groupBy(source).agg(
+        F.when(broken, "broken").otherwise("whole").alias("state"), F.when(~broken, F.sum("lines")).alias("n"))
+
+
+def _cut_half(spark, folder):
+    """Leave the first half of each file in a folder, as a transfer that broke off would."""
+    hadoop = spark._jvm.org.apache.hadoop
+    root = hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(root):
+        source, target = system.open(status.getPath()), system.create(hadoop.fs.Path(folder, "cut"), True)
+        spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, target, 0, status.getLen() // 2)
+        source.close()
+        target.close()
+        system.rename(hadoop.fs.Path(folder, "cut"), hadoop.fs.Path(folder, f"part-cut-{status.getPath().getName()}"))
+        system.delete(status.getPath(), False)
