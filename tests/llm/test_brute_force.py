@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftline.llm import queries
-from weftline.llm.language import FILTERS, WIDTHS, WINDOW, ByteNetwork, identify
+from weftline.llm.language import FILTERS, WIDTHS, WINDOW, ByteNetwork, identify, training_sample
 from weftline.llm.order_minhash import edited_fingerprints, fingerprints, likeness
 from weftline.llm.urls import BUCKETS, LABELLED, RULES, SIZES, filter_urls, fit
 
@@ -114,6 +114,15 @@ def test_languages_equal_brute_force(spark):
         assert r.lang_pred == network.labels[int(chance.argmax())] and r.score == pytest.approx(chance.max(), rel=1e-3)
 
 
+def test_training_sample_is_the_first_by_order_of_all_tasks(spark):
+    rows = [(i * 7919 % 10007, "aa" if i % 10 else "bb", f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "o int, lang string, text string").repartition(37)
+    sample = training_sample(df, F.col("o"), documents=50)
+    for lang in ("aa", "bb"):
+        wanted = [t for _, l, t in sorted(rows) if l == lang][:50]
+        assert list(sample[sample["lang"] == lang]["text"]) == wanted
+
+
 @tables
 def test_languages_of_held_out_documents(spark):
     df = queries.QUERIES["op10_language_id"](spark, FOLDER)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.common import partitions
+
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Bounds of the training sample: documents of a language, and windows of a document.
 DOCUMENTS, WINDOWS = 400, 3
@@ -113,13 +115,17 @@ class ByteNetwork:
 def training_sample(labelled: DataFrame, order: Column, documents: int = DOCUMENTS) -> pd.DataFrame:
     """Up to ``documents`` texts of each language, the first by ``order``; each cut to WINDOWS windows.
 
-    Spark keeps the first rows of each language in every task before it moves any.
+    Spark keeps the first rows of each language in every task before it moves any. What the
+    tasks keep meets in several groups of tasks first, so that a language common to all of them
+    is not gathered by one; those groups leave ``documents`` rows of it each.
     """
     start = F.greatest(F.lit(1), F.call_function("div", F.length("text") - WINDOWS * WINDOW, F.lit(2)) + 1)
     # Cut before anything moves: a language's rows that meet are short, up to ``documents`` from each task.
     short = labelled.select("lang", order.alias("_order"), F.substr("text", start.cast("int"), F.lit(WINDOWS * WINDOW)).alias("text"))
-    first = Window.partitionBy("lang").orderBy("_order")
-    picked = short.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= documents)
+    groups = short.withColumn("_group", F.spark_partition_id() % partitions(labelled.sparkSession))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_order"))
+    few = groups.withColumn("_n", first("lang", "_group")).where(F.col("_n") <= documents)
+    picked = few.withColumn("_n", first("lang")).where(F.col("_n") <= documents)
     return picked.select("lang", "_n", "text").toPandas().sort_values(["lang", "_n"])
 
 
