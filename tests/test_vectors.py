@@ -84,3 +84,42 @@ def test_bad_components_and_long_vectors_give_the_same_rows_both_ways(spark):
         for sent in (10**9, 0)]
     assert found[0] == found[1]
     assert {r[:3] for r in found[0]} == {r[:3] for r in brute(good, good, 2, None, True)}
+
+
+def test_rows_are_sent_to_blocks_not_to_cells(spark, monkeypatch):
+    """Where bounds exclude no cell, a query goes to each block once, however many cells there are."""
+    from weftline.operators import vectors
+
+    sent, meet = [], vectors._meet
+    monkeypatch.setattr(vectors, "_PIVOTS", 64)
+    monkeypatch.setattr(vectors, "_meet", lambda targets, *a: (sent.append(targets.count()), meet(targets, *a))[1])
+    points = np.random.default_rng(9).normal(size=(600, 24))
+    entries = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    b = spark.createDataFrame(entries, "b int, bv array<float>").repartition(3)
+    got = nearest(b.selectExpr("b q", "bv qv"), b, ("q", "qv"), ("b", "bv"), 2, None, True, sent_numbers=0).collect()
+    assert sum(sent) <= 600 * 13
+    exact = [(i, [float(x) for x in np.float32(p)]) for i, p in entries]
+    assert {(r["q"], r["b"], r["place"], round(r["similarity"], 9)) for r in got} == brute(exact, exact, 2, None, True)
+
+
+@pytest.mark.parametrize("cells", [1, 3])
+@pytest.mark.parametrize("k", [1, 3])
+def test_short_vectors_beside_a_long_one(cells, k):
+    """Single precision can't tell these apart, so they are measured in double precision; equal ids are left out wherever they are."""
+    import pyarrow as pa
+    from weftline.operators.vectors import _best
+
+    rng = np.random.default_rng(10)
+    entries = np.vstack([rng.normal(size=(30_000, 3)), [[1e9, 0.0, 0.0]]])
+    queries = np.vstack([entries[:40], [[1e9, 1.0, 0.0]]])
+    ids = np.r_[np.arange(15_000), np.arange(15_000), 77_777]
+    of = np.sort(np.arange(len(entries)) % cells)
+    met = [c for c in range(cells) if c != 1]
+    got = _best(pa.array(np.arange(41)), queries, pa.array(ids), entries, k, None, True, of, np.full(41, np.inf),
+                lambda rows: np.where(np.isin(np.arange(cells), met), 0.0, np.inf)[None, :].repeat(len(queries[rows]), 0))
+    expected = []
+    for i, q in enumerate(queries):
+        distances = np.sqrt(((entries - q) ** 2).sum(1))
+        distances[(ids == i) | ~np.isin(of, met)] = np.inf
+        expected += [(i, int(ids[j]), p) for p, j in enumerate(np.lexsort((ids, distances))[:k], 1)]
+    assert [(r["q_id"], r["b_id"], r["place"]) for r in got.to_pylist()] == expected

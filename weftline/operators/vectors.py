@@ -2,17 +2,25 @@
 
 A set of entries of checked size is sent to every task, and queries stream past it
 without a shuffle. A larger set is divided into cells around pivot entries; triangle
-inequality bounds tell which cells can hold a query's nearest entry, and the query
-meets only those, block by block (after Lu et al., "Efficient processing of k nearest neighbor joins
-using MapReduce", 2012).
+inequality bounds tell which cells can hold a query's nearest entry (after Lu et al.,
+"Efficient processing of k nearest neighbor joins using MapReduce", 2012). Neighbouring
+cells share a block, and a query is sent once to each block that it has such a cell in.
+Blocks are an even share of the entries while that fits a task, so how often a row is sent
+doesn't grow with the table.
+
+Vectors whose bounds exclude nothing (many dimensions, no clusters) are compared all with all,
+by definition of the search: products of matrices in single precision leave those pairs
+that can be among the nearest, and these are measured in double precision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +28,30 @@ from weftline.session import cut_lineage
 
 # Entries up to this many numbers (64 MB as doubles) are sent to every task whole.
 SENT_NUMBERS = 8_000_000
-_BLOCK_NUMBERS = 4_000_000
+#: Numbers of a block at most; rows of a block at least; blocks that a table is dealt into, if they fit.
+_BLOCK_NUMBERS, _CHUNK_ROWS, _BLOCKS = 4_000_000, 1_024, 12
 _PIVOTS = 128
-_CHUNK_ROWS = 4_096
+#: Queries and entries of one product, and how many of its columns have their maximum taken together.
+_ROWS, _TILE, _GROUP = 512, 4_096, 32
+#: A score that no pair has.
+_NONE = np.float32(-3e38)
 
+#: The least distances of some queries (a slice of rows) from what each cell holds; infinite: the cell isn't met.
+Least = Callable[[slice], np.ndarray]
 
-def _matrix(vectors) -> np.ndarray:
+
+def _matrix(vectors: pd.Series | list) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
+def _rows_of(vectors: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Vectors of that width, one a row."""
+    if pc.any(pc.not_equal(pc.list_value_length(vectors), width)).as_py():
+        raise ValueError(f"vectors differ in width from the entries' {width}")
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All distances between the rows of two matrices, good to about `_slack`."""
     squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
@@ -50,6 +73,12 @@ def _usable(vector: str) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad, F.lit(False))
 
 
+def _numbers(df: DataFrame, vector: str) -> Column:
+    """The vectors as floats, if they are so, or else as doubles."""
+    kind = df.select(vector).schema[0].dataType.simpleString()
+    return F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
+
+
 def nearest(
     queries: DataFrame, base: DataFrame, query: tuple[str, str], entry: tuple[str, str],
     k: int = 1, min_similarity: float | None = None, other_than_self: bool = False,
@@ -65,9 +94,9 @@ def nearest(
     below 1e150, so that their squares are numbers. Both ways of searching give the same rows.
     """
     wanted = queries.select(
-        F.col(query[0]).alias("q_id"), F.col(query[1]).cast("array<double>").alias("q_vec")).where(_usable("q_vec"))
+        F.col(query[0]).alias("q_id"), _numbers(queries, query[1]).alias("q_vec")).where(_usable("q_vec"))
     entries = base.select(
-        F.col(entry[0]).alias("b_id"), F.col(entry[1]).cast("array<double>").alias("b_vec")).where(_usable("b_vec"))
+        F.col(entry[0]).alias("b_id"), _numbers(base, entry[1]).alias("b_vec")).where(_usable("b_vec"))
 
     # Of equal vectors only the lowest ids can be among the nearest. The limit applies
     # in each map task already, so many copies of one vector do not meet in one task.
@@ -85,117 +114,249 @@ def nearest(
         raise ValueError(f"entry vectors differ in width: {size.low} to {size.high}")
     limit = None if min_similarity is None else 1.0 - min_similarity
     small = size.rows * (size.high or 0) + size.id_bytes // 8 <= sent_numbers
-    search = _search_sent if small else _search_cells
-    found = search(wanted, entries, k, limit, other_than_self)
+    if small:
+        found = _search_sent(wanted, entries, size.high or 1, k, limit, other_than_self)
+    else:
+        found = _search_cells(wanted, entries, size.rows, size.high, k, limit, other_than_self)
     return found.select(
         F.col("q_id").alias(query[0]), F.col("b_id").alias(entry[0]),
         (1.0 - F.col("distance")).alias("similarity"), "place",
     )
 
 
-def _best(
-    q_ids: np.ndarray, queries: np.ndarray, b_ids: np.ndarray, entries: np.ndarray, k: int, limit: float | None,
-    other_than_self: bool, bound: np.ndarray | None = None,
-) -> pd.DataFrame:
-    """The k nearest of a block of entries for each of a block of queries, none beyond its bound.
-
-    One product of matrices gives all distances roughly; the few pairs that can be among a
-    query's nearest are measured exactly.
-    """
-    found = [pd.DataFrame({"q_id": q_ids[:0], "b_id": b_ids[:0], "distance": np.empty(0), "place": np.empty(0, np.int32)})]
-    order = np.unique(b_ids, return_inverse=True)[1]
-    block = max(1, _BLOCK_NUMBERS // max(1, len(b_ids)))
-    for at in range(0, len(q_ids) if len(b_ids) else 0, block):
-        vectors = queries[at:at + block]
+def _same(q_ids: pa.Array, b_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, entry row) of equal ids, by query row; null equals nothing."""
+    def known(ids: pa.Array) -> pd.DataFrame:
+        at = pc.indices_nonzero(pc.is_valid(ids))
+        return pd.DataFrame({"id": ids.take(at).to_pandas(), "at": at.to_numpy()})
+
+    q, b = known(q_ids), known(b_ids)
+    if q["id"].dtype != b["id"].dtype and object in (q["id"].dtype, b["id"].dtype):
+        return np.empty(0, int), np.empty(0, int)
+    both = q.merge(b, on="id").sort_values("at_x")
+    return both["at_x"].to_numpy(int), both["at_y"].to_numpy(int)
+
+
+def _by_pair(
+    queries: np.ndarray, entries: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray], bound: np.ndarray, met: np.ndarray | None,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What :func:`_near` yields, in double precision and with a margin for each pair: for vectors of very different lengths."""
+    step = max(1, _BLOCK_NUMBERS // len(entries))
+    count = min(k, len(entries)) - 1
+    for at in range(0, len(queries), step):
+        part = slice(at, at + step)
+        vectors = queries[part]
         rough = _distances(vectors, entries)
         slack = _slack(_norms(vectors)[:, None] + _norms(entries)[None, :], entries.shape[1])
-        if other_than_self:
-            rough[q_ids[at:at + block, None] == b_ids[None, :]] = np.inf
-        count = min(k, len(b_ids)) - 1
-        most = np.partition(rough + slack, count, axis=1)[:, count]
-        if bound is not None:
-            most = np.minimum(most, bound[at:at + block])
+        inside = (same[0] >= at) & (same[0] < at + step)
+        rough[same[0][inside] - at, same[1][inside]] = np.inf
+        if met is not None:
+            rough[~met[part]] = np.inf
+        most = np.minimum(np.partition(rough + slack, count, axis=1)[:, count], bound[part])
         query, entry = np.nonzero((rough - slack <= most[:, None]) & np.isfinite(rough))
-        exact = np.empty(len(query))
+        yield at + query, entry
+
+
+def _near(
+    queries: np.ndarray, entries: np.ndarray, cells: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray], bound: np.ndarray,
+    least: Least | None,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query rows, entry rows) of all pairs that can be among a query's k nearest and within its bound, and few others.
+
+    ``cells`` has the entries' cells, in ascending order. A pair's score, its product less half the entry's
+    square, is the higher the nearer the entry is. Scores are of vectors shortened so that none is longer
+    than 1; single precision then takes ``off`` from them at most.
+    """
+    width = entries.shape[1]
+    scale = float(max(_norms(queries).max(), _norms(entries).max())) or 1.0
+    off = 2.0 * (width + 16) * 2.0 ** -24
+    starts = np.flatnonzero(np.diff(cells, prepend=cells[0] - 1))
+    tiles, places, first = [], [], 0
+    for cell, (start, end) in enumerate(zip(starts, [*starts[1:], len(cells)], strict=True)):
+        for i in range(start, end, _TILE):
+            rows = min(_TILE, end - i)
+            wide = -(-rows // _GROUP)
+            tiles.append((cell, first, wide))
+            places.append(np.pad(np.arange(i, i + rows), (0, wide * _GROUP - rows), constant_values=-1))
+            first += wide * _GROUP
+    place = np.concatenate(places)
+    real = np.flatnonzero(place >= 0)
+    right = np.zeros((len(place), width + 1), np.float32)
+    right[:, width] = _NONE
+    shortened = entries / scale
+    right[real, :width], right[real, width] = shortened, -0.5 * (shortened * shortened).sum(1)
+    shortened = queries / scale
+    left, squares = np.ones((len(queries), width + 1), np.float32), (shortened * shortened).sum(1)
+    left[:, :width] = shortened
+    del shortened
+    floor = np.maximum((squares - (bound / scale) ** 2) / 2.0 - 2.0 * off, _NONE).astype(np.float32)
+    product = np.empty(_ROWS * _TILE, np.float32)
+    columns = np.arange(_GROUP)
+    for at in range(0, len(queries), _ROWS):
+        part = slice(at, min(at + _ROWS, len(queries)))
+        ours, low = left[part], floor[part].copy()
+        high = None
+        if least is not None:
+            high = (squares[part, None] - (least(part) / scale) ** 2) / 2.0 + off
+        a, b = np.searchsorted(same[0], [part.start, part.stop])
+        own_query, own_entry = same[0][a:b] - at, real[same[1][a:b]]
+        found, groups, most = [], 0, len(ours) * (256 + 32 * k)
+        for cell, first, wide in tiles:
+            rows = np.arange(len(ours)) if high is None else np.flatnonzero(high[:, cell] >= low)
+            if not len(rows):
+                continue
+            size = wide * _GROUP
+            some = ours if len(rows) == len(ours) else ours[rows]
+            scores = np.matmul(some, right[first:first + size].T, out=product[:len(rows) * size].reshape(len(rows), size))
+            if len(own_query):
+                inside = (own_entry >= first) & (own_entry < first + size)
+                row = np.searchsorted(rows, own_query[inside])
+                hit = rows[np.minimum(row, len(rows) - 1)] == own_query[inside]
+                scores[row[hit], own_entry[inside][hit] - first] = -np.inf
+            top = scores.reshape(len(rows), _GROUP, wide).max(1)
+            limit = low[rows]
+            if wide >= k:
+                kth = top.max(1) if k == 1 else np.partition(top, wide - k, axis=1)[:, wide - k]
+                limit = np.maximum(limit, kth - np.float32(2.0 * off))
+                low[rows] = limit
+            row, group = np.nonzero(top >= limit[:, None])
+            groups += len(row)
+            if groups > most:
+                break
+            column = group[:, None] + wide * columns
+            score = scores[row[:, None], column]
+            x, y = np.nonzero(score >= limit[row][:, None])
+            found.append((rows[row[x]], first + column[x, y], score[x, y]))
+        if groups > most:
+            met = None if high is None else np.isfinite(high)[:, np.repeat(np.arange(len(starts)), np.diff([*starts, len(cells)]))]
+            for query, entry in _by_pair(queries[part], entries, k, (same[0][a:b] - at, same[1][a:b]), bound[part], met):
+                yield at + query, entry
+        elif found:
+            query, entry, score = (np.concatenate(f) for f in zip(*found, strict=True))
+            kept = (score >= low[query]) & (place[entry] >= 0)
+            yield at + query[kept], place[entry[kept]]
+
+
+def _best(
+    q_ids: pa.Array, queries: np.ndarray, b_ids: pa.Array, entries: np.ndarray, k: int, limit: float | None, other_than_self: bool,
+    cells: np.ndarray | None = None, bound: np.ndarray | None = None, least: Least | None = None,
+) -> pa.Table:
+    """(q_id, b_id, distance, place): the k nearest of a block of entries for each of a block of queries, none beyond its bound."""
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, np.int32))]
+    if len(q_ids) and len(b_ids):
+        order = pc.rank(b_ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        same = _same(q_ids, b_ids) if other_than_self else (np.empty(0, int), np.empty(0, int))
+        bound = np.full(len(q_ids), np.inf) if bound is None else bound
+        cells = np.zeros(len(b_ids), int) if cells is None else cells
         step = max(1, _BLOCK_NUMBERS // entries.shape[1])
-        for i in range(0, len(query), step):
-            part = slice(i, i + step)
-            # Added up from left to right, in every block alike.
-            exact[part] = np.sqrt(np.add.accumulate((entries[entry[part]] - vectors[query[part]]) ** 2, axis=1)[:, -1])
-        if limit is not None:
-            near = exact < limit
-            query, entry, exact = query[near], entry[near], exact[near]
-        sorted_ = np.lexsort((order[entry], exact, query))
-        query, entry, exact = query[sorted_], entry[sorted_], exact[sorted_]
-        place = np.arange(len(query)) - np.searchsorted(query, query, "left")
-        kept = place < k
-        found.append(pd.DataFrame({"q_id": q_ids[at:at + block][query[kept]], "b_id": b_ids[entry[kept]], "distance": exact[kept],
-                                   "place": (place[kept] + 1).astype(np.int32)}))
-    return pd.concat(found, ignore_index=True) if len(found) > 1 else found[0]
+        for query, entry in _near(queries, entries, cells, k, same, bound, least):
+            exact = np.empty(len(query))
+            for i in range(0, len(query), step):
+                part = slice(i, i + step)
+                # Added up from left to right, in every block alike.
+                exact[part] = np.sqrt(np.add.accumulate((entries[entry[part]] - queries[query[part]]) ** 2, axis=1)[:, -1])
+            if limit is not None:
+                near = exact < limit
+                query, entry, exact = query[near], entry[near], exact[near]
+            sorted_ = np.lexsort((order[entry], exact, query))
+            query, entry, exact = query[sorted_], entry[sorted_], exact[sorted_]
+            place = np.arange(len(query)) - np.searchsorted(query, query, "left")
+            kept = place < k
+            found.append((query[kept], entry[kept], exact[kept], (place[kept] + 1).astype(np.int32)))
+    query, entry, exact, place = (np.concatenate(f) for f in zip(*found, strict=True))
+    return pa.table({"q_id": q_ids.take(pa.array(query)), "b_id": b_ids.take(pa.array(entry)), "distance": exact, "place": place})
+
+
+def _types(wanted: DataFrame, entries: DataFrame) -> str:
+    return f"q_id {wanted.schema['q_id'].dataType.simpleString()}, b_id {entries.schema['b_id'].dataType.simpleString()}, distance double"
 
 
 def _search_sent(
-    wanted: DataFrame, entries: DataFrame, k: int, limit: float | None, other_than_self: bool
+    wanted: DataFrame, entries: DataFrame, width: int, k: int, limit: float | None, other_than_self: bool
 ) -> DataFrame:
-    rows = entries.toPandas()
-    ids = rows["b_id"].to_numpy()
-    matrix = _matrix(rows["b_vec"]) if len(rows) else np.empty((0, 1))
-    sent = wanted.sparkSession.sparkContext.broadcast((ids, matrix))
+    rows = entries.toArrow().combine_chunks()
+    ids = pa.concat_arrays(rows.column("b_id").chunks) if len(rows) else None
+    sent = wanted.sparkSession.sparkContext.broadcast((ids, _rows_of(rows.column("b_vec"), width) if len(rows) else None))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = sent.value
         for frame in frames:
-            if len(frame) and len(ids):
-                yield _best(frame["q_id"].to_numpy(), _matrix(frame["q_vec"]), ids, matrix, k, limit, other_than_self)
+            if len(frame) and ids is not None:
+                yield from _best(frame.column("q_id"), _rows_of(frame.column("q_vec"), width), ids, matrix, k, limit, other_than_self).to_batches()
 
-    return wanted.mapInPandas(batches, f"{_types(wanted, entries)}, place int")
+    return wanted.mapInArrow(batches, f"{_types(wanted, entries)}, place int")
 
 
-def _types(wanted: DataFrame, entries: DataFrame) -> str:
-    return f"q_id {wanted.schema['q_id'].dataType.simpleString()}, b_id {entries.schema['b_id'].dataType.simpleString()}, distance double"
+def _chain(pivots: np.ndarray) -> list[int]:
+    """The pivots in an order in which each is followed by the nearest of those left."""
+    distances = _distances(pivots, pivots)
+    order, left = [0], set(range(1, len(pivots)))
+    while left:
+        order.append(min(left, key=lambda i: (distances[order[-1], i], i)))
+        left.remove(order[-1])
+    return order
 
 
-def _per_cell(rows: DataFrame, cells: int) -> np.ndarray:
-    """How many blocks each cell's rows make."""
-    blocks = np.ones(cells, dtype=int)
-    for cell, count in rows.groupBy("cell").count().collect():
-        blocks[cell] = -(-count // _CHUNK_ROWS)
-    return blocks
+def _dealt(counts: np.ndarray, order: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, how many blocks) of each cell: cells that follow one another share a block, one over ``most`` rows has several."""
+    first, many = np.zeros(len(counts), int), np.ones(len(counts), int)
+    block, held = -1, most
+    for cell in order:
+        many[cell] = max(1, -(-counts[cell] // most))
+        if held + counts[cell] > most:
+            block, held = block + 1, 0
+        first[cell] = block
+        if many[cell] > 1:
+            block, held = block + many[cell] - 1, most
+        held += counts[cell]
+    return first, many
 
 
-def _meet(targets: DataFrame, placed: DataFrame, cells: int, k: int, limit: float | None, other_than_self: bool) -> DataFrame:
-    """(q_id, b_id, distance): the k nearest entries of each block of a cell, for each query sent to that cell.
+def _pick(values: np.ndarray, at: Column) -> Column:
+    return F.get(F.array(*[F.lit(int(v)) for v in values]), at)
 
-    Both sides of a cell are cut into blocks, so no group grows with a cell that many
-    queries or entries are in; pairs never leave a group.
-    """
-    many_queries, many_entries = (F.get(F.array(*[F.lit(int(n)) for n in _per_cell(side, cells)]), F.col("cell")) for side in (targets, placed))
-    deal = lambda id_, blocks: F.pmod(F.xxhash64(id_), blocks).cast("int")
-    all_of = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-    a = targets.withColumn("query_block", deal("q_id", many_queries)).withColumn("entry_block", all_of(many_entries))
-    b = placed.select("b_id", "b_vec", "cell").withColumn("entry_block", deal("b_id", many_entries)).withColumn("query_block", all_of(many_queries))
 
-    def nearest_of(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(entries):
-            return _best(queries["q_id"].to_numpy()[:0], np.empty((0, 1)), entries["b_id"].to_numpy()[:0], np.empty((0, 1)), k, limit, other_than_self).drop(columns="place")
-        return _best(queries["q_id"].to_numpy(), _matrix(queries["q_vec"]), entries["b_id"].to_numpy(), _matrix(entries["b_vec"]),
-                     k, limit, other_than_self, queries["bound"].to_numpy()).drop(columns="place")
+def _meet(
+    targets: DataFrame, placed: DataFrame, counts: np.ndarray, most: int, width: int, k: int, limit: float | None, other_than_self: bool,
+    least_of: Callable[[np.ndarray, np.ndarray], Least],
+) -> DataFrame:
+    """(q_id, b_id, distance): the k nearest entries of each block for each query sent to that block.
 
-    keys = ["cell", "query_block", "entry_block"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(nearest_of, _types(targets, placed))
+    ``counts`` says how many queries are sent to each block. They are cut into parts of ``most`` rows, each of which
+    meets the whole block, so no group grows with a block that many queries go to; pairs never leave a group.
+    """
+    ways = -(-counts // most)
+    starts, groups = np.cumsum(ways) - ways, max(1, int(ways.sum()))
+    part = F.pmod(F.xxhash64("q_id", "q_vec"), _pick(ways, F.col("block")))
+    a = targets.withColumn("meeting", (_pick(starts, F.col("block")) + part).cast("int")).drop("block")
+    begin, parts = _pick(starts, F.col("block")), _pick(ways, F.col("block"))
+    b = placed.where(parts > 0).withColumn("meeting", F.explode(F.sequence(begin, begin + parts - 1))).drop("block")
+    # Groups are few and large: without merged partitions each core gets some.
+    a, b = (side.repartition(min(2 * groups, 4_096), "meeting") for side in (a, b))
+
+    def nearest_of(queries: pa.Table, entries: pa.Table) -> pa.Table:
+        queries, entries = queries.sort_by("cell").combine_chunks(), entries.sort_by("cell").combine_chunks()
+        ids = [pa.concat_arrays(side.column(c).chunks) if len(side) else pa.array([], side.schema.field(c).type) for side, c in ((queries, "q_id"), (entries, "b_id"))]
+        vectors, cells = _rows_of(queries.column("q_vec"), width), entries.column("cell").to_numpy()
+        least = least_of(vectors, queries.column("cell").to_numpy())
+        held = np.unique(cells)
+        return _best(ids[0], vectors, ids[1], _rows_of(entries.column("b_vec"), width), k, limit, other_than_self, cells,
+                     queries.column("bound").to_numpy(), lambda rows: least(rows)[:, held]).drop_columns("place")
+
+    return a.groupBy("meeting").cogroup(b.groupBy("meeting")).applyInArrow(nearest_of, _types(targets, placed))
 
 
 def _search_cells(
-    wanted: DataFrame, entries: DataFrame, k: int, limit: float | None, other_than_self: bool
+    wanted: DataFrame, entries: DataFrame, rows: int, width: int, k: int, limit: float | None, other_than_self: bool
 ) -> DataFrame:
     """In two rounds: each query meets the entries of its own cell; what it finds there bounds
-    its nearest, and it goes on to those other cells only that can hold a nearer one."""
+    its nearest, and it goes on to those blocks only that can hold a nearer one in another cell."""
     # Pivots are entries themselves, so distances to them bound the nearest from above.
     pivots = _matrix([
         r[0] for r in entries.orderBy(F.xxhash64("b_vec"), "b_id").limit(_PIVOTS)
         .select("b_vec").collect()
-    ])
-    keep = k + 1 if other_than_self else k
+    ]) if rows else np.zeros((1, width or 1))
+    width, keep = pivots.shape[1], k + 1 if other_than_self else k
 
     @F.pandas_udf("cell int, reach double, length double")
     def assign(vectors: pd.Series) -> pd.DataFrame:
@@ -204,9 +365,21 @@ def _search_cells(
         return pd.DataFrame({"cell": distances.argmin(1), "reach": distances.min(1), "length": _norms(matrix)})
 
     placed = cut_lineage(entries.withColumn("_a", assign("b_vec")).select("b_id", "b_vec", "_a.*"))
-    radius, longest = np.full(len(pivots), -np.inf), 0.0
-    for cell, reach, length in placed.groupBy("cell").agg(F.max("reach"), F.max("length")).collect():
-        radius[cell], longest = reach, max(longest, length)
+    radius, longest, counts = np.full(len(pivots), -np.inf), 0.0, np.zeros(len(pivots), int)
+    for cell, reach, length, count in placed.groupBy("cell").agg(F.max("reach"), F.max("length"), F.count(F.lit(1))).collect():
+        radius[cell], longest, counts[cell] = reach, max(longest, length), count
+
+    def share(rows: int) -> int:
+        """Rows of a block: a share of the table, while that fits a task."""
+        return max(1, min(_BLOCK_NUMBERS // width, max(_CHUNK_ROWS, -(-rows // _BLOCKS))))
+
+    first, many = _dealt(counts, _chain(pivots), share(rows))
+    blocks = int((first + many).max())
+    piece = F.pmod(F.xxhash64("b_id", "b_vec"), _pick(many, F.col("cell")))
+    placed = placed.select("b_id", "b_vec", "cell", (_pick(first, F.col("cell")) + piece).cast("int").alias("block"))
+    of_cell = np.zeros((len(pivots), blocks), bool)
+    for cell in np.flatnonzero(counts):
+        of_cell[cell, first[cell]:first[cell] + many[cell]] = True
 
     @F.pandas_udf("cell int, bound double")
     def own_cell(vectors: pd.Series) -> pd.DataFrame:
@@ -215,29 +388,47 @@ def _search_cells(
         if len(pivots) >= keep:
             bound = np.minimum(bound, np.partition(distances, keep - 1, axis=1)[:, keep - 1])
         # A rounded distance to a pivot is no bound to the last digit.
-        bound += 4.0 * _slack(_norms(_matrix(vectors)) + longest, pivots.shape[1])
+        bound += 4.0 * _slack(_norms(_matrix(vectors)) + longest, width)
         distances[:, ~np.isfinite(radius)] = np.inf
         return pd.DataFrame({"cell": distances.argmin(1), "bound": bound})
 
+    def at_home(vectors: np.ndarray, own: np.ndarray) -> Least:
+        return lambda rows: np.where(own[rows, None] == np.arange(len(pivots)), 0.0, np.inf)
+
+    def elsewhere(vectors: np.ndarray, own: np.ndarray) -> Least:
+        def least(rows: slice) -> np.ndarray:
+            some = vectors[rows]
+            distances = _distances(some, pivots)
+            lower = np.maximum(distances - radius[None, :], (distances - distances.min(1)[:, None]) / 2.0)
+            # Four rounded distances meet in a comparison.
+            lower -= 4.0 * _slack(_norms(some) + longest, width)[:, None]
+            lower = np.where(np.isfinite(radius)[None, :], np.maximum(lower, 0.0), np.inf)
+            lower[np.arange(len(some)), own[rows]] = np.inf
+            return lower
+
+        return least
+
     place = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "b_id"))
     first_k = lambda found: found.withColumn("place", place).where(F.col("place") <= k)
     homed = cut_lineage(wanted.withColumn("_h", own_cell("q_vec")).select("q_id", "q_vec", "_h.*"))
-    near = cut_lineage(first_k(_meet(homed, placed, len(pivots), k, limit, other_than_self)).drop("place"))
+    sent, queries = np.zeros(blocks, int), 0
+    for cell, count in homed.groupBy("cell").count().collect():
+        sent[of_cell[cell]] += count
+        queries += count
+    most, begin = share(queries), _pick(first, F.col("cell"))
+    targets = homed.withColumn("block", F.explode(F.sequence(begin, begin + _pick(many, F.col("cell")) - 1)))
+    near = cut_lineage(first_k(_meet(targets, placed, sent, most, width, k, limit, other_than_self, at_home)).drop("place"))
     tight = near.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_kth"))
 
     @F.pandas_udf("array<int>")
-    def other_cells(vectors: pd.Series, own: pd.Series, bound: pd.Series) -> pd.Series:
-        matrix = _matrix(vectors)
-        distances = _distances(matrix, pivots)
-        # Four rounded distances meet in a comparison.
-        slack = 4.0 * _slack(_norms(matrix) + longest, matrix.shape[1])
-        lower = np.maximum(
-            distances - radius[None, :], (distances - distances.min(1)[:, None]) / 2.0
-        )
-        can = (lower <= (bound.to_numpy() + slack)[:, None]) & np.isfinite(radius)[None, :]
-        can[np.arange(len(can)), own.to_numpy()] = False
-        return pd.Series([np.flatnonzero(m).tolist() for m in can])
+    def other_blocks(vectors: pd.Series, own: pd.Series, bound: pd.Series) -> pd.Series:
+        lower = elsewhere(_matrix(vectors), own.to_numpy())(slice(None))
+        return pd.Series([np.flatnonzero(m).tolist() for m in (lower <= bound.to_numpy()[:, None]) @ of_cell])
 
     bounded = homed.join(tight, "q_id", "left").withColumn("bound", F.least("bound", "_kth")).drop("_kth")
-    targets = cut_lineage(bounded.withColumn("cell", F.explode(other_cells("q_vec", "cell", "bound"))))
-    return first_k(near.unionByName(_meet(targets, placed, len(pivots), k, limit, other_than_self)))
+    bounded = cut_lineage(bounded.withColumn("blocks", other_blocks("q_vec", "cell", "bound")))
+    sent = np.zeros(blocks, int)
+    for block, count in bounded.select(F.explode("blocks").alias("block")).groupBy("block").count().collect():
+        sent[block] = count
+    targets = bounded.withColumn("block", F.explode("blocks")).drop("blocks")
+    return first_k(near.unionByName(_meet(targets, placed, sent, most, width, k, limit, other_than_self, elsewhere)))
