@@ -353,7 +353,7 @@ def _search_cells(
     its nearest, and it goes on to those blocks only that can hold a nearer one in another cell."""
     # Pivots are entries themselves, so distances to them bound the nearest from above.
     pivots = _matrix([
-        r[0] for r in entries.orderBy(F.xxhash64("b_vec"), "b_id").limit(_PIVOTS)
+        r[0] for r in entries.orderBy(F.xxhash64(F.col("b_vec").cast("array<double>")), "b_id").limit(_PIVOTS)
         .select("b_vec").collect()
     ]) if rows else np.zeros((1, width or 1))
     width, keep = pivots.shape[1], k + 1 if other_than_self else k
