@@ -123,3 +123,53 @@ def test_short_vectors_beside_a_long_one(cells, k):
         distances[(ids == i) | ~np.isin(of, met)] = np.inf
         expected += [(i, int(ids[j]), p) for p, j in enumerate(np.lexsort((ids, distances))[:k], 1)]
     assert [(r["q_id"], r["b_id"], r["place"]) for r in got.to_pylist()] == expected
+
+
+def test_few_blocks_hold_entries_and_queries_pass_by(spark, monkeypatch):
+    """Where bounds exclude no cell, the rows sent are a few times those given, on either side, whatever the number of cells."""
+    from weftline.operators import vectors
+
+    sent, meet = [], vectors._meet
+
+    def counted(targets, placed, counts, most, *rest):
+        rows = {r["block"]: r["count"] for r in placed.groupBy("block").count().collect()}
+        sent.append(targets.count() + sum(n * -(-int(counts[b]) // most) for b, n in rows.items()))
+        return meet(targets, placed, counts, most, *rest)
+
+    monkeypatch.setattr(vectors, "_CHUNK_ROWS", 10)
+    monkeypatch.setattr(vectors, "_meet", counted)
+    points = np.random.default_rng(12).normal(size=(600, 24))
+    entries = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    b = spark.createDataFrame(entries, "b int, bv array<double>").repartition(3)
+    got = nearest(b.selectExpr("b q", "bv qv"), b, ("q", "qv"), ("b", "bv"), 2, None, True, sent_numbers=0).collect()
+    assert sum(sent) <= 600 * 12
+    assert {(r["q"], r["b"], r["place"], round(r["similarity"], 9)) for r in got} == brute(entries, entries, 2, None, True)
+
+
+@pytest.mark.parametrize("k, least", [(1, None), (3, 0.5)])
+def test_hot_blocks_cut_cells_and_small_pieces(spark, monkeypatch, k, least):
+    """Queries of one place meet their block in several tasks, a few at a time; ids may be of different types."""
+    from weftline.operators import vectors
+
+    for name, value in {"_PIVOTS": 5, "_CHUNK_ROWS": 9, "_PIECE_ROWS": 7, "_HELD_NUMBERS": 200}.items():
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(13)
+    entries = [(i, [float(x) for x in p]) for i, p in enumerate(rng.normal(size=(300, 4)) * np.where(np.arange(300) % 3, 0.1, 2.0)[:, None])]
+    queries = [(f"q{i}", [float(x) for x in p]) for i, p in enumerate(rng.normal(size=(120, 4)) * np.where(np.arange(120) % 4, 0.05, 2.0)[:, None])]
+    q = spark.createDataFrame(queries, "q string, qv array<double>").repartition(3)
+    b = spark.createDataFrame(entries, "b int, bv array<double>").repartition(3)
+    got = nearest(q, b, ("q", "qv"), ("b", "bv"), k, least, sent_numbers=0).collect()
+    assert len(got) == len(set(got))
+    assert {(r["q"], r["b"], r["place"], round(r["similarity"], 9)) for r in got} == brute(queries, entries, k, least, False)
+
+
+def test_a_row_has_the_same_cell_whichever_rows_are_beside_it():
+    from weftline.operators.vectors import _distances, _nearest_pivot, _norms
+
+    rng = np.random.default_rng(14)
+    pivots = rng.integers(0, 2, (40, 67)).astype(float) * 1000.1
+    rows = (pivots[rng.integers(0, 40, 500)] + pivots[rng.integers(0, 40, 500)]) / 2.0
+    cells = lambda some: _nearest_pivot(some, pivots, _distances(some, pivots), _norms(some))
+    expected = [int(np.add.accumulate((pivots - r) ** 2, axis=1)[:, -1].argmin()) for r in rows]
+    assert cells(rows).tolist() == expected
+    assert [int(cells(rows[i:i + 1])[0]) for i in range(500)] == expected

@@ -5,8 +5,8 @@ without a shuffle. A larger set is divided into cells around pivot entries; tria
 inequality bounds tell which cells can hold a query's nearest entry (after Lu et al.,
 "Efficient processing of k nearest neighbor joins using MapReduce", 2012). Neighbouring
 cells share a block, and a query is sent once to each block that it has such a cell in.
-Blocks are an even share of the entries while that fits a task, so how often a row is sent
-doesn't grow with the table.
+Blocks are a few, even shares of the entries while that fits a task, which holds one block
+and lets its queries stream past. So how often a row is sent doesn't grow with the table.
 
 Vectors whose bounds exclude nothing (many dimensions, no clusters) are compared all with all,
 by definition of the search: products of matrices in single precision leave those pairs
@@ -28,8 +28,14 @@ from weftline.session import cut_lineage
 
 # Entries up to this many numbers (64 MB as doubles) are sent to every task whole.
 SENT_NUMBERS = 8_000_000
-#: Numbers of a block at most; rows of a block at least; blocks that a table is dealt into, if they fit.
-_BLOCK_NUMBERS, _CHUNK_ROWS, _BLOCKS = 4_000_000, 1_024, 12
+#: Numbers of a matrix of distances, or of what is measured at a time.
+_BLOCK_NUMBERS = 4_000_000
+#: Numbers of a block, or of the queries of a meeting, at most; rows of either at least.
+_HELD_NUMBERS, _CHUNK_ROWS = 12_000_000, 1_024
+#: Blocks that entries are dealt into, and meetings of a block with queries in a round, if they fit.
+_BLOCKS, _MEETINGS = 4, 12
+#: Queries that are compared at a time in a meeting.
+_PIECE_ROWS = 8_192
 _PIVOTS = 128
 #: Queries and entries of one product, and how many of its columns have their maximum taken together.
 _ROWS, _TILE, _GROUP = 512, 4_096, 32
@@ -183,8 +189,9 @@ def _near(
     real = np.flatnonzero(place >= 0)
     right = np.zeros((len(place), width + 1), np.float32)
     right[:, width] = _NONE
-    shortened = entries / scale
-    right[real, :width], right[real, width] = shortened, -0.5 * (shortened * shortened).sum(1)
+    for i in range(0, len(real), _TILE):
+        shortened = entries[i:i + _TILE] / scale
+        right[real[i:i + _TILE], :width], right[real[i:i + _TILE], width] = shortened, -0.5 * (shortened * shortened).sum(1)
     shortened = queries / scale
     left, squares = np.ones((len(queries), width + 1), np.float32), (shortened * shortened).sum(1)
     left[:, :width] = shortened
@@ -237,14 +244,29 @@ def _near(
             yield at + query[kept], place[entry[kept]]
 
 
-def _best(
+def _first_rows(
+    query: np.ndarray, entry: np.ndarray, exact: np.ndarray, order: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, entry row, distance, place): the k nearest of these for each query, ties to the lower ``order``."""
+    sorted_ = np.lexsort((order[entry], exact, query))
+    query, entry, exact = query[sorted_], entry[sorted_], exact[sorted_]
+    place = np.arange(len(query)) - np.searchsorted(query, query, "left")
+    kept = place < k
+    return query[kept], entry[kept], exact[kept], (place[kept] + 1).astype(np.int32)
+
+
+def _order(b_ids: pa.Array) -> np.ndarray:
+    return pc.rank(b_ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+
+
+def _best_rows(
     q_ids: pa.Array, queries: np.ndarray, b_ids: pa.Array, entries: np.ndarray, k: int, limit: float | None, other_than_self: bool,
-    cells: np.ndarray | None = None, bound: np.ndarray | None = None, least: Least | None = None,
-) -> pa.Table:
-    """(q_id, b_id, distance, place): the k nearest of a block of entries for each of a block of queries, none beyond its bound."""
+    cells: np.ndarray | None = None, bound: np.ndarray | None = None, least: Least | None = None, order: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, entry row, distance, place): the k nearest of a block of entries for each of a block of queries, none beyond its bound."""
     found = [(np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, np.int32))]
     if len(q_ids) and len(b_ids):
-        order = pc.rank(b_ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        order = _order(b_ids) if order is None else order
         same = _same(q_ids, b_ids) if other_than_self else (np.empty(0, int), np.empty(0, int))
         bound = np.full(len(q_ids), np.inf) if bound is None else bound
         cells = np.zeros(len(b_ids), int) if cells is None else cells
@@ -258,12 +280,13 @@ def _best(
             if limit is not None:
                 near = exact < limit
                 query, entry, exact = query[near], entry[near], exact[near]
-            sorted_ = np.lexsort((order[entry], exact, query))
-            query, entry, exact = query[sorted_], entry[sorted_], exact[sorted_]
-            place = np.arange(len(query)) - np.searchsorted(query, query, "left")
-            kept = place < k
-            found.append((query[kept], entry[kept], exact[kept], (place[kept] + 1).astype(np.int32)))
-    query, entry, exact, place = (np.concatenate(f) for f in zip(*found, strict=True))
+            found.append(_first_rows(query, entry, exact, order, k))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def _best(q_ids: pa.Array, queries: np.ndarray, b_ids: pa.Array, *rest) -> pa.Table:
+    """What :func:`_best_rows` finds as (q_id, b_id, distance, place)."""
+    query, entry, exact, place = _best_rows(q_ids, queries, b_ids, *rest)
     return pa.table({"q_id": q_ids.take(pa.array(query)), "b_id": b_ids.take(pa.array(entry)), "distance": exact, "place": place})
 
 
@@ -297,18 +320,31 @@ def _chain(pivots: np.ndarray) -> list[int]:
     return order
 
 
+def _nearest_pivot(matrix: np.ndarray, pivots: np.ndarray, distances: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The nearest pivot of each row, the first of equal ones. Rows have the same one whichever rows are beside them:
+    pivots that rounding could put first are told apart by sums from left to right."""
+    close = distances <= (distances.min(1) + 4.0 * _slack(lengths + _norms(pivots).max(), matrix.shape[1]))[:, None]
+    row, pivot = np.nonzero(close)
+    exact, step = np.empty(len(row)), max(1, _BLOCK_NUMBERS // matrix.shape[1])
+    for i in range(0, len(row), step):
+        part = slice(i, i + step)
+        exact[part] = np.add.accumulate((matrix[row[part]] - pivots[pivot[part]]) ** 2, axis=1)[:, -1]
+    sorted_ = np.lexsort((pivot, exact, row))
+    return pivot[sorted_][np.searchsorted(row, np.arange(len(matrix)))]
+
+
 def _dealt(counts: np.ndarray, order: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first block, how many blocks) of each cell: cells that follow one another share a block, one over ``most`` rows has several."""
-    first, many = np.zeros(len(counts), int), np.ones(len(counts), int)
-    block, held = -1, most
-    for cell in order:
-        many[cell] = max(1, -(-counts[cell] // most))
-        if held + counts[cell] > most:
-            block, held = block + 1, 0
-        first[cell] = block
-        if many[cell] > 1:
-            block, held = block + many[cell] - 1, most
-        held += counts[cell]
+    """(first block, how many blocks) of each cell. Cells that follow one another share a block of about ``most`` rows, as few
+    and as even as whole cells allow and never more than a cell over; a cell of more than ``most`` rows has several of its own."""
+    first, many = np.zeros(len(counts), int), np.maximum(1, -(-counts // most))
+    cells = np.array(order)
+    shared, large = cells[many[cells] == 1], cells[many[cells] > 1]
+    rows = int(counts[shared].sum())
+    blocks = -(-rows // most)
+    if rows:
+        middles = np.cumsum(counts[shared]) - counts[shared] / 2.0
+        first[shared] = np.minimum((middles * blocks / rows).astype(int), blocks - 1)
+    first[large] = blocks + np.cumsum(many[large]) - many[large]
     return first, many
 
 
@@ -316,41 +352,91 @@ def _pick(values: np.ndarray, at: Column) -> Column:
     return F.get(F.array(*[F.lit(int(v)) for v in values]), at)
 
 
+def _ids(side: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(side.column(name).chunks)
+
+
+def _runs(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(meeting, whether they are queries, rows): rows that follow one another and have these in common."""
+    for frame in frames:
+        meeting, query = frame.column("meeting").to_numpy(), pc.is_valid(frame.column("q_vec")).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero((np.diff(meeting) != 0) | (np.diff(query) != 0)) + 1
+        for start, end in zip([0, *ends], [*ends, len(frame)], strict=True):
+            if end > start:
+                yield int(meeting[start]), bool(query[start]), frame.slice(start, end - start)
+
+
+def _pieces(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table | None, pa.Table]]:
+    """(entries of a meeting, some of its queries); only a meeting's first piece has the entries, which may be no rows."""
+    held, pending, now = [], [], None
+
+    def piece() -> tuple[pa.Table | None, pa.Table]:
+        return None if held is None else pa.Table.from_batches(held or [pending[0].slice(0, 0)]), pa.Table.from_batches(pending)
+
+    for meeting, query, run in _runs(frames):
+        if meeting != now:
+            if pending:
+                yield piece()
+            held, pending, now = [], [], meeting
+        if not query:
+            held.append(run)
+            continue
+        pending.append(run)
+        if sum(map(len, pending)) >= _PIECE_ROWS:
+            yield piece()
+            held, pending = None, []
+    if pending:
+        yield piece()
+
+
+class _Block:
+    """The entries of a block by cell, as a task holds them."""
+
+    def __init__(self, entries: pa.Table, width: int) -> None:
+        self.ids, self.cells = _ids(entries, "b_id"), entries.column("cell").to_numpy()
+        self.matrix = _rows_of(entries.column("b_vec"), width)
+        self.held, self.order = np.unique(self.cells), _order(self.ids)
+
+
 def _meet(
-    targets: DataFrame, placed: DataFrame, counts: np.ndarray, most: int, width: int, k: int, limit: float | None, other_than_self: bool,
-    least_of: Callable[[np.ndarray, np.ndarray], Least],
+    targets: DataFrame, placed: DataFrame, counts: np.ndarray, most: int, width: int,
+    found_of: Callable[[pa.Table, np.ndarray, _Block], pa.RecordBatch], schema: str,
 ) -> DataFrame:
-    """(q_id, b_id, distance): the k nearest entries of each block for each query sent to that block.
+    """What ``found_of`` gives for the queries sent to each block, some at a time, and that block's entries.
 
-    ``counts`` says how many queries are sent to each block. They are cut into parts of ``most`` rows, each of which
-    meets the whole block, so no group grows with a block that many queries go to; pairs never leave a group.
+    ``counts`` says how many queries are sent to each block. They are cut into parts of about ``most`` rows, each of
+    which meets the whole block in a task of its own, so no task grows with a block that many queries go to. A task
+    holds the entries only; the queries come after them and are read as they come.
     """
-    ways = -(-counts // most)
+    ways = np.where(counts > 0, np.maximum(1, np.rint(counts / most)), 0).astype(int)
     starts, groups = np.cumsum(ways) - ways, max(1, int(ways.sum()))
-    part = F.pmod(F.xxhash64("q_id", "q_vec"), _pick(ways, F.col("block")))
-    a = targets.withColumn("meeting", (_pick(starts, F.col("block")) + part).cast("int")).drop("block")
     begin, parts = _pick(starts, F.col("block")), _pick(ways, F.col("block"))
-    b = placed.where(parts > 0).withColumn("meeting", F.explode(F.sequence(begin, begin + parts - 1))).drop("block")
-    # Groups are few and large: without merged partitions each core gets some.
-    a, b = (side.repartition(min(2 * groups, 4_096), "meeting") for side in (a, b))
+    part = F.pmod(F.xxhash64(F.lit("part"), "q_id", "q_vec"), parts)
+    a = targets.withColumn("meeting", (begin + part).cast("int"))
+    b = placed.where(parts > 0).withColumn("meeting", F.explode(F.sequence(begin, begin + parts - 1)))
+    both = a.unionByName(b, allowMissingColumns=True).repartitionById(groups, "meeting") \
+        .sortWithinPartitions("meeting", F.isnotnull("q_vec"), "cell")
+
+    def meetings(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for entries, queries in _pieces(frames):
+            if entries is not None:
+                block = _Block(entries, width)
+            yield found_of(queries, _rows_of(queries.column("q_vec"), width), block)
+
+    return both.mapInArrow(meetings, schema)
 
-    def nearest_of(queries: pa.Table, entries: pa.Table) -> pa.Table:
-        queries, entries = queries.sort_by("cell").combine_chunks(), entries.sort_by("cell").combine_chunks()
-        ids = [pa.concat_arrays(side.column(c).chunks) if len(side) else pa.array([], side.schema.field(c).type) for side, c in ((queries, "q_id"), (entries, "b_id"))]
-        vectors, cells = _rows_of(queries.column("q_vec"), width), entries.column("cell").to_numpy()
-        least = least_of(vectors, queries.column("cell").to_numpy())
-        held = np.unique(cells)
-        return _best(ids[0], vectors, ids[1], _rows_of(entries.column("b_vec"), width), k, limit, other_than_self, cells,
-                     queries.column("bound").to_numpy(), lambda rows: least(rows)[:, held]).drop_columns("place")
 
-    return a.groupBy("meeting").cogroup(b.groupBy("meeting")).applyInArrow(nearest_of, _types(targets, placed))
+def _lists(of: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
+    """``values`` as one list for each of so many rows; ``of`` has the values' rows in ascending order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)), pa.int32()), values)
 
 
 def _search_cells(
     wanted: DataFrame, entries: DataFrame, rows: int, width: int, k: int, limit: float | None, other_than_self: bool
 ) -> DataFrame:
-    """In two rounds: each query meets the entries of its own cell; what it finds there bounds
-    its nearest, and it goes on to those blocks only that can hold a nearer one in another cell."""
+    """In two rounds: each query meets the block that its own cell is in, that cell first; what it finds there bounds
+    its nearest, and it goes on to those blocks only that can hold a nearer one."""
     # Pivots are entries themselves, so distances to them bound the nearest from above.
     pivots = _matrix([
         r[0] for r in entries.orderBy(F.xxhash64(F.col("b_vec").cast("array<double>")), "b_id").limit(_PIVOTS)
@@ -361,22 +447,24 @@ def _search_cells(
     @F.pandas_udf("cell int, reach double, length double")
     def assign(vectors: pd.Series) -> pd.DataFrame:
         matrix = _matrix(vectors)
-        distances = _distances(matrix, pivots)
-        return pd.DataFrame({"cell": distances.argmin(1), "reach": distances.min(1), "length": _norms(matrix)})
+        distances, lengths = _distances(matrix, pivots), _norms(matrix)
+        cell = _nearest_pivot(matrix, pivots, distances, lengths)
+        return pd.DataFrame({"cell": cell, "reach": distances[np.arange(len(cell)), cell], "length": lengths})
 
-    placed = cut_lineage(entries.withColumn("_a", assign("b_vec")).select("b_id", "b_vec", "_a.*"))
+    # Found anew by each reader, always the same.
+    placed = entries.withColumn("_a", assign("b_vec")).select("b_id", "b_vec", "_a.*")
     radius, longest, counts = np.full(len(pivots), -np.inf), 0.0, np.zeros(len(pivots), int)
     for cell, reach, length, count in placed.groupBy("cell").agg(F.max("reach"), F.max("length"), F.count(F.lit(1))).collect():
         radius[cell], longest, counts[cell] = reach, max(longest, length), count
 
-    def share(rows: int) -> int:
-        """Rows of a block: a share of the table, while that fits a task."""
-        return max(1, min(_BLOCK_NUMBERS // width, max(_CHUNK_ROWS, -(-rows // _BLOCKS))))
+    def share(rows: int, parts: int) -> int:
+        """Rows of one of so many parts of the rows, while that fits a task."""
+        return max(1, min(_HELD_NUMBERS // width, max(_CHUNK_ROWS, -(-rows // parts))))
 
-    first, many = _dealt(counts, _chain(pivots), share(rows))
+    first, many = _dealt(counts, _chain(pivots), share(rows, _BLOCKS))
     blocks = int((first + many).max())
-    piece = F.pmod(F.xxhash64("b_id", "b_vec"), _pick(many, F.col("cell")))
-    placed = placed.select("b_id", "b_vec", "cell", (_pick(first, F.col("cell")) + piece).cast("int").alias("block"))
+    piece = lambda *row: (_pick(first, F.col("cell")) + F.pmod(F.xxhash64(*row), _pick(many, F.col("cell")))).cast("int")
+    placed = placed.select("b_id", "b_vec", "cell", piece("b_id", "b_vec").alias("block"))
     of_cell = np.zeros((len(pivots), blocks), bool)
     for cell in np.flatnonzero(counts):
         of_cell[cell, first[cell]:first[cell] + many[cell]] = True
@@ -392,43 +480,60 @@ def _search_cells(
         distances[:, ~np.isfinite(radius)] = np.inf
         return pd.DataFrame({"cell": distances.argmin(1), "bound": bound})
 
-    def at_home(vectors: np.ndarray, own: np.ndarray) -> Least:
-        return lambda rows: np.where(own[rows, None] == np.arange(len(pivots)), 0.0, np.inf)
-
-    def elsewhere(vectors: np.ndarray, own: np.ndarray) -> Least:
-        def least(rows: slice) -> np.ndarray:
-            some = vectors[rows]
-            distances = _distances(some, pivots)
-            lower = np.maximum(distances - radius[None, :], (distances - distances.min(1)[:, None]) / 2.0)
-            # Four rounded distances meet in a comparison.
-            lower -= 4.0 * _slack(_norms(some) + longest, width)[:, None]
-            lower = np.where(np.isfinite(radius)[None, :], np.maximum(lower, 0.0), np.inf)
-            lower[np.arange(len(some)), own[rows]] = np.inf
-            return lower
-
-        return least
-
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "b_id"))
-    first_k = lambda found: found.withColumn("place", place).where(F.col("place") <= k)
-    homed = cut_lineage(wanted.withColumn("_h", own_cell("q_vec")).select("q_id", "q_vec", "_h.*"))
-    sent, queries = np.zeros(blocks, int), 0
-    for cell, count in homed.groupBy("cell").count().collect():
-        sent[of_cell[cell]] += count
-        queries += count
-    most, begin = share(queries), _pick(first, F.col("cell"))
-    targets = homed.withColumn("block", F.explode(F.sequence(begin, begin + _pick(many, F.col("cell")) - 1)))
-    near = cut_lineage(first_k(_meet(targets, placed, sent, most, width, k, limit, other_than_self, at_home)).drop("place"))
-    tight = near.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_kth"))
-
-    @F.pandas_udf("array<int>")
-    def other_blocks(vectors: pd.Series, own: pd.Series, bound: pd.Series) -> pd.Series:
-        lower = elsewhere(_matrix(vectors), own.to_numpy())(slice(None))
-        return pd.Series([np.flatnonzero(m).tolist() for m in (lower <= bound.to_numpy()[:, None]) @ of_cell])
-
-    bounded = homed.join(tight, "q_id", "left").withColumn("bound", F.least("bound", "_kth")).drop("_kth")
-    bounded = cut_lineage(bounded.withColumn("blocks", other_blocks("q_vec", "cell", "bound")))
+    def least_of(vectors: np.ndarray) -> np.ndarray:
+        """The least distance that each of these can have from an entry of each cell."""
+        distances = _distances(vectors, pivots)
+        lower = np.maximum(distances - radius[None, :], (distances - distances.min(1)[:, None]) / 2.0)
+        # Four rounded distances meet in a comparison.
+        lower -= 4.0 * _slack(_norms(vectors) + longest, width)[:, None]
+        return np.where(np.isfinite(radius)[None, :], np.maximum(lower, 0.0), np.inf)
+
+    def at_home(queries: pa.Table, vectors: np.ndarray, block: _Block) -> pa.RecordBatch:
+        """The nearest of the own block and the blocks to go on to, with the vectors of those that go on."""
+        ids, own, bound = _ids(queries, "q_id"), queries.column("cell").to_numpy()[:, None], queries.column("bound").to_numpy().copy()
+        found = [np.empty(0, int)] * 2 + [np.empty(0)]
+        for home in (True, False):
+            least = lambda rows: np.where((own[rows] == block.held) == home, least_of(vectors[rows])[:, block.held], np.inf)  # noqa: B023, E731
+            more = _best_rows(ids, vectors, block.ids, block.matrix, k, limit, other_than_self, block.cells, bound, least, block.order)
+            *found, place = _first_rows(*(np.concatenate(f) for f in zip(found, more[:3], strict=True)), block.order, k)
+            last = place == k
+            bound[found[0][last]] = np.minimum(bound[found[0][last]], found[2][last])
+        on = np.empty((len(ids), blocks), bool)
+        for i in range(0, len(ids), _ROWS):
+            part = slice(i, i + _ROWS)
+            on[part] = (least_of(vectors[part]) <= bound[part, None]) @ of_cell
+        on[np.arange(len(ids)), queries.column("block").to_numpy()] = False
+        going, to = np.nonzero(on)
+        gone = ~on.any(1)
+        near = pa.StructArray.from_arrays([block.ids.take(pa.array(found[1])), pa.array(found[2])], ["b_id", "distance"])
+        return pa.RecordBatch.from_arrays([
+            ids, _ids(queries, "q_vec").take(pa.array(np.arange(len(ids)), mask=gone)), pa.array(bound),
+            _lists(going, len(ids), pa.array(to, pa.int32())), _lists(found[0], len(ids), near),
+        ], ["q_id", "q_vec", "bound", "blocks", "near"])
+
+    def elsewhere(queries: pa.Table, vectors: np.ndarray, block: _Block) -> pa.RecordBatch:
+        query, entry, exact, _ = _best_rows(
+            _ids(queries, "q_id"), vectors, block.ids, block.matrix, k, limit, other_than_self, block.cells,
+            queries.column("bound").to_numpy(), lambda rows: least_of(vectors[rows])[:, block.held], block.order)
+        return pa.RecordBatch.from_arrays(
+            [_ids(queries, "q_id").take(pa.array(query)), block.ids.take(pa.array(entry)), pa.array(exact)], ["q_id", "b_id", "distance"])
+
+    # Read twice, to count them and to send them; what is found is of the second time.
+    targets = wanted.withColumn("_h", own_cell("q_vec")).select("q_id", "q_vec", "_h.*").withColumn("block", piece("q_id", "q_vec"))
     sent = np.zeros(blocks, int)
-    for block, count in bounded.select(F.explode("blocks").alias("block")).groupBy("block").count().collect():
+    for block, count in targets.groupBy("block").count().collect():
         sent[block] = count
-    targets = bounded.withColumn("block", F.explode("blocks")).drop("blocks")
-    return first_k(near.unionByName(_meet(targets, placed, sent, most, width, k, limit, other_than_self, elsewhere)))
+    q_vec, types = wanted.schema["q_vec"].dataType.simpleString(), _types(wanted, entries)
+    b_id = entries.schema["b_id"].dataType.simpleString()
+    homed = cut_lineage(_meet(
+        targets, placed, np.maximum(sent, 1), share(int(sent.sum()) * _BLOCKS, _MEETINGS), width, at_home,
+        f"q_id {wanted.schema['q_id'].dataType.simpleString()}, q_vec {q_vec}, bound double, blocks array<int>, near array<struct<b_id: {b_id}, distance: double>>"))
+    sent = np.zeros(blocks, int)
+    for block, count in homed.select(F.explode("blocks").alias("block")).groupBy("block").count().collect():
+        sent[block] = count
+    # Of the second round nothing is at home: each query meets several cells.
+    targets = homed.select("q_id", "q_vec", "bound", F.explode("blocks").alias("block")).withColumn("cell", F.lit(0))
+    near = homed.select("q_id", F.explode("near").alias("_n")).select("q_id", "_n.*")
+    far = _meet(targets, placed, sent, share(int(sent.sum()), _MEETINGS), width, elsewhere, types)
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "b_id"))
+    return near.unionByName(far).withColumn("place", place).where(F.col("place") <= k)
