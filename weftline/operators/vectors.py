@@ -30,8 +30,8 @@ from weftline.session import cut_lineage
 SENT_NUMBERS = 8_000_000
 #: Numbers of a matrix of distances, or of what is measured at a time.
 _BLOCK_NUMBERS = 4_000_000
-#: Numbers of a block, or of the queries of a meeting, at most; rows of either at least.
-_HELD_NUMBERS, _CHUNK_ROWS = 12_000_000, 1_024
+#: Numbers of a block and of the queries that pass it in one meeting, about at most; rows of either at least.
+_HELD_NUMBERS, _PASSING_NUMBERS, _CHUNK_ROWS = 20_000_000, 48_000_000, 1_024
 #: Blocks that entries are dealt into, and meetings of a block with queries in a round, if they fit.
 _BLOCKS, _MEETINGS = 4, 12
 #: Queries that are compared at a time in a meeting.
@@ -65,7 +65,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _norms(vectors: np.ndarray) -> np.ndarray:
-    return np.sqrt((vectors * vectors).sum(1))
+    return np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
 
 
 def _slack(lengths, width: int):
@@ -457,11 +457,11 @@ def _search_cells(
     for cell, reach, length, count in placed.groupBy("cell").agg(F.max("reach"), F.max("length"), F.count(F.lit(1))).collect():
         radius[cell], longest, counts[cell] = reach, max(longest, length), count
 
-    def share(rows: int, parts: int) -> int:
-        """Rows of one of so many parts of the rows, while that fits a task."""
-        return max(1, min(_HELD_NUMBERS // width, max(_CHUNK_ROWS, -(-rows // parts))))
+    def share(rows: int, parts: int, numbers: int) -> int:
+        """Rows of one of so many parts of the rows, while these are so many numbers at most."""
+        return max(1, min(numbers // width, max(_CHUNK_ROWS, -(-rows // parts))))
 
-    first, many = _dealt(counts, _chain(pivots), share(rows, _BLOCKS))
+    first, many = _dealt(counts, _chain(pivots), share(rows, _BLOCKS, _HELD_NUMBERS))
     blocks = int((first + many).max())
     piece = lambda *row: (_pick(first, F.col("cell")) + F.pmod(F.xxhash64(*row), _pick(many, F.col("cell")))).cast("int")
     placed = placed.select("b_id", "b_vec", "cell", piece("b_id", "b_vec").alias("block"))
@@ -526,7 +526,7 @@ def _search_cells(
     q_vec, types = wanted.schema["q_vec"].dataType.simpleString(), _types(wanted, entries)
     b_id = entries.schema["b_id"].dataType.simpleString()
     homed = cut_lineage(_meet(
-        targets, placed, np.maximum(sent, 1), share(int(sent.sum()) * _BLOCKS, _MEETINGS), width, at_home,
+        targets, placed, np.maximum(sent, 1), share(int(sent.sum()) * _BLOCKS, _MEETINGS, _PASSING_NUMBERS), width, at_home,
         f"q_id {wanted.schema['q_id'].dataType.simpleString()}, q_vec {q_vec}, bound double, blocks array<int>, near array<struct<b_id: {b_id}, distance: double>>"))
     sent = np.zeros(blocks, int)
     for block, count in homed.select(F.explode("blocks").alias("block")).groupBy("block").count().collect():
@@ -534,6 +534,6 @@ def _search_cells(
     # Of the second round nothing is at home: each query meets several cells.
     targets = homed.select("q_id", "q_vec", "bound", F.explode("blocks").alias("block")).withColumn("cell", F.lit(0))
     near = homed.select("q_id", F.explode("near").alias("_n")).select("q_id", "_n.*")
-    far = _meet(targets, placed, sent, share(int(sent.sum()), _MEETINGS), width, elsewhere, types)
+    far = _meet(targets, placed, sent, share(int(sent.sum()), _MEETINGS, _PASSING_NUMBERS), width, elsewhere, types)
     place = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "b_id"))
     return near.unionByName(far).withColumn("place", place).where(F.col("place") <= k)
