@@ -173,3 +173,37 @@ def test_a_row_has_the_same_cell_whichever_rows_are_beside_it():
     expected = [int(np.add.accumulate((pivots - r) ** 2, axis=1)[:, -1].argmin()) for r in rows]
     assert cells(rows).tolist() == expected
     assert [int(cells(rows[i:i + 1])[0]) for i in range(500)] == expected
+
+
+def test_meetings_shuffle_nothing_and_rows_are_stored_once_a_round(spark, monkeypatch):
+    """However many blocks a query is sent to, and however many tasks hold a block."""
+    from weftline import session
+    from weftline.operators import vectors
+
+    plans, stored, meet, cut = [], [], vectors._meet, session.cut_counted
+
+    def planned(targets, *rest):
+        met = meet(targets, *rest)
+        plans.append((met._jdf.queryExecution().executedPlan().toString(), met.rdd.getNumPartitions(), targets.count()))
+        return met
+
+    def counted(*a, **b):
+        df, rows = cut(*a, **b)
+        stored.append(rows)
+        return df, rows
+
+    for name, value in {"_BLOCKS": 10, "_MEETINGS": 20, "_CHUNK_ROWS": 10}.items():
+        monkeypatch.setattr(vectors, name, value)
+    monkeypatch.setattr(vectors, "_meet", planned)
+    monkeypatch.setattr(vectors, "cut_counted", counted, raising=False)
+    monkeypatch.setattr(session, "cut_counted", counted)
+    points = np.random.default_rng(15).normal(size=(600, 24))
+    entries = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    b = spark.createDataFrame(entries, "b int, bv array<double>").repartition(3)
+    got = nearest(b.selectExpr("b q", "bv qv"), b, ("q", "qv"), ("b", "bv"), 2, None, True, sent_numbers=0).collect()
+    assert {(r["q"], r["b"], r["place"], round(r["similarity"], 9)) for r in got} == brute(entries, entries, 2, None, True)
+    assert [rows for *_, rows in plans][0] == 600 and plans[1][2] > 4_000
+    assert not [plan for plan, *_ in plans if "Exchange" in plan]
+    # A task for each meeting; found pairs are stored too, two a query and block.
+    assert [tasks >= 10 for _, tasks, _ in plans] == [True, True]
+    assert sum(stored[:4]) <= 4 * 600 and len(stored) == 5

@@ -4,9 +4,10 @@ A set of entries of checked size is sent to every task, and queries stream past
 without a shuffle. A larger set is divided into cells around pivot entries; triangle
 inequality bounds tell which cells can hold a query's nearest entry (after Lu et al.,
 "Efficient processing of k nearest neighbor joins using MapReduce", 2012). Neighbouring
-cells share a block, and a query is sent once to each block that it has such a cell in.
+cells share a block, and a query meets each block once that it has such a cell in.
 Blocks are a few, even shares of the entries while that fits a task, which holds one block
-and lets its queries stream past. So how often a row is sent doesn't grow with the table.
+and lets its queries stream past. Entries are stored by block, and queries once a round; tasks
+read from there what they meet. So how often a row is written doesn't grow with the table or the blocks.
 
 Vectors whose bounds exclude nothing (many dimensions, no clusters) are compared all with all,
 by definition of the search: products of matrices in single precision leave those pairs
@@ -16,6 +17,7 @@ that can be among the nearest, and these are measured in double precision.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import cut_lineage
+from weftline.session import cut_counted, cut_lineage, free_scratch, scratch_path, side_by_side
 
 # Entries up to this many numbers (64 MB as doubles) are sent to every task whole.
 SENT_NUMBERS = 8_000_000
@@ -398,33 +400,42 @@ class _Block:
         self.held, self.order = np.unique(self.cells), _order(self.ids)
 
 
+def _ways(counts: np.ndarray, most: int) -> np.ndarray:
+    """The tasks that each block meets its queries in, of about ``most`` queries each."""
+    return np.where(counts > 0, np.maximum(1, np.rint(counts / most)), 0).astype(int)
+
+
 def _meet(
     targets: DataFrame, placed: DataFrame, counts: np.ndarray, most: int, width: int,
-    found_of: Callable[[pa.Table, np.ndarray, _Block], pa.RecordBatch], schema: str,
+    found_of: Callable[[pa.Table, np.ndarray, _Block], pa.RecordBatch], schema: str, parts: int,
 ) -> DataFrame:
     """What ``found_of`` gives for the queries sent to each block, some at a time, and that block's entries.
 
-    ``counts`` says how many queries are sent to each block. They are cut into parts of about ``most`` rows, each of
-    which meets the whole block in a task of its own, so no task grows with a block that many queries go to. A task
-    holds the entries only; the queries come after them and are read as they come.
+    ``counts`` says how many queries are sent to each block. About ``most`` of them meet the whole block in a task of
+    their own, so no task grows with a block that many queries go to. Both sides are stored by block, or by ``part``
+    (0 to ``parts`` - 1), and a task reads what it needs of either from there: nothing is shuffled, however many blocks
+    a query is sent to and however many tasks hold a block. A task holds the entries only; the queries come after them
+    and are read as they come. Run it :func:`side_by_side`.
     """
-    ways = np.where(counts > 0, np.maximum(1, np.rint(counts / most)), 0).astype(int)
-    starts, groups = np.cumsum(ways) - ways, max(1, int(ways.sum()))
-    begin, parts = _pick(starts, F.col("block")), _pick(ways, F.col("block"))
-    part = F.pmod(F.xxhash64(F.lit("part"), "q_id", "q_vec"), parts)
-    a = targets.withColumn("meeting", (begin + part).cast("int"))
-    b = placed.where(parts > 0).withColumn("meeting", F.explode(F.sequence(begin, begin + parts - 1)))
-    both = a.unionByName(b, allowMissingColumns=True).repartitionById(groups, "meeting") \
-        .sortWithinPartitions("meeting", F.isnotnull("q_vec"), "cell")
-
-    def meetings(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    meetings = []
+    for block, ways in enumerate(np.minimum(_ways(counts, most), parts).tolist()):
+        for i in range(ways):
+            part = F.col("part").between(parts * i // ways, parts * (i + 1) // ways - 1)
+            both = targets.where((F.col("block") == block) & part).drop("part") \
+                .unionByName(placed.where(F.col("block") == block), allowMissingColumns=True)
+            meetings.append(both.withColumn("meeting", F.lit(len(meetings)))
+                            .coalesce(1).sortWithinPartitions(F.isnotnull("q_vec"), "cell"))
+    if not meetings:
+        return targets.sparkSession.createDataFrame([], schema)
+
+    def met(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
         for entries, queries in _pieces(frames):
             if entries is not None:
                 block = _Block(entries, width)
             yield found_of(queries, _rows_of(queries.column("q_vec"), width), block)
 
-    return both.mapInArrow(meetings, schema)
+    return reduce(DataFrame.union, meetings).mapInArrow(met, schema)
 
 
 def _lists(of: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
@@ -435,8 +446,8 @@ def _lists(of: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
 def _search_cells(
     wanted: DataFrame, entries: DataFrame, rows: int, width: int, k: int, limit: float | None, other_than_self: bool
 ) -> DataFrame:
-    """In two rounds: each query meets the block that its own cell is in, that cell first; what it finds there bounds
-    its nearest, and it goes on to those blocks only that can hold a nearer one."""
+    """In two rounds, both run here: each query meets the block that its own cell is in, that cell first; what it finds
+    there bounds its nearest, and it goes on to those blocks only that can hold a nearer one."""
     # Pivots are entries themselves, so distances to them bound the nearest from above.
     pivots = _matrix([
         r[0] for r in entries.orderBy(F.xxhash64(F.col("b_vec").cast("array<double>")), "b_id").limit(_PIVOTS)
@@ -518,22 +529,38 @@ def _search_cells(
         return pa.RecordBatch.from_arrays(
             [_ids(queries, "q_id").take(pa.array(query)), block.ids.take(pa.array(entry)), pa.array(exact)], ["q_id", "b_id", "distance"])
 
-    # Read twice, to count them and to send them; what is found is of the second time.
+    spark = wanted.sparkSession
+    stored = [scratch_path(spark, "entries"), scratch_path(spark, "queries")]
+    placed = cut_counted(placed, stored[0], ["block"])[0]
+
+    def part_of(parts: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit("part"), "q_id", "q_vec"), F.lit(parts)).cast("int")
+
+    # Read twice, to count them and to store them; what is found is of the second time.
     targets = wanted.withColumn("_h", own_cell("q_vec")).select("q_id", "q_vec", "_h.*").withColumn("block", piece("q_id", "q_vec"))
     sent = np.zeros(blocks, int)
     for block, count in targets.groupBy("block").count().collect():
         sent[block] = count
+    most = share(int(sent.sum()) * _BLOCKS, _MEETINGS, _PASSING_NUMBERS)
+    # Of the second round as many parts as any block can have meetings.
+    parts, later = int(max(1, _ways(sent, most).max())), max(_MEETINGS, -(-int(sent.sum()) * width // _PASSING_NUMBERS))
+    targets = cut_counted(targets.withColumn("part", part_of(parts)), stored[1], ["block", "part"])[0]
     q_vec, types = wanted.schema["q_vec"].dataType.simpleString(), _types(wanted, entries)
     b_id = entries.schema["b_id"].dataType.simpleString()
-    homed = cut_lineage(_meet(
-        targets, placed, np.maximum(sent, 1), share(int(sent.sum()) * _BLOCKS, _MEETINGS, _PASSING_NUMBERS), width, at_home,
-        f"q_id {wanted.schema['q_id'].dataType.simpleString()}, q_vec {q_vec}, bound double, blocks array<int>, near array<struct<b_id: {b_id}, distance: double>>"))
+    with side_by_side(spark):
+        homed = cut_lineage(_meet(
+            targets, placed, np.maximum(sent, 1), most, width, at_home,
+            f"q_id {wanted.schema['q_id'].dataType.simpleString()}, q_vec {q_vec}, bound double, blocks array<int>, near array<struct<b_id: {b_id}, distance: double>>",
+            parts).withColumn("part", part_of(later)), ["part"])
     sent = np.zeros(blocks, int)
     for block, count in homed.select(F.explode("blocks").alias("block")).groupBy("block").count().collect():
         sent[block] = count
     # Of the second round nothing is at home: each query meets several cells.
-    targets = homed.select("q_id", "q_vec", "bound", F.explode("blocks").alias("block")).withColumn("cell", F.lit(0))
+    targets = homed.select("q_id", "q_vec", "bound", "part", F.explode("blocks").alias("block")).withColumn("cell", F.lit(0))
     near = homed.select("q_id", F.explode("near").alias("_n")).select("q_id", "_n.*")
-    far = _meet(targets, placed, sent, share(int(sent.sum()), _MEETINGS, _PASSING_NUMBERS), width, elsewhere, types)
+    with side_by_side(spark):
+        far = cut_lineage(_meet(
+            targets, placed, sent, share(int(sent.sum()), _MEETINGS, _PASSING_NUMBERS), width, elsewhere, types, later))
+    free_scratch(spark, stored)
     place = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "b_id"))
     return near.unionByName(far).withColumn("place", place).where(F.col("place") <= k)

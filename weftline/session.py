@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While set, a union of frames of one partition each has one partition.
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
 
 #: Paths handed out and not deleted yet, by shared folder.
 _made: dict[str, list[str]] = {}
@@ -80,19 +82,33 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
-def cut_counted(df: DataFrame, path: str | None = None) -> tuple[DataFrame, int]:
+@contextmanager
+def side_by_side(spark: SparkSession) -> Iterator[None]:
+    """Unions that run inside keep their frames' partitions beside one another, as tasks of their own."""
+    before = spark.conf.get(UNION_PARTITIONING, "true")
+    spark.conf.set(UNION_PARTITIONING, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(UNION_PARTITIONING, before)
+
+
+def cut_counted(df: DataFrame, path: str | None = None, by: Sequence[str] = ()) -> tuple[DataFrame, int]:
     """Write the rows to the shared folder (or a ``path`` in it) and go on from there,
     with their number.
 
     Nothing before this is computed again when an executor is lost, so its shuffle files
-    go once the rows are written, and the planner knows the size from here on.
+    go once the rows are written, and the planner knows the size from here on. Readers that want
+    some values of the columns ``by`` read the files of these values only.
     """
     path = path or scratch_path(df.sparkSession, "step")
     seen = Observation()
     with freed_shuffles(df.sparkSession):
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    # Columns that rows are stored by come last.
+    return out.select(*df.columns) if by else out, seen.get["rows"]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    return cut_counted(df)[0]
+def cut_lineage(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return cut_counted(df, by=by)[0]
