@@ -207,3 +207,24 @@ def test_meetings_shuffle_nothing_and_rows_are_stored_once_a_round(spark, monkey
     # A task for each meeting; found pairs are stored too, two a query and block.
     assert [tasks >= 10 for _, tasks, _ in plans] == [True, True]
     assert sum(stored[:4]) <= 4 * 600 and len(stored) == 5
+
+
+def test_many_meetings_are_planned_some_at_a_time(spark, monkeypatch):
+    from weftline.operators import vectors
+
+    calls, meet = [], vectors._meet
+    for name, value in {"_BLOCKS": 6, "_CHUNK_ROWS": 10, "_PLANNED": 5}.items():
+        monkeypatch.setattr(vectors, name, value)
+    def counted(*a):
+        met = meet(*a)
+        calls.append(met.rdd.getNumPartitions())
+        return met
+
+    monkeypatch.setattr(vectors, "_meet", counted)
+    entries, queries = data(16, 12), data(17, 12)[:50]
+    q = spark.createDataFrame(queries, "q int, qv array<double>")
+    b = spark.createDataFrame(entries, "b int, bv array<double>")
+    got = nearest(q, b, ("q", "qv"), ("b", "bv"), 2, sent_numbers=0).collect()
+    assert len(calls) > 2 and 1 < max(calls) <= 10
+    assert len(got) == len(set(got))
+    assert {(r["q"], r["b"], r["place"], round(r["similarity"], 9)) for r in got} == brute(queries, entries, 2, None, False)

@@ -36,6 +36,8 @@ _BLOCK_NUMBERS = 4_000_000
 _HELD_NUMBERS, _PASSING_NUMBERS, _CHUNK_ROWS = 20_000_000, 48_000_000, 1_024
 #: Blocks that entries are dealt into, and meetings of a block with queries in a round, if they fit.
 _BLOCKS, _MEETINGS = 4, 12
+#: Meetings of one plan, about at most, so that planning grows with their number.
+_PLANNED = 48
 #: Queries that are compared at a time in a meeting.
 _PIECE_ROWS = 8_192
 _PIVOTS = 128
@@ -536,6 +538,15 @@ def _search_cells(
     def part_of(parts: int) -> Column:
         return F.pmod(F.xxhash64(F.lit("part"), "q_id", "q_vec"), F.lit(parts)).cast("int")
 
+    def met(targets: DataFrame, counts: np.ndarray, most: int, found_of: Callable, schema: str, parts: int, **by: Column) -> DataFrame:
+        """What a round finds, stored by some columns; blocks of about so many meetings have a plan and a run of their own."""
+        runs, found = np.cumsum(np.minimum(_ways(counts, most), parts)) // _PLANNED, []
+        with side_by_side(spark):
+            for run in np.unique(runs):
+                some = _meet(targets, placed, np.where(runs == run, counts, 0), most, width, found_of, schema, parts)
+                found.append(cut_lineage(some.withColumns(by), list(by)))
+        return reduce(DataFrame.union, found)
+
     # Read twice, to count them and to store them; what is found is of the second time.
     targets = wanted.withColumn("_h", own_cell("q_vec")).select("q_id", "q_vec", "_h.*").withColumn("block", piece("q_id", "q_vec"))
     sent = np.zeros(blocks, int)
@@ -547,20 +558,17 @@ def _search_cells(
     targets = cut_counted(targets.withColumn("part", part_of(parts)), stored[1], ["block", "part"])[0]
     q_vec, types = wanted.schema["q_vec"].dataType.simpleString(), _types(wanted, entries)
     b_id = entries.schema["b_id"].dataType.simpleString()
-    with side_by_side(spark):
-        homed = cut_lineage(_meet(
-            targets, placed, np.maximum(sent, 1), most, width, at_home,
-            f"q_id {wanted.schema['q_id'].dataType.simpleString()}, q_vec {q_vec}, bound double, blocks array<int>, near array<struct<b_id: {b_id}, distance: double>>",
-            parts).withColumn("part", part_of(later)), ["part"])
+    homed = met(
+        targets, np.maximum(sent, 1), most, at_home,
+        f"q_id {wanted.schema['q_id'].dataType.simpleString()}, q_vec {q_vec}, bound double, blocks array<int>, near array<struct<b_id: {b_id}, distance: double>>",
+        parts, part=part_of(later))
     sent = np.zeros(blocks, int)
     for block, count in homed.select(F.explode("blocks").alias("block")).groupBy("block").count().collect():
         sent[block] = count
     # Of the second round nothing is at home: each query meets several cells.
     targets = homed.select("q_id", "q_vec", "bound", "part", F.explode("blocks").alias("block")).withColumn("cell", F.lit(0))
     near = homed.select("q_id", F.explode("near").alias("_n")).select("q_id", "_n.*")
-    with side_by_side(spark):
-        far = cut_lineage(_meet(
-            targets, placed, sent, share(int(sent.sum()), _MEETINGS, _PASSING_NUMBERS), width, elsewhere, types, later))
+    far = met(targets, sent, share(int(sent.sum()), _MEETINGS, _PASSING_NUMBERS), elsewhere, types, later)
     free_scratch(spark, stored)
     place = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "b_id"))
     return near.unionByName(far).withColumn("place", place).where(F.col("place") <= k)
