@@ -7,12 +7,16 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.llm import decontaminate as decontaminate_model
+from weftline.llm import minhash as minhash_model
 from weftline.llm import quality as quality_model
 from weftline.llm.common import components
 from weftline.llm.decontaminate import leaks, without_leaks
@@ -216,6 +220,53 @@ def test_long_texts_are_coded_in_stretches(monkeypatch):
         assert codes == [int.from_bytes(padded[i:i + 5], "big") for i in range(len(text or b""))]
 
 
+def test_coding_holds_little_at_a_time():
+    texts = [bytes(np.random.default_rng(i).integers(97, 123, 1 << 20, np.uint8)) for i in range(12)]
+    tracemalloc.start()
+    try:
+        found = sum(len(code) for _, _, code in quality_model.coded(texts))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 12 << 20 and most < 48 << 20
+
+
+def test_texts_are_copied_and_different_numbers_kept_some_at_a_time(monkeypatch):
+    texts = ["a", None, "", "ж漢", *["b"] * 700]
+    column = pa.chunked_array([pa.array(texts[:3]), pa.array(texts[3:], pa.string())])
+    assert list(quality_model._texts(column)) == [None if t is None else t.encode() for t in texts]
+    assert list(quality_model._texts(column.chunk(1))) == [t.encode() for t in texts[3:]]
+    monkeypatch.setattr(quality_model, "STRETCH", 10)
+    rng = np.random.default_rng(4)
+    for parts in (0, 1, 30):
+        some = [rng.integers(-50, 50, rng.integers(0, 25)) for _ in range(parts)]
+        assert quality_model._different(some).tolist() == sorted({int(x) for s in some for x in s})
+
+
+def test_pairs_of_a_large_group_come_in_blocks():
+    parts = [len(a) for a, _ in minhash_model._pairs_within(np.zeros(1500, int))]
+    assert sum(parts) == 1500 * 1499 // 2 and max(parts) < (1 << 18) + 1500
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    for module, step in ((minhash_model, "components"), (minhash_model, "cut_lineage"), (quality_model, "cut_lineage"), (decontaminate_model, "cut_lineage")):
+        def noted(df, real=getattr(module, step), of=module):
+            plan = df._jdf.queryExecution().analyzed().toString()
+            if any(x in plan for x in ("sign(", "InPandas", "InArrow")):
+                seen.append((of.__name__, int(spark.conf.get(name))))
+            return real(df)
+
+        monkeypatch.setattr(module, step, noted)
+    rows = [(i, " ".join(f"w{i // 2} x{j}" for j in range(30))) for i in range(20)]
+    assert near_duplicates(docs(spark, rows)).where("kept").count() == 10
+    assert quality(docs(spark, rows), spark.createDataFrame([(i,) for i in range(15)], "doc_id long")).count() == 20
+    assert leaks(docs(spark, rows), docs(spark, rows[:2]).withColumnRenamed("doc_id", "item_id")).count() > 0
+    assert {of.rsplit(".", 1)[1] for of, _ in seen} == {"minhash", "quality", "decontaminate"} and len(seen) >= 7
+    assert max(n for _, n in seen) <= 1_000 and spark.conf.get(name) == before
+
+
 def test_quality_knows_the_letters_of_any_script(spark):
     rng = random.Random(3)
     syllables = ["при", "вет", "до", "ма", "ня", "сто", "ли", "ца"]

@@ -96,7 +96,7 @@ def components(edges: DataFrame) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, remembered while there is room."""
 
-    most = 400_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

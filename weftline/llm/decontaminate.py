@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import WordHashes, hashes_of, mixed, words_of
-from weftline.session import cut_counted, cut_lineage
+from weftline.session import cut_counted, cut_lineage, small_batches
 
 #: Words in a seed; their places without and with a gap.
 SEED, ADJACENT, GAPPED = 3, (0, 1, 2), (0, 1, 3)
@@ -151,7 +151,8 @@ def leaking_texts(texts: DataFrame, items: DataFrame, *, text: str = "text", ite
     seeds, _ = cut_counted(_seeds(items))
     placed, count = cut_counted(seeds.select("item_id", F.inline(F.arrays_zip(F.col("js").alias("j"), F.col("grams").alias("gram")))))
     found = _hits(texts.select(text_key(F.col("text")).alias("text_key"), "text"), *_bitmap(placed, count))
-    hits = cut_lineage(found.dropDuplicates(["text_key"]))
+    with small_batches(texts.sparkSession):
+        hits = cut_lineage(found.dropDuplicates(["text_key"]))
     stretches = hits.select("text_key", F.inline(F.arrays_zip("at", "one", "two", "grams")))
     different = stretches.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.first("grams").alias("grams"))
     different = cut_lineage(different.select("one", "two", "n", F.posexplode("grams").alias("i", "gram")).join(
@@ -206,7 +207,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
     texts count on their own and the best score stands; a null id is kept as null. Other
     columns are ignored.
     """
-    bad = cut_lineage(leaking_texts(docs, items, text=text, item_id=item_id, threshold=threshold))
+    found = leaking_texts(docs, items, text=text, item_id=item_id, threshold=threshold)
+    with small_batches(docs.sparkSession):
+        bad = cut_lineage(found)
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(F.col(f"`{text}`")).alias("text_key")).join(bad, "text_key")
     best = named.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "last_word", "text_key")).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
@@ -217,5 +220,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", **mo
 
     The columns are those of ``docs``, whatever their names.
     """
-    bad = cut_lineage(leaking_texts(docs, items, text=text, **more).select(F.col("text_key").alias("_leak")).distinct())
+    found = leaking_texts(docs, items, text=text, **more).select(F.col("text_key").alias("_leak")).distinct()
+    with small_batches(docs.sparkSession):
+        bad = cut_lineage(found)
     return docs.join(bad, text_key(docs[f"`{text}`"]) == bad["_leak"], "left_anti")

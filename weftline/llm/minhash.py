@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import WordHashes, components, forest, hashes_of, mixed, partitions, put_back, runs_of, set_aside, whole_groups, words_of
-from weftline.session import cut_lineage
+from weftline.session import cut_lineage, small_batches
 
 BANDS, ROWS, BATCH = 20, 4, 16
 HASHES = BANDS * ROWS
@@ -101,7 +101,7 @@ def blocks(df: DataFrame, keys: list[str], size: str, node: str) -> DataFrame:
         "_side", (F.col("_mine") > F.col("_other")).cast("int")).drop("_k", "_mine", "_other")
 
 
-def _pairs_within(group: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_within(group: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of places with the same group number, in blocks; equal numbers are adjacent."""
     n = len(group)
     ends = np.searchsorted(group, group, "right")
@@ -241,16 +241,19 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, miss: float) -> DataFrame:
     key = F.col(f"`{doc_id}`")
     rows = docs.drop(*({"n_shingles", "component_id", "kept"} - {doc_id, text}))
-    signed = cut_lineage(with_signatures(rows.withColumn("_row", F.monotonically_increasing_id()), text, shingle))
+    with small_batches(docs.sparkSession):
+        signed = cut_lineage(with_signatures(rows.withColumn("_row", F.monotonically_increasing_id()), text, shingle))
     nodes = signed.where("_set is not null").groupBy("_set").agg(
         F.min(F.struct(key.isNull().alias("none"), key.alias("id"), "_row")).alias("_least"),
         F.first("n_shingles").alias("n_shingles"), F.first("_sig").alias("_sig"), F.first("_bands").alias("_bands"))
     nodes = cut_lineage(nodes)
-    families = components(candidates(nodes, percent / 100, miss))
+    with small_batches(docs.sparkSession):
+        families = components(candidates(nodes, percent / 100, miss))
     # One text for each node of a family; dealt out alike whatever the size of either side.
     texts = signed.join(families.select(F.col("node").alias("_set")).hint("merge"), "_set", "left_semi").groupBy("_set").agg(
         F.first(F.col(f"`{text}`")).alias("_text"), F.first("n_shingles").alias("n_shingles"))
-    found = components(verified(texts, families, shingle, percent))
+    with small_batches(docs.sparkSession):
+        found = components(verified(texts, families, shingle, percent))
     labels = found.join(nodes.select(F.col("_set").alias("node"), "_least"), "node")
     least = labels.groupBy("root").agg(F.min("_least").alias("_label"))
     named = labels.select("node", "root").join(least, "root").select(F.col("node").alias("_set"), "_label")

@@ -10,7 +10,7 @@ perplexity is the sum over its own. No table is collected or held whole anywhere
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from weftline.llm.common import put_back, set_aside
-from weftline.session import cut_lineage
+from weftline.session import cut_lineage, small_batches
 
 ORDER, BITS = 5, 8
 SYMBOLS, LEAD = 1 << BITS, ORDER - 1
-#: Bytes coded at a time; a text over this is coded in overlapping stretches.
-STRETCH = 1 << 22
+#: Bytes coded at a time (an n-gram of each takes 8 times that, a few times over); a text over this is coded in overlapping stretches.
+STRETCH = 1 << 20
+#: Texts copied out of a column at a time.
+COPIED = 256
 #: Bytes of text whose n-grams are looked up together.
 BLOCK = 1 << 25
 #: What a row counts towards its block besides its text.
@@ -51,7 +53,24 @@ def _packed(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], sizes - LEAD
 
 
-def coded(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
+    """The UTF-8 of a column of texts, copied out some at a time."""
+    for at in range(0, len(column), COPIED):
+        yield from column.slice(at, COPIED).cast(pa.large_binary()).to_pylist()
+
+
+def _different(found: Iterable[np.ndarray]) -> np.ndarray:
+    """All different numbers of some arrays, ascending; put together each time the new ones are as many as those known."""
+    known, new, held = np.empty(0, np.int64), [], 0
+    for some in found:
+        new.append(np.unique(some))
+        held += len(new[-1])
+        if held >= max(len(known), STRETCH):
+            known, new, held = np.unique(np.concatenate([known, *new])), [], 0
+    return np.unique(np.concatenate([known, *new])) if new else known
+
+
+def coded(texts: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Stretches of the texts' n-grams, one for each byte: (place of text, how many n-grams) of each piece, and the n-grams.
 
     A text starts after LEAD line breaks.
@@ -75,7 +94,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
     """(code, n) over all of the one text column; each stretch of text adds up its own n-grams first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, code in coded(batch.column(0).cast(pa.large_binary()).to_pylist()):
+            for _, _, code in coded(_texts(batch.column(0))):
                 found, n = np.unique(code, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["code", "n"])
 
@@ -161,14 +180,13 @@ def with_perplexity(docs: DataFrame, key: str, text: str, keep: list[str], probs
             "_part", F.floor(F.rand(7) * F.coalesce("_ways", F.lit(1)))).drop("_ways")
 
     def grams(key: tuple, rows: pa.Table) -> pa.Table:
-        found = np.empty(0, np.int64)
-        for _, _, code in coded(rows.column(text).cast(pa.large_binary()).to_pylist()):
-            found = np.union1d(found, code)
+        found = _different(code for _, _, code in coded(_texts(rows.column(text))))
         return pa.table({"_block": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "code": pa.array(found)})
 
     pairs = dealt.where(F.octet_length(body) > 0).select("_block", "_part", f"`{text}`").groupBy("_block", "_part").applyInArrow(
         grams, "_block long, code long")
-    pairs = cut_lineage(pairs.distinct() if large else pairs)
+    with small_batches(spark):
+        pairs = cut_lineage(pairs.distinct() if large else pairs)
     costs = cut_lineage(costs_of(pairs.select("code").distinct(), probs, gammas))
     sent = pairs.join(costs, "code").withColumn("_part", F.lit(0).cast("long"))
     if large:
@@ -182,8 +200,9 @@ def with_perplexity(docs: DataFrame, key: str, text: str, keep: list[str], probs
         codes, cost = known.column("code").to_numpy(), known.column("cost").to_numpy()
         order = np.argsort(codes)
         codes, cost = codes[order], cost[order]
+        del order
         n_bytes, nll = np.zeros(len(rows), np.int64), np.zeros(len(rows))
-        for owners, sizes, code in coded(rows.column(text).cast(pa.large_binary()).to_pylist()):
+        for owners, sizes, code in coded(_texts(rows.column(text))):
             sums = np.add.reduceat(cost[np.searchsorted(codes, code)], np.cumsum(sizes) - sizes, dtype=np.float64)
             np.add.at(n_bytes, owners, sizes)
             np.add.at(nll, owners, sums)
@@ -232,8 +251,12 @@ def quality(
     learn = ids.where("not _held").hint("merge")
     texts = docs.select(f"`{key}`", f"`{text}`").where(F.octet_length(F.col(f"`{text}`")) > 0).join(
         learn, F.col(f"`{key}`") == F.col("_id"), "left_semi").select(f"`{text}`")
-    probs, gammas = kneser_ney(cut_lineage(count_ngrams(texts)))
-    scored = cut_lineage(with_perplexity(docs, key, text, [*keep, lang], probs, gammas))
+    with small_batches(docs.sparkSession):
+        counts = cut_lineage(count_ngrams(texts))
+    probs, gammas = kneser_ney(counts)
+    scored = with_perplexity(docs, key, text, [*keep, lang], probs, gammas)
+    with small_batches(docs.sparkSession):
+        scored = cut_lineage(scored)
     tongue = F.coalesce(F.col(f"`{lang}`"), F.lit(""))
     marked = cut_lineage(scored.select(F.col(f"`{key}`").alias("_key"), tongue.alias("lang_"), "_bytes", "nll").where("_bytes > 0").join(
         ids.hint("merge"), F.col("_key") == F.col("_id")).select("lang_", "_held", "_bytes", "nll"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: While set, a union of frames of one partition each has one partition.
 UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Paths handed out and not deleted yet, by shared folder.
 _made: dict[str, list[str]] = {}
@@ -82,6 +83,17 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """What runs inside hands Python so many rows at a time at most: for whole texts, of which a batch of the usual 10,000 is held several times over."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 @contextmanager
 def side_by_side(spark: SparkSession) -> Iterator[None]:
     """Unions that run inside keep their frames' partitions beside one another, as tasks of their own."""
