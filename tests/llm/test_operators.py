@@ -220,6 +220,15 @@ def test_long_texts_are_coded_in_stretches(monkeypatch):
         assert codes == [int.from_bytes(padded[i:i + 5], "big") for i in range(len(text or b""))]
 
 
+def test_costs_are_planned_level_by_level(spark):
+    texts = docs(spark, [(i, f"some words and {i}") for i in range(9)]).select("text")
+    probs, gammas = quality_model.kneser_ney(cut_lineage(quality_model.count_ngrams(texts)))
+    costs = quality_model.costs_of(quality_model.count_ngrams(texts).select("code"), probs, gammas)
+    # With both tables and the level below.
+    assert costs._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
+    assert costs.count() == quality_model.count_ngrams(texts).count()
+
+
 def test_coding_holds_little_at_a_time():
     texts = [bytes(np.random.default_rng(i).integers(97, 123, 1 << 20, np.uint8)) for i in range(12)]
     tracemalloc.start()

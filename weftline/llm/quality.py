@@ -143,11 +143,12 @@ def costs_of(codes: DataFrame, probs: dict[int, DataFrame], gammas: dict[int, Da
     """(code, cost): -log p of these different n-grams, also of those that the model has not seen.
 
     An n-gram not seen takes the probability of its last bytes, times what its context
-    leaves to them, or all of it if the context was not seen either.
+    leaves to them, or all of it if the context was not seen either. Levels below the
+    highest are written one by one: a plan of all of them takes much of the driver's memory.
     """
     levels = {ORDER: codes}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].select(_low(F.col("code"), k).alias("code")).distinct()
+        levels[k] = cut_lineage(levels[k + 1].select(_low(F.col("code"), k).alias("code")).distinct())
     lower = None
     for k in range(1, ORDER + 1):
         rows = levels[k].withColumn("context", F.shiftright("code", BITS)).join(probs[k], "code", "left").join(gammas[k], "context", "left")
@@ -156,6 +157,8 @@ def costs_of(codes: DataFrame, probs: dict[int, DataFrame], gammas: dict[int, Da
             rows = rows.withColumn("low", _low(F.col("code"), k - 1)).join(lower.select(F.col("code").alias("low"), F.col("p").alias("under")), "low")
             under = F.col("under")
         lower = rows.select("code", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * under).alias("p"))
+        if k < ORDER:
+            lower = cut_lineage(lower)
     return lower.select("code", (-F.log(F.greatest("p", F.lit(1e-12)))).alias("cost"))
 
 
